@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_rules
+from . import bpe, packing, sharding, url_rules
+
+#: Folder of the public tokenizer files; None takes the installed package's.
+TOKENIZER_DIR: str | None = None
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZER_DIR:
+        return f"{TOKENIZER_DIR}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +87,27 @@ SELECT page_id, host, path, own.rule AS rule, coalesce(own.verdict, v) AS verdic
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of training sequences of at most 4096 tokens."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "step_group")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters}
+    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters, "op6_packing": op6_packing, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
