@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .batches import binary_array, bounded
 
@@ -241,7 +242,7 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text") -> DataFr
     """
     kept = [c for c in df.columns if c not in ("ids", "decoded")]
     df = df.select(*[f"`{c}`" for c in kept])
-    schema = df.schema.add("ids", "binary").add("decoded", "string")
+    schema = StructType([*df.schema.fields, StructField("ids", BinaryType()), StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path)
