@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, url_rules
+from . import bpe, packing, sharding, suffix_radix, suffix_tree, url_rules
 
 #: Folder of the public tokenizer files; None takes the installed package's.
 TOKENIZER_DIR: str | None = None
@@ -87,6 +87,18 @@ SELECT page_id, host, path, own.rule AS rule, coalesce(own.verdict, v) AS verdic
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in repeated windows of 35 words removed from every document."""
+    out = suffix_tree.remove_repeated_words(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=35)
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in repeated strings of 200 bytes removed from every document."""
+    out = suffix_radix.remove_repeated_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of training sequences of at most 4096 tokens."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -107,8 +119,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters, "op6_packing": op6_packing, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op6_packing": op6_packing, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe}
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, unnest(range(1, len(w) - 33)) AS p, w FROM d WHERE len(w) >= 35),
+h AS (SELECT rid, p, md5(array_to_string(w[p:p + 34], ' ')) AS k FROM win),
+dup AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT DISTINCT rid, p FROM h JOIN dup USING (k)),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 35)) AS i FROM hit),
+words AS (SELECT rid, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
+kept AS (SELECT rid, count(*) FILTER (g.i IS NOT NULL) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY w.i) FILTER (g.i IS NULL), '') AS kept
+  FROM words w LEFT JOIN gone g USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op3_url_filters": OP3_SQL}

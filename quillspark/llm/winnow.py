@@ -20,7 +20,8 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
+_BASE = _U(0x9E3779B97F4A7C15)
+_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,40 +33,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.empty(max(n, 1), np.uint64)
-    out[0] = 1
-    have, step = 1, base
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * step
-        have += take
-        step = step * step
-    return out
+_tables = {_BASE: np.ones(1, np.uint64), _INVERSE: np.ones(1, np.uint64)}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of base modulo 2**64; the longest table is kept."""
+    table = _tables[base]
+    while len(table) < n:
+        table = np.concatenate((table, table * (table[-1:] * base)))
+        _tables[base] = table
+    return table[:n]
 
 
 class PrefixHash:
     """Hashes of any substrings of a sequence of 64-bit values.
 
-    sum(v[i] * B**i) over [s, e), brought to a common exponent.  Values go in
-    mixed, so the sum modulo 2**64 is not the plain polynomial of small digits.
+    sum(v[i] * B**(i - s)) over [s, e) modulo 2**64, for an odd B.  Values go in
+    mixed, so this is not the plain polynomial of small digits.
     """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        self.power = _powers(n + 1, _BASE)
+        self.inverse = _powers(_INVERSE, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.power[:n], out=self.sums[1:])
+        np.cumsum(values * _powers(_BASE, n), out=self.sums[1:])
         self.n = n
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.power[self.n - start])
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
     def grams(self, k: int) -> np.ndarray:
         """Of every k consecutive values."""
         n = self.n - k + 1
-        return mix((self.sums[k:] - self.sums[:-k]) * self.power[self.n - np.arange(n)])
+        return mix((self.sums[k:] - self.sums[:-k]) * self.inverse[:n])
 
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA0761D6478BD642F))
