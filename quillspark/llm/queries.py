@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, suffix_radix, suffix_tree, url_rules
+from . import bpe, packing, quality, sharding, suffix_radix, suffix_tree, toxicity, url_rules
 
 #: Folder of the public tokenizer files; None takes the installed package's.
 TOKENIZER_DIR: str | None = None
@@ -99,6 +99,23 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: A text of at least this expected severity is rejected.
+TOXIC_FROM = 0.5
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity; kept is false for toxic ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "expected_severity", "severity", (F.col("expected_severity") < TOXIC_FROM).alias("kept"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, fertility measures and verdict."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judge_quality(docs, tokenizer_path("piece_bpe_32k.model")).drop("text", "lang")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of training sequences of at most 4096 tokens."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -119,11 +136,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op6_packing": op6_packing, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_quality_rules": op7_quality_rules, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe}
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT rid, unnest(range(1, len(w) - 33)) AS p, w FROM d WHERE len(w) >= 35),
 h AS (SELECT rid, p, md5(array_to_string(w[p:p + 34], ' ')) AS k FROM win),
 dup AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
