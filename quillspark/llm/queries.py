@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, sharding, suffix_radix, suffix_tree, toxicity, url_rules
+from . import bpe, packing, quality, sharding, suffix_radix, suffix_tree, topk, toxicity, url_rules
 
 #: Folder of the public tokenizer files; None takes the installed package's.
 TOKENIZER_DIR: str | None = None
@@ -93,6 +93,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best candidates of every vector whose id is divisible by 50."""
+    rows = _table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    return topk.search(rows.where("vec_id % 50 = 0"), rows, k=5)
+
+
+OP8_SQL = """
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM e q JOIN e c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in repeated strings of 200 bytes removed from every document."""
     out = suffix_radix.remove_repeated_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
@@ -136,7 +155,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_quality_rules": op7_quality_rules, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe}
 
 
 OP4_SQL = r"""
@@ -154,4 +173,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op3_url_filters": OP3_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL, "op3_url_filters": OP3_SQL}
