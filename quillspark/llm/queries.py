@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, sharding, suffix_radix, suffix_tree, topk, toxicity, url_rules
+from . import bpe, ngram_join, packing, quality, sharding, suffix_radix, suffix_tree, topk, toxicity, url_rules
 
 #: Folder of the public tokenizer files; None takes the installed package's.
 TOKENIZER_DIR: str | None = None
@@ -37,6 +37,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate class, copies and number of links (5 words, similarity 0.8)."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, n=5).drop("th")
+
+
 #: The contract's rules, in its order.
 OP3_RULES = (
     ("allow", "com", "/"),
@@ -155,7 +160,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe}
 
 
 OP4_SQL = r"""
