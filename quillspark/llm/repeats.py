@@ -8,8 +8,9 @@
    repeats in all its windows.
 4. The other classes are fetched once each and go, gram by gram, to `decide`,
    the operator's own method over memory-sized groups.  A gram with more
-   classes than `group_limit` is split by the longest prefix there is: its
-   windows are dealt out one by one and equal ones are counted together.
+   classes than `group_limit` is split by longer prefixes: its windows form
+   bundles under the text that they have in common, equal bundles become one,
+   and what is still crowded is split again, down to single windows.
 5. The windows found go back to every member of their class and from there, as
    spans, to the documents.
 
@@ -192,33 +193,61 @@ def _decided(bodies: DataFrame, decide: Decide, batch_windows: int = 100_000) ->
     return dealt.mapInArrow(run, FOUND)
 
 
-def _dealt_out(bodies: DataFrame, units, length: int) -> DataFrame:
-    """Step 4 for grams with many classes: every window by itself; equal ones are counted together."""
-    kept = bodies.where("hot").select("gram", "ctx", "n", "place", "body")
+def _split(crowded: DataFrame, units, length: int, width: int) -> DataFrame:
+    """Crowded classes as bundles of windows under longer prefixes.
+
+    A window is placed by how far its anchor lies behind its start.  `width`
+    consecutive places share a core, the units that all windows there cover,
+    which is longer the smaller `width` is; it becomes the new gram, and the
+    bundle's own text the new context.
+    """
+    kept = crowded.select("gram", "ctx", "n", "place", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "body", 1 << 18):
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            rows: list[tuple] = []
             for gram, ctx, n, place, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 count, offset = place >> _BITS & _MASK, place & _MASK
-                start = np.arange(count)
-                v = units.values(body)
-                h1 = winnow.PrefixHash(v).of(start, start + length)
-                h2 = winnow.PrefixHash(winnow.mix(v ^ np.uint64(0x5851F42D4C957F2D))).of(start, start + length)
-                h2 = winnow.mix(h2 ^ np.uint64(gram & (2**64 - 1)) ^ (offset - start).astype(np.uint64))
-                for col, x in zip(cols, (np.full(count, gram), np.full(count, ctx), np.full(count, n), start, h1.view(np.int64), h2.view(np.int64)), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["gram", "ctx", "n", "j", "h1", "h2"])
-
-    windows = materialize(kept.mapInArrow(run, "gram long, ctx long, n long, j long, h1 long, h2 long"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("w")).where("w > 1").select("h1", "h2")
-    found = windows.join(twice, ["h1", "h2"]).groupBy("gram", "ctx").agg(F.sort_array(F.collect_set("j")).alias("lo"))
-    return found.select("gram", "ctx", "lo", F.transform("lo", lambda j: j + 1).alias("hi"))
-
-
-def repeated_spans(profiles: DataFrame, units, length: int, decide: Decide, group_limit: int = 256) -> DataFrame:
+                ph = winnow.PrefixHash(units.values(body))
+                # window j has its anchor offset - j behind its start
+                low = np.arange((offset - count + 1) // width, offset // width + 1) * width
+                j0, j1 = np.maximum(offset - low - width + 1, 0), np.minimum(offset - low + 1, count)
+                core = ph.of(offset - low, np.minimum(offset - low - width + 1, ph.n - length) + length) if width > 1 else ph.of(j0, j0 + length)
+                key = winnow.mix(core ^ winnow.mix(np.uint64(gram & (2**64 - 1)) ^ low.astype(np.uint64)))
+                own = winnow.mix(ph.of(j0, j1 - 1 + length) ^ winnow.mix((j0 + low - offset + (1 << 40)).astype(np.uint64) ^ (j1 - j0).astype(np.uint64) << np.uint64(48)))
+                places = (j1 - j0) << _BITS | (offset - j0 - low)
+                texts = units.cut(body, list(zip(j0.tolist(), (j1 - 1 + length).tolist(), strict=True)))
+                rows += zip([gram] * len(low), [ctx] * len(low), [n] * len(low), key.view(np.int64), own.view(np.int64), j0, places, texts, strict=True)
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:7]], pa.array(cols[7], pa.binary())], names=["gram", "ctx", "n", "gram2", "ctx2", "j0", "place", "body"])
+
+    return kept.mapInArrow(run, "gram long, ctx long, n long, gram2 long, ctx2 long, j0 long, place long, body binary")
+
+
+def _resolve(bodies: DataFrame, units, length: int, width: int, decide: Decide, group_limit: int) -> DataFrame:
+    """FOUND of classes with text; crowded ones are split into ever smaller bundles until groups fit or windows are single."""
+    found = _decided(bodies, decide)
+    if not bodies.where("hot").limit(1).count():
+        return found
+    width = -(-width // 8)
+    bundles = materialize(_split(bodies.where("hot"), units, length, width), "bundles")
+    kids = bundles.groupBy(F.col("gram2").alias("gram"), F.col("ctx2").alias("ctx")).agg(F.sum("n").alias("n"), F.any_value("place").alias("place"), F.any_value("body").alias("body"))
+    kids = materialize(kids, "kids")
+    crowd = materialize(kids.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
+    kids = kids.join(crowd, "gram").withColumn("hot", F.col("k") > group_limit)
+    alone = kids.where("k = 1 and n > 1").select("gram", "ctx", F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.shiftright("place", _BITS).bitwiseAND(_MASK)).alias("hi"))
+    more = materialize(kids.where("k > 1").select("gram", "ctx", "n", "place", "hot", "body"), "bodies")
+    below = materialize(alone.unionByName(_resolve(more, units, length, width, decide, group_limit)).where("size(lo) > 0").select(F.col("gram").alias("gram2"), F.col("ctx").alias("ctx2"), "lo", "hi"), "found")
+    runs = F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct((x["lo"] + F.col("j0")).alias("lo"), (x["hi"] + F.col("j0")).alias("hi")))
+    back = bundles.select("gram", "ctx", "gram2", "ctx2", "j0").join(below, ["gram2", "ctx2"]).select("gram", "ctx", runs.alias("runs"))
+    back = back.groupBy("gram", "ctx").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return found.unionByName(back.select("gram", "ctx", F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi")))
+
+
+def repeated_spans(profiles: DataFrame, units, length: int, gram: int, decide: Decide, group_limit: int = 256) -> DataFrame:
     """Steps 2 to 5: (id, fp, spans), spans an ordered array of struct(start, end) in units, of documents that have any."""
     grams = profiles.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    grams = materialize(grams, "grams")  # read from a table, both sides of the next join can be split by Spark
     anchors = profiles.select("id", "fp", F.explode(F.arrays_zip("place", "gram", "ctx")).alias("a")).select("id", "fp", "a.*")
     members = materialize(anchors.join(grams, "gram").select("id", "fp", "place", "gram", "ctx"), "members")
 
@@ -229,9 +258,7 @@ def repeated_spans(profiles: DataFrame, units, length: int, decide: Decide, grou
 
     alone = classes.where("k = 1").select("gram", "ctx", F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.shiftright("place", _BITS).bitwiseAND(_MASK)).alias("hi"))
     bodies = materialize(_fetch(profiles.select("id", "fp", "z"), classes.where("k > 1"), units, length), "bodies")
-    found = alone.unionByName(_decided(bodies, decide))
-    if bodies.where("hot").limit(1).count():
-        found = found.unionByName(_dealt_out(bodies, units, length))
+    found = alone.unionByName(_resolve(bodies, units, length, length - gram + 1, decide, group_limit))
     found = materialize(found.where("size(lo) > 0"), "found")
     discard(bodies)
     discard(classes)

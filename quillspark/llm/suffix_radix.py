@@ -98,5 +98,5 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, id
     kept may end inside a character, as bytes do.
     """
     profiles = materialize(repeats.profile(docs, id_col, text_col, repeats.ByteUnits, length, gram), "profiles")
-    spans = repeats.repeated_spans(profiles, repeats.ByteUnits, length, decide(length))
+    spans = repeats.repeated_spans(profiles, repeats.ByteUnits, length, gram, decide(length))
     return repeats.remove_spans(profiles, spans, id_col, _cut)

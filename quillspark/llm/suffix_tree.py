@@ -80,5 +80,5 @@ def remove_repeated_words(docs: DataFrame, length: int = 35, gram: int = 10, id_
     allowed; other columns are ignored; an empty table gives an empty result.
     """
     profiles = materialize(repeats.profile(docs, id_col, text_col, repeats.WordUnits, length, gram), "profiles")
-    spans = repeats.repeated_spans(profiles, repeats.WordUnits, length, decide(length))
+    spans = repeats.repeated_spans(profiles, repeats.WordUnits, length, gram, decide(length))
     return repeats.remove_spans(profiles, spans, id_col, _cut)
