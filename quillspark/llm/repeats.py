@@ -96,11 +96,17 @@ def _unpack(data: bytes) -> bytes:
     return _compressor()[1].decompress(data)
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, units, length: int, gram: int) -> DataFrame:
-    """Step 1: (id, fp, z, place, gram, ctx) per document."""
+def _carried(carry: Sequence[str]) -> list:
+    return [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
+
+
+def profile(docs: DataFrame, id_col: str, text_col: str, units, length: int, gram: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Step 1: (id, fp, z, place, gram, ctx) per document, and carry, a struct of further columns, if there are any."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"), *_carried(carry))
     kind = src.schema["id"].dataType.simpleString()
+    more = f", carry {src.schema['carry'].dataType.simpleString()}" if carry else ""
+    extra = ["carry"] if carry else []
     if length >= 1 << _BITS:
         raise ValueError(f"length must be under {1 << _BITS}")
 
@@ -121,9 +127,9 @@ def profile(docs: DataFrame, id_col: str, text_col: str, units, length: int, gra
                     out.append(x)
             ends = pa.array(np.cumsum([0, *map(len, place)]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int64))) for x in (place, grams, ctx)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), binary_array(z), *lists], names=["id", "fp", "z", "place", "gram", "ctx"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), binary_array(z), *lists, *[batch.column(c) for c in extra]], names=["id", "fp", "z", "place", "gram", "ctx", *extra])
 
-    return src.mapInArrow(run, f"id {kind}, fp long, z binary, place array<long>, gram array<long>, ctx array<long>")
+    return src.mapInArrow(run, f"id {kind}, fp long, z binary, place array<long>, gram array<long>, ctx array<long>{more}")
 
 
 def _fetch(texts: DataFrame, classes: DataFrame, units, length: int) -> DataFrame:
@@ -269,12 +275,14 @@ def repeated_spans(profiles: DataFrame, units, length: int, gram: int, decide: D
     return out.groupBy("id", "fp").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
-def remove_spans(profiles: DataFrame, spans: DataFrame, id_col: str, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple[bytes, int, int, int]]) -> DataFrame:
-    """(id, kept, n_units, n_removed, n_spans) of every document; cut gives the last four from its bytes and the spans' starts and ends."""
+def remove_spans(profiles: DataFrame, spans: DataFrame, id_col: str, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple[bytes, int, int, int]], carry: Sequence[str] = ()) -> DataFrame:
+    """(id, kept, n_units, n_removed, n_spans) of every document, and the columns of carry; cut gives kept and the counts from its bytes and the spans' starts and ends."""
     kind = profiles.schema["id"].dataType.simpleString()
-    texts = profiles.select("id", "fp", "z")
+    extra = ["carry"] if carry else []
+    more = f", carry {profiles.schema['carry'].dataType.simpleString()}" if carry else ""
+    texts = profiles.select("id", "fp", "z", *extra)
     at = spans.select(F.col("id").alias("id2"), F.col("fp").alias("fp2"), F.col("spans.start").alias("lo"), F.col("spans.end").alias("hi"))
-    joined = texts.join(at, texts["id"].eqNullSafe(at["id2"]) & (texts["fp"] == at["fp2"]), "left").select("id", "z", "lo", "hi")
+    joined = texts.join(at, texts["id"].eqNullSafe(at["id2"]) & (texts["fp"] == at["fp2"]), "left").select("id", "z", "lo", "hi", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = _compressor()[1]
@@ -283,9 +291,10 @@ def remove_spans(profiles: DataFrame, spans: DataFrame, id_col: str, cut: Callab
             for z, lo, hi in zip(*[batch.column(c).to_pylist() for c in ("z", "lo", "hi")], strict=True):
                 rows.append(cut(unpress.decompress(z), np.array(lo or [], np.int64), np.array(hi or [], np.int64)))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[id_col, "kept", "n_units", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]], *[batch.column(c) for c in extra]], names=[id_col, "kept", "n_units", "n_removed", "n_spans", *extra])
 
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, kept binary, n_units long, n_removed long, n_spans long")
+    out = joined.mapInArrow(run, f"`{id_col}` {kind}, kept binary, n_units long, n_removed long, n_spans long{more}")
+    return out.select(*[c for c in out.columns if c != "carry"], "carry.*") if carry else out
 
 
 def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

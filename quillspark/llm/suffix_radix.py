@@ -11,6 +11,8 @@ are exactly the repeated windows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -88,15 +90,27 @@ def _cut(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int,
     return kept, len(data), int(gone.sum()), runs
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kept, n_units, n_removed, n_spans) per row: the text's bytes without those that a `length`-byte string covers which also starts elsewhere.
+def _cut_characters(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int, int]:
+    """The same, with every character that loses a byte gone as a whole, so that what is kept is UTF-8."""
+    if not len(lo):
+        return data, len(data), 0, 0
+    x = np.frombuffer(data, np.uint8)
+    character = np.cumsum((x & 0xC0) != 0x80) - 1
+    gone = np.bincount(character, repeats.covered(len(data), lo, hi))[character] > 0
+    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+    return x[~gone].tobytes(), len(data), int(gone.sum()), runs
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, kept, n_units, n_removed, n_spans) per row, and the columns of carry: the text's bytes without those that a `length`-byte string covers which also starts elsewhere.
 
     Strings are judged on the input, in the same or any other row, and never
     cross rows.  Null is the empty text; texts under `length` bytes lose
     nothing; repeated rows and copies all lose what they share.  Null ids are
     allowed; other columns are ignored; an empty table gives an empty result.
-    kept may end inside a character, as bytes do.
+    kept may begin or end inside a character, as bytes do, unless
+    whole_characters is set.
     """
-    profiles = materialize(repeats.profile(docs, id_col, text_col, repeats.ByteUnits, length, gram), "profiles")
+    profiles = materialize(repeats.profile(docs, id_col, text_col, repeats.ByteUnits, length, gram, carry), "profiles")
     spans = repeats.repeated_spans(profiles, repeats.ByteUnits, length, gram, decide(length))
-    return repeats.remove_spans(profiles, spans, id_col, _cut)
+    return repeats.remove_spans(profiles, spans, id_col, _cut_characters if whole_characters else _cut, carry)
