@@ -15,7 +15,9 @@ shorter windows; fewer than `SMALLEST_TAIL` tokens a partition need padding.
 from __future__ import annotations
 
 import bisect
+import functools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,36 +33,94 @@ _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 SMALLEST_TAIL = 64
 
 
+#: Words of these characters (and the space between them) are cut here; in lower case each is one character and composed.
+_PLAIN = re.compile("[ -~À-ÖØ-öø-įĲ-ňŊ-ž]+")
+#: Fixed value: the pieces that the tokenizer's pre-tokenizer keeps, over the characters above in lower case.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž ]+| ")
+#: Four bytes that no id has.
+_MARK = b"\xff\xff\xff\xff"
+
+
 class WordTokens:
-    """Ids by the tokenizers library, of each distinct blank-delimited word once.
+    """Ids by the tokenizers library, of each distinct piece of a word once.
 
-    Valid for tokenizers whose pre-tokenizer drops white space: no token spans it.
+    Valid for tokenizers that lower-case, drop white space, cut words into
+    pieces and mark the last token of a piece by a suffix: then no token spans
+    pieces, and a batch of pieces can be encoded as one text and cut apart.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    SUFFIX = "</w>"
+
+    def __init__(self, path: str, cache_words: int = 500_000, cache_pieces: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(self.SUFFIX)]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.cache_words, self.cache_pieces = cache_words, cache_pieces
+
+    @staticmethod
+    @functools.lru_cache(maxsize=1)
+    def of(path: str) -> WordTokens:
+        """The tokenizer of this process, which keeps its cache from task to task."""
+        return WordTokens(path)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_pieces(self, new: list[str]) -> None:
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.pieces.update(zip(part, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            else:
+                self.pieces.update(zip(part, self._library(part), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        """Puts words into the cache; they are cut in one go, and a mark no id has parts them again."""
+        joined = " ".join(new)
+        plain = new
+        if not _PLAIN.fullmatch(joined) or any(x in joined for x in self.special):
+            plain = [w for w in new if _PLAIN.fullmatch(w) and not any(x in w for x in self.special)]
+            joined = " ".join(plain)
+        if plain:
+            tokens = _PIECE.findall(joined.lower())
+            fresh = set(tokens)
+            if len(self.pieces) + len(fresh) > self.cache_pieces:
+                self.pieces = {p: self.pieces[p] for p in fresh if p in self.pieces}
+            self.pieces[" "] = _MARK
+            self._learn_pieces(list(fresh - self.pieces.keys()))
+            ids = b"".join(map(self.pieces.__getitem__, tokens)).split(_MARK)
+            self.words.update(zip(plain, ids, strict=True))
+        if len(plain) < len(new):
+            other = [w for w in new if w not in self.words]
+            self.words.update(zip(other, self._library(other), strict=True))
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        words = [None if t and any(x in t for x in _ODD) else (t or "").split() for t in texts]
-        fresh = {w for ws in words if ws for w in ws}
-        if len(self.cache) + len(fresh) > self.cache_words:
-            self.cache.clear()
-        new = list(fresh - self.cache.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.cache.update(zip(part, self._library(part), strict=True))
-        get = self.cache.__getitem__
-        return [self._library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        odd = {i: self._library([t])[0] for i, t in enumerate(texts) if t and any(x in t for x in _ODD)}
+        words = [[] if i in odd else (t or "").split() for i, t in enumerate(texts)]
+        known = [list(map(self.words.get, ws)) for ws in words]
+        gaps = [[k for k, v in enumerate(vs) if v is None] for vs in known]
+        fresh = {ws[k] for ws, ks in zip(words, gaps, strict=True) for k in ks}
+        if len(self.words) + len(fresh) > self.cache_words:
+            used = {w for ws in words for w in ws}
+            self.words = {w: self.words[w] for w in used if w in self.words}
+        self._learn(list(fresh))
+        for ws, vs, ks in zip(words, known, gaps, strict=True):
+            for k in ks:
+                vs[k] = self.words[ws[k]]
+        return [odd.get(i) or b"".join(vs) for i, vs in enumerate(known)]
 
 
 class Packer:
@@ -168,7 +228,7 @@ def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokens(path), Packer(tiers)
+        words, packer = WordTokens.of(path), Packer(tiers)
         base, done = TaskContext.get().partitionId() << 36, 0
         kind: pa.DataType = pa.int64()
 
