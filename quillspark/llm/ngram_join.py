@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
     members = groups.join(sizes, "component").select("node", "component", blocks.alias("blocks")).join(nodes.select("node", "rep", "weight"), "node")
     members = materialize(members.select("component", "blocks", "node", "weight", F.col("rep.id").alias("id2"), F.col("rep.th").alias("th2")), "members")
-    chosen = rows.join(members, rows["id"].eqNullSafe(members["id2"]) & (rows["th"] == members["th2"])).select("component", "blocks", "node", "weight", "text")
+    # the plan is the same at every size: texts meet members in a merge join, never by broadcast
+    chosen = rows.join(members.hint("merge"), rows["id"].eqNullSafe(members["id2"]) & (rows["th"] == members["th2"])).select("component", "blocks", "node", "weight", "text")
     sets = _sets(chosen, n)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
@@ -266,7 +267,7 @@ def keep_one_per_class(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_c
     def match(keys: DataFrame):
         return (docs[id_col] == keys["key_id"]) & (th == keys["key_th"])
 
-    kept = docs.join(gone, match(gone), "left_anti")
+    kept = docs.join(gone.hint("merge"), match(gone), "left_anti")
     if not again.limit(1).count():
         return kept
     once = docs.join(again, match(again), "left_semi").dropDuplicates([id_col, text_col])
