@@ -13,6 +13,7 @@ those of its blank-delimited units, which are kept in a bounded cache.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -51,7 +52,7 @@ def byte_characters() -> dict[int, str]:
 class ByteBPE:
     """Encodes and decodes as the tokenizers library does with this file, without truncation, padding and added specials."""
 
-    def __init__(self, path: str, cache_units: int = 300_000):
+    def __init__(self, path: str, cache_units: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -79,6 +80,12 @@ class ByteBPE:
         self.cache: dict[str, bytes] = {}
         self.cache_units = cache_units
 
+    @staticmethod
+    @functools.lru_cache(maxsize=1)
+    def of(path: str) -> ByteBPE:
+        """The tokenizer of this process, which keeps its cache from task to task."""
+        return ByteBPE(path)
+
     # -- merging
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -245,7 +252,7 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text") -> DataFr
     schema = StructType([*df.schema.fields, StructField("ids", BinaryType()), StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(path)
+        bpe = ByteBPE.of(path)
         for batch in bounded(batches, text_col, 2 << 20):
             ids = bpe.encode_batch(batch.column(text_col).to_pylist())
             decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
