@@ -60,11 +60,12 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 17, id_col: st
         .sortWithinPartitions("bucket")
         .select("first", "total", F.shuffle("items", F.lit(seed)).alias("items"))
         .select("first", "total", F.posexplode("items").alias("pos", "item"))
-        .select("item.rec.*", "total", at.alias("at"))
+        .select(F.col("item.rec").alias("rec"), "total", at.alias("at"))
     )
     shard = F.expr(f"(at * {n_shards}L) div total")
     first = F.expr(f"(shard * total + {n_shards - 1}L) div {n_shards}L")
-    return permuted.withColumn("shard", shard).select(*[F.col(f"`{c}`") for c in kept], F.col("shard").cast("int").alias("shard"), (F.col("at") - first).cast("long").alias("slot"))
+    placed = permuted.withColumn("shard", shard).withColumn("slot", F.col("at") - first)
+    return placed.select("rec.*", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
