@@ -32,6 +32,9 @@ def _at_lines(text: Column) -> Column:
     return F.size(F.filter(T.lines(text), lambda x: F.regexp_replace(x, r"(?U)^\s+", "").startswith("at ")))
 
 
+# The detectors' markers and weights, in the order in which they are added.
+
+
 def stack_trace(text: Column) -> Column:
     c, at = text.contains, _at_lines(text)
     rust = c("stack backtrace:") | c("panicked at")

@@ -17,8 +17,22 @@ STATIC = ["mission", "product thesis", "hard requirements", "non-negotiable"]
 PATH = r"(?:\./|\.\./|/)[A-Za-z0-9_\-./]+|(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+"
 CONSTRAINT = ["must", "Must", "do not", "Do not", "never", "Never"]
 
+#: Texts of a rewrite.
 NO_OBJECTIVE = "State the concrete task outcome in one sentence."
 NARROW = "Narrow the task to the specific files, modules, or subsystems that need to change."
+NO_CONSTRAINTS = "- Add constraints only if they materially change execution."
+NO_PATHS = "- Add file or module paths when known."
+NO_CRITERIA = "- Define how success will be verified."
+REVIEW = "A concise review with findings ordered by severity."
+DOCUMENTATION = "Updated documentation with any required implementation changes."
+CHANGES = "Working code changes with tests or verification notes."
+ARTIFACT = "A concrete implementation or analysis artifact, not just general advice."
+STATUS_UPDATED = "STATUS.md is updated to reflect the new milestone."
+TESTS_RUN = "Relevant tests or verification steps are run and reported."
+SAFE_MODE = "Safe-mode protections are preserved and visible."
+DEFAULT_CRITERIA = ["Relevant tests or checks pass for the touched scope.", "The output clearly states what changed and any remaining risks."]
+NO_PATHS_FOUND = "No file or module paths detected"
+NO_CRITERIA_FOUND = "No explicit verification or acceptance language detected"
 
 
 def _strip(s: Column, chars: str) -> Column:
@@ -67,9 +81,9 @@ def findings(text: Column) -> Column:
     rules = [
         found(F.size(repeated) > 0, "redundant_constraints", "medium", "redundancy", tokens.estimated(F.col("_repeated_text")), repeated),
         found(F.size(broad) > 0, "overbroad_scope", "high", "overbreadth", 60, broad),
-        found((F.size("_paths") == 0) & T.contains_any(low, ["repo", "codebase", "project"]), "missing_file_scope", "medium", "missing_scope", 35, F.array(F.lit("No file or module paths detected"))),
+        found((F.size("_paths") == 0) & T.contains_any(low, ["repo", "codebase", "project"]), "missing_file_scope", "medium", "missing_scope", 35, F.array(F.lit(NO_PATHS_FOUND))),
         found(~low.rlike(VERBS), "ambiguous_objective", "medium", "ambiguity", 25, F.array(F.coalesce(first_line(text), F.lit("")))),
-        found(~T.contains_any(low, SUCCESS), "missing_acceptance_criteria", "medium", "missing_acceptance_criteria", 30, F.array(F.lit("No explicit verification or acceptance language detected"))),
+        found(~T.contains_any(low, SUCCESS), "missing_acceptance_criteria", "medium", "missing_acceptance_criteria", 30, F.array(F.lit(NO_CRITERIA_FOUND))),
         found((F.size(static) >= 2) & (F.size(T.trimmed_lines(text)) > 12), "buried_static_context", "low", "buried_static_context", 45, static),
     ]
     return F.array_compact(F.array(*rules))
@@ -89,10 +103,10 @@ def objective(text: Column) -> Column:
 def deliverable(text: Column) -> Column:
     low = F.lower(text)
     return (
-        F.when(low.contains("review"), "A concise review with findings ordered by severity.")
-        .when(T.contains_any(low, ["document", "write docs"]), "Updated documentation with any required implementation changes.")
-        .when(T.contains_any(low, ["fix", "implement", "build", "scaffold", "add"]), "Working code changes with tests or verification notes.")
-        .otherwise("A concrete implementation or analysis artifact, not just general advice.")
+        F.when(low.contains("review"), REVIEW)
+        .when(T.contains_any(low, ["document", "write docs"]), DOCUMENTATION)
+        .when(T.contains_any(low, ["fix", "implement", "build", "scaffold", "add"]), CHANGES)
+        .otherwise(ARTIFACT)
     )
 
 
@@ -100,12 +114,12 @@ def acceptance(text: Column) -> Column:
     low = F.lower(text)
     found = F.array_compact(
         F.array(
-            F.when(low.contains("status.md"), F.lit("STATUS.md is updated to reflect the new milestone.")),
-            F.when(T.contains_any(low, ["test", "verify"]), F.lit("Relevant tests or verification steps are run and reported.")),
-            F.when(low.contains("safe mode"), F.lit("Safe-mode protections are preserved and visible.")),
+            F.when(low.contains("status.md"), F.lit(STATUS_UPDATED)),
+            F.when(T.contains_any(low, ["test", "verify"]), F.lit(TESTS_RUN)),
+            F.when(low.contains("safe mode"), F.lit(SAFE_MODE)),
         )
     )
-    default = F.array(F.lit("Relevant tests or checks pass for the touched scope."), F.lit("The output clearly states what changed and any remaining risks."))
+    default = F.array(*[F.lit(x) for x in DEFAULT_CRITERIA])
     return F.when(F.size(found) == 0, default).otherwise(found)
 
 
@@ -120,10 +134,10 @@ def rewrite(text: Column) -> Column:
     parts = {
         "Objective": F.col("_objective"),
         "Scope": scope,
-        "Constraints": _listed(F.col("_constraints"), "- Add constraints only if they materially change execution."),
-        "Relevant Files or Modules": _listed(found, "- Add file or module paths when known."),
+        "Constraints": _listed(F.col("_constraints"), NO_CONSTRAINTS),
+        "Relevant Files or Modules": _listed(found, NO_PATHS),
         "Deliverable": deliverable(text),
-        "Acceptance Criteria": _listed(acceptance(text), "- Define how success will be verified."),
+        "Acceptance Criteria": _listed(acceptance(text), NO_CRITERIA),
     }
     return F.concat_ws("\n\n", *[F.concat(F.lit(k + "\n"), v) for k, v in parts.items()])
 

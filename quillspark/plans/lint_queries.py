@@ -46,9 +46,9 @@ _PARTS = f"p0 AS (SELECT id, text, {_ROWS} AS rows, {_PATHS} AS paths FROM promp
 _RULES = [
     ("len(repeated) > 0", "redundant_constraints", "medium", sql_estimate("array_to_string(repeated, chr(10))"), "array_to_string(repeated, '|')"),
     ("len(broad) > 0", "overbroad_scope", "high", "60", "array_to_string(broad, '|')"),
-    (f"len(paths) = 0 AND {sql_any('lower(text)', ['repo', 'codebase', 'project'])}", "missing_file_scope", "medium", "35", "'No file or module paths detected'"),
+    (f"len(paths) = 0 AND {sql_any('lower(text)', ['repo', 'codebase', 'project'])}", "missing_file_scope", "medium", "35", _quoted(lint.NO_PATHS_FOUND)),
     (f"NOT regexp_matches(lower(text), {_quoted(lint.VERBS)})", "ambiguous_objective", "medium", "25", "coalesce(rows[1], '')"),
-    (f"NOT {sql_any('lower(text)', lint.SUCCESS)}", "missing_acceptance_criteria", "medium", "30", "'No explicit verification or acceptance language detected'"),
+    (f"NOT {sql_any('lower(text)', lint.SUCCESS)}", "missing_acceptance_criteria", "medium", "30", _quoted(lint.NO_CRITERIA_FOUND)),
     ("len(static) >= 2 AND len(rows) > 12", "buried_static_context", "low", "45", "array_to_string(static, '|')"),
 ]
 
@@ -71,10 +71,10 @@ def c7_c8_c11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OBJECTIVE = f"coalesce([x FOR x IN rows IF regexp_matches(x, {_quoted('(?i)' + lint.VERBS)})][1], rows[1], {_quoted(lint.NO_OBJECTIVE)})"
 _LOW = "lower(text)"
-_DELIVERABLE = f"""CASE WHEN contains({_LOW}, 'review') THEN 'A concise review with findings ordered by severity.' WHEN {sql_any(_LOW, ['document', 'write docs'])} THEN 'Updated documentation with any required implementation changes.'
-WHEN {sql_any(_LOW, ['fix', 'implement', 'build', 'scaffold', 'add'])} THEN 'Working code changes with tests or verification notes.' ELSE 'A concrete implementation or analysis artifact, not just general advice.' END"""
-_ACC0 = f"[x FOR x IN [CASE WHEN contains({_LOW}, 'status.md') THEN 'STATUS.md is updated to reflect the new milestone.' END, CASE WHEN {sql_any(_LOW, ['test', 'verify'])} THEN 'Relevant tests or verification steps are run and reported.' END, CASE WHEN contains({_LOW}, 'safe mode') THEN 'Safe-mode protections are preserved and visible.' END] IF x IS NOT NULL]"
-_ACCEPTANCE = f"(CASE WHEN len({_ACC0}) = 0 THEN ['Relevant tests or checks pass for the touched scope.', 'The output clearly states what changed and any remaining risks.'] ELSE {_ACC0} END)"
+_DELIVERABLE = f"""CASE WHEN contains({_LOW}, 'review') THEN {_quoted(lint.REVIEW)} WHEN {sql_any(_LOW, ['document', 'write docs'])} THEN {_quoted(lint.DOCUMENTATION)}
+WHEN {sql_any(_LOW, ['fix', 'implement', 'build', 'scaffold', 'add'])} THEN {_quoted(lint.CHANGES)} ELSE {_quoted(lint.ARTIFACT)} END"""
+_ACC0 = f"[x FOR x IN [CASE WHEN contains({_LOW}, 'status.md') THEN {_quoted(lint.STATUS_UPDATED)} END, CASE WHEN {sql_any(_LOW, ['test', 'verify'])} THEN {_quoted(lint.TESTS_RUN)} END, CASE WHEN contains({_LOW}, 'safe mode') THEN {_quoted(lint.SAFE_MODE)} END] IF x IS NOT NULL]"
+_ACCEPTANCE = f"(CASE WHEN len({_ACC0}) = 0 THEN [{', '.join(map(_quoted, lint.DEFAULT_CRITERIA))}] ELSE {_ACC0} END)"
 
 
 @query(f"WITH {_PROMPTS}, {_PARTS} SELECT id, {_OBJECTIVE} AS objective, {_DELIVERABLE} AS deliverable, array_to_string({_ACCEPTANCE}, '|') AS acceptance FROM p")
@@ -89,8 +89,8 @@ def _listed(items: str, placeholder: str) -> str:
 
 _NL2 = "chr(10) || chr(10)"
 _REWRITE = f""" 'Objective' || chr(10) || {_OBJECTIVE} || {_NL2} || 'Scope' || chr(10) || CASE WHEN len(paths) = 0 THEN {_quoted(lint.NARROW)} ELSE 'Focus on: ' || array_to_string(paths, ', ') END
- || {_NL2} || 'Constraints' || chr(10) || {_listed('cons', '- Add constraints only if they materially change execution.')} || {_NL2} || 'Relevant Files or Modules' || chr(10) || {_listed('paths', '- Add file or module paths when known.')}
- || {_NL2} || 'Deliverable' || chr(10) || {_DELIVERABLE} || {_NL2} || 'Acceptance Criteria' || chr(10) || {_listed(_ACCEPTANCE, '- Define how success will be verified.')}"""
+ || {_NL2} || 'Constraints' || chr(10) || {_listed('cons', lint.NO_CONSTRAINTS)} || {_NL2} || 'Relevant Files or Modules' || chr(10) || {_listed('paths', lint.NO_PATHS)}
+ || {_NL2} || 'Deliverable' || chr(10) || {_DELIVERABLE} || {_NL2} || 'Acceptance Criteria' || chr(10) || {_listed(_ACCEPTANCE, lint.NO_CRITERIA)}"""
 _ANY_FINDING = " OR ".join(f"({r[0]})" for r in _RULES)
 
 

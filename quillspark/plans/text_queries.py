@@ -159,10 +159,6 @@ def b8_b10_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- B: reduction
 
 
-def _estimated(df: DataFrame) -> DataFrame:
-    return df
-
-
 @query(f"""WITH {LOGS_SQL} SELECT id, array_to_string([x FOR x, i IN L IF NOT ({sql_trim('x')} = '' AND i > 1 AND {sql_trim('L[i - 1]')} = '')], chr(10)) AS collapsed
 FROM (SELECT id, {sql_lines('text')} AS L FROM logs)""")
 def b19_blank_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
