@@ -14,15 +14,22 @@ from quillspark.llm.queries import TOXIC_FROM, tokenizer_path
 from quillspark.llm.store import discard, materialize
 
 
+def _renamed(docs: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """docs with other names for the columns that a stage does not use, so that none clashes with its own."""
+    return docs.toDF(*[c if c in used else f"extra_{i}" for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below TOXIC_FROM."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("expected_severity") < TOXIC_FROM).select(docs.columns)
+    own = _renamed(docs, ("doc_id", "text"))
+    return toxicity.score(own, model).where(F.col("expected_severity") < TOXIC_FROM).select(own.columns).toDF(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language's fertility bands."""
-    return quality.judge_quality(docs, tokenizer_path("piece_bpe_32k.model")).where("kept").select(docs.columns)
+    own = _renamed(docs, ("doc_id", "text", "lang"))
+    return quality.judge_quality(own, tokenizer_path("piece_bpe_32k.model")).where("kept").select(own.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +41,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of repeated 200-byte strings; a character cut in two goes as a whole, and n_chars follows."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     out = suffix_radix.remove_repeated_bytes(docs, length=200, whole_characters=True, carry=others)
-    text = F.col("kept").cast("string")
-    return out.select("doc_id", text.alias("text"), *others, F.length(text).cast("long").alias("n_chars")).select(docs.columns)
+    out = out.select("doc_id", F.col("kept").cast("string").alias("text"), *[F.col("carry").getField(c).alias(f"extra_{i}") for i, c in enumerate(others)])
+    back = dict(zip(others, (f"extra_{i}" for i in range(len(others))), strict=True)) | {"doc_id": "doc_id", "text": "text"}
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(back[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences of at most 4096 tokens, with their ids."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    """Pieces of training sequences of at most 4096 tokens, with their ids.
+
+    Workers share their executors with those of the stages before, so the caches are small.
+    """
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, cache_words=100_000, cache_pieces=150_000)
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose `column` holds about max_bytes (one longer value stands alone)."""
     for batch in batches:
@@ -19,6 +31,7 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def binary_array(values: list[bytes]) -> pa.Array:

@@ -68,9 +68,9 @@ class WordTokens:
 
     @staticmethod
     @functools.lru_cache(maxsize=1)
-    def of(path: str) -> WordTokens:
+    def of(path: str, cache_words: int, cache_pieces: int) -> WordTokens:
         """The tokenizer of this process, which keeps its cache from task to task."""
-        return WordTokens(path)
+        return WordTokens(path, cache_words, cache_pieces)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -215,20 +215,22 @@ class Packer:
 OUTPUT = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, step_group long"
 
 
-def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (512, 1024, 2048, 4096)) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (512, 1024, 2048, 4096), cache_words: int = 500_000, cache_pieces: int = 800_000) -> DataFrame:
     """One row per piece: id, start and length in its document's ids, ids (little-endian unsigned 32 bits), doc_tokens, sequence_id, offset, step_group.
 
     Each document is tokenized whole, with end_id after it; null is an empty
     text, which still has its end_id.  Rows are packed one by one, so null or
     repeated ids are no matter.  sequence_id and step_group are unique over the
     table.  An empty table gives an empty result; other columns are ignored.
+    A worker's caches hold cache_words words and cache_pieces pieces, some 160
+    bytes each.
     """
     df = df.select(df[id_col], df[text_col].alias("__text"))
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {OUTPUT}"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokens.of(path), Packer(tiers)
+        words, packer = WordTokens.of(path, cache_words, cache_pieces), Packer(tiers)
         base, done = TaskContext.get().partitionId() << 36, 0
         kind: pa.DataType = pa.int64()
 

@@ -276,7 +276,7 @@ def repeated_spans(profiles: DataFrame, units, length: int, gram: int, decide: D
 
 
 def remove_spans(profiles: DataFrame, spans: DataFrame, id_col: str, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple[bytes, int, int, int]], carry: Sequence[str] = ()) -> DataFrame:
-    """(id, kept, n_units, n_removed, n_spans) of every document, and the columns of carry; cut gives kept and the counts from its bytes and the spans' starts and ends."""
+    """(id, kept, n_units, n_removed, n_spans) of every document, and carry; cut gives kept and the counts from its bytes and the spans' starts and ends."""
     kind = profiles.schema["id"].dataType.simpleString()
     extra = ["carry"] if carry else []
     more = f", carry {profiles.schema['carry'].dataType.simpleString()}" if carry else ""
@@ -293,8 +293,7 @@ def remove_spans(profiles: DataFrame, spans: DataFrame, id_col: str, cut: Callab
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]], *[batch.column(c) for c in extra]], names=[id_col, "kept", "n_units", "n_removed", "n_spans", *extra])
 
-    out = joined.mapInArrow(run, f"`{id_col}` {kind}, kept binary, n_units long, n_removed long, n_spans long{more}")
-    return out.select(*[c for c in out.columns if c != "carry"], "carry.*") if carry else out
+    return joined.mapInArrow(run, f"`{id_col}` {kind}, kept binary, n_units long, n_removed long, n_spans long{more}")
 
 
 def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -102,7 +102,7 @@ def _cut_characters(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes,
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, kept, n_units, n_removed, n_spans) per row, and the columns of carry: the text's bytes without those that a `length`-byte string covers which also starts elsewhere.
+    """(id, kept, n_units, n_removed, n_spans) per row, and the columns of carry as a struct of that name: the text's bytes without those that a `length`-byte string covers which also starts elsewhere.
 
     Strings are judged on the input, in the same or any other row, and never
     cross rows.  Null is the empty text; texts under `length` bytes lose
