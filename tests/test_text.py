@@ -83,3 +83,29 @@ def test_tool_state_machine(spark):
     got = {r.session: r for r in S.tool_states(spark.createDataFrame(rows, "session long, seq long, tool string, command string, path string, output string")).collect()}
     assert got[1].failing_signatures == [] and got[1].failed_approaches == ["error: a"] and len(got[1].decisions_made) == 1 and got[1].modified_files == ["src/a.rs"]
     assert got[2].tests_run == ["a tool action [observed]"]
+
+
+def test_config_overlay():
+    from quillspark.plans.engine import Config
+
+    base, over = Config(mode="aggressive", include_paths=("a", "b")), Config(include_paths=("b", "c"))
+    assert base.merged(over) == Config(include_paths=("a", "b", "c"))
+    with pytest.raises(ValueError):
+        Config(retain_days=0).validated()
+
+
+def test_config_scores_use_parsers(spark):
+    from quillspark.plans import engine
+
+    texts = ["[a]\nx = 1\n", "a: 1\nb: [2, 3]\n", "x = = 1\ny = [\nz: }", "plain words", "Error: x\n at a\n at b\nc: d\ne: f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: round(r.s, 2) for r in df.select("id", engine.config_score(F.col("text")).alias("s")).collect()}
+    assert got == {0: 0.9, 1: 0.75, 2: 0.7, 3: 0.0, 4: 0.0}
+
+
+def test_pipe_only_shrinks(spark):
+    from quillspark.plans import engine
+
+    log = "$ npm test\n" + "\n".join(f"PASS src/long/path/to/test_{i}.ts" for i in range(40)) + "\nTest Suites: 40 passed"
+    got = {r.id: r for r in engine.pipe(spark.createDataFrame([(1, log), (2, "hello")], "id long, text string")).collect()}
+    assert got[1].kind == "test_log" and len(got[1].output) < len(log) and got[2].output == "hello" and got[2].kind is None
