@@ -2,9 +2,9 @@
 
 Alternating large-star and small-star passes over the edge table (Kiveris et
 al., 2014).  Minima are taken by groupBy, which combines before the exchange,
-and brought back by an equi-join, whose skewed partitions Spark can split; so
-a hub with a third of all edges is never gathered in one task.  Each pass is a
-written table, and nothing but a count and a checksum reaches the driver.
+written, and brought back by an equi-join of two tables, whose skewed
+partitions Spark can split; so a hub with a third of all edges is never
+gathered in one task.  Nothing but a count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,18 +20,22 @@ def _min_of_neighbours(pairs: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node is tied to the smallest node of its neighbourhood."""
+    """Each larger neighbour of a node is tied to the smallest node of its neighbourhood; a written table."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = _min_of_neighbours(both).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    low = materialize(_min_of_neighbours(both).select("a", F.least("a", "m").alias("m")), "low")
+    out = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
+    discard(low)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are tied to the smallest of these."""
+    """Each node and its smaller neighbours are tied to the smallest of these; a written table."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = _min_of_neighbours(down)
+    low = materialize(_min_of_neighbours(down), "low")
     tied = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
+    out = materialize(tied.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+    discard(low)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -50,7 +54,9 @@ def connected_components(edges: DataFrame, max_passes: int = 60) -> DataFrame:
     now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _state(now)
     for _ in range(max_passes if seen[0] else 0):
-        after = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        wide = _large_star(now)
+        after = _small_star(wide)
+        discard(wide)
         discard(now)
         now, last = after, seen
         if (seen := _state(now)) == last:

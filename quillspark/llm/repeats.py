@@ -258,9 +258,13 @@ def repeated_spans(profiles: DataFrame, units, length: int, gram: int, decide: D
     members = materialize(anchors.join(grams, "gram").select("id", "fp", "place", "gram", "ctx"), "members")
 
     classes = members.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "place")).alias("rep"))
-    crowd = classes.groupBy("gram").agg(F.count("*").alias("k"))
-    classes = classes.join(crowd, "gram").select("gram", "ctx", "n", "k", "rep.*", (F.col("k") > group_limit).alias("hot"))
+    counted = materialize(classes, "counted")
+    crowd = materialize(counted.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
+    classes = counted.join(crowd, "gram").select("gram", "ctx", "n", "k", "rep.*", (F.col("k") > group_limit).alias("hot"))
     classes = materialize(classes, "classes")
+    discard(counted)
+    discard(crowd)
+    discard(grams)
 
     alone = classes.where("k = 1").select("gram", "ctx", F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.shiftright("place", _BITS).bitwiseAND(_MASK)).alias("hi"))
     bodies = materialize(_fetch(profiles.select("id", "fp", "z"), classes.where("k > 1"), units, length), "bodies")
