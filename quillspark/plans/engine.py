@@ -90,9 +90,14 @@ def classified(texts: DataFrame, parsers: bool = False) -> DataFrame:
     return top.withColumn("_c", detect.classify(t, F.col("_best"))).select(*texts.columns, "_best", "_c.class", "_c.kind", "_c.confidence")
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df computed once for the branches that follow, where the session has a checkpoint folder; else df itself."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def pipe(texts: DataFrame) -> DataFrame:
     """(id, output, kind): reduced where a detector is confident enough and the result is strictly smaller."""
-    known = classified(texts).withColumn("kind", F.when(F.col("_best.score") >= F.lit(PIPE_CONFIDENCE).cast("float"), F.col("_best.kind")))
+    known = once(classified(texts)).withColumn("kind", F.when(F.col("_best.score") >= F.lit(PIPE_CONFIDENCE).cast("float"), F.col("_best.kind")))
     reduced = R.reduce_all(known.select("id", "kind", "text")).select("id", "reduced", "before_tokens", "after_tokens")
     smaller = F.col("after_tokens") < F.col("before_tokens")
     out = known.join(reduced, "id", "left")
@@ -101,7 +106,7 @@ def pipe(texts: DataFrame) -> DataFrame:
 
 def intercept(texts: DataFrame) -> DataFrame:
     """(id, class, confidence, output, before_tokens, after_tokens, findings): classify, reduce, lint prompts and unknown texts."""
-    known = classified(texts)
+    known = once(classified(texts))
     reduced = R.reduce_all(known.where("kind is not null").select("id", "kind", "text")).select("id", "reduced")
     linted = lint.with_parts(known.where(F.col("class").isin("prompt", "unknown")).select("id", "text")).select("id", F.transform(lint.findings(F.col("text")), lambda f: f["code"]).alias("findings"))
     out = known.join(reduced, "id", "left").join(linted, "id", "left").withColumn("output", F.coalesce("reduced", "text"))
