@@ -334,6 +334,25 @@ def test_quality_keeps_ordinary_text(spark):
     assert got.where("not kept").count() <= 0.005 * got.count()
 
 
+def test_bands_catch_junk(spark):
+    """Labelled junk that the base rules pass goes, in every language, and good texts stay."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    got = quality.judge_quality(docs, queries.tokenizer_path("piece_bpe_32k.model")).where("not base_failed").select("lang", "quality", "kept").toPandas()
+    for lang, g in got.groupby("lang"):
+        assert g[g.quality == 0].kept.mean() < 0.25, lang
+    assert got[got.quality == 0].kept.mean() < 0.1 and got[got.quality == 1].kept.mean() > 0.995
+
+
+def test_bands_of_scripts(spark):
+    zh = "北京是中华人民共和国的首都，也是全国的政治、文化和国际交往中心。这座城市有三千多年的建城史，许多古老的建筑至今仍然保存完好。每年春天，来自世界各地的游客都会到这里参观故宫、长城和颐和园。"
+    he = "ירושלים היא בירת ישראל ואחת הערים העתיקות בעולם. בכל בוקר יוצאים אנשים רבים לעבודה וילדים הולכים לבית הספר. בערב המשפחות יושבות יחד לארוחה ומספרות על היום שעבר."
+    f = quality.Fertility(queries.tokenizer_path("piece_bpe_32k.model"))
+    for text, want in ((zh, True), (he, True), ("北京*** 上海&&& " * 60, False), ("שלום &&& " * 60, False), ("".join(chr(0x4E00 + 7 * i) for i in range(300)), False)):
+        (m,) = f.measure([text], [len("".join(text.split()))])
+        assert quality.in_band(quality.SCRIPT_BANDS[quality.script_of(text)], *m) == want, text[:20]
+
+
 def test_fertility_is_the_model_s():
     f = quality.Fertility(queries.tokenizer_path("piece_bpe_32k.model"))
     (n, per, share, entropy), none = f.measure(["hello hello ☃", ""], [11, 0])
