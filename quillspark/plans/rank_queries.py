@@ -325,7 +325,10 @@ def i13_paired_t_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def i11_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.bootstrap_mean(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", 200)
+    """Intervals of the mean value and of the saved share over (control, treatment) pairs, 10,000 resamples each."""
+    mean = V.bootstrap_mean(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", 10_000)
+    ratio = V.bootstrap_ratio(_pairs(spark, sf_dir), 10_000)
+    return mean.crossJoin(ratio.select(F.col("low").alias("ratio_low"), F.col("high").alias("ratio_high")))
 
 
 @query("SELECT user_id, b::BIGINT AS before, a::BIGINT AS after, (CASE WHEN b = 0 THEN 0 ELSE (b - a) * 100 // b END)::INT AS percent FROM (SELECT user_id, count(*) AS b, count(*) FILTER (event_type <> 'error') AS a FROM events GROUP BY user_id)")

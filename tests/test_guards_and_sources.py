@@ -3,10 +3,12 @@
 import datetime as dt
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.operators import evals as V
 from quillspark.operators import guards as G
+from quillspark.plans import rank_queries
 from quillspark.sources import readers, writers
 from quillspark.streaming import guards as SG
 
@@ -91,3 +93,25 @@ def test_statistics(spark):
     rows = spark.range(200).select((F.col("id") % 10).cast("double").alias("v"))
     b = V.bootstrap_mean(rows, "v", 300).first()
     assert b.low < 4.5 < b.high and b.high - b.low < 1.2
+
+
+def test_bootstrap_draws_10000_resamples_of_values_and_pairs(spark, monkeypatch):
+    taken, interval = [], V._interval
+    monkeypatch.setattr(V, "_interval", lambda s: (taken.append(s.count()), interval(s))[1])
+    r = rank_queries.QUERIES["i11_bootstrap"](spark, "/root/testdata/sf0.01").first()
+    assert taken == [10_000, 10_000] and r.low < r.high and r.ratio_low < r.ratio_high
+
+
+def test_bootstrap_intervals(spark):
+    v = np.random.default_rng(1).exponential(10, 400)
+    df = spark.createDataFrame([*[(float(x), float(x) * (0.5 + 0.2 * (i % 3))) for i, x in enumerate(v)], (None, 1.0)], "a double, b double").repartition(3)
+    rng, b = np.random.default_rng(2), v * (0.5 + 0.2 * (np.arange(400) % 3))
+    at = rng.integers(0, 400, (10_000, 400))
+    for got, m in ((V.bootstrap_mean(df, "a").first(), v[at].mean(1)), (V.bootstrap_ratio(df).first(), 1 - b[at].sum(1) / v[at].sum(1))):
+        low, high = np.quantile(m, (0.025, 0.975))
+        assert abs(got.low - low) < 0.06 * (high - low) and abs(got.high - high) < 0.06 * (high - low)
+    same = V.bootstrap_ratio(df.select("a", (F.col("a") / 2).alias("b"))).first()
+    assert abs(same.low - 0.5) < 1e-9 and abs(same.high - 0.5) < 1e-9
+    assert V.bootstrap_ratio(df.limit(0)).first().low is None
+    zero = V.bootstrap_ratio(spark.createDataFrame([(0.0, 1.0)], "a double, b double")).first()
+    assert zero.low == zero.high == 0.0
