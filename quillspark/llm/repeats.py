@@ -1,28 +1,34 @@
 """All repeats of a fixed length in a corpus: what substring and suffix-array dedup share.
 
-1. One pass over the texts writes, per document, its compressed text and its
-   winnowed anchors (see winnow): window starts, gram hash, context hash.
-2. Anchors whose gram occurs once are dropped; their windows can't repeat.
-3. Equal contexts under one gram become one *class* with a weight, so copies
-   cost nothing further.  A class alone under its gram, of weight two or more,
-   repeats in all its windows.
-4. The other classes are fetched once each and go, gram by gram, to `decide`,
-   the operator's own method over memory-sized groups.  A gram with more
-   classes than `group_limit` is split by longer prefixes: its windows form
-   bundles under the text that they have in common, equal bundles become one,
-   and what is still crowded is split again, down to single windows.
+The suffixes that matter are sampled: those that start at winnowed anchors (see
+winnow), each with the left context that its windows need.  A suffix's first
+`gram` units are its prefix, by which suffixes are split into groups.
+
+1. One pass over the texts writes, per row, its compressed text and its
+   anchors: window starts, prefix hash, digest of the context.
+2. Anchors whose prefix occurs once are dropped; their windows can't repeat.
+3. Equal contexts (same bytes by a 128-bit BLAKE2b digest) become one *class*
+   with a weight, a leaf of so many suffixes, and copies cost nothing further.
+   A class alone under its prefix repeats whole if its weight is two or more.
+4. The other classes are fetched once each and go, prefix by prefix, to
+   `decide`, the operator's own method over memory-sized groups, which compares
+   their units.  A prefix with more classes than `group_limit` grows: with
+   `width` places of windows left, suffixes start `low` units before the anchor
+   and are split by their first `length - width + 1` units, down to single
+   windows; equal ones become one first.
 5. The windows found go back to every member of their class and from there, as
-   spans, to the documents.
+   spans, to the rows.
 
 Counts combine before each exchange, and members and texts are joined by plain
 equi-joins whose hot keys Spark can split, so no key is gathered in one task.
-A document is named by its id and text hash; rows that agree in both are
-interchangeable, and each counts as an occurrence.  The written tables survive
-lost executors.
+Rows are named by a number that is written with them, so a class's text is
+fetched from one row however often the row is repeated.  The written tables
+survive lost executors.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -39,42 +45,62 @@ _BITS = 12
 _MASK = (1 << _BITS) - 1
 
 
-class ByteUnits:
-    """Windows over UTF-8 bytes."""
+class ByteText:
+    """A text as bytes."""
 
-    @staticmethod
-    def values(data: bytes) -> np.ndarray:
-        return winnow.byte_values(np.frombuffer(data, np.uint8))
+    def __init__(self, data: bytes):
+        self.data, self.n = data, len(data)
 
-    @staticmethod
-    def cut(data: bytes, spans: Sequence[tuple[int, int]]) -> list[bytes]:
-        return [data[a:b] for a, b in spans]
+    def values(self, a: int, b: int) -> np.ndarray:
+        return winnow.byte_values(np.frombuffer(self.data, np.uint8, b - a, a))
 
+    def cut(self, a: int, b: int) -> bytes:
+        return self.data[a:b]
 
-class WordUnits:
-    """Windows over words, maximal runs of anything but the six ASCII blanks."""
 
-    @staticmethod
-    def bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        x = np.frombuffer(data, np.uint8)
-        blank = (x == 0x20) | ((x >= 0x09) & (x <= 0x0D))
-        step = np.diff(np.concatenate(([1], blank.view(np.int8), [1])))
-        return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+#: Words longer than this, and such as begin with a zero byte, stand as their digest where words are compared.
+LONG_WORD = 64
+
 
-    @staticmethod
-    def values(data: bytes) -> np.ndarray:
-        start, end = WordUnits.bounds(data)
-        return winnow.PrefixHash(ByteUnits.values(data)).of(start, end)
+class WordText:
+    """A text as words, maximal runs of anything but the six ASCII blanks, joined by one space each."""
 
-    @staticmethod
-    def cut(data: bytes, spans: Sequence[tuple[int, int]]) -> list[bytes]:
-        start, end = WordUnits.bounds(data)
-        return [data[start[a] : end[b - 1]] for a, b in spans]
+    def __init__(self, data: bytes):
+        x = np.frombuffer(data, np.uint8)
+        blank = (x == 0x20) | ((x >= 0x09) & (x <= 0x0D))
+        after = np.concatenate(([True], blank[:-1])) if len(x) else blank
+        self.data = np.where(blank, np.uint8(0x20), x)[~(blank & after)].tobytes().rstrip(b" ")
+        gap = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 0x20)
+        some = bool(self.data)
+        self.start = np.concatenate(([0], gap + 1)) if some else gap
+        self.end = np.concatenate((gap, [len(self.data)])) if some else gap
+        self.n = len(self.start)
+        zero = np.frombuffer(self.data, np.uint8)[self.start] == 0 if some else np.zeros(0, bool)
+        self.odd = np.flatnonzero((self.end - self.start > LONG_WORD) | zero)
+
+    def values(self, a: int, b: int) -> np.ndarray:
+        base = int(self.start[a]) if b > a else 0
+        return winnow.word_values(self.data[base : self.end[b - 1]] if b > a else b"", self.start[a:b] - base, self.end[a:b] - base)
+
+    def cut(self, a: int, b: int) -> bytes:
+        """The words [a, b), long ones as digests, so that what is sent is bounded."""
+        lo, hi = np.searchsorted(self.odd, [a, b])
+        if lo == hi:
+            return self.data[self.start[a] : self.end[b - 1]]
+        out, at = [], a
+        for i in self.odd[lo:hi].tolist():
+            if i > at:
+                out.append(self.data[self.start[at] : self.end[i - 1]])
+            out.append(b"\x00" + hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=16).hexdigest().encode())
+            at = i + 1
+        if at < b:
+            out.append(self.data[self.start[at] : self.end[b - 1]])
+        return b" ".join(out)
 
 
 @dataclass
 class Group:
-    """The classes under one gram: for each its text, its windows, the anchor's place and its weight."""
+    """The classes under one prefix: for each its text, its windows, the anchor's place and its weight."""
 
     bodies: list[bytes]
     windows: list[int]
@@ -92,63 +118,71 @@ def _compressor():
     return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
-def _unpack(data: bytes) -> bytes:
-    return _compressor()[1].decompress(data)
-
-
 def _carried(carry: Sequence[str]) -> list:
     return [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, units, length: int, gram: int, carry: Sequence[str] = ()) -> DataFrame:
-    """Step 1: (id, fp, z, place, gram, ctx) per document, and carry, a struct of further columns, if there are any."""
+def _lists(parts: list[list[np.ndarray]], ends: pa.Array) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int64))) for x in parts]
+
+
+def profile(docs: DataFrame, id_col: str, text_col: str, kind: type, length: int, gram: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Step 1: (rid, id, z, place, gram, c1, c2) per row, and carry, a struct of further columns, if there are any.
+
+    place packs a context's first window start, its number of windows and the
+    anchor's place in it; c1 and c2 are the context's digest.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"), *_carried(carry))
-    kind = src.schema["id"].dataType.simpleString()
+    src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("text"), *_carried(carry))
+    id_type = src.schema["id"].dataType.simpleString()
     more = f", carry {src.schema['carry'].dataType.simpleString()}" if carry else ""
     extra = ["carry"] if carry else []
-    if length >= 1 << _BITS:
-        raise ValueError(f"length must be under {1 << _BITS}")
+    if not 0 < gram <= length < 1 << _BITS:
+        raise ValueError(f"length must be under {1 << _BITS}, and gram at most length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = _compressor()[0]
+        press, none = _compressor()[0], np.zeros(0, np.int64)
         for batch in bounded(batches, "text"):
-            z, place, grams, ctx = [], [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                z.append(press.compress(text))
-                got = winnow.anchors(units.values(text), length, gram)
-                if got is None:
-                    empty = np.zeros(0, np.int64)
-                    got_rows = empty, empty, empty
-                else:
-                    first, count, offset, g, c = got
-                    got_rows = (first << 2 * _BITS) | (count << _BITS) | offset, g.view(np.int64), c.view(np.int64)
-                for out, x in zip((place, grams, ctx), got_rows, strict=True):
-                    out.append(x)
-            ends = pa.array(np.cumsum([0, *map(len, place)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int64))) for x in (place, grams, ctx)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("fp"), binary_array(z), *lists, *[batch.column(c) for c in extra]], names=["id", "fp", "z", "place", "gram", "ctx", *extra])
-
-    return src.mapInArrow(run, f"id {kind}, fp long, z binary, place array<long>, gram array<long>, ctx array<long>{more}")
-
-
-def _fetch(texts: DataFrame, classes: DataFrame, units, length: int) -> DataFrame:
-    """Step 4: the classes with their text, (gram, ctx, n, place, hot, body)."""
-    want = classes.groupBy("id", "fp").agg(F.collect_list(F.struct("gram", "ctx", "n", "place", "hot")).alias("want"))
-    joined = texts.join(want, texts["id"].eqNullSafe(want["id"]) & (texts["fp"] == want["fp"])).select("z", "want")
+            z, counts = [], []
+            cols: list[list[np.ndarray]] = [[none], [none], [none], [none]]
+            for raw in batch.column("text").cast(pa.binary()).to_pylist():
+                text, n = kind(raw), 0
+                z.append(press.compress(text.data))
+                for first, count, offset, g in winnow.anchors(text.n, text.values, length, gram):
+                    spans = zip(first.tolist(), (first + count - 1 + length).tolist(), strict=True)
+                    digest = winnow.digests([text.cut(a, b) for a, b in spans], (count << _BITS | offset).tolist())
+                    for col, x in zip(cols, ((first << 2 * _BITS) | (count << _BITS) | offset, g.view(np.int64), digest[:, 0], digest[:, 1]), strict=True):
+                        col.append(x)
+                    n += len(first)
+                counts.append(n)
+            ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), binary_array(z), *_lists(cols, ends), *[batch.column(c) for c in extra]], names=["rid", "id", "z", "place", "gram", "c1", "c2", *extra])
+
+    return src.mapInArrow(run, f"rid long, id {id_type}, z binary, place array<long>, gram array<long>, c1 array<long>, c2 array<long>{more}")
+
+
+#: What names a class, and what is known of it.
+_CLASS = ["gram", "c1", "c2", "n", "place", "hot"]
+
+
+def _fetch(profiles: DataFrame, classes: DataFrame, kind: type, length: int) -> DataFrame:
+    """Step 4: the classes with their text, _CLASS and body."""
+    want = classes.groupBy("rid").agg(F.collect_list(F.struct(*_CLASS)).alias("want"))
+    joined = profiles.select("rid", "z").join(want, "rid").select("z", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = _compressor()[1]
         for batch in bounded(batches, "z", 1 << 20):
             rows: list[tuple] = []
             for z, want in zip(batch.column("z").to_pylist(), batch.column("want").to_pylist(), strict=True):
-                spans = [(w["place"] >> 2 * _BITS, (w["place"] >> 2 * _BITS) + (w["place"] >> _BITS & _MASK) - 1 + length) for w in want]
-                bodies = units.cut(unpress.decompress(z), spans)
-                rows += [(w["gram"], w["ctx"], w["n"], w["place"], w["hot"], b) for w, b in zip(want, bodies, strict=True)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.binary())], names=["gram", "ctx", "n", "place", "hot", "body"])
+                text = kind(unpress.decompress(z))
+                for w in want:
+                    first = w["place"] >> 2 * _BITS
+                    rows.append((*w.values(), text.cut(first, first + (w["place"] >> _BITS & _MASK) - 1 + length)))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.binary())], names=[*_CLASS, "body"])
 
-    return joined.mapInArrow(run, "gram long, ctx long, n long, place long, hot boolean, body binary")
+    return joined.mapInArrow(run, "gram long, c1 long, c2 long, n long, place long, hot boolean, body binary")
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,153 +190,169 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-FOUND = "gram long, ctx long, lo array<long>, hi array<long>"
+FOUND = "gram long, c1 long, c2 long, lo array<long>, hi array<long>"
 
 
 def _decided(bodies: DataFrame, decide: Decide, batch_windows: int = 100_000) -> DataFrame:
-    """Step 4 for grams with few classes: FOUND, the repeated windows of a class as runs [lo, hi)."""
-    kept = bodies.where("not hot").select("gram", "ctx", "n", "place", "body")
-    dealt = kept.repartition("gram").sortWithinPartitions("gram", "ctx")
+    """Step 4 for prefixes with few classes: FOUND, the repeated windows of a class as runs [lo, hi)."""
+    dealt = bodies.where("not hot").select("gram", "c1", "c2", "n", "place", "body").repartition("gram").sortWithinPartitions("gram", "c1", "c2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[Group] = []
-        names: list[tuple[int, int]] = []
+        names: list[tuple[int, int, int]] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
             masks = [m for ms in decide(groups) for m in ms]
             runs = [_runs(m) for m in masks]
             ends = pa.array(np.cumsum([0, *[len(a) for a, _ in runs]]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[k] for r in runs]).astype(np.int64))) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)] + lists, names=["gram", "ctx", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in names], pa.int64()) for k in range(3)] + _lists([[r[k] for r in runs] for k in (0, 1)], ends), names=["gram", "c1", "c2", "lo", "hi"])
 
         for batch in batches:
-            for gram, ctx, n, place, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if last is None or gram != last[0]:
+            for gram, c1, c2, n, place, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if gram != last:
                     if size >= batch_windows:
                         yield flush()
                         groups, names, size = [], [], 0
                     groups.append(Group([], [], [], []))
-                elif ctx == last[1]:  # the class's text came from a repeated row
-                    continue
-                last = gram, ctx
+                last = gram
                 group, windows = groups[-1], place >> _BITS & _MASK
                 group.bodies.append(body)
                 group.windows.append(windows)
                 group.offsets.append(place & _MASK)
                 group.weights.append(n)
-                names.append(last)
-                size += windows
+                names.append((gram, c1, c2))
+                size += windows + len(body) // 16
         if names:
             yield flush()
 
     return dealt.mapInArrow(run, FOUND)
 
 
-def _split(crowded: DataFrame, units, length: int, width: int) -> DataFrame:
-    """Crowded classes as bundles of windows under longer prefixes.
+def _split(crowded: DataFrame, kind: type, length: int, width: int) -> DataFrame:
+    """Crowded classes as bundles of `width` places of windows under longer prefixes.
 
-    A window is placed by how far its anchor lies behind its start.  `width`
-    consecutive places share a core, the units that all windows there cover,
-    which is longer the smaller `width` is; it becomes the new gram, and the
-    bundle's own text the new context.
+    A window is placed by how far its anchor lies behind its start.  Windows at
+    the places [low, low + width) all hold the first length - width + 1 units
+    of the suffix that starts `low` before the anchor: the new prefix, whose
+    hash is the new gram.  The bundle's own text is the new context.
     """
-    kept = crowded.select("gram", "ctx", "n", "place", "body")
+    kept = crowded.select("gram", "c1", "c2", "n", "place", "body")
+    names = ["gram", "c1", "c2", "n", "gram2", "d1", "d2", "j0", "place", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "body", 1 << 18):
             rows: list[tuple] = []
-            for gram, ctx, n, place, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                count, offset = place >> _BITS & _MASK, place & _MASK
-                ph = winnow.PrefixHash(units.values(body))
+            for gram, c1, c2, n, place, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                count, offset, text = place >> _BITS & _MASK, place & _MASK, kind(body)
+                ph = winnow.PrefixHash(text.values(0, text.n))
                 # window j has its anchor offset - j behind its start
                 low = np.arange((offset - count + 1) // width, offset // width + 1) * width
                 j0, j1 = np.maximum(offset - low - width + 1, 0), np.minimum(offset - low + 1, count)
-                core = ph.of(offset - low, np.minimum(offset - low - width + 1, ph.n - length) + length) if width > 1 else ph.of(j0, j0 + length)
+                core = ph.of(offset - low, np.minimum(offset - low - width + 1, ph.n - length) + length)
                 key = winnow.mix(core ^ winnow.mix(np.uint64(gram & (2**64 - 1)) ^ low.astype(np.uint64)))
-                own = winnow.mix(ph.of(j0, j1 - 1 + length) ^ winnow.mix((j0 + low - offset + (1 << 40)).astype(np.uint64) ^ (j1 - j0).astype(np.uint64) << np.uint64(48)))
                 places = (j1 - j0) << _BITS | (offset - j0 - low)
-                texts = units.cut(body, list(zip(j0.tolist(), (j1 - 1 + length).tolist(), strict=True)))
-                rows += zip([gram] * len(low), [ctx] * len(low), [n] * len(low), key.view(np.int64), own.view(np.int64), j0, places, texts, strict=True)
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:7]], pa.array(cols[7], pa.binary())], names=["gram", "ctx", "n", "gram2", "ctx2", "j0", "place", "body"])
+                texts = [text.cut(a, b) for a, b in zip(j0.tolist(), (j1 - 1 + length).tolist(), strict=True)]
+                own = winnow.digests(texts, (places << _BITS | low).tolist())
+                k = len(low)
+                rows += zip([gram] * k, [c1] * k, [c2] * k, [n] * k, key.view(np.int64).tolist(), own[:, 0].tolist(), own[:, 1].tolist(), j0.tolist(), places.tolist(), texts, strict=True)
+            cols = list(zip(*rows, strict=True)) or [()] * 10
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:9]], pa.array(cols[9], pa.binary())], names=names)
+
+    return kept.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", body binary")
+
 
-    return kept.mapInArrow(run, "gram long, ctx long, n long, gram2 long, ctx2 long, j0 long, place long, body binary")
+def _whole() -> list:
+    """lo and hi of all windows of a class."""
+    return [F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.shiftright("place", _BITS).bitwiseAND(_MASK)).alias("hi")]
 
 
-def _resolve(bodies: DataFrame, units, length: int, width: int, decide: Decide, group_limit: int) -> DataFrame:
+def _resolve(bodies: DataFrame, kind: type, length: int, width: int, decide: Decide, group_limit: int) -> DataFrame:
     """FOUND of classes with text; crowded ones are split into ever smaller bundles until groups fit or windows are single."""
     found = _decided(bodies, decide)
-    if not bodies.where("hot").limit(1).count():
+    if width == 1 or not bodies.where("hot").limit(1).count():
         return found
     width = -(-width // 8)
-    bundles = materialize(_split(bodies.where("hot"), units, length, width), "bundles")
-    kids = bundles.groupBy(F.col("gram2").alias("gram"), F.col("ctx2").alias("ctx")).agg(F.sum("n").alias("n"), F.any_value("place").alias("place"), F.any_value("body").alias("body"))
-    kids = materialize(kids, "kids")
-    crowd = materialize(kids.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
-    kids = kids.join(crowd, "gram").withColumn("hot", F.col("k") > group_limit)
-    alone = kids.where("k = 1 and n > 1").select("gram", "ctx", F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.shiftright("place", _BITS).bitwiseAND(_MASK)).alias("hi"))
-    more = materialize(kids.where("k > 1").select("gram", "ctx", "n", "place", "hot", "body"), "bodies")
-    below = materialize(alone.unionByName(_resolve(more, units, length, width, decide, group_limit)).where("size(lo) > 0").select(F.col("gram").alias("gram2"), F.col("ctx").alias("ctx2"), "lo", "hi"), "found")
+    bundles = materialize(_split(bodies.where("hot"), kind, length, width), "bundles")
+    kids = bundles.groupBy(F.col("gram2").alias("gram"), F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.sum("n").alias("n"), F.any_value("place").alias("place"), F.any_value("body").alias("body"))
+    if width == 1:  # a bundle is one window, and equal windows are one class
+        below = materialize(kids.where("n > 1").select("gram", "c1", "c2", *_whole()), "found")
+    else:
+        kids = materialize(kids, "kids")
+        crowd = materialize(kids.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
+        kids_k = kids.join(crowd, "gram").withColumn("hot", F.col("k") > group_limit)
+        alone = kids_k.where("k = 1 and n > 1").select("gram", "c1", "c2", *_whole())
+        more = materialize(kids_k.where("k > 1").select("gram", "c1", "c2", "n", "place", "hot", "body"), "bodies")
+        below = materialize(alone.unionByName(_resolve(more, kind, length, width, decide, group_limit)).where("size(lo) > 0"), "found")
+        for table in (kids, crowd, more):
+            discard(table)
+    below = below.toDF("gram2", "d1", "d2", "lo", "hi")
     runs = F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct((x["lo"] + F.col("j0")).alias("lo"), (x["hi"] + F.col("j0")).alias("hi")))
-    back = bundles.select("gram", "ctx", "gram2", "ctx2", "j0").join(below, ["gram2", "ctx2"]).select("gram", "ctx", runs.alias("runs"))
-    back = back.groupBy("gram", "ctx").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return found.unionByName(back.select("gram", "ctx", F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi")))
+    back = bundles.select("gram", "c1", "c2", "j0", "gram2", "d1", "d2").join(below, ["gram2", "d1", "d2"]).select("gram", "c1", "c2", runs.alias("runs"))
+    back = back.groupBy("gram", "c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return found.unionByName(back.select("gram", "c1", "c2", F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi")))
 
 
-def repeated_spans(profiles: DataFrame, units, length: int, gram: int, decide: Decide, group_limit: int = 256) -> DataFrame:
-    """Steps 2 to 5: (id, fp, spans), spans an ordered array of struct(start, end) in units, of documents that have any."""
+def repeated_spans(profiles: DataFrame, kind: type, length: int, gram: int, decide: Decide, group_limit: int = 64) -> DataFrame:
+    """Steps 2 to 5: (rid, spans), spans an ordered array of struct(start, end) in units, of rows that have any; a written table."""
     grams = profiles.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     grams = materialize(grams, "grams")  # read from a table, both sides of the next join can be split by Spark
-    anchors = profiles.select("id", "fp", F.explode(F.arrays_zip("place", "gram", "ctx")).alias("a")).select("id", "fp", "a.*")
-    members = materialize(anchors.join(grams, "gram").select("id", "fp", "place", "gram", "ctx"), "members")
+    anchors = profiles.select("rid", F.explode(F.arrays_zip("place", "gram", "c1", "c2")).alias("a")).select("rid", "a.*")
+    members = materialize(anchors.join(grams, "gram").select("rid", "place", "gram", "c1", "c2"), "members")
 
-    classes = members.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "place")).alias("rep"))
-    counted = materialize(classes, "counted")
+    counted = materialize(members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep")), "counted")
     crowd = materialize(counted.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
-    classes = counted.join(crowd, "gram").select("gram", "ctx", "n", "k", "rep.*", (F.col("k") > group_limit).alias("hot"))
+    classes = counted.join(crowd, "gram").select("gram", "c1", "c2", "n", "k", "rep.*", (F.col("k") > group_limit).alias("hot"))
     classes = materialize(classes, "classes")
-    discard(counted)
-    discard(crowd)
-    discard(grams)
+    for table in (counted, crowd, grams):
+        discard(table)
 
-    alone = classes.where("k = 1").select("gram", "ctx", F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.shiftright("place", _BITS).bitwiseAND(_MASK)).alias("hi"))
-    bodies = materialize(_fetch(profiles.select("id", "fp", "z"), classes.where("k > 1"), units, length), "bodies")
-    found = alone.unionByName(_resolve(bodies, units, length, length - gram + 1, decide, group_limit))
+    alone = classes.where("k = 1").select("gram", "c1", "c2", *_whole())
+    bodies = materialize(_fetch(profiles, classes.where("k > 1"), kind, length), "bodies")
+    found = alone.unionByName(_resolve(bodies, kind, length, length - gram + 1, decide, group_limit))
     found = materialize(found.where("size(lo) > 0"), "found")
     discard(bodies)
     discard(classes)
 
     first = F.shiftright("place", 2 * _BITS)
     spans = F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct((first + x["lo"]).alias("start"), (first + x["hi"] - 1 + length).alias("end")))
-    out = members.join(found, ["gram", "ctx"]).select("id", "fp", F.explode(spans).alias("span"))
-    return out.groupBy("id", "fp").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    out = members.join(found, ["gram", "c1", "c2"]).select("rid", F.explode(spans).alias("span"))
+    out = materialize(out.groupBy("rid").agg(F.sort_array(F.collect_set("span")).alias("spans")), "spans")
+    discard(members)
+    discard(found)
+    return out
 
 
 def remove_spans(profiles: DataFrame, spans: DataFrame, id_col: str, cut: Callable[[bytes, np.ndarray, np.ndarray], tuple[bytes, int, int, int]], carry: Sequence[str] = ()) -> DataFrame:
-    """(id, kept, n_units, n_removed, n_spans) of every document, and carry; cut gives kept and the counts from its bytes and the spans' starts and ends."""
-    kind = profiles.schema["id"].dataType.simpleString()
+    """(id, kept, n_units, n_removed, n_spans) of every row, and carry; cut gives kept and the counts from its bytes and the spans' starts and ends, merged and in order."""
+    id_type = profiles.schema["id"].dataType.simpleString()
     extra = ["carry"] if carry else []
     more = f", carry {profiles.schema['carry'].dataType.simpleString()}" if carry else ""
-    texts = profiles.select("id", "fp", "z", *extra)
-    at = spans.select(F.col("id").alias("id2"), F.col("fp").alias("fp2"), F.col("spans.start").alias("lo"), F.col("spans.end").alias("hi"))
-    joined = texts.join(at, texts["id"].eqNullSafe(at["id2"]) & (texts["fp"] == at["fp2"]), "left").select("id", "z", "lo", "hi", *extra)
+    texts = profiles.select("rid", "id", "z", *extra)
+    joined = texts.join(spans, "rid", "left").select("id", "z", F.col("spans.start").alias("lo"), F.col("spans.end").alias("hi"), *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = _compressor()[1]
         for batch in bounded(batches, "z", 1 << 20):
             rows = []
             for z, lo, hi in zip(*[batch.column(c).to_pylist() for c in ("z", "lo", "hi")], strict=True):
-                rows.append(cut(unpress.decompress(z), np.array(lo or [], np.int64), np.array(hi or [], np.int64)))
+                rows.append(cut(unpress.decompress(z), *merged(lo or [], hi or [])))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]], *[batch.column(c) for c in extra]], names=[id_col, "kept", "n_units", "n_removed", "n_spans", *extra])
 
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, kept binary, n_units long, n_removed long, n_spans long{more}")
+    return joined.mapInArrow(run, f"`{id_col}` {id_type}, kept binary, n_units long, n_removed long, n_spans long{more}")
+
+
+def merged(lo: Sequence[int], hi: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals [lo, hi), lo ascending, as disjoint intervals that do not touch."""
+    a, b = np.array(lo, np.int64), np.array(hi, np.int64)
+    if len(a) < 2:
+        return a, b
+    reach = np.maximum.accumulate(b)
+    new = np.concatenate(([True], a[1:] > reach[:-1]))
+    return a[new], reach[np.concatenate((new[1:], [True]))]
 
 
-def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Mask of 0 .. n - 1 that the intervals [lo, hi) cover."""
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, lo, 1)
-    np.add.at(step, hi, -1)
-    return np.cumsum(step[:-1]) > 0
+def without(data: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """data without the bytes of disjoint intervals in order."""
+    return b"".join([data[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(data)], strict=True)])

@@ -1,12 +1,13 @@
 """Suffix-array dedup: depth-limited radix sort of byte suffixes.
 
 Suffixes are ordered only through their first `length` bytes, by
-most-significant-digit passes.  The first digit, distributed, is the anchor
-gram of a suffix's window (see winnow and repeats): suffixes alone under it
-retire at once.  The passes after it take eight bytes each, within memory-sized
-buckets: a bucket is sorted by its digit and falls apart into smaller ones, and
-suffixes alone in a bucket retire.  Buckets that are left after the last pass
-are exactly the repeated windows.
+most-significant-digit passes.  The first digit, distributed, is the prefix of
+the anchor suffix that a window holds, with the window's place before it (see
+repeats): suffixes alone under it retire at once, and suffixes of equal
+contexts stand together with a weight.  The passes after it take eight bytes
+each, within memory-sized buckets: a bucket is sorted by its digit and falls
+apart into smaller ones, and suffixes alone in a bucket retire.  Buckets that
+are left after the last pass are exactly the repeated windows.
 """
 
 from __future__ import annotations
@@ -82,23 +83,20 @@ def decide(length: int) -> repeats.Decide:
 
 
 def _cut(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int, int]:
-    if not len(lo):
-        return data, len(data), 0, 0
-    gone = repeats.covered(len(data), lo, hi)
-    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-    return kept, len(data), int(gone.sum()), runs
+    return repeats.without(data, lo, hi), len(data), int((hi - lo).sum()), len(lo)
 
 
 def _cut_characters(data: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int, int]:
     """The same, with every character that loses a byte gone as a whole, so that what is kept is UTF-8."""
-    if not len(lo):
-        return data, len(data), 0, 0
-    x = np.frombuffer(data, np.uint8)
-    character = np.cumsum((x & 0xC0) != 0x80) - 1
-    gone = np.bincount(character, repeats.covered(len(data), lo, hi))[character] > 0
-    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-    return x[~gone].tobytes(), len(data), int(gone.sum()), runs
+    starts, ends = [], []
+    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+        while data[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        starts.append(a)
+        ends.append(b)
+    return _cut(data, *repeats.merged(starts, ends))
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -109,8 +107,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 48, id
     nothing; repeated rows and copies all lose what they share.  Null ids are
     allowed; other columns are ignored; an empty table gives an empty result.
     kept may begin or end inside a character, as bytes do, unless
-    whole_characters is set.
+    whole_characters is set.  Texts are taken in slices, so a worker holds some
+    80 bytes per byte of a slice and a few per byte of the longest text.
     """
-    profiles = materialize(repeats.profile(docs, id_col, text_col, repeats.ByteUnits, length, gram, carry), "profiles")
-    spans = repeats.repeated_spans(profiles, repeats.ByteUnits, length, gram, decide(length))
+    profiles = materialize(repeats.profile(docs, id_col, text_col, repeats.ByteText, length, gram, carry), "profiles")
+    spans = repeats.repeated_spans(profiles, repeats.ByteText, length, gram, decide(length))
     return repeats.remove_spans(profiles, spans, id_col, _cut_characters if whole_characters else _cut, carry)
