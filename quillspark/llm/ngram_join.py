@@ -1,36 +1,43 @@
 """N-gram Jaccard join: MinHash banding, verified on full n-gram sets.
 
-1. Texts become sets of word n-grams (64-bit hashes).  Texts with equal sets
-   are one *node* with a weight, so copies are never compared.
+1. Texts become sets of word n-grams.  Texts with equal sets are one *node*
+   with a weight, so copies are never compared, and its text is taken from one
+   row.
 2. Band and row counts are chosen for the target recall at the threshold.  Band
-   hashes are exchanged; a band shared by several nodes ties each to the
-   smallest of them (a star, not pairs), and connected components of these
-   ties hold every candidate pair.
-3. Inside a component every pair is verified on the full sets.  A component
-   larger than a block is cut into blocks, and each pair of blocks is a task of
-   its own, so no group is gathered; a task counts intersections as a matrix
-   product and gives counts per node and a spanning set of links, never pairs.
-4. Components of the verified links are the classes.
+   hashes are exchanged; a band hash that several nodes share is a bucket.
+3. A node's home is the smallest node it shares a bucket with; the nodes of one
+   home are cut into blocks of bounded bytes.  A bucket names the blocks it
+   touches, and a node is sent to the pairs of its own block with those: so near
+   copies of one text meet as pairs of blocks, whatever their number, and nodes
+   that share no bucket with another block never meet it, however long the
+   chain between them.
+4. A pair of blocks is one task.  It compares the n-grams themselves, word by
+   word, counts intersections as a matrix product, and gives counts per node and
+   a spanning set of links, never pairs.
+5. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import binary_array, bounded
 from .graph import connected_components
-from .repeats import WordUnits
+from .repeats import WordText
 from .store import discard, materialize
-from .winnow import PrefixHash, mix
+from .winnow import digests, gram_values, mix
 
-#: Nodes of a component that one block holds.
-BLOCK = 128
+#: Nodes and bytes of text that one block holds; a longer text is a block of its own.
+BLOCK, BLOCK_BYTES = 128, 2 << 20
 
 
 def choose_bands(threshold: float, recall: float = 0.99999, hashes: int = 240) -> tuple[int, int]:
@@ -44,12 +51,10 @@ def choose_bands(threshold: float, recall: float = 0.99999, hashes: int = 240) -
 
 
 def shingles(data: bytes, n: int) -> np.ndarray:
-    """Distinct hashes of the word n-grams of a UTF-8 text, sorted; a text of fewer words is one n-gram, an empty one has none."""
-    words = WordUnits.values(data)
-    if not len(words):
-        return words
-    h = PrefixHash(words)
-    return np.unique(h.grams(n) if len(words) >= n else h.of(np.array([0]), np.array([len(words)])))
+    """Distinct 64-bit values of the word n-grams of a UTF-8 text, sorted; a text of fewer words is one n-gram, an empty one has none."""
+    text = WordText(data)
+    words = text.values(0, text.n)
+    return np.unique(gram_values(words, min(n, len(words)))) if len(words) else words
 
 
 class MinHash:
@@ -78,34 +83,34 @@ class MinHash:
 
 
 def _profile(rows: DataFrame, n: int, minhash: MinHash) -> DataFrame:
-    """(id, th, size, s1, s2, bands): the set's size, two hashes of it and its bands."""
-    kind = rows.schema["id"].dataType.simpleString()
+    """rows (rid, id, th, text, more) with the text compressed (null stays null), its bytes, the set's size, its digest and its bands."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    extra = [c for c in rows.columns if c not in ("rid", "id", "th", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in bounded(batches, "text"):
-            sets = [shingles(t, n) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingles(t or b"", n) for t in texts]
             some = [s for s in sets if len(s)]
             bands = iter(minhash.band_hashes(some).view(np.int64) if some else [])
             lists = [next(bands) if len(s) else None for s in sets]
-            s1 = np.array([mix(s * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64)
-            s2 = np.array([np.bitwise_xor.reduce(mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F))) if len(s) else 0 for s in sets], np.uint64)
+            digest = digests([s.tobytes() for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(lists, pa.list_(pa.int64()))],
-                names=["id", "th", "size", "s1", "s2", "bands"],
+                [
+                    *[batch.column(c) for c in ("rid", "id", "th", *extra)],
+                    pa.array([None if t is None else press.compress(t) for t in texts], pa.binary()),
+                    pa.array([len(t or b"") for t in texts], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(digest[:, 0]),
+                    pa.array(digest[:, 1]),
+                    pa.array(lists, pa.list_(pa.int64())),
+                ],
+                names=["rid", "id", "th", *extra, "z", "bytes", "size", "s1", "s2", "bands"],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, th long, size long, s1 long, s2 long, bands array<long>")
-
-
-def _sets(chosen: DataFrame, n: int) -> DataFrame:
-    """The full sets of chosen (component, blocks, node, weight, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
-            sets = [shingles(t, n).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "blocks", "node", "weight")], binary_array(sets)], names=["component", "blocks", "node", "weight", "grams"])
-
-    return chosen.mapInArrow(run, "component long, blocks long, node long, weight long, grams binary")
+    fields = ", ".join(f"{c} {kinds[c]}" for c in ("rid", "id", "th", *extra))
+    return rows.mapInArrow(run, f"{fields}, z binary, bytes long, size long, s1 long, s2 long, bands array<long>")
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray] | None = None, columns: int = 4096) -> np.ndarray:
@@ -148,21 +153,41 @@ def _spanning(u: np.ndarray, v: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
+def numbered_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Per text the sorted numbers of its distinct n-grams; equal n-grams, word by word, have one number."""
+    numbers: defaultdict[bytes, int] = defaultdict(counter(1).__next__)
+    words = [np.fromiter(map(numbers.__getitem__, t.split()), np.int64) for t in texts]
+    size = np.array([len(w) for w in words])
+    grams = np.where(size > 0, np.maximum(size - n + 1, 1), 0)
+    flat = np.concatenate([*words, np.zeros(n, np.int64)])
+    owner = np.repeat(np.arange(len(texts)), grams)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(np.cumsum(size) - size, grams)
+    end = np.cumsum(size)[owner]
+    base = len(numbers) + 1
+    code, top = np.zeros(len(owner), np.int64), 1
+    for k in range(n):
+        if top * base >= 1 << 62:
+            _, code = np.unique(code, return_inverse=True)
+            top = int(code.max()) + 1 if len(code) else 1
+        code = code * base + np.where(at + k < end, flat[np.minimum(at + k, len(flat) - 1)], 0)
+        top *= base
+    ends = np.cumsum(grams).tolist()
+    return [np.unique(code[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _verified(pairs: DataFrame, threshold: float, n: int) -> DataFrame:
     """(node, other, weight): weights of a node's links in a task, other null; and links, weight null."""
     t = Fraction(str(threshold))
     num, den = t.numerator, t.numerator + t.denominator
 
-    def check(block: list[tuple]) -> list[tuple]:
-        i, j = block[0][0], block[0][1]
-        seen: dict[int, tuple] = {}
-        for row in block:
-            seen.setdefault(row[3], row)
-        rows = sorted(seen.values(), key=lambda r: r[2] != i)
+    def check(rows: list[tuple]) -> list[tuple]:
+        i, j = rows[0][:2]
+        rows = sorted(rows, key=lambda r: r[2] != i)
         cut = len(rows) if i == j else sum(r[2] == i for r in rows)
-        if len(rows) < 2 or cut in (0, len(rows)) and i != j:
+        if len(rows) < 2 or i != j and cut in (0, len(rows)):
             return []
-        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        unpress = zstandard.ZstdDecompressor()
+        sets = numbered_sets([unpress.decompress(r[5]) for r in rows], n)
         size, weight, node = np.array([len(s) for s in sets]), np.array([r[4] for r in rows]), [r[3] for r in rows]
         a, b = (sets, None) if i == j else (sets[:cut], sets[cut:])
         base = 0 if i == j else cut
@@ -178,8 +203,7 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
         return out + [(node[x], node[y], None) for x, y in _spanning(u, v + base, len(rows))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        key = None
+        task: list[tuple] = []
         out: list[tuple] = []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -188,87 +212,112 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[:3] != key:
-                    if block:
-                        out += check(block)
-                    block, key = [], row[:3]
-                block.append(row[1:])
+                if task and row[:2] != task[0][:2]:
+                    out += check(task)
+                    task = []
+                task.append(row)
             if out:
                 yield batch_of(out)
                 out = []
-        if block:
-            yield batch_of(check(block))
+        if task:
+            yield batch_of(check(task))
 
-    order = ["component", "i", "j", "mine", "node"]
-    dealt = pairs.select("component", "i", "j", "mine", "node", "weight", "grams").repartition("component", "i", "j").sortWithinPartitions(*order)
+    dealt = pairs.select("i", "j", "mine", "node", "weight", "z").repartition("i", "j").sortWithinPartitions("i", "j", "mine", "node")
     return dealt.mapInArrow(run, "node long, other long, weight long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, class_id, copies_id, n_links) per row; th is the text's hash.
+def _placed(nodes: DataFrame) -> DataFrame:
+    """(node, weight, block, others): for every node that shares a bucket its block and the blocks to meet, its own included; a written table."""
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    stars = materialize(bands.groupBy("band").agg(F.count("*").alias("k"), F.min("node").alias("hub")).where("k > 1").select("band", "hub"), "stars")
+    ties = materialize(bands.join(stars, "band").select("band", "node", "hub"), "ties")
+    homes = materialize(ties.groupBy("node").agg(F.min("hub").alias("home")).join(nodes.select("node", "weight", "bytes"), "node"), "homes")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("long")
+    sizes = materialize(homes.groupBy("home").agg(parts.alias("parts")), "sizes")
+    # two blocks of one number would only be compared together
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    blocks = materialize(homes.join(sizes, "home").select("node", "weight", block.alias("block")), "blocks")
+    spots = materialize(ties.join(blocks, "node").select("band", "node", "block"), "spots")
+    touched = spots.groupBy("band").agg(F.array_sort(F.collect_set("block")).alias("others")).where("size(others) > 1")
+    touched = materialize(touched, "touched")
+    met = spots.join(touched, "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    own = F.array("block")
+    placed = blocks.join(met, "node", "left").select("node", "weight", "block", F.array_union(own, F.coalesce("others", own)).alias("others"))
+    placed = materialize(placed, "placed")
+    for table in (stars, ties, homes, sizes, blocks, spots, touched):
+        discard(table)
+    return placed
 
-    n_links is the number of other rows with similarity of at least threshold,
-    class_id the smallest id of the row's connected component of such links,
-    copies_id the smallest id of the rows with the same n-gram set.  Texts of
-    fewer than n words are one n-gram; null and empty texts have none, no links
-    and a class of their own.  Repeated rows are copies; a null id is ignored
-    in minima.  Other columns are ignored; an empty table gives an empty result.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    profile = materialize(_profile(rows, n, MinHash(*choose_bands(threshold, recall))), "profile")
 
-    same = profile.where("size > 0").groupBy("s1", "s2", "size").agg(F.count("*").alias("weight"), F.min(F.struct("id", "th")).alias("rep"), F.min("id").alias("least"), F.any_value("bands").alias("bands"))
-    nodes = materialize(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
+def _classes(profile: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(s1, s2, size, class_id, copies_id, n_links, keep) of every set; keep is the rid of the class's first row; a written table."""
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "rid"))
+    same = profile.where("size > 0").groupBy("s1", "s2", "size").agg(F.count("*").alias("weight"), first.alias("least"), F.min(F.struct("rid", "bytes")).alias("rep"), F.any_value("bands").alias("bands"))
+    nodes = materialize(same.select("*", F.col("rep.rid").alias("node"), F.col("rep.bytes").alias("bytes")).drop("rep"), "nodes")
+    placed = _placed(nodes)
 
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    stars = materialize(bands.groupBy("band").agg(F.count("*").alias("k"), F.min("node").alias("hub")).where("k > 1").select("band", "hub"), "stars")
-    ties = bands.join(stars, "band").where("node <> hub").select("node", "hub").distinct()
-    groups = materialize(connected_components(ties), "groups")
-    discard(stars)
-
-    sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("m")), "sizes")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("long")
-    members = groups.join(sizes, "component").select("node", "component", blocks.alias("blocks")).join(nodes.select("node", "rep", "weight"), "node")
-    members = materialize(members.select("component", "blocks", "node", "weight", F.col("rep.id").alias("id2"), F.col("rep.th").alias("th2")), "members")
     # the plan is the same at every size: texts meet members in a merge join, never by broadcast
-    chosen = rows.join(members.hint("merge"), rows["id"].eqNullSafe(members["id2"]) & (rows["th"] == members["th2"])).select("component", "blocks", "node", "weight", "text")
-    sets = _sets(chosen, n)
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = sets.select("component", mine.alias("mine"), "node", "weight", "grams", other).select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    verified = materialize(_verified(pairs, threshold), "verified")
+    chosen = profile.select(F.col("rid").alias("node"), "z").join(placed.hint("merge"), "node")
+    pairs = chosen.select("node", "weight", "z", F.col("block").alias("mine"), F.explode("others").alias("other"))
+    pairs = pairs.select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    verified = materialize(_verified(pairs, threshold, n), "verified")
 
     links = verified.where("other is null").groupBy("node").agg(F.sum("weight").alias("links"))
     classes = connected_components(verified.where("other is not null").select("node", "other"))
     named = nodes.select("node", "s1", "s2", "size", "weight", "least").join(classes, "node", "left").join(links, "node", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "node")), "named")
-    least = materialize(named.groupBy("component").agg(F.min("least").alias("class_id")), "least")
-    found = materialize(named.join(least, "component").select("s1", "s2", "size", "class_id", F.col("least").alias("copies_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "found")
-    for table in (groups, sizes, members, verified, named, least):
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("first")), "least")
+    found = named.join(least, "component").select("s1", "s2", "size", F.col("first.id").alias("class_id"), F.col("least.id").alias("copies_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("first.rid").alias("keep"))
+    found = materialize(found, "found")
+    for table in (nodes, placed, verified, named, least):
         discard(table)
+    return found
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"), *more)
+
 
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, class_id, copies_id, n_links) per row; th is the text's hash.
+
+    n_links is the number of other rows with similarity of at least threshold,
+    class_id the smallest id of the row's connected component of such links,
+    copies_id the smallest id of the rows with the same n-gram set.  Texts of
+    fewer than n words are one n-gram; null and empty texts have none, no links
+    and a class of their own.  Repeated rows are copies; a null id is ignored
+    in minima.  Other columns are ignored; an empty table gives an empty result.
+    """
+    profile = materialize(_profile(_rows(docs, id_col, text_col, []), n, MinHash(*choose_bands(threshold, recall))), "profile")
+    found = _classes(profile, threshold, n)
     some = profile.where("size > 0").select("id", "th", "s1", "s2", "size").join(found, ["s1", "s2", "size"]).select("id", "th", "class_id", "copies_id", "n_links")
     none = profile.where("size = 0").select("id", "th", F.col("id").alias("class_id"), F.col("id").alias("copies_id"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none).withColumnRenamed("id", id_col)
 
 
 def keep_one_per_class(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one per class stays: the one with the smallest id (and, of repeated rows, one).
+    """The rows of docs of which exactly one per class stays: the one with the smallest id (no id comes last), of several the one with the smallest text hash.
 
-    Rows without an id or without words are kept.
+    Rows without words (null, empty or blank texts) are all kept.  Of repeated
+    rows one stays.  Further columns, of any name, stay with their row; an
+    empty table gives an empty result.
     """
-    found = near_duplicates(docs, threshold, n, id_col=id_col, text_col=text_col).where(F.col("class_id").isNotNull() & F.col(id_col).isNotNull())
-    key = [F.col(id_col).alias("key_id"), F.col("th").alias("key_th")]
-    gone = materialize(found.where(F.col(id_col) != F.col("class_id")).select(*key).distinct(), "gone")
-    again = materialize(found.where((F.col(id_col) == F.col("class_id")) & (F.col("n_links") > 0)).groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select("key_id", "key_th"), "again")
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-    def match(keys: DataFrame):
-        return (docs[id_col] == keys["key_id"]) & (th == keys["key_th"])
-
-    kept = docs.join(gone.hint("merge"), match(gone), "left_anti")
-    if not again.limit(1).count():
-        return kept
-    once = docs.join(again, match(again), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, (kept[id_col] == again["key_id"]) & (F.xxhash64(F.coalesce(kept[text_col], F.lit(""))) == again["key_th"]), "left_anti").unionByName(once)
+    carry = [c for c in docs.columns if c not in (id_col, text_col)]
+    profile = materialize(_profile(_rows(docs, id_col, text_col, carry), n, MinHash(*choose_bands(threshold))), "profile")
+    keep = _classes(profile, threshold, n).select(F.col("keep").alias("rid")).distinct()
+    extra = ["carry"] if carry else []
+    rows = profile.select("rid", "id", "z", "size", *extra)
+    kept = rows.where("size > 0").join(keep.hint("merge"), "rid").select("id", "z", *extra).unionByName(rows.where("size = 0").select("id", "z", *extra))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for batch in bounded(batches, "z", 1 << 20):
+            texts = binary_array([None if z is None else unpress.decompress(z) for z in batch.column("z").to_pylist()]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), texts, *[batch.column(c) for c in extra]], names=["id", "text", *extra])
+
+    fields = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in ("id", *extra))
+    out = kept.mapInArrow(run, fields.replace(", carry", ", text string, carry") if carry else f"{fields}, text string")
+    place = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col("carry").getField(c) for c in carry}
+    return out.select(*[place[c].alias(c) for c in docs.columns])

@@ -9,6 +9,8 @@ and repeated five-word windows come first.
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .batches import bounded
-from .repeats import WordUnits, covered
-from .winnow import PrefixHash
+from .repeats import merged
+from .winnow import gram_values, word_values
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -86,21 +88,31 @@ _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[list(BLANKS)] = True
 
 
+def _repeated_words(data: bytes, start: np.ndarray, end: np.ndarray) -> int:
+    """Words in windows that occur twice; hashes find candidates, the words themselves decide."""
+    g = gram_values(word_values(data, start, end), REPEAT_WINDOW)
+    order = np.argsort(g, kind="stable")
+    same = g[order[1:]] == g[order[:-1]]
+    at = np.sort(order[np.concatenate((same, [False])) | np.concatenate(([False], same))])
+    if not len(at):
+        return 0
+    windows = [tuple(data[a:b] for a, b in zip(start[i : i + REPEAT_WINDOW].tolist(), end[i : i + REPEAT_WINDOW].tolist(), strict=True)) for i in at.tolist()]
+    n = Counter(windows)
+    at = at[[n[w] > 1 for w in windows]]
+    lo, hi = merged(at, at + REPEAT_WINDOW)
+    return int((hi - lo).sum())
+
+
 def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
     """(words, code points in words, symbols, repeated lines, words in repeated windows) of a UTF-8 text."""
     x = np.frombuffer(data, np.uint8)
-    words = len(WordUnits.bounds(data)[0])
-    chars = int(((x & 0xC0) != 0x80).sum()) - int(_IS_BLANK[x].sum())
+    blank = _IS_BLANK[x]
+    step = np.diff(np.concatenate(([1], blank.view(np.int8), [1])))
+    start, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+    chars = int(((x & 0xC0) != 0x80).sum()) - int(blank.sum())
     lines = [s for s in data.split(b"\n") if s.strip(BLANKS)]
-    repeated = 0
-    if words > REPEAT_WINDOW:
-        g = PrefixHash(WordUnits.values(data)).grams(REPEAT_WINDOW)
-        order = np.argsort(g, kind="stable")
-        same = g[order[1:]] == g[order[:-1]]
-        at = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        if len(at):
-            repeated = int(covered(words, at, at + REPEAT_WINDOW).sum())
-    return words, chars, int(_IS_SYMBOL[x].sum()), len(lines) - len(set(lines)), repeated
+    repeated = _repeated_words(data, start, end) if len(start) > REPEAT_WINDOW else 0
+    return len(start), chars, int(_IS_SYMBOL[x].sum()), len(lines) - len(set(lines)), repeated
 
 
 class Fertility:
@@ -112,6 +124,12 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
 
+    @staticmethod
+    @functools.lru_cache(maxsize=1)
+    def of(path: str) -> Fertility:
+        """The model of this process, loaded once."""
+        return Fertility(path)
+
     def measure(self, texts: list[str], chars: list[int]) -> list[tuple[int, float, float, float]]:
         """(tokens, characters per token, share of byte tokens, entropy in bits) each; zeros without tokens."""
         out = []
@@ -148,7 +166,7 @@ def judge_quality(docs: DataFrame, path: str, text_col: str = "text", lang_col:
     src = docs.select(*[f"`{c}`" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = Fertility(path)
+        fertility = Fertility.of(path)
         for batch in bounded(batches, text_col):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             langs = batch.column(lang_col).to_pylist() if has_lang else [None] * len(texts)
