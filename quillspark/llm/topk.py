@@ -9,8 +9,9 @@ the survivors are compacted.  Scores are exact integers.
 
 The query set grows with the table, so it is not broadcast: query blocks are
 sent to every candidate block through one exchange, and each task streams the
-query blocks past one candidate block at a time.  What leaves a block is k + 1
-rows per query.
+query blocks past one candidate block at a time.  Blocks are sized by bytes, so
+queries are copied once per `block_bytes` of candidates.  What leaves a block is
+k + 1 rows per query.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, shuffle_partitions
 
-#: Components beyond this in size could overflow 64-bit sums; such vectors are refused.
-MAX_COMPONENT = 1 << 26
+_LONG = 1 << 63
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of every component, as long."""
+    """floor(scale * x) of every component, as long; what lies beyond the longs becomes the nearest one."""
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
@@ -52,61 +52,79 @@ def _matrix(rows: pa.ListArray, width: int) -> np.ndarray:
 
 
 class CandidateBlock:
-    """Candidates in vertical layout with the mass each has left after every dimension block."""
+    """Candidates in vertical layout with the mass each has left after every dimension block.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims: int = 16):
+    With `wide`, sums may not fit into 64 bits: then the last survivors are scored with Python's integers.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims: int = 16, wide: bool = False):
         order = np.argsort(ids, kind="stable")
         self.ids, v = ids[order], vectors[order]
         self.cuts = [(a, min(a + dims, v.shape[1])) for a in range(0, v.shape[1], dims)]
         self.columns = [np.ascontiguousarray(v[:, a:b]).astype(np.float64) for a, b in self.cuts]
         squares = np.array([(c * c).sum(1) for c in self.columns]) if self.cuts else np.zeros((0, len(ids)))
         self.left = np.sqrt(np.concatenate((np.cumsum(squares[::-1], 0)[::-1], np.zeros((1, len(ids))))))
-        self.whole = v
-
-    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, ties to smaller ids."""
+        self.whole, self.wide = v, wide
+
+    def _scored(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        if not self.wide:
+            scores = self.whole[at] @ query
+            order = np.lexsort((self.ids[at], -scores))[:k]
+            return self.ids[at][order], scores[order].tolist()
+        q = query.tolist()
+        scores = [sum(x * y for x, y in zip(row, q, strict=True)) for row in self.whole[at].tolist()]
+        order = sorted(range(len(at)), key=lambda i: (-scores[i], self.ids[at[i]]))[:k]
+        return self.ids[at][order], [scores[i] for i in order]
+
+    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """Ids and exact scores of the k best, ties to smaller ids."""
         parts = [query[a:b].astype(np.float64) for a, b in self.cuts]
         squares = np.array([(p * p).sum() for p in parts])
         query_left = np.sqrt(np.concatenate((np.cumsum(squares[::-1])[::-1], [0.0])))
         alive, partial = np.arange(len(self.ids)), np.zeros(len(self.ids))
+        # the terms' sizes add up to the product of the masses at most, so sums in doubles are off by far less than this
+        rounding = 1e-9 * query_left[0] * self.left[0] + 1e-6
         for d, (column, part) in enumerate(zip(self.columns, parts, strict=True)):
             full = len(alive) == len(self.ids)
             partial = partial + (column if full else column[alive]) @ part
             if len(alive) > k:
-                # rounding of the bounds and of sums in doubles is far below one part in a million
-                slack = query_left[d + 1] * (self.left[d + 1] if full else self.left[d + 1][alive])
-                slack = slack * (1 + 1e-6) + 1e-6 * np.abs(partial) + 1e-6
+                slack = query_left[d + 1] * (self.left[d + 1] if full else self.left[d + 1][alive]) + (rounding if full else rounding[alive])
                 low = partial - slack
                 keep = partial + slack >= np.partition(low, len(low) - k)[len(low) - k]
                 alive, partial = alive[keep], partial[keep]
-        scores = self.whole[alive] @ query
-        order = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][order], scores[order]
+        return self._scored(alive, query, k)
 
 
-def _to_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
-    return rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)))
+def _exact_square(v: np.ndarray) -> int:
+    return sum(x * x for x in v.tolist())
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best candidates other than the query's own row.
 
-    Both have (vec_id, v), v integer arrays; shorter vectors count as padded
+    Both have (vec_id, v), v arrays of longs; shorter vectors count as padded
     with zeros.  A query row's own row is one candidate of its id and vector;
     further rows of that id stay candidates, and repeated query rows each get
-    an answer.  Null ids take no part.  Empty tables give an empty result.
+    an answer.  Null ids take no part.  Scores are compared as exact integers
+    of any size; one beyond the longs is returned as the nearest long.  Other
+    columns are ignored.  Empty tables give an empty result.
     """
     clean = lambda df: df.where("vec_id is not null").select("vec_id", "v")
     queries, candidates = clean(queries), clean(candidates)
-    size = candidates.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    if (size[2] or 0) > MAX_COMPONENT:
-        raise ValueError("a component is too large for exact 64-bit scores")
-    width = max(size[1] or 0, queries.agg(F.max(F.size("v"))).first()[0] or 0)
-    n_blocks = max(1, -(-size[0] // block_rows))
-    numbered = queries.withColumn("q", F.monotonically_increasing_id())
-    asked = materialize(numbered, "queries")
-
-    stream = _to_blocks(candidates, n_blocks).select("block", F.lit(-1).cast("long").alias("q"), "vec_id", "v")
+
+    def extent(df: DataFrame) -> tuple[int, int, int]:
+        rows, width, high, low = df.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+        return rows, width or 0, max(high or 0, -(low or 0))
+
+    (_, w1, top1), (n, w2, top2) = extent(queries), extent(candidates)
+    width = max(w1, w2)
+    wide = width * max(top1, top2) ** 2 >= _LONG
+    n_blocks = max(-(-n * 8 * width // block_bytes), shuffle_partitions(candidates.sparkSession))
+    asked = materialize(queries.withColumn("q", F.monotonically_increasing_id()), "queries")
+
+    # the row's number in the hash parts repeated rows
+    dealt_to = F.pmod(F.xxhash64(F.col("vec_id"), F.monotonically_increasing_id()), F.lit(n_blocks))
+    stream = candidates.select(dealt_to.alias("block"), F.lit(-1).cast("long").alias("q"), "vec_id", "v")
     to_all = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), "q", "vec_id", "v")
     dealt = stream.unionByName(to_all).repartition("block").sortWithinPartitions("block", "q")
 
@@ -124,19 +142,24 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, block_rows: int =
                     ids.append(part_ids)
                     vectors.append(part_v)
                     continue
-                if not ids:
-                    continue
                 if block is None:
-                    block = CandidateBlock(np.concatenate(ids), np.concatenate(vectors))
-                out: list[list] = [[], [], [], [], []]
-                for q, query_id, v in zip(qs[a:b], part_ids, part_v, strict=True):
+                    if not ids:
+                        continue
+                    block = CandidateBlock(np.concatenate(ids), np.concatenate(vectors), wide=wide)
+                    ids, vectors = [], []
+                out: list[list] = [[], [], [], [], [], []]
+                for q, query_id, v in zip(qs[a:b].tolist(), part_ids.tolist(), part_v, strict=True):
                     found, scores = block.top(v, k + 1)
-                    for col, x in zip(out, (np.full(len(found), q), np.full(len(found), query_id), found, scores, (found == query_id) & (scores == v @ v)), strict=True):
-                        col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["q", "query_id", "vec_id", "score", "own"])
-
-    found = dealt.mapInArrow(run, "q long, query_id long, vec_id long, score long, own boolean")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+                    square = _exact_square(v)
+                    for key, score in zip(found.tolist(), scores, strict=True):
+                        order = (score + (1 << 191)).to_bytes(24, "big") if wide else None
+                        for col, x in zip(out, (q, query_id, key, min(max(score, -_LONG), _LONG - 1), order, key == query_id and score == square), strict=True):
+                            col.append(x)
+                kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["q", "query_id", "vec_id", "score", "order", "own"])
+
+    found = dealt.mapInArrow(run, "q long, query_id long, vec_id long, score long, order binary, own boolean")
+    order = Window.partitionBy("q").orderBy(F.desc("order"), F.desc("score"), "vec_id")
     best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     # of the rows that look like the query's own, one is
     own = best.withColumn("own_at", F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("q")))
