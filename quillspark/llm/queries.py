@@ -57,32 +57,52 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), OP3_RULES)
 
 
-OP3_SQL = r"""
-WITH RECURSIVE seen AS (
-  SELECT page_id, url,
-    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
-    CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-      || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') ELSE chr(0) || coalesce(page_id::VARCHAR, '') END AS key,
-    contains(url, '://') AS is_url,
-    regexp_extract(regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') AS t1,
-    regexp_extract(regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is'), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is') AS t2
+#: DuckDB macros for the SQL below, as subqueries can't hold them: a path without dot segments, and an attribute of a tag.
+def _no_dots(p: str) -> str:
+    step = f"list_reduce(list_prepend([]::VARCHAR[], [[x] FOR x IN string_split({p}, '/')]), lambda a, x: CASE x[1] WHEN '..' THEN CASE WHEN len(a) > 1 THEN a[:-2] ELSE a END WHEN '.' THEN a ELSE a || x END)"
+    last = f"CASE WHEN string_split({p}, '/')[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END"
+    return f"CASE WHEN regexp_matches({p}, '(^|/)\\.\\.?(/|$)') THEN array_to_string({step} || {last}, '/') ELSE {p} END"
+
+
+def _attr(tag: str, name: str) -> str:
+    pattern = rf"""'\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))'"""
+    out = " || ".join(f"regexp_extract({tag}, {pattern}, {k}, 'is')" for k in (1, 2, 3))
+    for reference, character in (("&lt;|&#60;|&#x3c;", "<"), ("&gt;|&#62;|&#x3e;", ">"), ("&quot;|&#34;|&#x22;", '"'), ("&apos;|&#39;|&#x27;", "''"), ("&amp;|&#38;|&#x26;", "&")):
+        out = f"regexp_replace({out}, '{reference}', '{character}', 'gi')"
+    return f"trim({out})"
+
+
+def _key(host: str, path: str, url: str) -> str:
+    return f"{host} || CASE WHEN {path} = '' THEN '/' ELSE {_no_dots(path)} END || regexp_extract({url}, '^.*?://[^?#]*(\\?[^#]*)?', 1, 's')"
+
+
+_HOST = "translate(regexp_extract(coalesce({0}, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce({0}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+
+OP3_SQL = rf"""
+WITH RECURSIVE parsed AS (
+  SELECT page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, coalesce(contains(url, '://'), false) AS is_url,
+    list_filter(regexp_extract_all(coalesce(html, ''), '<link\s[^>]*>', 0, 'is'), lambda t: list_contains(regexp_split_to_array(lower({_attr("t", "rel")}), '\s+'), 'canonical')) AS links,
+    list_filter(regexp_extract_all(coalesce(html, ''), '<meta\s[^>]*>', 0, 'is'), lambda t: lower({_attr("t", "http-equiv")}) = 'refresh') AS metas
   FROM pages
+), seen AS (
+  SELECT *, CASE WHEN is_url THEN {_key("host", "path", "url")} ELSE chr(0) || coalesce(page_id::VARCHAR, '') END AS key FROM parsed
 ), links AS (
-  SELECT *, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS origin, regexp_extract(path, '^(.*/)', 1, 's') AS folder, unnest([t1, t2]) AS t FROM seen WHERE is_url
+  SELECT key, url, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS origin, CASE path WHEN '' THEN '/' ELSE path END AS path, unnest(list_transform(links, lambda t: {_attr("t", "href")}) || list_transform(metas, lambda t: regexp_extract({_attr("t", "content")}, '\burl\s*=\s*["'']?([^"''\s]+)', 1, 'is'))) AS t
+  FROM seen WHERE is_url
 ), targets AS (
-  SELECT key, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN origin || t
-    ELSE origin || CASE folder WHEN '' THEN '/' ELSE folder END || t END AS t FROM links WHERE t <> ''
-), edges AS (
-  SELECT key AS a, translate(regexp_extract(t, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(t, '^.*?://[^/?#]*([^#]*)', 1, 's') AS b
-  FROM targets WHERE contains(t, '://')
+  SELECT key, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?)://', 1, 's') || ':' || t WHEN starts_with(t, '/') THEN origin || t WHEN starts_with(t, '?') THEN origin || path || t
+    WHEN starts_with(t, '#') THEN origin || path || regexp_extract(url, '^.*?://[^?#]*(\?[^#]*)?', 1, 's') ELSE origin || regexp_extract(path, '^(.*/)', 1, 's') || t END AS t FROM links WHERE t <> ''
+), parts AS (SELECT key, t, {_HOST.format("t")} AS h, {_PATH.format("t")} AS p FROM targets WHERE contains(t, '://')
+), edges AS (SELECT key AS a, {_key("h", "p", "t")} AS b FROM parts
 ), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
 ), reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
 ), component AS (SELECT a AS key, least(a, min(b)) AS component FROM reach GROUP BY a
 ), rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
 ), judged AS (
   SELECT s.*, coalesce(c.component, s.key) AS component,
-    (SELECT max_by({'rule': h || p, 'verdict': verdict}, length(h || p) * 1000 + length(h)) FROM rules WHERE (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)) AS own
+    (SELECT max_by({{'rule': h || p, 'verdict': verdict}}, length(h || p) * 1000 + length(h)) FROM rules WHERE (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)) AS own
   FROM seen s LEFT JOIN component c USING (key)
 ), inherited AS (
   SELECT component, CASE WHEN bool_or(coalesce(own.verdict, '') = 'block') AND NOT bool_or(coalesce(own.verdict, '') = 'allow') THEN 'block' ELSE 'allow' END AS v

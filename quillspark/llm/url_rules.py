@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .store import materialize
+from .store import discard, materialize
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -33,10 +33,25 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. segments carried out."""
+    parts = F.split(path, "/", -1)
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, none, step)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
 def url_key(url: Column) -> Column:
-    """Identity of a resource: host, path and query, without scheme and fragment; null without ://."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(url_host(url), rest))
+    """Identity of a resource: host, path (dot segments carried out, empty as /) and query, without scheme and fragment; null without ://."""
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
+    path = without_dots(url_path(url))
+    return F.when(url.contains("://"), F.concat(url_host(url), F.when(path == "", F.lit("/")).otherwise(path), query))
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -53,30 +68,45 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
-def alias_target(html: Column) -> tuple[Column, Column]:
-    """(canonical link, meta refresh target) of a page, null where absent."""
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or bare, with character references of &, quotes and angle brackets decoded; empty if absent."""
+    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    for reference, character in (("(?i)&lt;|&#60;|&#x3c;", "<"), ("(?i)&gt;|&#62;|&#x3e;", ">"), ("(?i)&quot;|&#34;|&#x22;", '"'), ("(?i)&apos;|&#39;|&#x27;", "'"), ("(?i)&amp;|&#38;|&#x26;", "&")):
+        value = F.regexp_replace(value, reference, character)
+    return F.trim(value)
 
-    def tag(pattern: str) -> Column:
-        return F.regexp_extract(html, pattern, 0)
 
-    def found(x: Column) -> Column:
-        return F.when(x != "", x)
+def alias_targets(html: Column) -> Column:
+    """The targets of all canonical links and meta refreshes of a page, as they stand there; empty for null html."""
 
-    link = tag(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
-    meta = tag(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
-    href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return found(href), found(F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    def tags(name: str) -> Column:
+        return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\s[^>]*>"), F.lit(0))
+
+    links = F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(tags("meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
+    hrefs = F.transform(links, lambda t: _attribute(t, "href"))
+    moves = F.transform(metas, lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s]+)", 1))
+    found = F.filter(F.concat(hrefs, moves), lambda x: x != "")
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def absolute(target: Column, url: Column) -> Column:
-    """A link as an absolute url, seen from the page it stands on."""
+    """A link as an absolute url, seen from the page it stands on (RFC 3986); null for schemes without ://, as mailto."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(url_path(url), r"(?s)^(.*/)", 1)
+    path = url_path(url)
+    path = F.when(path == "", F.lit("/")).otherwise(path)
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
     return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(origin, target))
-        .otherwise(F.concat(origin, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .when((target == "") | target.startswith("#"), F.concat(origin, path, query))
+        .otherwise(F.concat(origin, folder, target))
     )
 
 
@@ -89,24 +119,25 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     are ignored; an empty table gives an empty result.
     """
     url = F.col("url")
-    seen = pages.select(F.col(id_col).alias("id"), "url", url_host(url).alias("host"), url_path(url).alias("path"), F.array(*alias_target(F.col("html"))).alias("to"))
+    seen = pages.select(F.col(id_col).alias("id"), "url", url_host(url).alias("host"), url_path(url).alias("path"), alias_targets(F.col("html")).alias("to"))
     own = matching_rule(F.col("host"), F.col("path"), rules)
     lone = F.concat(F.lit("\x00"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    targets = F.array_distinct(F.transform("to", lambda t: url_key(absolute(t, url))))
     light = materialize(
-        seen.select("id", "host", "path", own.alias("own"), url_key(url).alias("alias"), F.coalesce(url_key(url), lone).alias("key"), F.transform(F.array_compact("to"), lambda t: url_key(absolute(t, url))).alias("to")),
+        seen.select("id", "host", "path", own.alias("own"), url_key(url).alias("alias"), F.coalesce(url_key(url), lone).alias("key"), F.array_compact(targets).alias("to")),
         "pages",
     )
     edges = light.where("alias is not null and size(to) > 0").select("alias", F.explode("to").alias("other"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(url_key(F.col("from_url")).alias("alias"), url_key(F.col("to_url")).alias("other")))
-    labels = connected_components(edges).select(F.col("node").alias("key"), "component")
-
-    placed = light.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # written, both sides of the joins below can be split by Spark where one url or component is hot
+    labels = materialize(connected_components(edges).select(F.col("node").alias("key"), "component"), "labels")
+    placed = materialize(light.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key")).select("id", "host", "path", "own", "component"), "placed")
     is_ = lambda v: F.max(F.coalesce(F.col("own.verdict") == v, F.lit(False)))
     group = placed.groupBy("component").agg(is_("allow").alias("any_allow"), is_("block").alias("any_block"))
-    decided = group.select("component", F.when(F.col("any_block") & ~F.col("any_allow"), F.lit("block")).otherwise(F.lit("allow")).alias("inherited"))
-    return placed.join(decided, "component", "left").select(
+    blocked = materialize(group.where("any_block and not any_allow").select("component", F.lit("block").alias("inherited")), "blocked")
+    discard(light)
+    discard(labels)
+    return placed.join(blocked, "component", "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "inherited", F.lit("allow")).alias("verdict"), "component"
     )
-
-
