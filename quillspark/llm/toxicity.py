@@ -7,8 +7,8 @@ these over k.
 
 Features are words and word beginnings (4 to 8 letters, so that inflected and
 compound insults share one), each with log(1 + count).  Labels say toxic or
-not; the grade of a toxic training text is the third in which its number of
-sure toxic words falls among the toxic texts.
+not, so grades above 0 are derived: a toxic training text's grade is the third
+in which its number of sure toxic words falls among the toxic texts.
 
 Fitting uses a bounded sample of labelled rows (`max_toxic` and `max_clean`,
 chosen by a hash of the id); scoring covers every row.
@@ -16,6 +16,7 @@ chosen by a hash of the id); scoring covers every row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import bounded
+from .store import discard, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 4
@@ -107,18 +109,21 @@ def fit_ordinal(rows: list[list[int]], values: list[list[float]], grades: np.nda
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
-    """(text, toxic) of the sampled labelled rows; the broadcast side has at most max_toxic + max_clean rows."""
+    """(text, toxic) of the sampled labelled ids, one row each, written; the broadcast side has at most max_toxic + max_clean rows."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(5), F.col("doc_id"))
     pick = lambda t, n: known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(n)
     chosen = pick(1, max_toxic).unionByName(pick(0, max_clean))
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    return materialize(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic"), "sample")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 12000, max_features: int = 4000, min_toxic_docs: int = 5, min_toxic_share: float = 1 / 150) -> OrdinalModel:
-    """Fits on at most max_toxic + max_clean labelled rows and max_features features; without labels nothing is toxic.
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 12000, min_toxic_docs: int = 5, min_toxic_share: float = 1 / 150) -> OrdinalModel:
+    """Fits on at most max_toxic + max_clean labelled documents; without labels, or without a sure feature, nothing is toxic.
 
-    A feature occurs in at least min_toxic_docs and min_toxic_share of the toxic texts.
+    A feature occurs in at least min_toxic_docs and min_toxic_share of the
+    toxic texts, so the bounded sample bounds the vocabulary.  Of repeated ids
+    the smallest text is taken; null ids and texts take no part.
     """
     sample = _sample(docs, labels, max_toxic, max_clean)
 
@@ -141,8 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
     # log odds against the clean texts, less twice its standard error
     odds = F.log((F.col("a") + 0.5) / (na - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (nb - F.col("b") + 0.5))
     sure = odds - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    chosen = counts.where((F.col("f") != "") & (F.col("a") >= least) & (sure > 1)).orderBy(F.desc(sure), "f").limit(max_features).select("f").collect()
+    chosen = counts.where((F.col("f") != "") & (F.col("a") >= least) & (sure > 1)).orderBy(F.desc(sure), "f").select("f").collect()
     names = [r["f"] for r in chosen]
+    if not names:
+        return OrdinalModel()
     number = {f: i for i, f in enumerate(names)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
                 names=["col", "n", "toxic"],
             )
 
-    got = sample.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(rows, "col array<int>, n array<long>, toxic int").collect()
+    got = sample.mapInArrow(rows, "col array<int>, n array<long>, toxic int").collect()
+    discard(sample)
     toxic = np.array([r["toxic"] for r in got])
     hits = np.array([sum(n for c, n in zip(r["col"], r["n"], strict=True) if not names[c].endswith("*")) for r in got])
     cuts = np.quantile(hits[toxic > 0], [1 / 3, 2 / 3])
@@ -176,7 +184,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights)
         for batch in bounded(batches, text_col):
-            s = np.array([sum(weights[f] * np.log1p(n) for f, n in scorer.found(t).items()) if t else 0.0 for t in batch.column(text_col).to_pylist()])
+            s = np.array([sum(weights[f] * math.log1p(n) for f, n in scorer.found(t).items()) if t else 0.0 for t in batch.column(text_col).to_pylist()])
             e = model.expected(s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e), pa.array(np.rint(e).astype(np.int32))], names=[*names, "expected_severity", "severity"])
 
