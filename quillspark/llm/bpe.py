@@ -8,7 +8,8 @@ updated along its path to the root, until the root is infinity.  Short pieces
 go through the same tree many at a time, as rows of one array.
 
 Pieces never span a boundary between blank and other text, so a text's ids are
-those of its blank-delimited units, which are kept in a bounded cache.
+those of its blank-delimited units; short ones are kept in a cache of bounded
+bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ INF = np.int64(2**62)
 _POS = 32
 #: Pieces of up to this many bytes are merged together as rows.
 ROWS_UP_TO = 32
+#: Units of more characters are not cached; what an entry weighs besides its characters and ids.
+CACHED_UP_TO, ENTRY_BYTES = 64, 160
 
 
 def byte_characters() -> dict[int, str]:
@@ -52,7 +56,7 @@ def byte_characters() -> dict[int, str]:
 class ByteBPE:
     """Encodes and decodes as the tokenizers library does with this file, without truncation, padding and added specials."""
 
-    def __init__(self, path: str, cache_units: int = 400_000):
+    def __init__(self, path: str, cache_bytes: int = 96 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -78,7 +82,7 @@ class ByteBPE:
 
         self.cutter = ByteLevel(add_prefix_space=False, use_regex=True)
         self.cache: dict[str, bytes] = {}
-        self.cache_units = cache_units
+        self.cache_bytes, self.cached = cache_bytes, 0
 
     @staticmethod
     @functools.lru_cache(maxsize=1)
@@ -144,12 +148,12 @@ class ByteBPE:
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def merge_one(self, piece: bytes) -> bytes:
-        """The same for one piece of any length; n log n steps."""
-        sym = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+        """The same for one piece of any length; n log n steps and some 60 bytes a byte."""
+        sym = array("q", self.byte_id[np.frombuffer(piece, np.uint8)].tobytes())
         n = len(sym)
         size = 1 << max(1, (n - 1).bit_length())
         rank_of, merged, inf = self.rank_of, self.merged, int(INF)
-        tree = [inf] * (2 * size)
+        tree = array("q", [inf]) * (2 * size)
 
         def leaf(a: int, b: int) -> int:
             r = rank_of.get(sym[a] << 20 | sym[b])
@@ -159,7 +163,7 @@ class ByteBPE:
             tree[size + i] = leaf(i, i + 1)
         for node in range(size - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        nxt, prv = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
 
         def put(i: int, value: int) -> None:
             node = size + i
@@ -185,7 +189,8 @@ class ByteBPE:
                 prv[k] = i
             if (p := prv[i]) >= 0:
                 put(p, leaf(p, i))
-        return np.array([s for s in sym if s >= 0], "<u4").tobytes()
+        ids = np.frombuffer(sym, np.int64)
+        return ids[ids >= 0].astype("<u4").tobytes()
 
     # -- texts
 
@@ -194,8 +199,8 @@ class ByteBPE:
             return PIECE.findall(unit)
         return [unit[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(unit)]
 
-    def _learn(self, units: Iterable[str]) -> None:
-        """Puts units into the cache."""
+    def _learn(self, units: Iterable[str]) -> dict[str, bytes]:
+        """Ids of units."""
         cut = {u: self._cut(u) for u in units}
         pieces = {p: p.encode() for ps in cut.values() for p in ps}
         ids: dict[str, bytes] = {}
@@ -210,7 +215,7 @@ class ByteBPE:
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 ids.update(zip(part, self.merge_rows([pieces[p] for p in part]), strict=True))
-        self.cache.update((u, ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])) for u, ps in cut.items())
+        return {u: ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for u, ps in cut.items()}
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
@@ -222,12 +227,22 @@ class ByteBPE:
                 parts.append([np.array([self.special[x]], "<u4").tobytes() if i % 2 else UNIT.findall(x) for i, x in enumerate(self.special_rx.split(text))])
             else:
                 parts.append([UNIT.findall(text)])
-        fresh = {u for ps in parts for p in ps if isinstance(p, list) for u in p}
-        if len(self.cache) + len(fresh) > self.cache_units:
-            self.cache.clear()
-        self._learn(fresh - self.cache.keys())
-        get = self.cache.__getitem__
-        return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in ps]) for ps in parts]
+        cache = self.cache
+        fresh = {u for ps in parts for p in ps if isinstance(p, list) for u in p if u not in cache}
+        learnt = self._learn(fresh)
+        short = {u: x for u, x in learnt.items() if len(u) <= CACHED_UP_TO}
+        cache.update(short)
+        long = {u: x for u, x in learnt.items() if len(u) > CACHED_UP_TO}
+        self.cached += sum(len(x) + len(u) + ENTRY_BYTES for u, x in short.items())
+        if long:
+            out = [b"".join([p if isinstance(p, bytes) else b"".join([cache[u] if u in cache else long[u] for u in p]) for p in ps]) for ps in parts]
+        else:
+            get = cache.__getitem__
+            out = [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in ps]) for ps in parts]
+        if self.cached > self.cache_bytes:
+            cache.clear()
+            self.cached = 0
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""

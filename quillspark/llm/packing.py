@@ -39,6 +39,8 @@ _PLAIN = re.compile("[ -~À-ÖØ-öø-įĲ-ňŊ-ž]+")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž ]+| ")
 #: Four bytes that no id has.
 _MARK = b"\xff\xff\xff\xff"
+#: Words of more characters are not cached; what an entry weighs besides its characters and ids.
+CACHED_UP_TO, ENTRY_BYTES = 64, 160
 
 
 class WordTokens:
@@ -51,7 +53,7 @@ class WordTokens:
 
     SUFFIX = "</w>"
 
-    def __init__(self, path: str, cache_words: int = 500_000, cache_pieces: int = 800_000):
+    def __init__(self, path: str, cache_bytes: int = 192 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,15 +64,33 @@ class WordTokens:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.SUFFIX)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.long: set[str] = set()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.cache_words, self.cache_pieces = cache_words, cache_pieces
+        self.cache_bytes, self.cached = cache_bytes, 0
 
     @staticmethod
     @functools.lru_cache(maxsize=1)
-    def of(path: str, cache_words: int, cache_pieces: int) -> WordTokens:
+    def of(path: str, cache_bytes: int) -> WordTokens:
         """The tokenizer of this process, which keeps its cache from task to task."""
-        return WordTokens(path, cache_words, cache_pieces)
+        return WordTokens(path, cache_bytes)
+
+    def _kept(self, cache: dict[str, bytes], new: list[str]) -> None:
+        """Counts new entries."""
+        self.cached += sum(len(x) + len(cache[x]) + ENTRY_BYTES for x in new)
+
+    def _trim(self, used: set[str]) -> None:
+        """After a batch: long entries go, and beyond the bound all but the words of the batch, and then these."""
+        for cache in (self.words, self.pieces):
+            for x in [x for x in used if len(x) > CACHED_UP_TO and x in cache]:
+                self.cached -= len(x) + len(cache.pop(x)) + ENTRY_BYTES
+        if self.cached > self.cache_bytes:
+            self.pieces = {}
+            self.words = {w: self.words[w] for w in used if w in self.words}
+            self.cached = 0
+            self._kept(self.words, list(self.words))
+            if 2 * self.cached > self.cache_bytes:
+                self.words, self.cached = {}, 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,16 +115,17 @@ class WordTokens:
             joined = " ".join(plain)
         if plain:
             tokens = _PIECE.findall(joined.lower())
-            fresh = set(tokens)
-            if len(self.pieces) + len(fresh) > self.cache_pieces:
-                self.pieces = {p: self.pieces[p] for p in fresh if p in self.pieces}
             self.pieces[" "] = _MARK
-            self._learn_pieces(list(fresh - self.pieces.keys()))
+            unknown = [p for p in set(tokens) if p not in self.pieces]
+            self._learn_pieces(unknown)
+            self._kept(self.pieces, unknown)
+            self.long.update(p for p in unknown if len(p) > CACHED_UP_TO)
             ids = b"".join(map(self.pieces.__getitem__, tokens)).split(_MARK)
             self.words.update(zip(plain, ids, strict=True))
         if len(plain) < len(new):
             other = [w for w in new if w not in self.words]
             self.words.update(zip(other, self._library(other), strict=True))
+        self._kept(self.words, new)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
@@ -113,14 +134,14 @@ class WordTokens:
         known = [list(map(self.words.get, ws)) for ws in words]
         gaps = [[k for k, v in enumerate(vs) if v is None] for vs in known]
         fresh = {ws[k] for ws, ks in zip(words, gaps, strict=True) for k in ks}
-        if len(self.words) + len(fresh) > self.cache_words:
-            used = {w for ws in words for w in ws}
-            self.words = {w: self.words[w] for w in used if w in self.words}
+        self.long: set[str] = {w for w in fresh if len(w) > CACHED_UP_TO}
         self._learn(list(fresh))
         for ws, vs, ks in zip(words, known, gaps, strict=True):
             for k in ks:
                 vs[k] = self.words[ws[k]]
-        return [odd.get(i) or b"".join(vs) for i, vs in enumerate(known)]
+        out = [odd.get(i) or b"".join(vs) for i, vs in enumerate(known)]
+        self._trim(self.long if self.cached <= self.cache_bytes else self.long.union(*words))
+        return out
 
 
 class Packer:
@@ -215,22 +236,21 @@ class Packer:
 OUTPUT = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, step_group long"
 
 
-def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (512, 1024, 2048, 4096), cache_words: int = 500_000, cache_pieces: int = 800_000) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (512, 1024, 2048, 4096), cache_bytes: int = 192 << 20) -> DataFrame:
     """One row per piece: id, start and length in its document's ids, ids (little-endian unsigned 32 bits), doc_tokens, sequence_id, offset, step_group.
 
     Each document is tokenized whole, with end_id after it; null is an empty
     text, which still has its end_id.  Rows are packed one by one, so null or
     repeated ids are no matter.  sequence_id and step_group are unique over the
     table.  An empty table gives an empty result; other columns are ignored.
-    A worker's caches hold cache_words words and cache_pieces pieces, some 160
-    bytes each.
+    A worker's caches of words and pieces hold cache_bytes between batches.
     """
     df = df.select(df[id_col], df[text_col].alias("__text"))
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {OUTPUT}"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokens.of(path, cache_words, cache_pieces), Packer(tiers)
+        words, packer = WordTokens.of(path, cache_bytes), Packer(tiers)
         base, done = TaskContext.get().partitionId() << 36, 0
         kind: pa.DataType = pa.int64()
 
