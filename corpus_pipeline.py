@@ -51,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers share their executors with those of the stages before, so the caches are small.
     """
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, cache_words=100_000, cache_pieces=150_000)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, cache_bytes=40 << 20)
 
 
 STAGES = [
