@@ -54,8 +54,8 @@ class ByteText:
     def values(self, a: int, b: int) -> np.ndarray:
         return winnow.byte_values(np.frombuffer(self.data, np.uint8, b - a, a))
 
-    def cut(self, a: int, b: int) -> bytes:
-        return self.data[a:b]
+    def cut(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        return [self.data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
 #: Words longer than this, and such as begin with a zero byte, stand as their digest where words are compared.
@@ -82,20 +82,17 @@ class WordText:
         base = int(self.start[a]) if b > a else 0
         return winnow.word_values(self.data[base : self.end[b - 1]] if b > a else b"", self.start[a:b] - base, self.end[a:b] - base)
 
-    def cut(self, a: int, b: int) -> bytes:
-        """The words [a, b), long ones as digests, so that what is sent is bounded."""
-        lo, hi = np.searchsorted(self.odd, [a, b])
-        if lo == hi:
-            return self.data[self.start[a] : self.end[b - 1]]
-        out, at = [], a
-        for i in self.odd[lo:hi].tolist():
-            if i > at:
-                out.append(self.data[self.start[at] : self.end[i - 1]])
-            out.append(b"\x00" + hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=16).hexdigest().encode())
-            at = i + 1
-        if at < b:
-            out.append(self.data[self.start[at] : self.end[b - 1]])
-        return b" ".join(out)
+    def cut(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """The words [a, b), a < b, of each span, long ones as digests, so that what is sent is bounded."""
+        out = [self.data[x:y] for x, y in zip(self.start[a].tolist(), self.end[b - 1].tolist(), strict=True)]
+        lo, hi = np.searchsorted(self.odd, a), np.searchsorted(self.odd, b)
+        for k in np.flatnonzero(lo < hi).tolist():
+            odd = set(self.odd[lo[k] : hi[k]].tolist())
+            out[k] = b" ".join([self._digest(i) if i in odd else self.data[self.start[i] : self.end[i]] for i in range(a[k], b[k])])
+        return out
+
+    def _digest(self, i: int) -> bytes:
+        return b"\x00" + hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=16).hexdigest().encode()
 
 
 @dataclass
@@ -149,8 +146,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, kind: type, length: int
                 text, n = kind(raw), 0
                 z.append(press.compress(text.data))
                 for first, count, offset, g in winnow.anchors(text.n, text.values, length, gram):
-                    spans = zip(first.tolist(), (first + count - 1 + length).tolist(), strict=True)
-                    digest = winnow.digests([text.cut(a, b) for a, b in spans], (count << _BITS | offset).tolist())
+                    digest = winnow.digests(text.cut(first, first + count - 1 + length), (count << _BITS | offset).tolist())
                     for col, x in zip(cols, ((first << 2 * _BITS) | (count << _BITS) | offset, g.view(np.int64), digest[:, 0], digest[:, 1]), strict=True):
                         col.append(x)
                     n += len(first)
@@ -175,10 +171,10 @@ def _fetch(profiles: DataFrame, classes: DataFrame, kind: type, length: int) ->
         for batch in bounded(batches, "z", 1 << 20):
             rows: list[tuple] = []
             for z, want in zip(batch.column("z").to_pylist(), batch.column("want").to_pylist(), strict=True):
-                text = kind(unpress.decompress(z))
-                for w in want:
-                    first = w["place"] >> 2 * _BITS
-                    rows.append((*w.values(), text.cut(first, first + (w["place"] >> _BITS & _MASK) - 1 + length)))
+                place = np.array([w["place"] for w in want])
+                first = place >> 2 * _BITS
+                bodies = kind(unpress.decompress(z)).cut(first, first + (place >> _BITS & _MASK) - 1 + length)
+                rows += [(*w.values(), body) for w, body in zip(want, bodies, strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.binary())], names=[*_CLASS, "body"])
 
@@ -252,7 +248,7 @@ def _split(crowded: DataFrame, kind: type, length: int, width: int) -> DataFrame
                 core = ph.of(offset - low, np.minimum(offset - low - width + 1, ph.n - length) + length)
                 key = winnow.mix(core ^ winnow.mix(np.uint64(gram & (2**64 - 1)) ^ low.astype(np.uint64)))
                 places = (j1 - j0) << _BITS | (offset - j0 - low)
-                texts = [text.cut(a, b) for a, b in zip(j0.tolist(), (j1 - 1 + length).tolist(), strict=True)]
+                texts = text.cut(j0, j1 - 1 + length)
                 own = winnow.digests(texts, (places << _BITS | low).tolist())
                 k = len(low)
                 rows += zip([gram] * k, [c1] * k, [c2] * k, [n] * k, key.view(np.int64).tolist(), own[:, 0].tolist(), own[:, 1].tolist(), j0.tolist(), places.tolist(), texts, strict=True)
