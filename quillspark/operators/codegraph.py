@@ -199,6 +199,57 @@ def module_summary(mods: DataFrame, shown: int = 5) -> DataFrame:
     return g.select("category", "n", F.concat("head", more).alias("line"))
 
 
+def module_groups(mods: DataFrame, listed: int = 3) -> DataFrame:
+    """(folder, n, line): modules other than tests and packages by top folder, for large projects.
+
+    The line names entry points (lib and bin), else the paths of up to `listed`, else only the number.
+    """
+    g = mods.where(~F.col("category").isin("test", "package")).withColumn("folder", F.element_at(F.split("path", "/"), 1))
+    entry = F.col("category").isin("lib", "bin")
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
+    g = g.withColumn("place", place).groupBy("folder").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(entry, F.col("path")))).alias("entries"), F.array_sort(F.collect_list(F.when(F.col("place") <= listed, F.col("path")))).alias("head")
+    )
+    line = F.when(F.size("entries") > 0, F.concat(F.col("n").cast("string"), F.lit(" files, entry: "), F.array_join("entries", ", "))).when(F.col("n") <= listed, F.array_join("head", ", ")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" files")))
+    return g.select("folder", "n", line.alias("line"))
+
+
+def architecture_notes(files: DataFrame) -> DataFrame:
+    """(place, note): the framework if one is found, then the numbers of routes and of components."""
+    notes = [
+        framework(files).where("framework is not null").select(F.lit(1).alias("place"), F.concat(F.lit("Framework: "), "framework").alias("note")),
+        routes(files).agg(F.count("*").alias("n")).select(F.lit(2).alias("place"), F.concat(F.lit("Route entries: "), F.col("n").cast("string")).alias("note")),
+        components(files).agg(F.count("*").alias("n")).select(F.lit(3).alias("place"), F.concat(F.lit("Component entries: "), F.col("n").cast("string")).alias("note")),
+    ]
+    return notes[0].unionByName(notes[1]).unionByName(notes[2])
+
+
+def relations(files: DataFrame, imports_of: DataFrame, shown: int = 15) -> DataFrame:
+    """(path, modules, importers, neighbours) of every file.
+
+    modules: what it imports, the first `shown` by line; importers: the first
+    `shown` files, by path, that import a module whose last part is the file's
+    name without ending; neighbours: the other files of its folder, all of them
+    (at most one folder's files).
+    """
+    top = lambda *by: F.row_number().over(Window.partitionBy("path").orderBy(*by))
+    listed = lambda c: F.array_sort(F.collect_list(F.struct("place", c)))
+    own = imports_of.withColumn("place", top("line", "module")).where(F.col("place") <= shown).groupBy("path").agg(listed("module").alias("m"))
+    tail = imports_of.select(F.regexp_replace("module", r"^.*[./\\:]", "").alias("tail"), F.col("path").alias("importer")).distinct()
+    by_tail = tail.withColumn("place", F.row_number().over(Window.partitionBy("tail").orderBy("importer"))).where(F.col("place") <= shown).groupBy("tail").agg(listed("importer").alias("i"))
+    folder = F.regexp_extract("path", r"^(.*/)", 1)
+    all_files = files.select("path", stem(basename(F.col("path"))).alias("tail"), folder.alias("folder"))
+    beside = all_files.groupBy("folder").agg(F.array_sort(F.collect_list("path")).alias("beside"))
+    out = all_files.join(own, "path", "left").join(by_tail, "tail", "left").join(beside, "folder")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "path",
+        F.coalesce(F.transform("m", lambda x: x["module"]), none).alias("modules"),
+        F.coalesce(F.transform("i", lambda x: x["importer"]), none).alias("importers"),
+        F.array_except("beside", F.array("path")).alias("neighbours"),
+    )
+
+
 def dependents(imports_of: DataFrame) -> DataFrame:
     """(module, n, importers): who imports a module, in order of path."""
     return imports_of.groupBy("module").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), "|").alias("importers"))

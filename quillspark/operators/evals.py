@@ -14,13 +14,14 @@ from pyspark.sql.types import DoubleType
 
 
 def precision_at(predicted: Column, expected: Column, k: int) -> Column:
-    """Hits in the first k over min(k, predictions); 0 without predictions."""
-    hits = F.size(F.array_intersect(F.slice(predicted, 1, k), expected))
+    """Hits in the first k, a repeated prediction counted each time, over min(k, predictions); 0 without predictions."""
+    hits = F.size(F.filter(F.slice(predicted, 1, k), lambda x: F.array_contains(expected, x)))
     return F.when(F.size(predicted) == 0, F.lit(0.0)).otherwise(hits / F.least(F.lit(k), F.size(predicted)))
 
 
 def recall_at(predicted: Column, expected: Column, k: int) -> Column:
-    hits = F.size(F.array_intersect(F.slice(predicted, 1, k), expected))
+    top = F.slice(predicted, 1, k)
+    hits = F.size(F.filter(expected, lambda x: F.array_contains(top, x)))
     return F.when(F.size(expected) == 0, F.lit(0.0)).otherwise(hits / F.size(expected))
 
 
@@ -190,10 +191,57 @@ def bootstrap_ratio(pairs: DataFrame, resamples: int = 10_000, seed: int = 42) -
 
 
 def saved_percent(before: Column, after: Column) -> Column:
-    """Whole percent, cut."""
-    return F.when(before == 0, 0).otherwise(F.floor((before - after) * 100 / before)).cast("int")
+    """Whole percent, cut towards zero; negative for growth."""
+    share = (before - after) * 100
+    return F.when(before == 0, 0).otherwise(F.signum(share) * F.floor(F.abs(share) / before)).cast("int")
 
 
 def retention(kept: Column, required: Column) -> Column:
     """Share of required values that are in the kept text; 1 if none is required."""
     return F.when(F.size(required) == 0, F.lit(1.0)).otherwise(F.size(F.filter(required, lambda x: kept.contains(x))) / F.size(required))
+
+
+#: What a compaction must carry on, by list and by single value; and those of them that decide whether it passed.
+CARRIED = ("decisions", "failed_approaches", "modified_files", "next_actions", "pinned_facts")
+SINGLE = ("current_subtask", "latest_decision")
+DECISIVE = ("pinned_facts", "current_subtask", "latest_decision", "modified_files")
+
+
+def compaction_scores(cases: DataFrame) -> DataFrame:
+    """cases (columns of CARRIED as arrays, of SINGLE as strings, output, packet_tokens, max_tokens) with <name>_retention each, and passed.
+
+    Null lists and values, and empty values, require nothing; a null output holds nothing.
+    """
+    out = F.coalesce("output", F.lit(""))
+    none = F.array().cast("array<string>")
+    kept = {c: retention(out, F.coalesce(c, none)) for c in CARRIED}
+    kept |= {c: F.when((F.coalesce(c, F.lit("")) == "") | out.contains(F.col(c)), 1.0).otherwise(0.0) for c in SINGLE}
+    scored = cases.withColumns({f"{c}_retention": x for c, x in kept.items()})
+    passed = F.col("packet_tokens") <= F.col("max_tokens")
+    for c in DECISIVE:
+        passed = passed & (F.col(f"{c}_retention") == 1.0)
+    return scored.withColumn("passed", passed)
+
+
+#: Endings of source files, and subjects that say nothing.
+SOURCE_ENDINGS = [".py", ".rs", ".js", ".ts", ".tsx", ".jsx", ".go", ".mjs", ".cjs"]
+SKIPPED_SUBJECTS = [r"^\s*v?\d+\.\d+(\.\d+)?(\s|$)", r"(?i)^\s*release\b", r"(?i)^\s*bump\b", r"(?i)^\s*merge\b", r"(?i)^\s*revert\b", r"(?i)^\s*wip\b", r"(?i)^\s*fixup!", r"(?i)^\s*squash!"]
+
+
+def commits_to_replay(commits: DataFrame, files: DataFrame, least: int = 15, most_files: int = 5) -> DataFrame:
+    """(sha, subject, expected) of commits(sha, message, paths) that can be asked back: a telling subject, and 1 to most_files source files that exist.
+
+    The subject is the message's first line, trimmed; expected are the existing
+    source files, sorted.  files(path) are those that exist.
+    """
+    subject = F.trim(F.element_at(F.split("message", "\n", 2), 1))
+    told = commits.select("sha", subject.alias("subject"), "paths").where(F.length("subject") >= least)
+    for p in SKIPPED_SUBJECTS:
+        told = told.where(~F.col("subject").rlike(p))
+    ends = F.lit(False)
+    for e in SOURCE_ENDINGS:
+        ends = ends | F.col("path").endswith(e)
+    touched = told.select("sha", "subject", F.explode(F.array_distinct("paths")).alias("path")).where(ends)
+    found = touched.join(files.select("path").distinct(), "path", "left_semi")
+    out = found.groupBy("sha", "subject").agg(F.array_sort(F.collect_list("path")).alias("expected"))
+    return out.where(F.size("expected") <= most_files)

@@ -10,37 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
 from .codegraph import basename, path_tokens, stem
 
 MAX_PROMPTS = 10_000
 MIN_WORD = 4
 
 #: Words that are no search terms.
-STOPWORDS = (
-    "the and for are but not you all can her was one our out day had has him his how man new now old see two way who boy did its let put say she too use "
-    "from with that this have will your what when make like time just know take into them some could other than then look only come over also back after first "
-    "well even want any way been which their work fix add remove update create delete change file files code function class method please thanks help need want "
-    "should could would show tell find check test run see does doing done make try using used still where there where because about very really much more less "
-    "most least without within across between through during before after above below under over same different new old good bad best worst better worse maybe "
-    "probably definitely exactly actually somehow instead rather something someone somewhere anything anyone anywhere nothing nobody nowhere everything everyone "
-    "everywhere lets let's we're we've you're you've they're it's isn't wasn't weren't don't doesn't didn't won't wouldn't can't couldn't shouldn't haven't hasn't "
-    "hadn't aren't"
-).split()
+STOPWORDS = [
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our", "out", "day", "had", "has", "him", "his", "how", "man", "new",
+    "now", "old", "see", "two", "way", "who", "boy", "did", "its", "let", "put", "say", "she", "too", "use", "from", "with", "that", "this", "have", "will",
+    "your", "what", "when", "make", "like", "time", "just", "know", "take", "into", "them", "some", "could", "other", "than", "then", "look", "only", "come",
+    "over", "also", "back", "after", "first", "well", "even", "want", "any", "way", "been", "which", "their", "work", "fix", "add", "remove", "update",
+    "create", "delete", "change", "file", "files", "code", "function", "class", "method", "please", "thanks", "help", "need", "want", "should", "could",
+    "would", "show", "tell", "find", "check", "test", "run", "see", "does", "doing", "done", "make", "try", "using", "used", "still", "where", "there",
+    "where", "because", "about", "very", "really", "much", "more", "less", "most", "least", "without", "within", "across", "between", "through", "during",
+    "before", "after", "above", "below", "under", "over", "same", "different", "new", "old", "good", "bad", "best", "worst", "better", "worse", "maybe",
+    "probably", "definitely", "exactly", "actually", "somehow", "instead", "rather", "something", "someone", "somewhere", "anything", "anyone", "anywhere",
+    "nothing", "nobody", "nowhere", "everything", "everyone", "everywhere", "lets", "let's", "we're", "we've", "you're", "you've", "they're", "it's",
+    "isn't", "wasn't", "weren't", "don't", "doesn't", "didn't", "won't", "wouldn't", "can't", "couldn't", "shouldn't", "haven't", "hasn't", "hadn't",
+    "aren't",
+]
 #: Stop words that become terms where a file is named so.
-PROMOTABLE = "test tests file files find check run code fix add make use show create update delete change remove".split()
+PROMOTABLE = ["test", "tests", "file", "files", "find", "check", "run", "code", "fix", "add", "make", "use", "show", "create", "update", "delete", "change", "remove"]
 #: Terms of code for words of prose.
 EXPANSIONS = {
-    "duplicate": "dedup", "duplicates": "dedup", "dedupe": "dedup", "deduplicate": "dedup", "block": "guard", "blocks": "guard", "blocking": "guard",
-    "enormous": "size large", "huge": "size large", "big": "size", "gigantic": "size large", "benchmark": "bench", "benchmarks": "bench", "benchmarking": "bench", "bench": "bench",
-    "simulator": "replay simulate", "simulation": "replay simulate", "simulate": "replay simulate", "adversarial": "robust robustness", "robustness": "robust", "robust": "robust",
-    "warmup": "prewarm warm", "evaluation": "eval", "evaluate": "eval", "statistics": "stats", "statistical": "stats", "ablation": "ablate ablat",
-    "ranking": "rank", "scoring": "rank score", "penalty": "penalt", "penalize": "penalt", "penalise": "penalt", "savings": "saving save", "saved": "save",
-    "authentication": "auth", "authenticate": "auth", "authenticated": "auth", "authenticating": "auth", "authorization": "auth", "authorize": "auth",
-    "exception": "except", "exceptions": "except", "configure": "config", "configuration": "config", "configured": "config", "configuring": "config",
-    "persistence": "persist", "persisting": "persist", "persisted": "persist", "directory": "dir", "directories": "dir", "initialize": "init", "initialized": "init", "initialization": "init",
-    "comparison": "compare cmp", "comparing": "compare cmp", "connection": "conn", "connections": "conn", "parser": "parse", "parsed": "parse", "parsing": "parse",
-    "compiler": "compile", "compiled": "compile", "compilation": "compile", "printer": "print", "printing": "print", "matcher": "match", "matching": "match", "matches": "match",
-    "walker": "walk", "walking": "walk", "searcher": "search", "searching": "search",
+    "duplicate": ["dedup"], "duplicates": ["dedup"], "dedupe": ["dedup"], "deduplicate": ["dedup"], "block": ["guard"], "blocks": ["guard"], "blocking": ["guard"],
+    "enormous": ["size", "large"], "huge": ["size", "large"], "big": ["size"], "gigantic": ["size", "large"], "benchmark": ["bench"], "benchmarks": ["bench"], "benchmarking": ["bench"], "bench": ["bench"],
+    "simulator": ["replay", "simulate"], "simulation": ["replay", "simulate"], "simulate": ["replay", "simulate"], "adversarial": ["robust", "robustness"], "robustness": ["robust"], "robust": ["robust"],
+    "warmup": ["prewarm", "warm"], "evaluation": ["eval"], "evaluate": ["eval"], "statistics": ["stats"], "statistical": ["stats"], "ablation": ["ablate", "ablat"],
+    "ranking": ["rank"], "scoring": ["rank", "score"], "penalty": ["penalt"], "penalize": ["penalt"], "penalise": ["penalt"], "savings": ["saving", "save"], "saved": ["save"],
+    "authentication": ["auth"], "authenticate": ["auth"], "authenticated": ["auth"], "authenticating": ["auth"], "authorization": ["auth"], "authorize": ["auth"],
+    "exception": ["except"], "exceptions": ["except"], "configure": ["config"], "configuration": ["config"], "configured": ["config"], "configuring": ["config"],
+    "persistence": ["persist"], "persisting": ["persist"], "persisted": ["persist"], "directory": ["dir"], "directories": ["dir"], "initialize": ["init"], "initialized": ["init"], "initialization": ["init"],
+    "comparison": ["compare", "cmp"], "comparing": ["compare", "cmp"], "connection": ["conn"], "connections": ["conn"], "parser": ["parse"], "parsed": ["parse"], "parsing": ["parse"],
+    "compiler": ["compile"], "compiled": ["compile"], "compilation": ["compile"], "printer": ["print"], "printing": ["print"], "matcher": ["match"], "matching": ["match"], "matches": ["match"],
+    "walker": ["walk"], "walking": ["walk"], "searcher": ["search"], "searching": ["search"],
 }
 #: Short prompts that only continue, and files that only gather others.
 CONTINUATIONS = ["continue", "ok", "yes", "no", "go", "fix it", "do it", "run it", "try again", "retry", "next", "what", "why"]
@@ -50,17 +55,26 @@ SIGNALS = ["symbol_exact", "symbol_ci", "path_exact", "path_substr", "import", "
 _CAMEL = r"(?<=[a-z0-9])(?=[A-Z])|[_\-\s]+"
 
 
+def _counted(files: DataFrame) -> tuple[int, list[str]]:
+    """The number of files, and the promotable stop words that are parts of their names."""
+    parts = F.split(F.lower(stem(basename(F.col("path")))), r"[_\-.]+")
+    some = F.array_sort(F.array_intersect(parts, F.array(*map(F.lit, PROMOTABLE))))
+    n, found = files.agg(F.count("*"), F.array_distinct(F.flatten(F.collect_set(some)))).first()
+    return n, sorted(found)
+
+
 def promoted(files: DataFrame) -> list[str]:
-    """The promotable stop words that are parts of file names; at most len(PROMOTABLE) rows."""
-    parts = F.explode(F.split(F.lower(stem(basename(F.col("path")))), r"[_\-.]+"))
-    return sorted(r[0] for r in files.select(parts.alias("w")).where(F.col("w").isin(PROMOTABLE)).distinct().collect())
+    return _counted(files)[1]
 
 
-def stop_words(files: DataFrame) -> list[str]:
-    named = set(promoted(files))
+def _stop(named: list[str]) -> list[str]:
     return [w for w in dict.fromkeys(STOPWORDS) if w not in named]
 
 
+def stop_words(files: DataFrame) -> list[str]:
+    return _stop(promoted(files))
+
+
 def with_tokens(prompts: DataFrame, stop: list[str], min_word: int = MIN_WORD) -> DataFrame:
     """prompts with tokens, distinct terms: words and their camel and snake parts, expansions, then plural and singular forms.
 
@@ -69,9 +83,9 @@ def with_tokens(prompts: DataFrame, stop: list[str], min_word: int = MIN_WORD) -
     good = lambda w: (F.length(w) >= min_word) & ~F.lower(w).isin(stop)
     words = F.filter(F.regexp_extract_all("prompt", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), good)
     own = F.array_distinct(F.concat("_words", F.filter(F.flatten(F.transform("_words", lambda w: F.split(w, _CAMEL))), good)))
-    table = F.create_map(*[F.lit(x) for kv in EXPANSIONS.items() for x in kv])
+    table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     prose = F.array_intersect(F.array_distinct(F.regexp_extract_all(F.lower("prompt"), F.lit("[a-z]+"), F.lit(0))), F.map_keys(table))
-    more = F.filter(F.flatten(F.transform(prose, lambda w: F.split(table[w], " "))), lambda w: ~F.array_contains("_low", w))
+    more = F.filter(F.flatten(F.transform(prose, lambda w: table[w])), lambda w: ~F.array_contains("_low", w))
 
     def forms(w: Column) -> Column:
         n = F.length(w)
@@ -118,116 +132,174 @@ def is_test_file(path: Column) -> Column:
     return path.rlike(r"(?:^|/)tests?/") | base.rlike(r"^test_|_test\.py$|\.(?:test|spec)\.(?:ts|js)$")
 
 
-def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, frequencies: DataFrame, hot: DataFrame, k: int = 5, off: tuple[str, ...] = ()) -> DataFrame:
-    """(prompt_id, place, path, score): the k best files of each prompt.
+#: Substrings of this length lead terms to paths.
+GRAM = 3
+
+
+def _grams(text: Column, sizes: tuple[int, ...] = (GRAM,)) -> Column:
+    """The distinct substrings of these lengths."""
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*map(of, sizes))))
+
+
+def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, frequencies: DataFrame, hot: DataFrame, k: int = 5, without: tuple[str, ...] = ("",)) -> DataFrame:
+    """(without, prompt_id, place, path, score, line, symbol, kind): the k best files of each prompt, once per signal left out.
 
     Whole-number bumps per (file, line), adjusted per line and summed per file;
-    ties go to the smaller path.  `off` names signals to leave out.
+    ties go to the smaller path.  `without` names the signals of SIGNALS that
+    are left out, one at a time ("" for none); all are scored in one pass, each
+    bump carrying the bits of those it counts for.  line, symbol and kind are of
+    the best line in the first of them.  Terms meet paths through the first
+    GRAM characters, an equi-join, before they are compared.
     """
     if prompts.limit(MAX_PROMPTS + 1).count() > MAX_PROMPTS:
         raise ValueError(f"more than {MAX_PROMPTS} prompts in a batch")
-    on = lambda s: s not in off
-    stop = stop_words(files)
-    n = files.agg(F.count("*")).first()[0] or 1
-    N = F.lit(float(max(n, 1)))
-    asked = with_tokens(prompts.select("prompt_id", "prompt"), stop).withColumn("paths", prompt_paths(F.col("prompt")))
+    n, named_words = _counted(files)
+    N = F.lit(float(max(n or 1, 1)))
+    asked = with_tokens(prompts.select("prompt_id", "prompt"), _stop(named_words)).withColumn("paths", prompt_paths(F.col("prompt")))
     tokens = asked.select("prompt_id", F.explode("tokens").alias("token")).withColumn("low", F.lower("token"))
     weighed = tokens.join(frequencies.select(F.col("token").alias("low"), "df"), "low", "left").withColumn("idf", idf(F.col("df"), N))
+
+    def bits(counts) -> Column:
+        return F.lit(sum(1 << i for i, w in enumerate(without) if counts(w)))
+
+    unless = lambda *signals: bits(lambda w: w not in signals)
     parts = []
 
-    if on("symbol_exact"):
-        exact = symbols.join(F.broadcast(weighed), symbols["name"] == weighed["token"])
-        parts.append(exact.select("prompt_id", "path", "line", F.floor(10 * F.col("idf")).alias("score")))
-    if on("symbol_ci"):
-        names = symbols.select("name").distinct()
-        lowered = names.groupBy(F.lower("name").alias("low")).agg(F.max("name").alias("name"))  # of names that differ in case, one
-        rest = weighed.join(names.withColumnRenamed("name", "token"), "token", "left_anti") if on("symbol_exact") else weighed
-        loose = symbols.join(rest.join(lowered, "low"), "name")
-        parts.append(loose.select("prompt_id", "path", "line", F.floor(8 * F.col("idf")).alias("score")))
+    def bump(rows: DataFrame, order: int, line: Column, symbol: Column, kind: Column, score: Column, mask: Column) -> None:
+        parts.append(rows.select("prompt_id", "path", line.alias("line"), score.cast("long").alias("score"), mask.alias("mask"), F.struct(F.lit(order).alias("order"), symbol.alias("symbol"), kind.alias("kind")).alias("what")))
+
+    one = F.lit(1)
+    exact = symbols.join(F.broadcast(weighed), symbols["name"] == weighed["token"])
+    bump(exact, 0, F.col("line"), F.col("name"), F.col("kind"), F.floor(10 * F.col("idf")), unless("symbol_exact"))
+    names = symbols.select("name").distinct()
+    lowered = names.groupBy(F.lower("name").alias("low")).agg(F.max("name").alias("name"))  # of names that differ in case, one
+    known = weighed.join(names.select(F.col("name").alias("token"), F.lit(True).alias("known")), "token", "left")
+    loose = symbols.join(F.broadcast(known.join(lowered, "low")), "name")
+    bump(loose, 1, F.col("line"), F.col("name"), F.col("kind"), F.floor(8 * F.col("idf")), F.when(F.col("known"), bits(lambda w: w == "symbol_exact")).otherwise(unless("symbol_ci")))
 
     low, base = F.lower("path"), F.lower(basename(F.col("path")))
     root = stem(base)
     named = files.select("path", low.alias("fl"), root.alias("root"), _squashed(root, "_").alias("under"), _squashed(root, " ").alias("space"))
-    at_top = lambda df: df.select("prompt_id", "path", F.lit(1).alias("line"), "score")
-    if on("path_exact"):
-        forms = asked.select("prompt_id", _squashed(F.col("prompt"), "_").alias("p_under"), F.concat(F.lit(" "), _squashed(F.col("prompt"), " "), F.lit(" ")).alias("p_space"))
-        hit = (F.length("root") >= 5) & (((F.col("under") != "") & F.col("p_under").contains(F.col("under"))) | ((F.col("space") != "") & F.col("p_space").contains(F.concat(F.lit(" "), F.col("space"), F.lit(" ")))))
-        parts.append(at_top(named.join(F.broadcast(forms), hit).withColumn("score", F.lit(15).cast("long"))))
+    file_name, a_file = basename(F.col("path")), F.lit("file")
+    forms = asked.select("prompt_id", _squashed(F.col("prompt"), "_").alias("p_under"), F.concat(F.lit(" "), _squashed(F.col("prompt"), " "), F.lit(" ")).alias("p_space"))
+    forms = forms.select("*", F.explode(_grams(F.col("p_under"), (1, 2, GRAM))).alias("lead"))
+    hit = F.col("p_under").contains(F.col("under")) | F.col("p_space").contains(F.concat(F.lit(" "), F.col("space"), F.lit(" ")))
+    said = named.where((F.length("root") >= 5) & (F.col("under") != "")).withColumn("lead", F.left("under", F.lit(GRAM))).join(F.broadcast(forms), "lead").where(hit)
+    bump(said, 2, one, file_name, a_file, F.lit(15), unless("path_exact"))
     both = asked.select("prompt_id", F.explode(F.array_distinct(F.transform(F.concat("tokens", "paths"), F.lower))).alias("low"))
-    terms = both.join(frequencies.select(F.col("token").alias("low"), "df"), "low", "left").withColumn("idf", idf(F.col("df"), N))
-    whole = (F.col("fl") == F.col("low")) | F.col("fl").endswith(F.concat(F.lit("/"), F.col("low"))) | (F.col("low").contains("/") & F.col("fl").contains(F.col("low"))) if on("path_exact") else F.lit(False)
+    terms = both.join(frequencies.select(F.col("token").alias("low"), "df"), "low", "left").withColumn("idf", idf(F.col("df"), N)).withColumn("lead", F.left("low", F.lit(GRAM)))
+    near = named.select("path", "fl", "root", F.explode(_grams(F.col("fl"))).alias("lead")).join(F.broadcast(terms), "lead").where(F.col("fl").contains(F.col("low")))
+    whole = (F.col("fl") == F.col("low")) | F.col("fl").endswith(F.concat(F.lit("/"), F.col("low"))) | (F.col("low").contains("/") & F.col("fl").contains(F.col("low")))
     spread = F.greatest(F.lit(0.0), 1 - F.coalesce("df", F.lit(0)) / N)
-    inside = F.lit(on("path_substr")) & (F.length("low") >= 4)
-    points = F.when(whole, F.floor(8 * F.col("idf"))).when(inside & (F.col("root") == F.col("low")), F.floor(6 * F.col("idf"))).when(inside, F.floor(3 * F.col("idf") * spread)).otherwise(0)
-    near = F.col("fl").contains(F.col("low")) | (F.col("root") == F.col("low"))
-    parts.append(at_top(named.join(F.broadcast(terms), near).withColumn("score", points).where("score > 0")))
-    if on("import"):
-        last = F.regexp_replace(F.lower("module"), r"^.*[./]", "")
-        w = Window.partitionBy("module").orderBy("path")
-        first = imports.withColumn("at", F.row_number().over(w)).where("at <= 3").select("path", F.lower("module").alias("ml"), last.alias("last"))
-        hit = (F.col("low") == F.col("ml")) | (F.col("low") == F.col("last"))
-        parts.append(at_top(first.join(F.broadcast(tokens), hit).withColumn("score", F.lit(3).cast("long"))))
+    inside = F.when(F.length("low") < 4, 0).when(F.col("root") == F.col("low"), F.floor(6 * F.col("idf"))).otherwise(F.floor(3 * F.col("idf") * spread))
+    by_name, by_part = F.when(whole, F.floor(8 * F.col("idf"))).otherwise(0), F.when(whole, F.floor(8 * F.col("idf"))).otherwise(inside)
+    for points, mask in ((by_part, unless("path_exact", "path_substr")), (inside, bits(lambda w: w == "path_exact")), (by_name, bits(lambda w: w == "path_substr"))):
+        bump(near.where(points > 0), 3, one, file_name, a_file, points, mask)
+    w = Window.partitionBy("module").orderBy("path")
+    first = imports.withColumn("at", F.row_number().over(w)).where("at <= 3").select("path", F.lower("module").alias("ml"), F.regexp_replace(F.lower("module"), r"^.*[./]", "").alias("last"))
+    used = first.select("path", F.explode(F.array_distinct(F.array("ml", "last"))).alias("low")).join(F.broadcast(tokens), "low")
+    bump(used, 4, one, F.col("token"), F.lit("importer"), F.lit(3), unless("import"))
 
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    lines = every.groupBy("prompt_id", "path", "line").agg(F.sum("score").alias("score")).join(F.broadcast(asked.select("prompt_id", "prompt", "tokens")), "prompt_id")
+    counts = [F.sum(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("score")).otherwise(0)).alias(f"s{i}") for i in range(len(without))]
+    lines = every.where("mask <> 0").groupBy("prompt_id", "path", "line").agg(*counts, F.min(F.when(F.col("mask").bitwiseAND(1) != 0, F.col("what"))).alias("what"))
+    lines = lines.select("prompt_id", "path", "line", "what", F.posexplode(F.array(*[f"s{i}" for i in range(len(without))])).alias("v", "score")).where("score > 0")
+    total = lines.groupBy("v", "prompt_id", "path").agg(F.sum("score").alias("score"), F.count("*").alias("n"), F.max_by("what", F.struct("score", -F.col("line"))).alias("what"), F.max_by("line", F.struct("score", -F.col("line"))).alias("line"))
+
+    # adjustments are alike for all lines of a file
+    total = total.join(F.broadcast(asked.select("prompt_id", "prompt", "tokens")), "prompt_id").join(hot.select("path", F.lit(2).alias("heat")), "path", "left")
+    total = total.withColumn("without", F.element_at(F.array(*map(F.lit, without)), F.col("v") + 1))
+    on = lambda signal: F.col("without") != signal
     own = path_tokens(F.col("path"))
     hits = F.size(F.filter(F.array_distinct(F.transform("tokens", F.lower)), lambda t: F.array_contains(own, t) | ((F.length(t) >= 4) & F.lower("path").contains(t))))
     plow = F.lower("prompt")
-    score = F.col("score")
-    if on("path_substr"):
-        score = score + F.when(hits >= 2, F.least(F.lit(8), 2 * (hits - 1))).otherwise(0)
-    if on("hot"):
-        lines = lines.join(hot.select("path", F.lit(2).alias("heat")), "path", "left")
-        score = score + F.coalesce("heat", F.lit(0))
-    if on("test_penalty"):
-        score = score - F.when(is_test_file(F.col("path")) & ~plow.contains("test") & ~plow.contains("fixture"), 3).otherwise(0)
-    if on("hub_penalty"):
-        score = score - F.when(base.isin(HUBS) & ~plow.contains(F.element_at(F.split(base, r"\."), 1)) & ~plow.contains(base), 2).otherwise(0)
-    total = lines.groupBy("prompt_id", "path").agg(F.sum(score).cast("long").alias("score"))
-    place = F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("score"), "path"))
-    return total.withColumn("place", place).where(F.col("place") <= k).select("prompt_id", "place", "path", "score")
+    change = (
+        F.when(on("path_substr") & (hits >= 2), F.least(F.lit(8), 2 * (hits - 1))).otherwise(0)
+        + F.when(on("hot"), F.coalesce("heat", F.lit(0))).otherwise(0)
+        - F.when(on("test_penalty") & is_test_file(F.col("path")) & ~plow.contains("test") & ~plow.contains("fixture"), 3).otherwise(0)
+        - F.when(on("hub_penalty") & base.isin(HUBS) & ~plow.contains(F.element_at(F.split(base, r"\."), 1)) & ~plow.contains(base), 2).otherwise(0)
+    )
+    scored = total.withColumn("score", (F.col("score") + F.col("n") * change).cast("long"))
+    place = F.row_number().over(Window.partitionBy("without", "prompt_id").orderBy(F.desc("score"), "path"))
+    return scored.withColumn("place", place).where(F.col("place") <= k).select("without", "prompt_id", "place", "path", "score", "line", "what.symbol", "what.kind")
+
+
+def block(ranked: DataFrame, imports: DataFrame, heading: str = "Candidates from the code graph (files not read):") -> DataFrame:
+    """(prompt_id, block): the ranked files as lines with place, symbol and kind, and what they import (up to three by name)."""
+    has = imports.groupBy("path").agg(F.count("*").alias("n_imports"), F.array_sort(F.collect_list(F.struct("line", "module"))).alias("modules"))
+    rows = ranked.join(has, "path", "left")
+    user = F.col("kind") == "importer"
+    at = F.concat(F.lit("`"), "path", F.when(F.col("line") > 1, F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise(""), F.lit("`"))
+    what = F.when(user, F.concat(F.lit("uses `"), "symbol", F.lit("`"))).when(F.col("kind") != "file", F.concat("symbol", F.lit(" ("), "kind", F.lit(")")))
+    listed = F.concat(F.lit("imports: "), F.array_join(F.transform("modules", lambda m: m["module"]), ", "))
+    needs = F.when(~user & (F.col("n_imports") <= 3), listed).when(~user & (F.col("n_imports") > 3), F.concat(F.col("n_imports").cast("string"), F.lit(" imports")))
+    line = F.concat(F.lit("- "), F.array_join(F.array_compact(F.array(at, what, needs)), " · "))
+    out = rows.groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))).alias("r"))
+    return out.select("prompt_id", F.concat(F.lit(heading + "\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("block"))
 
 
 # -- BM25 and plain baselines
 
 
+def words(s: Column) -> Column:
+    """Lower-case words of two characters or more, repeats included."""
+    return F.filter(F.regexp_extract_all(F.lower(s), F.lit("[a-z_][a-z0-9_]*"), F.lit(0)), lambda w: F.length(w) >= 2)
+
+
 def split_terms(s: Column) -> Column:
     """Distinct lower-case terms of words with their separated and camel parts, two characters or more."""
-    words = F.filter(F.regexp_extract_all(s, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), lambda w: F.length(w) >= 2)
-    pieces = F.flatten(F.transform(words, lambda w: F.concat(F.split(w, r"[_\-./\\]+"), F.regexp_extract_all(w, F.lit("[a-z]+|[A-Z][a-z]*|[0-9]+"), F.lit(0)))))
-    return F.array_distinct(F.transform(F.concat(words, F.filter(pieces, lambda p: F.length(p) >= 2)), F.lower))
+    found = F.regexp_extract_all(s, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    joined = F.array_join(found, " ")
+    pieces = [F.regexp_extract_all(joined, F.lit(p), F.lit(0)) for p in ("[A-Za-z0-9]+", "[a-z]+|[A-Z][a-z]*|[0-9]+")]
+    return F.array_distinct(F.transform(F.filter(F.concat(found, *pieces), lambda p: F.length(p) >= 2), F.lower))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, place, doc, score) of queries(query_id, terms) over docs(doc, terms), terms arrays of distinct words.
+    """(query_id, place, doc, score) of queries(query_id, terms) over docs(doc, terms), terms arrays in which a repeat counts as frequency.
 
-    Postings meet queries in an equi-join on the term; only scores above 0 come back.
+    Texts are cut into terms once; only the queries' terms leave the documents,
+    counted per document on the map side; document frequencies come from these
+    counts.  Only scores above 0 come back.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    postings = docs.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    docs = kept(docs.select("doc", "terms", F.size("terms").alias("dl")))
+    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    postings = docs.select("doc", "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    postings = kept(postings.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode("terms").alias("term")).join(df, "term").join(F.broadcast(stats))
+    asked = wanted.join(df, "term").join(F.broadcast(stats))
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = weight * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     found = postings.join(asked, "term").groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
     out = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("score"), 9).desc(), "doc")))
     return (out.where(F.col("place") <= k) if k else out).select("query_id", "place", "doc", "score")
 
 
+def _few(queries: DataFrame) -> DataFrame:
+    """Queries that every document meets: their number is checked before they are broadcast."""
+    if queries.limit(MAX_PROMPTS + 1).count() > MAX_PROMPTS:
+        raise ValueError(f"more than {MAX_PROMPTS} queries in a batch")
+    return F.broadcast(queries)
+
+
 def grep_count(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, place, doc, hits): occurrences of the terms in docs(doc, hay); ties to shorter, then larger names."""
     count = lambda t: ((F.length("hay") - F.length(F.replace(F.col("hay"), t, F.lit("")))) / F.length(t)).cast("long")
     hits = F.aggregate("terms", F.lit(0).cast("long"), lambda acc, t: acc + count(t))
-    found = docs.join(F.broadcast(queries)).withColumn("hits", hits).where("hits > 0")
+    found = docs.join(_few(queries)).withColumn("hits", hits).where("hits > 0")
     return _placed(found, "hits", k)
 
 
 def overlap(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, place, doc, hits): terms shared with docs(doc, terms); ties to shorter, then larger names."""
     d = docs.select("doc", F.col("terms").alias("own"))
-    found = d.join(F.broadcast(queries)).withColumn("hits", F.size(F.array_intersect("terms", "own")).cast("long")).where("hits > 0")
+    found = d.join(_few(queries)).withColumn("hits", F.size(F.array_intersect("terms", "own")).cast("long")).where("hits > 0")
     return _placed(found, "hits", k)
 
 

@@ -108,12 +108,6 @@ def i19_lint_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.with_parts(LQ._prompts(spark, sf_dir)).select("id", F.round(F.size(F.array_intersect(codes, want)) / F.size(want), 6).alias("recall"))
 
 
-@query(f"WITH {GQ.FILES_SQL} SELECT CASE WHEN ends_with(path, '.toml') THEN 'config' ELSE 'source' END AS part, count(*)::BIGINT AS n, count(*) FILTER (contains(path, '/test'))::BIGINT AS tests FROM files GROUP BY 1")
-def d7_architecture_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.when(G.is_config(F.col("path")), "config").otherwise("source")
-    return GQ.files(spark, sf_dir).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.count_if(F.col("path").contains("/test")).alias("tests"))
-
-
 @query("SELECT event_id AS id, user_id::VARCHAR AS session_id, event_type AS kind, floor(value)::INT AS before_tokens, floor(value / 2)::INT AS after_tokens, 0::BIGINT AS latency_ms FROM events")
 def h4_s11_transform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry rows of transforms, in the table's types."""

@@ -186,11 +186,31 @@ def e7_find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.where((F.col("tier") == F.col("best")) & (F.col("place") <= F.when(F.col("best") == 0, 10).otherwise(5))).select("wanted", "name", "path", "line", "place")
 
 
-@query(f"""WITH {FILES_SQL}, {_SRC}, {_IMPORTS}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, module) AS place FROM imports)
-SELECT path, string_agg(module, '|' ORDER BY place) AS modules FROM r WHERE place <= 15 GROUP BY path""")
+@query(f"""WITH {FILES_SQL}, {_SRC}, {_IMPORTS}, own AS (SELECT path, string_agg(module, '|' ORDER BY line, module) AS modules FROM (SELECT * FROM imports QUALIFY row_number() OVER (PARTITION BY path ORDER BY line, module) <= 15) GROUP BY path),
+tails AS (SELECT DISTINCT regexp_replace(module, '^.*[./\\\\:]', '') AS tail, path AS importer FROM imports), by_tail AS (SELECT tail, string_agg(importer, '|' ORDER BY importer) AS importers FROM (SELECT * FROM tails QUALIFY row_number() OVER (PARTITION BY tail ORDER BY importer) <= 15) GROUP BY tail),
+f AS (SELECT path, regexp_replace({_BASE}, '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS tail, regexp_extract(path, '^(.*/)', 1) AS folder FROM files), beside AS (SELECT folder, list(path ORDER BY path) AS b FROM f GROUP BY folder)
+SELECT path, coalesce(modules, '') AS modules, coalesce(importers, '') AS importers, array_to_string([x FOR x IN b IF x <> path], '|') AS neighbours FROM f JOIN beside USING (folder) LEFT JOIN own USING (path) LEFT JOIN by_tail USING (tail)""")
 def e8_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to 15 modules per file, in order of appearance."""
-    from pyspark.sql import Window
+    """Of every file up to 15 modules, up to 15 importers by its name, and the files beside it."""
+    f = files(spark, sf_dir)
+    r = G.relations(f, G.imports(f))
+    return r.select("path", *[F.array_join(c, "|").alias(c) for c in ("modules", "importers", "neighbours")])
+
+
+@query(f"""WITH {FILES_SQL}, {_MODULES}, g AS (SELECT *, string_split(path, '/')[1] AS folder FROM mods WHERE category NOT IN ('test', 'package')),
+s AS (SELECT folder, count(*) AS n, string_agg(path, ', ' ORDER BY path) FILTER (category IN ('lib', 'bin')) AS entries, string_agg(path, ', ' ORDER BY path) AS paths FROM g GROUP BY folder)
+SELECT folder, n::BIGINT AS n, CASE WHEN entries IS NOT NULL THEN n || ' files, entry: ' || entries WHEN n <= 3 THEN paths ELSE n || ' files' END AS line FROM s""")
+def d8_module_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules by top folder, the form for large projects."""
+    return G.module_groups(G.modules(files(spark, sf_dir)))
+
 
-    r = G.imports(files(spark, sf_dir)).withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("line", "module"))).where("place <= 15")
-    return r.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "module"))), lambda x: x["module"]), "|").alias("modules"))
+_ROUTES = rf"""routes AS (SELECT path FROM files WHERE regexp_matches(path, '^app/.*/page\.(?:tsx|ts|jsx|js)$') OR regexp_matches(path, '^pages/.*\.(?:tsx|ts|jsx|js)$') OR regexp_matches(path, '^src/routes/.*\.(?:tsx|ts|js)$'))"""
+
+
+@query(rf"""WITH {FILES_SQL}, {_ROUTES} SELECT 1::INT AS place, 'Framework: react' AS note
+UNION ALL SELECT 2::INT, 'Route entries: ' || count(*) FROM routes UNION ALL SELECT 3::INT, 'Component entries: ' || count(*) FROM files WHERE ends_with(path, '.tsx') AND regexp_matches({_BASE}, '^\p{{Lu}}')""")
+def d7_architecture_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Framework, routes and components of a project with a manifest."""
+    extra = spark.range(1).select(F.lit("package.json").alias("path"), F.lit('{"dependencies": {"react": "18"}}').alias("content"))
+    return G.architecture_notes(files(spark, sf_dir).select("path", "content").unionByName(extra))

@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 from ..operators import codegraph as G
 from ..operators import evals as V
 from ..operators import rank as K
+from ..functions import text as T
+from ..functions import tokens
+from ..operators import reduce as R
+from ..operators import session as S
+from ..sources.tables import kept
 from . import graph_queries as GQ
-from .inputs import _quoted
+from . import session_queries as SQ
+from . import text_queries as TQ
+from .inputs import _quoted, sql_estimate, sql_lines
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,7 +65,7 @@ def _terms(prompt: str, promoted: set[str]) -> set[str]:
     for w in filter(ok, re.findall("[A-Za-z_][A-Za-z0-9_]*", prompt)):
         own |= {w, *filter(ok, re.split(r"(?<=[a-z0-9])(?=[A-Z])|[_\-\s]+", w))}
     low = {w.lower() for w in own}
-    more = {s for w in re.findall("[a-z]+", prompt.lower()) for s in K.EXPANSIONS.get(w, "").split() if s not in low}
+    more = {s for w in re.findall("[a-z]+", prompt.lower()) for s in K.EXPANSIONS.get(w, []) if s not in low}
     out = own | more
     for w in [x.lower() for x in own | more]:
         forms = {w}
@@ -122,44 +129,52 @@ named AS (SELECT path, lower(path) AS fl, regexp_replace(lower({GQ._BASE}), '^(\
 terms AS (SELECT DISTINCT prompt_id, lower(x) AS low FROM (SELECT prompt_id, token AS x FROM tokens UNION ALL SELECT prompt_id, path FROM paths)),
 wt AS (SELECT prompt_id, low, coalesce(df, 0) AS d, {_IDF} AS idf, n FROM terms LEFT JOIN dfs ON dfs.token = low, total),
 bumps AS (
-  SELECT 'symbol_exact' AS sig, prompt_id, path, line, floor(10 * idf) AS score FROM symbols JOIN w ON name = token
-  UNION ALL SELECT 'symbol_ci', prompt_id, path, line, floor(8 * idf) FROM symbols JOIN (SELECT lower(name) AS low, max(name) AS real FROM symbols GROUP BY 1) l ON name = l.real JOIN w ON w.low = l.low WHERE w.token NOT IN (SELECT name FROM symbols)
-  UNION ALL SELECT 'base', prompt_id, path, 1, 15 FROM named, prompts WHERE length(root) >= 5 AND (contains({_SQUASH('prompt', '_')}, {_SQUASH('root', '_')}) OR contains(' ' || {_SQUASH('prompt', ' ')} || ' ', ' ' || {_SQUASH('root', ' ')} || ' '))
-  UNION ALL SELECT 'path', prompt_id, path, 1, CASE WHEN fl = low OR ends_with(fl, '/' || low) OR (contains(low, '/') AND contains(fl, low)) THEN floor(8 * idf) WHEN length(low) < 4 THEN 0 WHEN root = low THEN floor(6 * idf) WHEN contains(fl, low) THEN floor(3 * idf * greatest(0.0::DOUBLE, 1 - d / n)) ELSE 0 END FROM named, wt
-  UNION ALL SELECT 'import', prompt_id, i.path, 1, 3 FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY path) AS r FROM imports) i JOIN w ON w.low = lower(module) OR w.low = regexp_replace(lower(module), '^.*[./]', '') WHERE r <= 3),
-lines AS (SELECT prompt_id, path, line, sum(score) AS score FROM bumps WHERE score > 0 GROUP BY ALL),
+  SELECT 'symbol_exact' AS sig, prompt_id, path, line, floor(10 * idf) AS score, {{'o': 0, 's': name, 'k': kind}} AS what FROM symbols JOIN w ON name = token
+  UNION ALL SELECT 'symbol_ci', prompt_id, path, line, floor(8 * idf), {{'o': 1, 's': name, 'k': kind}} FROM symbols JOIN (SELECT lower(name) AS low, max(name) AS real FROM symbols GROUP BY 1) l ON name = l.real JOIN w ON w.low = l.low WHERE w.token NOT IN (SELECT name FROM symbols)
+  UNION ALL SELECT 'base', prompt_id, path, 1, 15, {{'o': 2, 's': {GQ._BASE}, 'k': 'file'}} FROM named, prompts WHERE length(root) >= 5 AND (contains({_SQUASH('prompt', '_')}, {_SQUASH('root', '_')}) OR contains(' ' || {_SQUASH('prompt', ' ')} || ' ', ' ' || {_SQUASH('root', ' ')} || ' '))
+  UNION ALL SELECT 'path', prompt_id, path, 1, CASE WHEN fl = low OR ends_with(fl, '/' || low) OR (contains(low, '/') AND contains(fl, low)) THEN floor(8 * idf) WHEN length(low) < 4 THEN 0 WHEN root = low THEN floor(6 * idf) WHEN contains(fl, low) THEN floor(3 * idf * greatest(0.0::DOUBLE, 1 - d / n)) ELSE 0 END, {{'o': 3, 's': {GQ._BASE}, 'k': 'file'}} FROM named, wt
+  UNION ALL SELECT 'import', prompt_id, i.path, 1, 3, {{'o': 4, 's': w.token, 'k': 'importer'}} FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY path) AS r FROM imports) i JOIN w ON w.low = lower(module) OR w.low = regexp_replace(lower(module), '^.*[./]', '') WHERE r <= 3),
+lines AS (SELECT prompt_id, path, line, sum(score) AS score, min(what) AS what FROM bumps WHERE score > 0 GROUP BY prompt_id, path, line),
 cover AS (SELECT prompt_id, path, count(*) AS hits FROM (SELECT DISTINCT prompt_id, low FROM w) q JOIN files ON (length(low) >= 4 AND contains(lower(path), low)) OR list_contains({GQ.PATH_TOKENS_SQL}, low) GROUP BY ALL),
 adj AS (SELECT l.*, prompt, l.score + CASE WHEN coalesce(hits, 0) >= 2 THEN least(8, 2 * (hits - 1)) ELSE 0 END + CASE WHEN l.path IN (SELECT path FROM hot) THEN 2 ELSE 0 END
   - CASE WHEN (regexp_matches(l.path, '(?:^|/)tests?/') OR regexp_matches(base, '^test_|_test\\.py$|\\.(?:test|spec)\\.(?:ts|js)$')) AND NOT contains(lower(prompt), 'test') AND NOT contains(lower(prompt), 'fixture') THEN 3 ELSE 0 END
   - CASE WHEN base IN ({', '.join(map(_quoted, K.HUBS))}) AND NOT contains(lower(prompt), string_split(base, '.')[1]) AND NOT contains(lower(prompt), base) THEN 2 ELSE 0 END AS s
   FROM lines l JOIN prompts USING (prompt_id) JOIN named USING (path) LEFT JOIN cover USING (prompt_id, path)),
-files_scored AS (SELECT prompt_id, path, sum(s)::BIGINT AS score FROM adj GROUP BY ALL)"""
+files_scored AS (SELECT prompt_id, path, sum(s)::BIGINT AS score, first(line ORDER BY s DESC, line) AS line, first(what ORDER BY s DESC, line) AS what FROM adj GROUP BY prompt_id, path)"""
 
 
 @query(_RANK + " SELECT prompt_id::BIGINT AS prompt_id, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, path)::INT AS place, path, score FROM files_scored QUALIFY place <= 5")
 def e5_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir)
+    return _ranked(spark, sf_dir).select("prompt_id", "place", "path", "score")
 
 
-def _ranked(spark: SparkSession, sf_dir: str, k: int = 5, off: tuple[str, ...] = ()) -> DataFrame:
-    files = GQ.files(spark, sf_dir)
-    return K.rank(_prompts(spark), files, G.symbols(files), G.imports(files), G.path_frequencies(files), G.hot_files(GQ.touched(spark, sf_dir), excluded=["tests"]), k, off)
+def _ranked(spark: SparkSession, sf_dir: str, k: int = 5, without: tuple[str, ...] = ("",)) -> DataFrame:
+    files, symbols, imports = _graph(spark, sf_dir)
+    return K.rank(_prompts(spark), files, symbols, imports, G.path_frequencies(files), G.hot_files(GQ.touched(spark, sf_dir), excluded=["tests"]), k, without)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, symbols and imports, built once for all that reads them."""
+    files = kept(GQ.files(spark, sf_dir))
+    return files, kept(G.symbols(files)), kept(G.imports(files))
+
+
+_BLOCK_LINE = "'- `' || path || CASE WHEN line > 1 THEN ':' || line ELSE '' END || '`' || CASE what.k WHEN 'importer' THEN ' · uses `' || what.s || '`' WHEN 'file' THEN '' ELSE ' · ' || what.s || ' (' || what.k || ')' END || CASE WHEN what.k = 'importer' OR n IS NULL THEN '' WHEN n <= 3 THEN ' · imports: ' || modules ELSE ' · ' || n || ' imports' END"
 
 
-@query(_RANK + " SELECT prompt_id::BIGINT AS prompt_id, string_agg(path || ' (' || score || ')', chr(10) ORDER BY score DESC, path) AS block FROM (SELECT * FROM files_scored QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, path) <= 5) GROUP BY prompt_id")
+@query(_RANK + f""", has AS (SELECT path, count(*) AS n, string_agg(module, ', ' ORDER BY line, module) AS modules FROM imports GROUP BY path),
+best AS (SELECT * FROM files_scored LEFT JOIN has USING (path) QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, path) <= 5)
+SELECT prompt_id::BIGINT AS prompt_id, 'Candidates from the code graph (files not read):' || chr(10) || string_agg({_BLOCK_LINE}, chr(10) ORDER BY score DESC, path) AS block FROM best GROUP BY prompt_id""")
 def e6_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _ranked(spark, sf_dir).groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("place", "path", "score"))).alias("r"))
-    return r.select("prompt_id", F.array_join(F.transform("r", lambda x: F.concat(x["path"], F.lit(" ("), x["score"].cast("string"), F.lit(")"))), "\n").alias("block"))
+    """The context block of every prompt: place, symbol, kind and imports of its files."""
+    ranked = _ranked(spark, sf_dir)
+    return K.block(ranked, G.imports(GQ.files(spark, sf_dir)))
 
 
 @query()
 def i6_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best file of each prompt with one signal left out in turn."""
-    out = None
-    for s in ("", *K.SIGNALS):
-        got = _ranked(spark, sf_dir, 1, (s,) if s else ()).select(F.lit(s).alias("without"), "prompt_id", "path", "score")
-        out = got if out is None else out.unionByName(got)
-    return out
+    """The best file of each prompt with one signal left out in turn, all scored in one pass."""
+    return _ranked(spark, sf_dir, 1, ("", *K.SIGNALS)).select("without", "prompt_id", "path", "score")
 
 
 # -- BM25 and baselines over documents
@@ -171,18 +186,19 @@ def _split(t: str) -> str:
     return _WORDS.replace("{w}", f"regexp_extract_all({t}, '[A-Za-z_][A-Za-z0-9_]*')")
 
 
-_BM25_DOCS = f"docs AS (SELECT doc_id AS doc, {_split('text')} AS terms FROM documents WHERE text IS NOT NULL), qs AS (SELECT item_id AS query_id, {_split('text')} AS terms FROM benchmark)"
-_BM25 = """post AS (SELECT doc, len(terms) AS dl, unnest(terms) AS term FROM docs), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM docs),
+_WORD = "[x FOR x IN regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*') IF length(x) >= 2]"
+_BM25_DOCS = f"docs AS (SELECT doc_id AS doc, {_WORD} AS terms FROM documents WHERE text IS NOT NULL), qs AS (SELECT item_id AS query_id, list_distinct({_WORD}) AS terms FROM benchmark)"
+_BM25 = """each AS (SELECT doc, len(terms) AS dl, unnest(terms) AS term FROM docs), post AS (SELECT doc, dl, term, count(*) AS tf FROM each GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM docs),
 q AS (SELECT query_id, unnest(terms) AS term FROM qs),
-s AS (SELECT query_id, doc, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * 2.5::DOUBLE / (1 + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM q JOIN df USING (term) JOIN post USING (term), st GROUP BY query_id, doc)
+s AS (SELECT query_id, doc, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM q JOIN df USING (term) JOIN post USING (term), st GROUP BY query_id, doc)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc)::INT AS place, doc, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY place <= 5"""
 
 
 @query(f"WITH {_BM25_DOCS}, {_BM25}")
 def e12_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 best documents of every benchmark item."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("doc"), K.split_terms(F.col("text")).alias("terms"))
-    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), K.split_terms(F.col("text")).alias("terms"))
+    """The 5 best documents of every benchmark item, by their words and how often they occur."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("doc"), K.words(F.col("text")).alias("terms"))
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), K.words(F.col("text")).alias("terms"))
     return K.bm25(q, docs, 5).withColumn("score", F.round("score", 6))
 
 
@@ -237,8 +253,8 @@ def e16_random_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- I: evaluation over labelled retrieval runs derived from events
 
 _RUNS = """runs AS (SELECT user_id AS id, event_type AS method, [x.k FOR x IN list({'e': event_id, 'k': (props::JSON->>'k')::INT % 20} ORDER BY event_id)][:6] AS predicted, [(user_id % 20)::INT, ((user_id * 7 + 3) % 20)::INT] AS expected FROM events GROUP BY user_id, event_type),
-sc AS (SELECT *, len([x FOR x IN list_distinct(predicted[:3]) IF list_contains(expected, x)]) AS h3, [i FOR x, i IN predicted IF list_contains(expected, x)][1] AS at1 FROM runs),
-scored AS (SELECT id, method, h3 / least(3, len(predicted)) AS p, h3 / len(expected) AS r, coalesce(1.0::DOUBLE / at1, 0.0) AS rr, at1 IS NOT NULL AS covered FROM sc)"""
+sc AS (SELECT *, len([x FOR x IN predicted[:3] IF list_contains(expected, x)]) AS h3, len([x FOR x IN expected IF list_contains(predicted[:3], x)]) AS e3, [i FOR x, i IN predicted IF list_contains(expected, x)][1] AS at1 FROM runs),
+scored AS (SELECT id, method, h3 / least(3, len(predicted)) AS p, e3 / len(expected) AS r, coalesce(1.0::DOUBLE / at1, 0.0) AS rr, at1 IS NOT NULL AS covered FROM sc)"""
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,30 +347,76 @@ def i11_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.crossJoin(ratio.select(F.col("low").alias("ratio_low"), F.col("high").alias("ratio_high")))
 
 
-@query("SELECT user_id, b::BIGINT AS before, a::BIGINT AS after, (CASE WHEN b = 0 THEN 0 ELSE (b - a) * 100 // b END)::INT AS percent FROM (SELECT user_id, count(*) AS b, count(*) FILTER (event_type <> 'error') AS a FROM events GROUP BY user_id)")
+@query("SELECT user_id, b::BIGINT AS before, a::BIGINT AS after, (CASE WHEN b = 0 THEN 0 ELSE sign(b - a) * (abs(b - a) * 100 // b) END)::INT AS percent FROM (SELECT user_id, count(*)::BIGINT AS b, sum(CASE event_type WHEN 'view' THEN 3 WHEN 'error' THEN 0 ELSE 1 END)::BIGINT AS a FROM events GROUP BY user_id)")
 def i23_saved_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("before"), F.count_if(F.col("event_type") != "error").alias("after"))
+    """Whole percent saved; some users grow, so that both signs occur."""
+    weight = F.when(F.col("event_type") == "view", 3).when(F.col("event_type") == "error", 0).otherwise(1)
+    g = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("before"), F.sum(weight).alias("after"))
     return g.withColumn("percent", V.saved_percent(F.col("before"), F.col("after")))
 
 
-_SKIP = r"(?i)^(?:merge|revert|bump|release|chore|wip|docs?|v?\d+\.\d+)\b"
+#: Our own commit messages by slot; # stands for the user.
+MESSAGES = ["Fix the session store of user #\nMore below", "v2.6.0 of everything here", "Release notes for the parser", "bump parser to the next", "Merge branch feature #", "Revert the login change", "WIP on the parser of #", "fixup! session store", "squash! session store", "short #", "  Docs of the page route for #", "chore: sort imports in cmd #"]
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sha, message, paths): a commit per user and day of what was touched, a file that is gone and one that is no source."""
+    e = GQ.touched(spark, sf_dir).select("path", "seq", F.to_date("ts").alias("day"))
+    e = e.join(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), "user_id"), "seq")
+    gone = F.array(F.lit("src/gone.py"), F.lit("docs/notes.md"))
+    c = e.groupBy("user_id", "day").agg(F.array_distinct(F.concat(F.collect_list("path"), gone)).alias("paths"), F.min("seq").alias("first"))
+    slot = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("first") % len(MESSAGES)).cast("int") + 1)
+    return c.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("sha"), F.replace(slot, F.lit("#"), F.col("user_id").cast("string")).alias("message"), "paths")
+
+
+_COMMITS = f"""ev AS (SELECT t.path, t.seq, e.user_id, t.ts::DATE AS day FROM touched t JOIN events e ON e.event_id = t.seq),
+commits AS (SELECT user_id, day, list(path) || ['src/gone.py', 'docs/notes.md'] AS paths, replace([{', '.join(_quoted(m).replace(chr(10), "' || chr(10) || '") for m in MESSAGES)}][min(seq) % {len(MESSAGES)} + 1], '#', user_id::VARCHAR) AS message FROM ev GROUP BY user_id, day),
+told AS (SELECT concat_ws('-', user_id, day) AS sha, trim(string_split(message, chr(10))[1]) AS subject, list_distinct(paths) AS paths FROM commits)"""
+_SKIP = " OR ".join(f"regexp_matches(subject, {_quoted(p)})" for p in V.SKIPPED_SUBJECTS)
+_ENDS = " OR ".join(f"ends_with(x, {_quoted(e)})" for e in V.SOURCE_ENDINGS)
 
 
-@query(f"SELECT conv_id, turn, left(text, 40) AS subject FROM conversations WHERE text IS NOT NULL AND length(left(text, 40)) >= 15 AND NOT regexp_matches(left(text, 40), '{_SKIP}') AND (conv_id % 7) BETWEEN 1 AND 5")
+@query(f"""WITH {GQ.FILES_SQL}, {_COMMITS}, x AS (SELECT sha, subject, unnest(paths) AS x FROM told WHERE length(subject) >= 15 AND NOT ({_SKIP})),
+f AS (SELECT sha, subject, count(*) AS n, string_agg(x, '|' ORDER BY x) AS expected FROM x WHERE x IN (SELECT path FROM files) AND ({_ENDS}) GROUP BY ALL)
+SELECT sha, subject, expected FROM f WHERE n <= 5""")
 def i17_commit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects of 15 characters and more that no skip pattern fits, touching 1 to 5 files (here: conv_id modulo 7)."""
-    s = F.left("text", F.lit(40))
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
-    return t.where((F.length(s) >= 15) & ~s.rlike(_SKIP) & (F.col("conv_id") % 7).between(1, 5)).select("conv_id", "turn", s.alias("subject"))
-
-
-@query("WITH r AS (SELECT doc_id, [w FOR w IN string_split(left(text, 200), ' ')][:4] AS req, right(text, greatest(length(text) - 20, 0)) AS kept FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(CASE WHEN len(req) = 0 THEN 1.0 ELSE len([x FOR x IN req IF contains(kept, x)]) / len(req) END, 6) AS recall FROM r")
-def i18_i20_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of required values that survive a cut."""
-    t = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    req = F.slice(F.split(F.left("text", F.lit(200)), " "), 1, 4)
-    kept = F.right("text", F.greatest(F.length("text") - 20, F.lit(0)))
-    return t.select("doc_id", F.round(V.retention(kept, req), 6).alias("recall"))
+    """Commits with a telling subject and one to five existing source files."""
+    got = V.commits_to_replay(_commits(spark, sf_dir), GQ.files(spark, sf_dir))
+    return got.select("sha", "subject", F.array_join("expected", "|").alias("expected"))
+
+
+@query(f"""WITH {TQ._TEXTS_SQL}, r AS (SELECT id, kind, {TQ._PROTECTED_SQL} AS req, array_to_string([x FOR x IN {sql_lines('text')} IF length(trim(x)) > 0 AND NOT contains(x, 'at Module._compile')], chr(10)) AS kept FROM texts)
+SELECT id, kind, round(CASE WHEN len(req) = 0 THEN 1.0 ELSE len([x FOR x IN req IF contains(kept, x)]) / len(req) END, 6) AS recall FROM r""")
+def i18_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the protected values of every whole text that survive dropping its blank and loader lines."""
+    lines = F.filter(T.lines(F.col("text")), lambda x: (F.length(F.trim(x)) > 0) & ~x.contains("at Module._compile"))
+    return TQ._texts(spark, sf_dir).select("id", "kind", F.round(V.retention(F.array_join(lines, "\n"), R.protected_values(F.col("text"))), 6).alias("recall"))
+
+
+_CASE = """cases AS (SELECT session, recent_turns AS decisions, failed_approaches, modified_files, pending_next_actions AS next_actions, pinned_facts, current_subtask, recent_turns[-1] AS latest_decision,
+  'objective: ' || coalesce(session_objective, '') || chr(10) || 'subtask: ' || coalesce(current_subtask, '') || chr(10) || array_to_string(pinned_facts[:6] || recent_turns[-6:] || modified_files[-6:] || pending_next_actions[:5], chr(10)) AS output FROM state)"""
+
+
+def _compaction_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session's whole state requires, and a compact text of it."""
+    m = S.merged(SQ.updates(spark, sf_dir))
+    m = m.select("session", "session_objective", "current_subtask", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in S.LISTS])
+    last = lambda c, n: F.slice(c, F.greatest(F.size(c) - n + 1, F.lit(1)), F.lit(n))
+    rows = F.concat(F.slice("pinned_facts", 1, 6), last("recent_turns", 6), last("modified_files", 6), F.slice("pending_next_actions", 1, 5))
+    output = F.concat(F.lit("objective: "), F.coalesce("session_objective", F.lit("")), F.lit("\nsubtask: "), F.coalesce("current_subtask", F.lit("")), F.lit("\n"), F.array_join(rows, "\n"))
+    return m.select("session", F.col("recent_turns").alias("decisions"), "failed_approaches", "modified_files", F.col("pending_next_actions").alias("next_actions"), "pinned_facts", "current_subtask", F.try_element_at("recent_turns", F.lit(-1)).alias("latest_decision"), output.alias("output"), tokens.estimated(output).alias("packet_tokens"), F.lit(120).alias("max_tokens"))
+
+
+_ALL_KEPT = lambda c: f"CASE WHEN len({c}) = 0 THEN 1.0 ELSE len([x FOR x IN {c} IF contains(output, x)]) / len({c}) END"
+_ONE_KEPT = lambda c: f"CASE WHEN coalesce({c}, '') = '' OR contains(output, {c}) THEN 1.0 ELSE 0.0 END"
+
+
+@query(f"""WITH {SQ._UPDATES}, {SQ._MERGED}, {_CASE}, s AS (SELECT session, {', '.join(f'{_ALL_KEPT(c)} AS {c}_retention' for c in V.CARRIED)}, {', '.join(f'{_ONE_KEPT(c)} AS {c}_retention' for c in V.SINGLE)}, {sql_estimate('output')} AS packet_tokens FROM cases)
+SELECT session, {', '.join(f'round({c}_retention, 6)::DOUBLE AS {c}_retention' for c in (*V.CARRIED, *V.SINGLE))}, packet_tokens::BIGINT AS packet_tokens, {' AND '.join(f'{c}_retention = 1.0' for c in V.DECISIVE)} AND packet_tokens <= 120 AS passed FROM s""")
+def i20_compaction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What survives a compaction, and whether it passes."""
+    got = V.compaction_scores(_compaction_cases(spark, sf_dir))
+    return got.select("session", *[F.round(f"{c}_retention", 6).alias(f"{c}_retention") for c in (*V.CARRIED, *V.SINGLE)], F.col("packet_tokens").cast("long").alias("packet_tokens"), "passed")
 
 
 @query(f"WITH {_RUNS}, {_SUMMARY} SELECT method, mrr >= 0.2 AS mrr_ok, precision >= 0.05 AS precision_ok FROM summary")

@@ -174,6 +174,8 @@ def _matches_sql(pattern: str) -> str:
 
 _VALUES_SQL = f"SELECT id, text, {_COMMANDS_SQL} AS commands, {_matches_sql(R.PATHS)} AS paths, {_matches_sql(R.VERSIONS)} AS versions, {_matches_sql(R.IDENTIFIERS)} AS identifiers"
 
+_PROTECTED_SQL = f"({_COMMANDS_SQL} || {_matches_sql(R.PATHS)} || {_matches_sql(R.VERSIONS)} || {_matches_sql(R.IDENTIFIERS)})"
+
 
 @query(f"WITH {LOGS_SQL}, v AS ({_VALUES_SQL} FROM logs) SELECT id, array_to_string(commands, '|') AS commands, array_to_string(paths, '|') AS paths, array_to_string(versions, '|') AS versions, array_to_string(identifiers, '|') AS identifiers FROM v")
 def b20_b22_protected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,11 +301,9 @@ def b16_lint_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PROPS_SQL}, it AS (SELECT user_id AS id, (props::JSON->>'k')::INT % 4 AS k, min(event_id) AS p, count(*) AS c FROM events GROUP BY ALL),
 g AS (SELECT id, sum(c)::BIGINT AS n, list({{'k': k, 'c': c}} ORDER BY p) AS u FROM it GROUP BY id),
-shown AS (SELECT id, n, u, CASE WHEN len(u) = 1 AND n = 1 THEN '  [    {{' || chr(10) || '      "k": ' || u[1].k || chr(10) || '    }}]'
-  WHEN len(u) = 1 THEN printf('  array(len=%d, all identical):', n) || chr(10) || '    sample:     {{' || chr(10) || '      "k": ' || u[1].k || chr(10) || '    }}'
-  ELSE printf('  array(len=%d, %d unique):', n, len(u)) || array_to_string([chr(10) || '    ' || CASE WHEN x.c > 1 THEN printf('(x%d) ', x.c) ELSE '' END || '    {{' || chr(10) || '      "k": ' || x.k || chr(10) || '    }}' FOR x IN u[1:3]], '')
-    || CASE WHEN len(u) > 3 THEN chr(10) || printf('    ...and %d more unique items (%d total entries)', len(u) - 3, list_sum([x.c FOR x IN u[4:]])::BIGINT) ELSE '' END END AS a FROM g),
-body AS (SELECT p.id, p.text, CASE WHEN len({sql_lines('p.text')}) < 4 AND strlen(p.text) < 200 THEN p.text ELSE '{{' || chr(10) || '  "empty": {{}}' || chr(10) || '  "items":' || chr(10) || a || chr(10) || '  "user": ' || p.id || chr(10) || '  "version": "1.2.3"' || chr(10) || '}}' END AS b
+shown AS (SELECT id, '"items": ' || n || ' entries' || CASE WHEN len(u) < n THEN ', ' || len(u) || ' distinct' ELSE '' END || array_to_string([chr(10) || '  ' || x.c || ' of' || chr(10) || '    "k": ' || x.k FOR x IN u[1:3]], '')
+  || CASE WHEN len(u) > 3 THEN chr(10) || '  ' || (len(u) - 3) || ' further distinct in ' || list_sum([x.c FOR x IN u[4:]])::BIGINT || ' entries' ELSE '' END AS a FROM g),
+body AS (SELECT p.id, p.text, CASE WHEN len({sql_lines('p.text')}) < 4 AND strlen(p.text) < 200 THEN p.text ELSE '"empty": {{}}' || chr(10) || a || chr(10) || '"user": ' || p.id || chr(10) || '"version": "1.2.3"' END AS b
   FROM props_json p JOIN shown USING (id)){_finish_sql(full=False)}""")
 def b17_json_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.json_text(props_json(spark, sf_dir)).select("id", "reduced", "before_tokens", "after_tokens")
