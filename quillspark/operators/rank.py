@@ -160,16 +160,18 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
     n, named_words = _counted(files)
     N = F.lit(float(max(n or 1, 1)))
     asked = with_tokens(prompts.select("prompt_id", "prompt"), _stop(named_words)).withColumn("paths", prompt_paths(F.col("prompt")))
+    asked = kept(asked)
     tokens = asked.select("prompt_id", F.explode("tokens").alias("token")).withColumn("low", F.lower("token"))
-    weighed = tokens.join(frequencies.select(F.col("token").alias("low"), "df"), "low", "left").withColumn("idf", idf(F.col("df"), N))
+    weighed = kept(tokens.join(frequencies.select(F.col("token").alias("low"), "df"), "low", "left").withColumn("idf", idf(F.col("df"), N)))
 
-    def bits(counts) -> Column:
-        return F.lit(sum(1 << i for i, w in enumerate(without) if counts(w)))
+    def bits(counts) -> int:
+        return sum(1 << i for i, w in enumerate(without) if counts(w))
 
     unless = lambda *signals: bits(lambda w: w not in signals)
     parts = []
 
-    def bump(rows: DataFrame, order: int, line: Column, symbol: Column, kind: Column, score: Column, mask: Column) -> None:
+    def bump(rows: DataFrame, order: int, line: Column, symbol: Column, kind: Column, score: Column, mask: Column | int) -> None:
+        mask = F.lit(mask) if isinstance(mask, int) else mask
         parts.append(rows.select("prompt_id", "path", line.alias("line"), score.cast("long").alias("score"), mask.alias("mask"), F.struct(F.lit(order).alias("order"), symbol.alias("symbol"), kind.alias("kind")).alias("what")))
 
     one = F.lit(1)
@@ -179,7 +181,7 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
     lowered = names.groupBy(F.lower("name").alias("low")).agg(F.max("name").alias("name"))  # of names that differ in case, one
     known = weighed.join(names.select(F.col("name").alias("token"), F.lit(True).alias("known")), "token", "left")
     loose = symbols.join(F.broadcast(known.join(lowered, "low")), "name")
-    bump(loose, 1, F.col("line"), F.col("name"), F.col("kind"), F.floor(8 * F.col("idf")), F.when(F.col("known"), bits(lambda w: w == "symbol_exact")).otherwise(unless("symbol_ci")))
+    bump(loose, 1, F.col("line"), F.col("name"), F.col("kind"), F.floor(8 * F.col("idf")), F.when(F.col("known"), F.lit(bits(lambda w: w == "symbol_exact"))).otherwise(F.lit(unless("symbol_ci"))))
 
     low, base = F.lower("path"), F.lower(basename(F.col("path")))
     root = stem(base)
@@ -197,8 +199,9 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
     spread = F.greatest(F.lit(0.0), 1 - F.coalesce("df", F.lit(0)) / N)
     inside = F.when(F.length("low") < 4, 0).when(F.col("root") == F.col("low"), F.floor(6 * F.col("idf"))).otherwise(F.floor(3 * F.col("idf") * spread))
     by_name, by_part = F.when(whole, F.floor(8 * F.col("idf"))).otherwise(0), F.when(whole, F.floor(8 * F.col("idf"))).otherwise(inside)
-    for points, mask in ((by_part, unless("path_exact", "path_substr")), (inside, bits(lambda w: w == "path_exact")), (by_name, bits(lambda w: w == "path_substr"))):
-        bump(near.where(points > 0), 3, one, file_name, a_file, points, mask)
+    ways = [(by_part, unless("path_exact", "path_substr")), (inside, bits(lambda w: w == "path_exact")), (by_name, bits(lambda w: w == "path_substr"))]
+    way = F.explode(F.array(*[F.struct(points.cast("long").alias("points"), F.lit(mask).alias("mask")) for points, mask in ways if mask])).alias("way")
+    bump(near.select("prompt_id", "path", way).where("way.points > 0"), 3, one, file_name, a_file, F.col("way.points"), F.col("way.mask"))
     w = Window.partitionBy("module").orderBy("path")
     first = imports.withColumn("at", F.row_number().over(w)).where("at <= 3").select("path", F.lower("module").alias("ml"), F.regexp_replace(F.lower("module"), r"^.*[./]", "").alias("last"))
     used = first.select("path", F.explode(F.array_distinct(F.array("ml", "last"))).alias("low")).join(F.broadcast(tokens), "low")
@@ -213,11 +216,11 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
     total = lines.groupBy("v", "prompt_id", "path").agg(F.sum("score").alias("score"), F.count("*").alias("n"), F.max_by("what", F.struct("score", -F.col("line"))).alias("what"), F.max_by("line", F.struct("score", -F.col("line"))).alias("line"))
 
     # adjustments are alike for all lines of a file
-    total = total.join(F.broadcast(asked.select("prompt_id", "prompt", "tokens")), "prompt_id").join(hot.select("path", F.lit(2).alias("heat")), "path", "left")
+    said = asked.select("prompt_id", "prompt", F.array_distinct(F.transform("tokens", F.lower)).alias("lows"))
+    total = total.join(files.select("path", path_tokens(F.col("path")).alias("own")), "path").join(F.broadcast(said), "prompt_id").join(hot.select("path", F.lit(2).alias("heat")), "path", "left")
     total = total.withColumn("without", F.element_at(F.array(*map(F.lit, without)), F.col("v") + 1))
     on = lambda signal: F.col("without") != signal
-    own = path_tokens(F.col("path"))
-    hits = F.size(F.filter(F.array_distinct(F.transform("tokens", F.lower)), lambda t: F.array_contains(own, t) | ((F.length(t) >= 4) & F.lower("path").contains(t))))
+    hits = F.size(F.filter("lows", lambda t: F.array_contains("own", t) | ((F.length(t) >= 4) & F.lower("path").contains(t))))
     plow = F.lower("prompt")
     change = (
         F.when(on("path_substr") & (hits >= 2), F.least(F.lit(8), 2 * (hits - 1))).otherwise(0)

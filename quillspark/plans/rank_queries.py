@@ -150,7 +150,7 @@ def e5_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int = 5, without: tuple[str, ...] = ("",)) -> DataFrame:
     files, symbols, imports = _graph(spark, sf_dir)
-    return K.rank(_prompts(spark), files, symbols, imports, G.path_frequencies(files), G.hot_files(GQ.touched(spark, sf_dir), excluded=["tests"]), k, without)
+    return K.rank(_prompts(spark), files, symbols, imports, kept(G.path_frequencies(files)), G.hot_files(GQ.touched(spark, sf_dir), excluded=["tests"]), k, without)
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
