@@ -197,5 +197,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 """
 
 
+OP9_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, text) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h AS (SELECT rid, p, md5(substring(x, 2 * p - 1, 400)) AS k FROM (SELECT rid, x, unnest(range(1, length(x) // 2 - 198)) AS p FROM d WHERE length(x) >= 400)),
+hit AS (SELECT rid, p FROM h SEMI JOIN (SELECT k FROM h GROUP BY k HAVING count(*) > 1) USING (k)),
+run AS (SELECT rid, min(p) AS lo, max(p) + 199 AS hi FROM (SELECT rid, p, sum(CASE WHEN p <= prev + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p) AS g FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS prev FROM hit)) GROUP BY rid, g),
+part AS (SELECT rid, lo, hi, substring(x, 2 * before + 1, 2 * (lo - 1 - before)) AS piece FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) AS before FROM run) JOIN d USING (rid)),
+cut AS (SELECT rid, string_agg(piece, '' ORDER BY lo) AS head, max(hi) AS last, sum(hi - lo + 1) AS removed, count(*) AS spans FROM part GROUP BY rid)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL, "op3_url_filters": OP3_SQL}
+    return {"op9_suffix_array_dedup": OP9_SQL, "op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL, "op3_url_filters": OP3_SQL}

@@ -75,6 +75,34 @@ def test_run_equals_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages["packing"][1].count()
 
 
+EDGES = [(1, None, "en"), (2, "", "en"), (3, "  \n ", None), (None, "plain words without an id " * 3, "de"), (4, "x", "zz"), (4, "x", "zz")]
+
+
+def test_edges_of_the_stages(spark, stages):
+    """Null, empty and blank texts, ids that repeat or lack, unknown languages."""
+    first = spark.read.parquet(f"{SF}/documents.parquet")
+    text = first.orderBy(F.length("text").desc()).where("length(text) < 4000").first().text
+    rows = [(k, t, lang, "s", len(t or "")) for k, t, lang in [*EDGES, (7, text, "en"), (7, text, "en"), (7, text + " more", "en"), (None, text, "en")]]
+    docs = spark.createDataFrame(rows, first.schema).repartition(2)
+    names = dict(corpus_pipeline.STAGES)
+    kept = names["toxicity"](spark, docs, SF)
+    assert kept.where("text is null").count() == 1 and kept.count() >= len(EDGES)
+    assert names["quality_rules"](spark, docs, SF).where("length(text) < 20 or text is null").count() == 0
+    one = names["ngram_join"](spark, docs, SF).collect()
+    assert sum((r.text or "").startswith(text[:200]) for r in one) == 1 and sum(r.text == "x" for r in one) == 1
+    assert sum(not (r.text or "").strip() for r in one) == 3
+    cut = names["suffix_array_dedup"](spark, docs, SF)
+    assert cut.count() == len(rows) and cut.where("text is null").count() == 0 and cut.where("length(text) <> n_chars").count() == 0
+    packed = names["packing"](spark, docs, SF)
+    assert packed.where("offset = 0").count() == packed.select("sequence_id").distinct().count() and packed.agg(F.sum("length")).first()[0] >= len(rows)
+
+
+def test_stages_of_nothing(spark):
+    none = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+
+
 def test_clashing_columns(spark, stages):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"kept": F.lit("mine"), "severity": F.lit(1), "carry": F.lit(2), "th": F.lit(3)})
     for name, stage in corpus_pipeline.STAGES[:-1]:
