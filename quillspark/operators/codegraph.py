@@ -180,14 +180,16 @@ def path_frequencies(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(path_tokens(F.col("path"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def hot_files(commits: DataFrame, k: int = 20, excluded: list[str] | None = None) -> DataFrame:
-    """(path, touches): the k most touched paths of commits(path, seq), ties by first appearance; locks and excluded folders drop out."""
+def hot_files(commits: DataFrame, k: int = 20, excluded: list[str] | None = None, ordered: bool = False) -> DataFrame:
+    """(path, touches): the k most touched paths of commits(path, seq), ties by first appearance; locks and excluded folders drop out.  With ordered, also place."""
     p = F.col("path")
     keep = ~F.lower(basename(p)).isin(LOCK_FILES)
     if excluded:
         keep = keep & ~F.element_at(F.split(p, "/"), 1).isin(excluded)
     n = commits.where(keep).groupBy("path").agg(F.count("*").alias("touches"), F.min("seq").alias("first"))
-    return n.orderBy(F.desc("touches"), "first", "path").limit(k).select("path", "touches")
+    top = n.orderBy(F.desc("touches"), "first", "path").limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc("touches"), "first", "path")).alias("place")
+    return top.select("path", "touches", *([place] if ordered else []))
 
 
 def module_summary(mods: DataFrame, shown: int = 5) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import FloatType
 from ..functions import detect, lint, tokens
 from ..functions import text as T
 from ..operators import reduce as R
+from ..sources.tables import kept
 
 #: A pipe reduces from this confidence on; a payload is classified from 0.55 on.
 PIPE_CONFIDENCE = 0.4
@@ -44,35 +45,24 @@ class Config:
 
 @F.pandas_udf(FloatType())
 def _parsed(texts: pd.Series) -> pd.Series:
-    """0.9 for TOML, 0.75 for YAML, 0 for neither; both grammars need a parser."""
+    """0.9 for TOML, else 0; the grammar needs a parser."""
     import tomllib
 
-    try:
-        import yaml
-    except ImportError:
-        yaml = None
-
     def one(text: str | None) -> float:
-        if text is None:
-            return 0.0
         try:
-            tomllib.loads(text)
-            return 0.9
+            tomllib.loads(text or "=")
         except (tomllib.TOMLDecodeError, RecursionError):
-            pass
-        try:
-            if yaml is not None:
-                yaml.safe_load(text)
-                return 0.75
-        except (yaml.YAMLError, RecursionError, ValueError):
-            pass
-        return 0.0
+            return 0.0
+        return 0.9
 
     return texts.map(one).astype("float32")
 
 
 def config_score(text: Column) -> Column:
-    """Detector score of configuration with parsers: TOML 0.9, YAML 0.75, else the rule without them."""
+    """Detector score of configuration: TOML 0.9 by its parser, else the rule without parsers, which covers YAML too.
+
+    A YAML parser is no part of every installation, and a score must not depend on the worker.
+    """
     structured = ~detect.looks_like_trace(text) & detect.looks_structured(text)
     found = _parsed(F.when(structured, text))
     return F.when(structured & (found > 0), found).otherwise(detect.ini(text))
@@ -90,14 +80,9 @@ def classified(texts: DataFrame, parsers: bool = False) -> DataFrame:
     return top.withColumn("_c", detect.classify(t, F.col("_best"))).select(*texts.columns, "_best", "_c.class", "_c.kind", "_c.confidence")
 
 
-def once(df: DataFrame) -> DataFrame:
-    """df computed once for the branches that follow, where the session has a checkpoint folder; else df itself."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def pipe(texts: DataFrame) -> DataFrame:
     """(id, output, kind): reduced where a detector is confident enough and the result is strictly smaller."""
-    known = once(classified(texts)).withColumn("kind", F.when(F.col("_best.score") >= F.lit(PIPE_CONFIDENCE).cast("float"), F.col("_best.kind")))
+    known = kept(classified(texts)).withColumn("kind", F.when(F.col("_best.score") >= F.lit(PIPE_CONFIDENCE).cast("float"), F.col("_best.kind")))
     reduced = R.reduce_all(known.select("id", "kind", "text")).select("id", "reduced", "before_tokens", "after_tokens")
     smaller = F.col("after_tokens") < F.col("before_tokens")
     out = known.join(reduced, "id", "left")
@@ -106,7 +91,7 @@ def pipe(texts: DataFrame) -> DataFrame:
 
 def intercept(texts: DataFrame) -> DataFrame:
     """(id, class, confidence, output, before_tokens, after_tokens, findings): classify, reduce, lint prompts and unknown texts."""
-    known = once(classified(texts))
+    known = kept(classified(texts))
     reduced = R.reduce_all(known.where("kind is not null").select("id", "kind", "text")).select("id", "reduced")
     linted = lint.with_parts(known.where(F.col("class").isin("prompt", "unknown")).select("id", "text")).select("id", F.transform(lint.findings(F.col("text")), lambda f: f["code"]).alias("findings"))
     out = known.join(reduced, "id", "left").join(linted, "id", "left").withColumn("output", F.coalesce("reduced", "text"))
@@ -131,3 +116,46 @@ def report_passed(report: Column) -> Column:
 def status_line(text: Column) -> Column:
     """The first non-empty line, at most 120 characters."""
     return F.left(F.coalesce(T.first(T.trimmed_lines(text)), F.lit("")), F.lit(120))
+
+
+def relative_path(path: Column, root: Column) -> Column:
+    """A path under root without it and without leading slashes; others without leading slashes."""
+    under = path.startswith(F.concat(F.rtrim(root, F.lit("/")), F.lit("/")))
+    return F.ltrim(F.when(under, F.substr(path, F.length(F.rtrim(root, F.lit("/"))) + 2)).otherwise(path), F.lit("/"))
+
+
+def _cut(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
+
+
+def status(branch: Column, dirty: Column, objective: Column, failures: Column) -> Column:
+    """One line on branch, changed files, objective (80 characters) and newest failure (60); empty without any."""
+    last = F.get(failures, F.size(failures) - 1)
+    parts = [
+        F.concat(F.lit("branch="), branch),
+        F.when(dirty > 0, F.concat(F.lit("uncommitted="), dirty.cast("string"))),
+        F.concat(F.lit('objective="'), _cut(objective, 80), F.lit('"')),
+        F.when(F.size(failures) > 0, F.concat(F.lit('last_failure="'), _cut(last, 60), F.lit('"'))),
+    ]
+    line = F.array_join(F.array_compact(F.array(*parts)), " | ")
+    return F.when(line == "", "").otherwise(F.concat(F.lit("[session] "), line))
+
+
+def brief(handoff: Column, git: Column, graph_stale: Column, hot: Column, flags: Column, hot_shown: int = 3) -> Column:
+    """What a session starts with, a line per part that is there: handoff path, git state (struct of readers.git_states), graph, hot files (array of struct(path, touches)), flags of the last session."""
+    state = [
+        F.concat(F.lit("branch `"), git["branch"], F.lit("`")),
+        F.when(git["dirty"] > 0, F.concat(git["dirty"].cast("string"), F.lit(" uncommitted"))),
+        F.when(git["upstream"].isNotNull() & (git["ahead"] > 0), F.concat(git["ahead"].cast("string"), F.lit(" ahead of `"), git["upstream"], F.lit("`"))),
+        F.when(git["upstream"].isNotNull() & (git["behind"] > 0), F.concat(git["behind"].cast("string"), F.lit(" behind `"), git["upstream"], F.lit("`"))),
+    ]
+    top = F.transform(F.slice(hot, 1, hot_shown), lambda h: F.concat(F.lit("`"), h["path"], F.lit("` ("), h["touches"].cast("string"), F.lit(")")))
+    lines = [
+        F.concat(F.lit("Handoff: continue from `"), handoff, F.lit("`.")),
+        F.when(git["branch"].isNotNull(), F.concat(F.lit("Git: "), F.array_join(F.array_compact(F.array(*state)), ", "), F.lit("."))),
+        F.when(graph_stale, F.lit("Graph: stale, build it again.")),
+        F.when(F.size(hot) > 0, F.concat(F.lit("Hot: "), F.array_join(top, ", "), F.lit("."))),
+        F.when(F.size(flags) > 0, F.concat(F.lit("Last session: "), F.array_join(flags, "; "), F.lit("."))),
+    ]
+    body = F.array_join(F.array_compact(F.array(*lines)), "\n")
+    return F.when(body == "", "").otherwise(F.concat(F.lit("[session brief]\n"), body, F.lit("\n[/session brief]")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lint
 from ..operators import codegraph as G
 from ..operators import guards, session
+from ..sources import readers
 from . import engine
 from . import event_queries as EQ
 from . import graph_queries as GQ
@@ -113,3 +114,52 @@ def h4_s11_transform_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry rows of transforms, in the table's types."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("kind"), F.floor("value").cast("int").alias("before_tokens"), F.floor(F.col("value") / 2).cast("int").alias("after_tokens"), F.lit(0).cast("long").alias("latency_ms"))
+
+
+_GIT = """g AS (SELECT user_id AS id, 'main-' || user_id % 5 AS branch, CASE WHEN user_id % 2 = 0 THEN 'origin/main' END AS upstream, (user_id % 4)::INT AS ahead, (user_id % 3)::INT AS behind, (user_id % 6)::INT AS dirty FROM (SELECT DISTINCT user_id FROM events))"""
+
+
+def _git(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status texts derived from users, read back."""
+    u = F.col("user_id")
+    text = F.concat(
+        F.lit("# branch.oid abc\n# branch.head main-"), (u % 5).cast("string"), F.when(u % 2 == 0, "\n# branch.upstream origin/main").otherwise(""), F.lit("\n# branch.ab +"), (u % 4).cast("string"), F.lit(" -"), (u % 3).cast("string"),
+        F.repeat(F.lit("\n1 .M N... 100644 100644 100644 a b src/x.py"), (u % 6).cast("int")),
+    )
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    return readers.git_states(users.select(u.alias("id"), text.alias("text")))
+
+
+@query(f"WITH {_GIT} SELECT * FROM g")
+def s14_git_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _git(spark, sf_dir)
+
+
+@query(f"""WITH {SQ._UPDATES}, {SQ._MERGED}, {_GIT}, l AS (SELECT session, [x FOR x IN ['branch=' || branch, CASE WHEN dirty > 0 THEN 'uncommitted=' || dirty END, 'objective="' || session_objective || '"',
+CASE WHEN len(failing_signatures) > 0 THEN 'last_failure="' || failing_signatures[-1] || '"' END] IF x IS NOT NULL] AS parts FROM state JOIN g ON g.id = session)
+SELECT session, CASE WHEN len(parts) = 0 THEN '' ELSE '[session] ' || array_to_string(parts, ' | ') END AS line FROM l""")
+def f16_status_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = session.merged(SQ.updates(spark, sf_dir)).join(_git(spark, sf_dir).withColumnRenamed("id", "session"), "session")
+    return m.select("session", engine.status(F.col("branch"), F.col("dirty"), F.col("session_objective"), F.coalesce("failing_signatures", F.array().cast("array<string>"))).alias("line"))
+
+
+@query(f"""WITH {GQ.FILES_SQL}, {RQ._HOT}, {_GIT}, h AS (SELECT string_agg('`' || path || '` (' || n || ')', ', ' ORDER BY n DESC, s, path) AS top FROM (SELECT path, count(*) AS n, min(seq) AS s FROM touched WHERE path IN (SELECT path FROM hot) GROUP BY path ORDER BY n DESC, s, path LIMIT 3)),
+l AS (SELECT id, [x FOR x IN ['Handoff: continue from `packet-' || (CASE WHEN id % 7 = 0 THEN id END) || '.md`.', 'Git: ' || array_to_string([y FOR y IN ['branch `' || branch || '`', CASE WHEN dirty > 0 THEN dirty || ' uncommitted' END,
+CASE WHEN ahead > 0 THEN ahead || ' ahead of `' || upstream || '`' END, CASE WHEN behind > 0 THEN behind || ' behind `' || upstream || '`' END] IF y IS NOT NULL], ', ') || '.', CASE WHEN id % 3 = 0 THEN 'Graph: stale, build it again.' END, 'Hot: ' || top || '.',
+CASE WHEN id % 4 = 0 THEN 'Last session: loops; reads.' END] IF x IS NOT NULL] AS lines FROM g, h)
+SELECT id, '[session brief]' || chr(10) || array_to_string(lines, chr(10)) || chr(10) || '[/session brief]' AS brief FROM l""")
+def d15_session_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Git states, the hot files of the graph and flags by user, as the text a session starts with."""
+    hot = G.hot_files(GQ.touched(spark, sf_dir), excluded=["tests"], k=3, ordered=True)
+    i, git = F.col("id"), F.struct("branch", "upstream", "ahead", "behind", "dirty")
+    none = F.array().cast("array<string>")
+    rows = _git(spark, sf_dir).join(F.broadcast(hot.agg(F.sort_array(F.collect_list(F.struct("place", "path", "touches"))).alias("hot"))))
+    handoff = F.when(i % 7 == 0, F.concat(F.lit("packet-"), i.cast("string"), F.lit(".md")))
+    return rows.select("id", engine.brief(handoff, git, i % 3 == 0, F.col("hot"), F.when(i % 4 == 0, F.array(F.lit("loops"), F.lit("reads"))).otherwise(none)).alias("brief"))
+
+
+@query("SELECT event_id, ltrim(CASE WHEN starts_with(p, '/srv/app/') THEN p[10:] ELSE p END, '/') AS path FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '/srv/app/src/a.rs' WHEN 1 THEN '/srv/apple/b.rs' ELSE 'src//c.rs' END AS p FROM events)")
+def f16_relative_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id") % 3
+    path = F.when(e == 0, "/srv/app/src/a.rs").when(e == 1, "/srv/apple/b.rs").otherwise("src//c.rs")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", engine.relative_path(path, F.lit("/srv/app/")).alias("path"))

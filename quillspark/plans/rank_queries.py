@@ -122,7 +122,14 @@ def e4_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HOT = "hot AS (SELECT path FROM touched WHERE NOT starts_with(path, 'tests/') GROUP BY path ORDER BY count(*) DESC, min(seq), path LIMIT 20)"
 _SQUASH = lambda s, by: f"trim(regexp_replace(lower({s}), '[^a-z0-9]+', '{by}', 'g'), '{by}')"
-_RANK = f"""WITH {GQ.FILES_SQL}, {GQ._SRC}, {GQ._SYMBOLS}, {GQ._IMPORTS}, {_DF}, {_HOT}, {_TOKENS_SQL}, {_PROMPTS_SQL},
+def _rank_sql(off: str = "") -> str:
+    """The ranker with one signal left out, up to files_scored."""
+    whole = "fl = low OR ends_with(fl, '/' || low) OR (contains(low, '/') AND contains(fl, low))" if off != "path_exact" else "false"
+    part = "WHEN length(low) < 4 THEN 0 WHEN root = low THEN floor(6 * idf) WHEN contains(fl, low) THEN floor(3 * idf * greatest(0.0::DOUBLE, 1 - d / n)) ELSE 0" if off != "path_substr" else "ELSE 0"
+    gone = {"path_exact": "sig <> 'base'", "path_substr": "true"}.get(off, f"sig <> '{off}'")
+    found = "true" if off == "symbol_exact" else "w.token NOT IN (SELECT name FROM symbols)"
+    use = lambda signal: str(off != signal).lower()
+    return f"""WITH {GQ.FILES_SQL}, {GQ._SRC}, {GQ._SYMBOLS}, {GQ._IMPORTS}, {_DF}, {_HOT}, {_TOKENS_SQL}, {_PROMPTS_SQL},
 paths(prompt_id, path) AS (VALUES {_values([(i, t) for i, p in _RANKED for t in sorted(_paths(p))])}),
 w AS (SELECT prompt_id, tokens.token, lower(tokens.token) AS low, {_IDF} AS idf FROM tokens LEFT JOIN dfs ON dfs.token = lower(tokens.token), total),
 named AS (SELECT path, lower(path) AS fl, regexp_replace(lower({GQ._BASE}), '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS root, lower({GQ._BASE}) AS base FROM files),
@@ -130,19 +137,22 @@ terms AS (SELECT DISTINCT prompt_id, lower(x) AS low FROM (SELECT prompt_id, tok
 wt AS (SELECT prompt_id, low, coalesce(df, 0) AS d, {_IDF} AS idf, n FROM terms LEFT JOIN dfs ON dfs.token = low, total),
 bumps AS (
   SELECT 'symbol_exact' AS sig, prompt_id, path, line, floor(10 * idf) AS score, {{'o': 0, 's': name, 'k': kind}} AS what FROM symbols JOIN w ON name = token
-  UNION ALL SELECT 'symbol_ci', prompt_id, path, line, floor(8 * idf), {{'o': 1, 's': name, 'k': kind}} FROM symbols JOIN (SELECT lower(name) AS low, max(name) AS real FROM symbols GROUP BY 1) l ON name = l.real JOIN w ON w.low = l.low WHERE w.token NOT IN (SELECT name FROM symbols)
+  UNION ALL SELECT 'symbol_ci', prompt_id, path, line, floor(8 * idf), {{'o': 1, 's': name, 'k': kind}} FROM symbols JOIN (SELECT lower(name) AS low, max(name) AS real FROM symbols GROUP BY 1) l ON name = l.real JOIN w ON w.low = l.low WHERE {found}
   UNION ALL SELECT 'base', prompt_id, path, 1, 15, {{'o': 2, 's': {GQ._BASE}, 'k': 'file'}} FROM named, prompts WHERE length(root) >= 5 AND (contains({_SQUASH('prompt', '_')}, {_SQUASH('root', '_')}) OR contains(' ' || {_SQUASH('prompt', ' ')} || ' ', ' ' || {_SQUASH('root', ' ')} || ' '))
-  UNION ALL SELECT 'path', prompt_id, path, 1, CASE WHEN fl = low OR ends_with(fl, '/' || low) OR (contains(low, '/') AND contains(fl, low)) THEN floor(8 * idf) WHEN length(low) < 4 THEN 0 WHEN root = low THEN floor(6 * idf) WHEN contains(fl, low) THEN floor(3 * idf * greatest(0.0::DOUBLE, 1 - d / n)) ELSE 0 END, {{'o': 3, 's': {GQ._BASE}, 'k': 'file'}} FROM named, wt
+  UNION ALL SELECT 'path', prompt_id, path, 1, CASE WHEN {whole} THEN floor(8 * idf) {part} END, {{'o': 3, 's': {GQ._BASE}, 'k': 'file'}} FROM named, wt
   UNION ALL SELECT 'import', prompt_id, i.path, 1, 3, {{'o': 4, 's': w.token, 'k': 'importer'}} FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY path) AS r FROM imports) i JOIN w ON w.low = lower(module) OR w.low = regexp_replace(lower(module), '^.*[./]', '') WHERE r <= 3),
-lines AS (SELECT prompt_id, path, line, sum(score) AS score, min(what) AS what FROM bumps WHERE score > 0 GROUP BY prompt_id, path, line),
+lines AS (SELECT prompt_id, path, line, sum(score) AS score, min(what) AS what FROM bumps WHERE score > 0 AND {gone} GROUP BY prompt_id, path, line),
 cover AS (SELECT prompt_id, path, count(*) AS hits FROM (SELECT DISTINCT prompt_id, low FROM w) q JOIN files ON (length(low) >= 4 AND contains(lower(path), low)) OR list_contains({GQ.PATH_TOKENS_SQL}, low) GROUP BY ALL),
-adj AS (SELECT l.*, prompt, l.score + CASE WHEN coalesce(hits, 0) >= 2 THEN least(8, 2 * (hits - 1)) ELSE 0 END + CASE WHEN l.path IN (SELECT path FROM hot) THEN 2 ELSE 0 END
-  - CASE WHEN (regexp_matches(l.path, '(?:^|/)tests?/') OR regexp_matches(base, '^test_|_test\\.py$|\\.(?:test|spec)\\.(?:ts|js)$')) AND NOT contains(lower(prompt), 'test') AND NOT contains(lower(prompt), 'fixture') THEN 3 ELSE 0 END
-  - CASE WHEN base IN ({', '.join(map(_quoted, K.HUBS))}) AND NOT contains(lower(prompt), string_split(base, '.')[1]) AND NOT contains(lower(prompt), base) THEN 2 ELSE 0 END AS s
+adj AS (SELECT l.*, prompt, l.score + CASE WHEN {use('path_substr')} AND coalesce(hits, 0) >= 2 THEN least(8, 2 * (hits - 1)) ELSE 0 END + CASE WHEN {use('hot')} AND l.path IN (SELECT path FROM hot) THEN 2 ELSE 0 END
+  - CASE WHEN {use('test_penalty')} AND (regexp_matches(l.path, '(?:^|/)tests?/') OR regexp_matches(base, '^test_|_test\\.py$|\\.(?:test|spec)\\.(?:ts|js)$')) AND NOT contains(lower(prompt), 'test') AND NOT contains(lower(prompt), 'fixture') THEN 3 ELSE 0 END
+  - CASE WHEN {use('hub_penalty')} AND base IN ({', '.join(map(_quoted, K.HUBS))}) AND NOT contains(lower(prompt), string_split(base, '.')[1]) AND NOT contains(lower(prompt), base) THEN 2 ELSE 0 END AS s
   FROM lines l JOIN prompts USING (prompt_id) JOIN named USING (path) LEFT JOIN cover USING (prompt_id, path)),
 files_scored AS (SELECT prompt_id, path, sum(s)::BIGINT AS score, first(line ORDER BY s DESC, line) AS line, first(what ORDER BY s DESC, line) AS what FROM adj GROUP BY prompt_id, path)"""
 
 
+_RANK = _rank_sql()
+
+
 @query(_RANK + " SELECT prompt_id::BIGINT AS prompt_id, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, path)::INT AS place, path, score FROM files_scored QUALIFY place <= 5")
 def e5_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("prompt_id", "place", "path", "score")
@@ -171,7 +181,10 @@ def e6_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.block(ranked, G.imports(GQ.files(spark, sf_dir)))
 
 
-@query()
+_BEST = "SELECT prompt_id::BIGINT AS prompt_id, path, score FROM files_scored QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, path) = 1"
+
+
+@query(" UNION ALL ".join(f"SELECT {_quoted(off)} AS without, * FROM ({_rank_sql(off)} {_BEST})" for off in ("", *K.SIGNALS)))
 def i6_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best file of each prompt with one signal left out in turn, all scored in one pass."""
     return _ranked(spark, sf_dir, 1, ("", *K.SIGNALS)).select("without", "prompt_id", "path", "score")

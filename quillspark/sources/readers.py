@@ -65,6 +65,30 @@ def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def states(spark: SparkSession, path: str, schema: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """Saved session states; an empty table if there are none, and missing fields with their defaults."""
+    rows = json_or_empty(spark, path, schema) if not defaults else None
+    if rows is not None:
+        return rows
+    try:
+        raw = spark.read.text(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return raw.select(state_or_default(F.col("value"), schema, defaults).alias("s")).select("s.*")
+
+
+def git_states(status: DataFrame) -> DataFrame:
+    """(id, branch, upstream, ahead, behind, dirty) of texts (id, text) as `git status --porcelain=v2 --branch` prints them.
+
+    A text without these headers has a null branch and counts of 0.
+    """
+    lines = F.split("text", "\n")
+    value = lambda head: F.get(F.filter(F.transform(lines, lambda x: F.regexp_extract(x, rf"^# branch\.{head} (.+)$", 1)), lambda x: x != ""), F.lit(0))
+    count = lambda sign: F.coalesce(F.regexp_extract(value("ab"), rf"\{sign}(\d+)", 1).try_cast("int"), F.lit(0))
+    dirty = F.size(F.filter(lines, lambda x: x.rlike("^[12u?] ")))
+    return status.select("id", value("head").alias("branch"), value("upstream").alias("upstream"), count("+").alias("ahead"), count("-").alias("behind"), dirty.alias("dirty"))
+
+
 def state_or_default(raw: Column, schema: str, defaults: dict[str, Column]) -> Column:
     """A state struct from JSON text; missing fields take their defaults."""
     s = F.from_json(raw, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,13 +16,24 @@ TABLES = {
 }
 
 
+def init_store(spark: SparkSession, root: str) -> None:
+    """Creates the telemetry tables that are not there yet, empty."""
+    for name, schema in TABLES.items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/{name}")
+
+
+def save_states(states: DataFrame, path: str) -> None:
+    """Session states as JSON lines, replacing what was there; readers.states loads them."""
+    states.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def append(rows: DataFrame, root: str, table: str) -> None:
     """Appends rows to a telemetry table, in its schema."""
     names = [c.strip().split(" ") for c in TABLES[table].split(",")]
     rows.select(*[F.col(n).cast(t).alias(n) for n, t in names]).write.mode("append").parquet(f"{root}/{table}")
 
 
-def timestamp_of(text: str) -> F.Column:
+def timestamp_of(text: str) -> Column:
     """Times kept as text, in ISO 8601 or as Unix seconds."""
     c = F.col(text)
     return F.coalesce(F.timestamp_seconds(F.expr(f"try_cast(`{text}` as long)")), F.try_to_timestamp(c))

@@ -4,10 +4,12 @@ import datetime as dt
 import json
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import evals as V
 from quillspark.operators import guards as G
+from quillspark.operators import rank, reduce
 from quillspark.plans import rank_queries
 from quillspark.sources import readers, writers
 from quillspark.streaming import guards as SG
@@ -115,3 +117,72 @@ def test_bootstrap_intervals(spark):
     assert V.bootstrap_ratio(df.limit(0)).first().low is None
     zero = V.bootstrap_ratio(spark.createDataFrame([(0.0, 1.0)], "a double, b double")).first()
     assert zero.low == zero.high == 0.0
+
+
+def test_tool_states_on_a_stream_equal_the_batch(spark, tmp_path):
+    from quillspark.operators import session as S
+    from quillspark.plans import session_queries as SQ
+    from quillspark.streaming import session as SS
+
+    rows = SQ.tool_events(spark, "/root/testdata/sf0.001").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    src = str(tmp_path / "in")
+    for part in range(2):  # two micro-batches, each session cut in the middle
+        half = rows.withColumn("at", F.ntile(2).over(Window.partitionBy("session").orderBy("seq"))).where(F.col("at") == part + 1).drop("at")
+        half.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    seen = []
+    q = SS.tool_state_stream(stream).writeStream.outputMode("update").foreachBatch(lambda df, i: seen.append({r.session: r for r in df.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = {k: v for batch in seen for k, v in batch.items()}
+    assert len(seen) >= 2 and last == {r.session: r for r in S.tool_states(rows).collect()}
+
+
+def test_states_are_saved_and_loaded(spark, tmp_path):
+    schema = "session long, pinned_facts array<string>, current_subtask string"
+    path = str(tmp_path / "state")
+    assert readers.states(spark, path, schema).count() == 0
+    for rows in ([(1, ["a"], "x")], [(1, ["b"], None), (2, None, "y")]):
+        writers.save_states(spark.createDataFrame(rows, schema), path)
+    none = F.array().cast("array<string>")
+    got = sorted((r.session, r.pinned_facts, r.current_subtask) for r in readers.states(spark, path, schema, {"pinned_facts": none}).collect())
+    assert got == [(1, ["b"], None), (2, [], "y")]
+
+
+def test_store_is_made_once(spark, tmp_path):
+    writers.init_store(spark, str(tmp_path))
+    row = spark.createDataFrame([("s", "2024-01-01 00:00:00", "m", "/r")], "id string, started_at string, model_family string, repo_path string")
+    writers.append(row, str(tmp_path), "sessions")
+    writers.init_store(spark, str(tmp_path))
+    assert {t: spark.read.parquet(f"{tmp_path}/{t}").count() for t in writers.TABLES} == {t: int(t == "sessions") for t in writers.TABLES}
+
+
+def test_git_states(spark):
+    text = "# branch.oid 1\n# branch.head dev\n# branch.upstream origin/dev\n# branch.ab +2 -1\n1 .M N... a\n? new.py\nu UU x"
+    got = [tuple(r) for r in readers.git_states(spark.createDataFrame([(1, text), (2, "")], "id long, text string")).collect()]
+    assert got == [(1, "dev", "origin/dev", 2, 1, 3), (2, None, None, 0, 0, 0)]
+
+
+def test_growth_is_cut_towards_zero(spark):
+    rows = spark.createDataFrame([(3, 4), (3, 2), (0, 5), (7, 7)], "b long, a long").select(V.saved_percent(F.col("b"), F.col("a")).alias("p"))
+    assert [r.p for r in rows.collect()] == [-33, 33, 0, 0]
+
+
+def test_repeated_predictions_count_each_time(spark):
+    row = spark.createDataFrame([([1, 1, 2, 9], [1, 3])], "p array<int>, e array<int>").select(V.precision_at(F.col("p"), F.col("e"), 3).alias("precision"), V.recall_at(F.col("p"), F.col("e"), 3).alias("recall")).first()
+    assert (row.precision, row.recall) == (2 / 3, 0.5)
+
+
+def test_bm25_weighs_repeats(spark):
+    import math
+
+    docs = spark.createDataFrame([("a", ["x", "x", "y"]), ("b", ["x"]), ("c", ["z", "z"])], "doc string, terms array<string>")
+    got = {r.doc: r.score for r in rank.bm25(spark.createDataFrame([(1, ["x", "x", "q"])], "query_id long, terms array<string>"), docs).collect()}
+    weight = math.log((3 - 2 + 0.5) / (2 + 0.5) + 1)
+    want = {d: weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 2)) for d, tf, dl in (("a", 2, 3), ("b", 1, 1))}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-12 for d in want)
+
+
+def test_json_outline():
+    got = reduce._compacted({"b": [{"k": 1}] * 2 + [2, "é" * 90, None, None], "a": {}, "c": {"d": [[]]}})
+    long = '"' + "é" * 80 + '" of 180 bytes'
+    assert got == f'"a": {{}}\n"b": 6 entries, 4 distinct\n  2 of\n    "k": 1\n  1 of 2\n  1 of {long}\n  1 further distinct in 2 entries\n"c":\n  "d": 1 entries\n    1 of []'
