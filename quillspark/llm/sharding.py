@@ -35,7 +35,7 @@ def record_bytes(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(RECORD_OVERHEAD)).cast("long")
 
 
-def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 4 << 20) -> DataFrame:
     """df's records with shard (0 to n_shards - 1) and slot (gapless from 0 in the shard).
 
     Law `rows`: the shards' counts are at most one apart.  A null id or text is
