@@ -48,7 +48,3 @@ def discard(df: DataFrame | None) -> None:
     if path:
         fs, p = _fs(df.sparkSession, path)
         fs.delete(p, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

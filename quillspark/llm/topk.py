@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, shuffle_partitions
+from .store import materialize
 
 _LONG = 1 << 63
+#: Blocks at least, so that a small table is searched by several tasks.
+MIN_BLOCKS = 8
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
@@ -119,7 +121,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int =
     (_, w1, top1), (n, w2, top2) = extent(queries), extent(candidates)
     width = max(w1, w2)
     wide = width * max(top1, top2) ** 2 >= _LONG
-    n_blocks = max(-(-n * 8 * width // block_bytes), shuffle_partitions(candidates.sparkSession))
+    n_blocks = max(-(-n * 8 * width // block_bytes), MIN_BLOCKS)
     asked = materialize(queries.withColumn("q", F.monotonically_increasing_id()), "queries")
 
     # the row's number in the hash parts repeated rows
