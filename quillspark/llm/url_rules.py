@@ -132,9 +132,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
         edges = edges.unionByName(redirects.select(url_key(F.col("from_url")).alias("alias"), url_key(F.col("to_url")).alias("other")))
     # written, both sides of the joins below can be split by Spark where one url or component is hot
     labels = materialize(connected_components(edges).select(F.col("node").alias("key"), "component"), "labels")
-    placed = materialize(light.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key")).select("id", "host", "path", "own", "component"), "placed")
+    linked = F.col("component").isNotNull().alias("linked")
+    placed = light.join(labels, "key", "left").select("id", "host", "path", "own", linked, F.coalesce("component", "key").alias("component"))
+    placed = materialize(placed, "placed")
     is_ = lambda v: F.max(F.coalesce(F.col("own.verdict") == v, F.lit(False)))
-    group = placed.groupBy("component").agg(is_("allow").alias("any_allow"), is_("block").alias("any_block"))
+    # a url without aliases has nothing to inherit
+    group = placed.where("linked").groupBy("component").agg(is_("allow").alias("any_allow"), is_("block").alias("any_block"))
     blocked = materialize(group.where("any_block and not any_allow").select("component", F.lit("block").alias("inherited")), "blocked")
     discard(light)
     discard(labels)
