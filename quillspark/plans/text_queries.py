@@ -309,7 +309,10 @@ def b17_json_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.json_text(props_json(spark, sf_dir)).select("id", "reduced", "before_tokens", "after_tokens")
 
 
-@query()
+_REDUCED = {"stack_trace": "b12_stack_trace_reduce", "test_log": "b14_test_log_reduce", "build_log": "b15_build_log_reduce", "lint_output": "b16_lint_reduce", "json": "b17_json_reduce", "config": "b18_config_reduce"}
+
+
+@query("SELECT kind, count(*)::BIGINT AS n, sum(before_tokens)::BIGINT AS before, sum(after_tokens)::BIGINT AS after, round(CASE WHEN sum(before_tokens) = 0 THEN 0.0 ELSE greatest(sum(before_tokens) - sum(after_tokens), 0)::FLOAT / sum(before_tokens)::FLOAT END::DOUBLE, 4) AS ratio FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, before_tokens, after_tokens FROM ({SQL[name]})" for kind, name in _REDUCED.items()) + ") GROUP BY kind")
 def b23_b25_reduction_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Savings by kind over every text; the union of all reducers."""
     texts = _texts(spark, sf_dir)

@@ -101,7 +101,7 @@ def commit_log(text: DataFrame) -> DataFrame:
     frames = text.select(F.explode(F.slice(F.split("text", "\x02"), 2, 1 << 30)).alias("frame"))
     parts = F.split("frame", "\x03", 2)
     head = F.split(parts[0], "\x00")
-    return frames.select(head[0].alias("sha"), head[1].alias("subject"), F.get(head, F.lit(2)).alias("body"), F.explode_outer(F.filter(F.transform(F.split(F.get(parts, F.lit(1)), "\n"), F.trim), lambda x: x != "")).alias("path"))
+    return frames.select(head[0].alias("sha"), head[1].alias("subject"), F.get(head, F.lit(2)).alias("body"), F.explode_outer(F.filter(F.transform(F.split(F.get(parts, F.lit(1)), "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("path"))
 
 
 def package_dependencies(manifests: DataFrame) -> DataFrame:
