@@ -233,7 +233,7 @@ class ByteBPE:
         short = {u: x for u, x in learnt.items() if len(u) <= CACHED_UP_TO}
         cache.update(short)
         long = {u: x for u, x in learnt.items() if len(u) > CACHED_UP_TO}
-        self.cached += sum(len(x) + len(u) + ENTRY_BYTES for u, x in short.items())
+        self.cached += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY_BYTES * len(short)
         if long:
             out = [b"".join([p if isinstance(p, bytes) else b"".join([cache[u] if u in cache else long[u] for u in p]) for p in ps]) for ps in parts]
         else:

@@ -53,7 +53,7 @@ class WordTokens:
 
     SUFFIX = "</w>"
 
-    def __init__(self, path: str, cache_bytes: int = 192 << 20):
+    def __init__(self, path: str, cache_bytes: int = 256 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,7 +77,7 @@ class WordTokens:
 
     def _kept(self, cache: dict[str, bytes], new: list[str]) -> None:
         """Counts new entries."""
-        self.cached += sum(len(x) + len(cache[x]) + ENTRY_BYTES for x in new)
+        self.cached += sum(map(len, new)) + sum(map(len, map(cache.__getitem__, new))) + ENTRY_BYTES * len(new)
 
     def _trim(self, used: set[str]) -> None:
         """After a batch: long entries go, and beyond the bound all but the words of the batch, and then these."""
@@ -236,7 +236,7 @@ class Packer:
 OUTPUT = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, step_group long"
 
 
-def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (512, 1024, 2048, 4096), cache_bytes: int = 192 << 20) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (512, 1024, 2048, 4096), cache_bytes: int = 256 << 20) -> DataFrame:
     """One row per piece: id, start and length in its document's ids, ids (little-endian unsigned 32 bits), doc_tokens, sequence_id, offset, step_group.
 
     Each document is tokenized whole, with end_id after it; null is an empty
