@@ -43,26 +43,24 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
-def connected_components(edges: DataFrame, max_passes: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge other than a self-loop.
 
     edges: two columns of one orderable type; nulls are no edges.  component is
     the smallest node of the component.  Repeated and reversed edges are one.
+    Passes go on until nothing changes, of the order of the squared logarithm
+    of the number of nodes.
     """
     a, b = edges.columns[:2]
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     now = materialize(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _state(now)
-    for _ in range(max_passes if seen[0] else 0):
+    seen, last = _state(now), None
+    while seen[0] and seen != last:
         wide = _large_star(now)
         after = _small_star(wide)
         discard(wide)
         discard(now)
         now, last = after, seen
-        if (seen := _state(now)) == last:
-            break
-    else:
-        if seen[0]:
-            raise RuntimeError(f"components have not settled after {max_passes} passes")
+        seen = _state(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
