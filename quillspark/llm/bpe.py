@@ -14,7 +14,6 @@ bytes.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from array import array
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .batches import binary_array, bounded
+from .batches import binary_array, bounded, held
 
 #: Fixed value: the characters that the tokenizer's regular expressions count as white space.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -84,12 +83,6 @@ class ByteBPE:
         self.cache: dict[str, bytes] = {}
         self.cache_bytes, self.cached = cache_bytes, 0
 
-    @staticmethod
-    @functools.lru_cache(maxsize=1)
-    def of(path: str) -> ByteBPE:
-        """The tokenizer of this process, which keeps its cache from task to task."""
-        return ByteBPE(path)
-
     # -- merging
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,8 +260,8 @@ def encode_documents(df: DataFrame, path: str, text_col: str = "text") -> DataFr
     schema = StructType([*df.schema.fields, StructField("ids", BinaryType()), StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE.of(path)
-        for batch in bounded(batches, text_col, 2 << 20):
+        bpe = held(("bpe", path), lambda: ByteBPE(path))
+        for batch in bounded(batches, text_col, 2 << 20, holds=True):
             ids = bpe.encode_batch(batch.column(text_col).to_pylist())
             decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, binary_array(ids), decoded], names=[*kept, "ids", "decoded"])

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import binary_array, bounded
+from .batches import binary_array, bounded, release
 from .graph import connected_components
 from .repeats import WordText
 from .store import discard, materialize
@@ -221,6 +221,7 @@ def _verified(pairs: DataFrame, threshold: float, n: int) -> DataFrame:
                 out = []
         if task:
             yield batch_of(check(task))
+        release()
 
     dealt = pairs.select("i", "j", "mine", "node", "weight", "z").repartition("i", "j").sortWithinPartitions("i", "j", "mine", "node")
     return dealt.mapInArrow(run, "node long, other long, weight long")

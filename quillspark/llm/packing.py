@@ -15,7 +15,6 @@ shorter windows; fewer than `SMALLEST_TAIL` tokens a partition need padding.
 from __future__ import annotations
 
 import bisect
-import functools
 import os
 import re
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .batches import bounded
+from .batches import bounded, held
 
 #: Characters that str.split() takes for blanks and the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -69,12 +68,6 @@ class WordTokens:
         self.pieces: dict[str, bytes] = {}
         self.cache_bytes, self.cached = cache_bytes, 0
 
-    @staticmethod
-    @functools.lru_cache(maxsize=1)
-    def of(path: str, cache_bytes: int) -> WordTokens:
-        """The tokenizer of this process, which keeps its cache from task to task."""
-        return WordTokens(path, cache_bytes)
-
     def _kept(self, cache: dict[str, bytes], new: list[str]) -> None:
         """Counts new entries."""
         self.cached += sum(map(len, new)) + sum(map(len, map(cache.__getitem__, new))) + ENTRY_BYTES * len(new)
@@ -250,7 +243,7 @@ def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordTokens.of(path, cache_bytes), Packer(tiers)
+        words, packer = held(("words", path, cache_bytes), lambda: WordTokens(path, cache_bytes)), Packer(tiers)
         base, done = TaskContext.get().partitionId() << 36, 0
         kind: pa.DataType = pa.int64()
 
@@ -268,7 +261,7 @@ def pack_documents(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
                 longs = [pa.array(c, pa.int64()) for c in cols[1:3]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *longs, pa.array(cols[3], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[4:]]], names=[id_col, *[x.split()[0] for x in OUTPUT.split(", ")]])
 
-        for batch in bounded(batches, "__text", 2 << 20):
+        for batch in bounded(batches, "__text", 2 << 20, holds=True):
             kind = batch.schema.field(0).type
             ids = [x + end for x in words.encode_batch(batch.column(1).to_pylist())]
             yield from rows(packer.add([((k, x), len(x) // 4) for k, x in zip(batch.column(0).to_pylist(), ids, strict=True)]))

@@ -9,7 +9,6 @@ and repeated five-word windows come first.
 
 from __future__ import annotations
 
-import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .batches import bounded
+from .batches import bounded, held
 from .repeats import merged
 from .winnow import gram_values, word_values
 
@@ -124,12 +123,6 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
 
-    @staticmethod
-    @functools.lru_cache(maxsize=1)
-    def of(path: str) -> Fertility:
-        """The model of this process, loaded once."""
-        return Fertility(path)
-
     def measure(self, texts: list[str], chars: list[int]) -> list[tuple[int, float, float, float]]:
         """(tokens, characters per token, share of byte tokens, entropy in bits) each; zeros without tokens."""
         out = []
@@ -166,8 +159,8 @@ def judge_quality(docs: DataFrame, path: str, text_col: str = "text", lang_col:
     src = docs.select(*[f"`{c}`" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = Fertility.of(path)
-        for batch in bounded(batches, text_col):
+        fertility = held(("fertility", path), lambda: Fertility(path))
+        for batch in bounded(batches, text_col, holds=True):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             langs = batch.column(lang_col).to_pylist() if has_lang else [None] * len(texts)
             base = [base_counts(t.encode()) for t in texts]

@@ -20,9 +20,7 @@ winnow), each with the left context that its windows need.  A suffix's first
    spans, to the rows.
 
 Counts combine before each exchange, and members and texts are joined by plain
-equi-joins whose hot keys Spark can split (merge joins where one side is small,
-for a broadcast would keep the split from happening), so no key is gathered in
-one task.
+equi-joins whose hot keys Spark can split, so no key is gathered in one task.
 Rows are named by a number that is written with them, so a class's text is
 fetched from one row however often the row is repeated.  The written tables
 survive lost executors.
@@ -40,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import winnow
-from .batches import binary_array, bounded
+from .batches import binary_array, bounded, release
 from .store import discard, materialize
 
 _BITS = 12
@@ -223,6 +221,7 @@ def _decided(bodies: DataFrame, decide: Decide, batch_windows: int = 100_000) ->
                 size += windows + len(body) // 16
         if names:
             yield flush()
+        release()
 
     return dealt.mapInArrow(run, FOUND)
 
@@ -278,7 +277,7 @@ def _resolve(bodies: DataFrame, kind: type, length: int, width: int, decide: Dec
     else:
         kids = materialize(kids, "kids")
         crowd = materialize(kids.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
-        kids_k = kids.join(crowd.hint("merge"), "gram").withColumn("hot", F.col("k") > group_limit)
+        kids_k = kids.join(crowd, "gram").withColumn("hot", F.col("k") > group_limit)
         alone = kids_k.where("k = 1 and n > 1").select("gram", "c1", "c2", *_whole())
         more = materialize(kids_k.where("k > 1").select("gram", "c1", "c2", "n", "place", "hot", "body"), "bodies")
         below = materialize(alone.unionByName(_resolve(more, kind, length, width, decide, group_limit)).where("size(lo) > 0"), "found")
@@ -300,7 +299,7 @@ def repeated_spans(profiles: DataFrame, kind: type, length: int, gram: int, deci
 
     counted = materialize(members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep")), "counted")
     crowd = materialize(counted.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
-    classes = counted.join(crowd.hint("merge"), "gram").select("gram", "c1", "c2", "n", "k", "rep.*", (F.col("k") > group_limit).alias("hot"))
+    classes = counted.join(crowd, "gram").select("gram", "c1", "c2", "n", "k", "rep.*", (F.col("k") > group_limit).alias("hot"))
     classes = materialize(classes, "classes")
     for table in (counted, crowd, grams):
         discard(table)
