@@ -100,7 +100,7 @@ def test_config_scores_use_parsers(spark):
     texts = ["[a]\nx = 1\n", "a: 1\nb: [2, 3]\n", "x = = 1\ny = [\nz: }", "plain words", "Error: x\n at a\n at b\nc: d\ne: f"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {r.id: round(r.s, 2) for r in df.select("id", engine.config_score(F.col("text")).alias("s")).collect()}
-    assert got == {0: 0.9, 1: 0.75, 2: 0.7, 3: 0.0, 4: 0.0}
+    assert got == {0: 0.9, 1: 0.7, 2: 0.7, 3: 0.0, 4: 0.0}
 
 
 def test_pipe_only_shrinks(spark):
