@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import winnow
@@ -259,6 +259,25 @@ def _split(crowded: DataFrame, kind: type, length: int, width: int) -> DataFrame
     return kept.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", body binary")
 
 
+#: Parts that the classes under one prefix are counted in.
+_PARTS = 1024
+
+
+def _crowded(classes: DataFrame, group_limit: int) -> DataFrame:
+    """classes with k, the number of classes under their prefix, and hot, whether these are more than group_limit; a written table.
+
+    Classes are counted by prefix and part of their digest, and the counts of a
+    prefix, at most _PARTS, summed; the sums meet the classes on both, so those
+    of one prefix are dealt to many tasks.
+    """
+    parted = classes.withColumn("part", F.pmod("c1", F.lit(_PARTS)))
+    parts = parted.groupBy("gram", "part").agg(F.count("*").alias("k"))
+    crowd = materialize(parts.withColumn("k", F.sum("k").over(Window.partitionBy("gram"))), "crowd")
+    out = materialize(parted.join(crowd, ["gram", "part"]).drop("part").withColumn("hot", F.col("k") > group_limit), "classes")
+    discard(crowd)
+    return out
+
+
 def _whole() -> list:
     """lo and hi of all windows of a class."""
     return [F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.shiftright("place", _BITS).bitwiseAND(_MASK)).alias("hi")]
@@ -276,12 +295,11 @@ def _resolve(bodies: DataFrame, kind: type, length: int, width: int, decide: Dec
         below = materialize(kids.where("n > 1").select("gram", "c1", "c2", *_whole()), "found")
     else:
         kids = materialize(kids, "kids")
-        crowd = materialize(kids.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
-        kids_k = kids.join(crowd, "gram").withColumn("hot", F.col("k") > group_limit)
-        alone = kids_k.where("k = 1 and n > 1").select("gram", "c1", "c2", *_whole())
-        more = materialize(kids_k.where("k > 1").select("gram", "c1", "c2", "n", "place", "hot", "body"), "bodies")
+        crowded = _crowded(kids, group_limit)
+        alone = crowded.where("k = 1 and n > 1").select("gram", "c1", "c2", *_whole())
+        more = crowded.where("k > 1").select("gram", "c1", "c2", "n", "place", "hot", "body")
         below = materialize(alone.unionByName(_resolve(more, kind, length, width, decide, group_limit)).where("size(lo) > 0"), "found")
-        for table in (kids, crowd, more):
+        for table in (kids, crowded):
             discard(table)
     below = below.toDF("gram2", "d1", "d2", "lo", "hi")
     runs = F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct((x["lo"] + F.col("j0")).alias("lo"), (x["hi"] + F.col("j0")).alias("hi")))
@@ -297,11 +315,10 @@ def repeated_spans(profiles: DataFrame, kind: type, length: int, gram: int, deci
     anchors = profiles.select("rid", F.explode(F.arrays_zip("place", "gram", "c1", "c2")).alias("a")).select("rid", "a.*")
     members = materialize(anchors.join(grams, "gram").select("rid", "place", "gram", "c1", "c2"), "members")
 
-    counted = materialize(members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep")), "counted")
-    crowd = materialize(counted.groupBy("gram").agg(F.count("*").alias("k")), "crowd")
-    classes = counted.join(crowd, "gram").select("gram", "c1", "c2", "n", "k", "rep.*", (F.col("k") > group_limit).alias("hot"))
-    classes = materialize(classes, "classes")
-    for table in (counted, crowd, grams):
+    counted = members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep"))
+    counted = materialize(counted.select("gram", "c1", "c2", "n", "rep.*"), "counted")
+    classes = _crowded(counted, group_limit)
+    for table in (counted, grams):
         discard(table)
 
     alone = classes.where("k = 1").select("gram", "c1", "c2", *_whole())
