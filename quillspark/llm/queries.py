@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, quality, sharding, suffix_radix, suffix_tree, topk, toxicity, url_rules
+from . import bpe, centroids, infill, mixing, ngram_join, packing, quality, sharding, suffix_radix, suffix_tree, topk, toxicity, url_rules
 
 #: Folder of the public tokenizer files; None takes the installed package's.
 TOKENIZER_DIR: str | None = None
@@ -179,8 +179,84 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources by 5, 2, 1 takes."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = mixing.mix_with_targets(docs, F.col("source"), mixing.n_words(F.col("text")))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+#: Targets: capped sources are those with the smallest caps a weight; the level is the rest of the words over the other weights.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN '2' ELSE '1' || source END AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source)) - 1) % 3] AS w FROM d GROUP BY source
+), run AS (
+  SELECT *, sum(3 * source_size) OVER o - 3 * source_size AS capped_before, sum(w) OVER () - sum(w) OVER o + w AS w_left, sum(source_size) OVER () AS total
+  FROM s WINDOW o AS (ORDER BY 3 * source_size / w, source ROWS UNBOUNDED PRECEDING)
+), level AS (
+  SELECT min_by({'r': total - capped_before, 'w': w_left}, capped_before + w_left * 1e-9) AS x FROM run WHERE (total - capped_before) * w <= 3 * source_size * w_left
+), t AS (
+  SELECT source, source_size, least(3.0 * source_size::DOUBLE, x.r::DOUBLE * w / x.w::DOUBLE) AS target FROM s, level
+), q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3 * source_size, floor(target + 0.5)::BIGINT) ELSE 0 END AS quota FROM t
+), p AS (
+  SELECT doc_id, size, source, sum(size) OVER (PARTITION BY source ORDER BY substring(sha256('11:' || coalesce(doc_id::VARCHAR, '') || ':' || text), 1, 24) ROWS UNBOUNDED PRECEDING) - size AS before FROM d
+)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least(size, quota % source_size - before)) END::BIGINT AS taken
+FROM p JOIN q USING (source)
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds from eight seeded centers."""
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+    out = found.assigned.join(F.broadcast(found.centers), "cluster")  # eight rows
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2("center", 256).alias("centroid_sha256"))
+
+
+def _op12_sql(k: int = 8, rounds: int = 10) -> str:
+    near = "(SELECT rid, id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT e.rid, e.id, e.v, c.cluster, list_sum([(e.v[i] - c.v[i]) * (e.v[i] - c.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM e, {0} c) GROUP BY rid, id, v)"
+    steps = [
+        f"""e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id AS id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || id::VARCHAR) NULLS LAST, v) - 1)::INTEGER AS cluster, v FROM e QUALIFY cluster < {k})",
+    ]
+    for r in range(rounds):
+        steps.append(f"""m{r} AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {near.format(f"c{r}")}) GROUP BY cluster, i)""")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM m{r} GROUP BY cluster) m USING (cluster))")
+    last = f"a AS MATERIALIZED (SELECT * FROM {near.format(f'c{rounds}')})"
+    return f"""WITH {", ".join([*steps, last])}
+SELECT a.id AS vec_id, a.cluster, a.distance, sum(a.distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia, sum(a.distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a JOIN c{rounds} USING (cluster)"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form, cuts and output, and its text rebuilt from the output."""
+    out = infill.fill_in_middle(_table(spark, sf_dir, "documents"), seed=1, share=90, spm_share=20)
+    back = infill.restored(F.col("output"), F.col("form"))
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]', 0, 's') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), h AS (
+  SELECT *, len(t)::BIGINT AS n, ('0x' || x[1:8])::BIGINT % (len(t) + 1) AS a, ('0x' || x[9:16])::BIGINT % (len(t) + 1) AS b, ('0x' || x[17:24])::BIGINT % 100 AS c, ('0x' || x[25:32])::BIGINT % 100 AS e FROM d
+), f AS (
+  SELECT doc_id, text, n, array_to_string(t[1:least(a, b)], '') AS p, array_to_string(t[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(t[greatest(a, b) + 1:], '') AS s,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM f
+"""
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe}
+    return {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_url_filters": op3_url_filters, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_packing": op6_packing, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe": op10_bpe, "op11_mixing": op11_mixing, "op12_centroids": op12_centroids, "op13_fill_in_middle": op13_fill_in_middle}
 
 
 OP4_SQL = r"""
@@ -209,4 +285,4 @@ SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_suffix_array_dedup": OP9_SQL, "op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL, "op3_url_filters": OP3_SQL}
+    return {"op9_suffix_array_dedup": OP9_SQL, "op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL, "op3_url_filters": OP3_SQL, "op11_mixing": OP11_SQL, "op12_centroids": _op12_sql(), "op13_fill_in_middle": OP13_SQL}
