@@ -1,8 +1,9 @@
 """N-gram Jaccard join: MinHash banding, verified on full n-gram sets.
 
-1. Texts become sets of word n-grams.  Texts with equal sets are one *node*
-   with a weight, so copies are never compared, and its text is taken from one
-   row.
+1. Texts become sets of word n-grams.  Texts with equal sets, by a 128-bit
+   BLAKE2b digest of the n-grams' words, are one *node* with a weight, so copies
+   are never compared, and its text is taken from one row.  The 64-bit values of
+   n-grams only route: two n-grams with one value cost a comparison and no more.
 2. Band and row counts are chosen for the target recall at the threshold.  Band
    hashes are exchanged; a band hash that several nodes share is a bucket.
 3. A node's home is the smallest node it shares a bucket with; the nodes of one
@@ -19,6 +20,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
@@ -34,7 +36,7 @@ from .batches import binary_array, bounded, release
 from .graph import connected_components
 from .repeats import WordText
 from .store import discard, materialize
-from .winnow import digests, gram_values, mix
+from .winnow import gram_values, mix
 
 #: Nodes and bytes of text that one block holds; a longer text is a block of its own.
 BLOCK, BLOCK_BYTES = 128, 2 << 20
@@ -50,11 +52,71 @@ def choose_bands(threshold: float, recall: float = 0.99999, hashes: int = 240) -
     return best
 
 
-def shingles(data: bytes, n: int) -> np.ndarray:
-    """Distinct 64-bit values of the word n-grams of a UTF-8 text, sorted; a text of fewer words is one n-gram, an empty one has none."""
-    text = WordText(data)
+def shingles(text: WordText, n: int) -> np.ndarray:
+    """64-bit values of the word n-grams of a text, in its order; a text of fewer words is one n-gram, an empty one has none."""
     words = text.values(0, text.n)
-    return np.unique(gram_values(words, min(n, len(words)))) if len(words) else words
+    return gram_values(words, min(n, len(words))) if len(words) else words
+
+
+class WordNumbers(dict):
+    """Words to rows of `digests`, 128-bit BLAKE2b digests of their bytes; bounded, as it starts anew at `limit` bytes of words."""
+
+    def __init__(self, limit: int = 16 << 20):
+        self.limit, self.bytes, self.raw = limit, 0, []
+        self._table = np.zeros((0, 2), np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.raw.append(hashlib.blake2b(word, digest_size=16).digest())
+        self.bytes += len(word) + 150
+        self[word] = number = len(self.raw) - 1
+        return number
+
+    def trim(self) -> None:
+        if self.bytes > self.limit:
+            self.__init__(self.limit)
+            self.clear()
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """A row of two longs per word."""
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self._table) < len(self.raw):
+            more = np.frombuffer(b"".join(self.raw[len(self._table) :]), "<i8").reshape(-1, 2)
+            self._table = np.concatenate((self._table, more))
+        return self._table[rows]
+
+
+def _in_order(values: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the distinct n-grams in an order that depends on the set alone: by value, and by the words' digests where different n-grams have one value."""
+    order = np.argsort(values, kind="stable")
+    same = values[order[1:]] == values[order[:-1]]
+    if not same.any():
+        return order
+    at = np.flatnonzero(same)
+    equal = np.ones(len(at), bool)
+    for k in range(n):
+        equal &= (words[order[at] + k] == words[order[at + 1] + k]).all(1)
+    if equal.all():
+        return order[np.concatenate(([True], ~same))]
+    columns = [words[k : k + len(values), c] for k in reversed(range(n)) for c in (1, 0)]
+    order = np.lexsort((*columns, values))
+    new = np.concatenate(([True], values[order[1:]] != values[order[:-1]]))
+    for column in columns:
+        new[1:] |= column[order[1:]] != column[order[:-1]]
+    return order[new]
+
+
+#: N-grams whose digests are gathered at once.
+_GATHER = 1 << 16
+
+
+def set_digest(values: np.ndarray, words: np.ndarray, n: int) -> bytes:
+    """128-bit digest of a set of word n-grams by their words: equal for equal sets, whatever the 64-bit values of the n-grams."""
+    out = hashlib.blake2b(n.to_bytes(8, "little"), digest_size=16)
+    order = _in_order(values, words, n) if len(values) else values.astype(np.int64)
+    for a in range(0, len(order), _GATHER):
+        part = order[a : a + _GATHER]
+        out.update(np.ascontiguousarray(words[part[:, None] + np.arange(n)[None, :]]).tobytes())
+    return out.digest()
 
 
 class MinHash:
@@ -89,13 +151,20 @@ def _profile(rows: DataFrame, n: int, minhash: MinHash) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
+        numbers = WordNumbers()
         for batch in bounded(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            sets = [shingles(t or b"", n) for t in texts]
+            sets, names = [], []
+            for t in texts:
+                text = WordText(t or b"")
+                values = shingles(text, n)
+                names.append(set_digest(values, numbers.of(text.data.split()), min(n, text.n)))
+                sets.append(np.unique(values))
+                numbers.trim()
             some = [s for s in sets if len(s)]
             bands = iter(minhash.band_hashes(some).view(np.int64) if some else [])
             lists = [next(bands) if len(s) else None for s in sets]
-            digest = digests([s.tobytes() for s in sets])
+            digest = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in ("rid", "id", "th", *extra)],

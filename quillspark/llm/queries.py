@@ -79,21 +79,34 @@ def _key(host: str, path: str, url: str) -> str:
 _HOST = "translate(regexp_extract(coalesce({0}, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce({0}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
 
+#: Comments, and elements whose content is text: what a reader of tags passes over.
+_NO_TAGS = "<!--.*?(?:-->|\\z)|" + "|".join(f"<{e}(?:\\s[^>]*)?>.*?(?:</{e}\\s*>|\\z)" for e in "script style textarea title template xmp iframe noembed noframes".split())
+
+
+def _seen_from(t: str, url: str, path: str) -> str:
+    """A link as an absolute url, seen from a url whose path (never empty) is given."""
+    origin, query = f"regexp_extract({url}, '^(.*?://[^/?#]*)', 1, 's')", f"regexp_extract({url}, '^.*?://[^?#]*(\\?[^#]*)?', 1, 's')"
+    return f"""CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t} WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with({t}, '//') THEN regexp_extract({url}, '^(.*?)://', 1, 's') || ':' || {t} WHEN starts_with({t}, '/') THEN {origin} || {t} WHEN starts_with({t}, '?') THEN {origin} || {path} || {t}
+    WHEN starts_with({t}, '#') THEN {origin} || {path} || {query} ELSE {origin} || regexp_extract({path}, '^(.*/)', 1, 's') || {t} END"""
+
+
 OP3_SQL = rf"""
-WITH RECURSIVE parsed AS (
-  SELECT page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, coalesce(contains(url, '://'), false) AS is_url,
+WITH RECURSIVE bare AS (SELECT page_id, url, regexp_replace(html, '{_NO_TAGS}', ' ', 'gis') AS html FROM pages
+), parsed AS (
+  SELECT page_id, url, coalesce(list_filter([{_attr("t", "href")} FOR t IN regexp_extract_all(coalesce(html, ''), '<base\s[^>]*>', 0, 'is')], lambda h: h <> '')[1], '') AS base, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, coalesce(contains(url, '://'), false) AS is_url,
     list_filter(regexp_extract_all(coalesce(html, ''), '<link\s[^>]*>', 0, 'is'), lambda t: list_contains(regexp_split_to_array(lower({_attr("t", "rel")}), '\s+'), 'canonical')) AS links,
     list_filter(regexp_extract_all(coalesce(html, ''), '<meta\s[^>]*>', 0, 'is'), lambda t: lower({_attr("t", "http-equiv")}) = 'refresh') AS metas
-  FROM pages
+  FROM bare
 ), seen AS (
   SELECT *, CASE WHEN is_url THEN {_key("host", "path", "url")} ELSE chr(0) || coalesce(page_id::VARCHAR, '') END AS key FROM parsed
+), based AS (
+  SELECT key, links, metas, CASE WHEN base = '' THEN url ELSE coalesce({_seen_from("base", "url", "CASE path WHEN '' THEN '/' ELSE path END")}, url) END AS url FROM seen WHERE is_url
 ), links AS (
-  SELECT key, url, regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') AS origin, CASE path WHEN '' THEN '/' ELSE path END AS path, unnest(list_transform(links, lambda t: {_attr("t", "href")}) || list_transform(metas, lambda t: regexp_extract({_attr("t", "content")}, '\burl\s*=\s*["'']?([^"''\s]+)', 1, 'is'))) AS t
-  FROM seen WHERE is_url
+  SELECT key, url, CASE {_PATH.format("url")} WHEN '' THEN '/' ELSE {_PATH.format("url")} END AS path, unnest(list_transform(links, lambda t: {_attr("t", "href")}) || list_transform(metas, lambda t: regexp_extract({_attr("t", "content")}, '\burl\s*=\s*["'']?([^"''\s]+)', 1, 'is'))) AS t
+  FROM based
 ), targets AS (
-  SELECT key, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-    WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?)://', 1, 's') || ':' || t WHEN starts_with(t, '/') THEN origin || t WHEN starts_with(t, '?') THEN origin || path || t
-    WHEN starts_with(t, '#') THEN origin || path || regexp_extract(url, '^.*?://[^?#]*(\?[^#]*)?', 1, 's') ELSE origin || regexp_extract(path, '^(.*/)', 1, 's') || t END AS t FROM links WHERE t <> ''
+  SELECT key, {_seen_from("t", "url", "path")} AS t FROM links WHERE t <> ''
 ), parts AS (SELECT key, t, {_HOST.format("t")} AS h, {_PATH.format("t")} AS p FROM targets WHERE contains(t, '://')
 ), edges AS (SELECT key AS a, {_key("h", "p", "t")} AS b FROM parts
 ), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
@@ -127,12 +140,12 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH e AS (
   SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
   FROM e q JOIN e c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0
 )
-SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
 

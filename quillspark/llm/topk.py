@@ -53,14 +53,19 @@ def _matrix(rows: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
+def _ids(column: pa.Array) -> np.ma.MaskedArray:
+    """Ids as an array that masks the missing ones."""
+    return np.ma.MaskedArray(column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False))
+
+
 class CandidateBlock:
-    """Candidates in vertical layout with the mass each has left after every dimension block.
+    """Candidates in vertical layout with the mass each has left after every dimension block, in order of their ids (masked ones, which are missing, last).
 
     With `wide`, sums may not fit into 64 bits: then the last survivors are scored with Python's integers.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims: int = 16, wide: bool = False):
-        order = np.argsort(ids, kind="stable")
+    def __init__(self, ids: np.ma.MaskedArray, vectors: np.ndarray, dims: int = 16, wide: bool = False):
+        order = np.lexsort((ids.data, np.ma.getmaskarray(ids)))
         self.ids, v = ids[order], vectors[order]
         self.cuts = [(a, min(a + dims, v.shape[1])) for a in range(0, v.shape[1], dims)]
         self.columns = [np.ascontiguousarray(v[:, a:b]).astype(np.float64) for a, b in self.cuts]
@@ -68,18 +73,19 @@ class CandidateBlock:
         self.left = np.sqrt(np.concatenate((np.cumsum(squares[::-1], 0)[::-1], np.zeros((1, len(ids))))))
         self.whole, self.wide = v, wide
 
-    def _scored(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+    def _scored(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[list[int | None], list[int]]:
+        # places are in order of ids, so the earlier place wins a tie
         if not self.wide:
             scores = self.whole[at] @ query
-            order = np.lexsort((self.ids[at], -scores))[:k]
-            return self.ids[at][order], scores[order].tolist()
+            order = np.lexsort((at, -scores))[:k]
+            return self.ids[at[order]].tolist(), scores[order].tolist()
         q = query.tolist()
         scores = [sum(x * y for x, y in zip(row, q, strict=True)) for row in self.whole[at].tolist()]
-        order = sorted(range(len(at)), key=lambda i: (-scores[i], self.ids[at[i]]))[:k]
-        return self.ids[at][order], [scores[i] for i in order]
+        order = sorted(range(len(at)), key=lambda i: (-scores[i], at[i]))[:k]
+        return self.ids[at[order]].tolist(), [scores[i] for i in order]
 
-    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
-        """Ids and exact scores of the k best, ties to smaller ids."""
+    def top(self, query: np.ndarray, k: int) -> tuple[list[int | None], list[int]]:
+        """Ids and exact scores of the k best, ties to smaller ids, missing ones (None) last."""
         parts = [query[a:b].astype(np.float64) for a, b in self.cuts]
         squares = np.array([(p * p).sum() for p in parts])
         query_left = np.sqrt(np.concatenate((np.cumsum(squares[::-1])[::-1], [0.0])))
@@ -107,12 +113,12 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int =
     Both have (vec_id, v), v arrays of longs; shorter vectors count as padded
     with zeros.  A query row's own row is one candidate of its id and vector;
     further rows of that id stay candidates, and repeated query rows each get
-    an answer.  Null ids take no part.  Scores are compared as exact integers
+    an answer.  Rows without an id take part like any others, after all ids in a
+    tie; such a query's answers have a null query_id.  Scores are compared as exact integers
     of any size; one beyond the longs is returned as the nearest long.  Other
     columns are ignored.  Empty tables give an empty result.
     """
-    clean = lambda df: df.where("vec_id is not null").select("vec_id", "v")
-    queries, candidates = clean(queries), clean(candidates)
+    queries, candidates = queries.select("vec_id", "v"), candidates.select("vec_id", "v")
 
     def extent(df: DataFrame) -> tuple[int, int, int]:
         rows, width, high, low = df.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
@@ -137,7 +143,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int =
             edge = np.flatnonzero(np.diff(blocks) | np.diff(qs < 0)) + 1
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(qs)], strict=True):
                 part = batch.slice(a, b - a)
-                part_ids, part_v = part.column("vec_id").to_numpy(), _matrix(part.column("v"), width)
+                part_ids, part_v = _ids(part.column("vec_id")), _matrix(part.column("v"), width)
                 if blocks[a] != at:
                     at, ids, vectors, block = blocks[a], [], [], None
                 if qs[a] < 0:
@@ -147,13 +153,13 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int =
                 if block is None:
                     if not ids:
                         continue
-                    block = CandidateBlock(np.concatenate(ids), np.concatenate(vectors), wide=wide)
+                    block = CandidateBlock(np.ma.concatenate(ids), np.concatenate(vectors), wide=wide)
                     ids, vectors = [], []
                 out: list[list] = [[], [], [], [], [], []]
                 for q, query_id, v in zip(qs[a:b].tolist(), part_ids.tolist(), part_v, strict=True):
                     found, scores = block.top(v, k + 1)
                     square = _exact_square(v)
-                    for key, score in zip(found.tolist(), scores, strict=True):
+                    for key, score in zip(found, scores, strict=True):
                         order = (score + (1 << 191)).to_bytes(24, "big") if wide else None
                         for col, x in zip(out, (q, query_id, key, min(max(score, -_LONG), _LONG - 1), order, key == query_id and score == square), strict=True):
                             col.append(x)
@@ -161,7 +167,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["q", "query_id", "vec_id", "score", "order", "own"])
 
     found = dealt.mapInArrow(run, "q long, query_id long, vec_id long, score long, order binary, own boolean")
-    order = Window.partitionBy("q").orderBy(F.desc("order"), F.desc("score"), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("order"), F.desc("score"), F.asc_nulls_last("vec_id"))
     best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     # of the rows that look like the query's own, one is
     own = best.withColumn("own_at", F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("q")))

@@ -3,7 +3,7 @@
 A rule names a host and a path prefix and fits the host and its subdomains;
 the longest fitting rule decides a url.  Urls that no rule fits inherit: a page
 and what it redirects to (meta refresh, a table of redirects) or names as
-canonical are aliases, and aliases form components.  In a component an explicit
+canonical, in its markup and seen from its base, are aliases, and aliases form components.  In a component an explicit
 allow takes precedence over an explicit block; with neither, a url is allowed.
 """
 
@@ -77,11 +77,32 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(value)
 
 
+#: Elements whose content is no markup of the page.
+RAW_ELEMENTS = ("script", "style", "textarea", "title", "template", "xmp", "iframe", "noembed", "noframes")
+#: What is not read: comments and the content of such elements, to the end of the page where one is not closed.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}(?:\s[^>]*)?>.*?(?:</{e}\s*>|\z)" for e in RAW_ELEMENTS)
+
+
+def markup(html: Column) -> Column:
+    """A page without its comments, scripts, styles and other content that holds no tags."""
+    return F.regexp_replace(html, UNREAD, " ")
+
+
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\s[^>]*>"), F.lit(0))
+
+
+def base_target(html: Column) -> Column:
+    """The href of the first base element that has one, of a page's markup; else empty."""
+    hrefs = F.filter(F.transform(_tags(html, "base"), lambda t: _attribute(t, "href")), lambda x: x != "")
+    return F.coalesce(F.get(hrefs, F.lit(0)), F.lit(""))
+
+
 def alias_targets(html: Column) -> Column:
-    """The targets of all canonical links and meta refreshes of a page, as they stand there; empty for null html."""
+    """The targets of all canonical links and meta refreshes of a page's markup, as they stand there; empty for null html."""
 
     def tags(name: str) -> Column:
-        return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\s[^>]*>"), F.lit(0))
+        return _tags(html, name)
 
     links = F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
     metas = F.filter(tags("meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
@@ -115,16 +136,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
 
     redirects: optional (from_url, to_url).  A null url, or one without ://, has
     an empty host and path, fits no rule, has no aliases and is allowed.  Null
-    html has no links.  Repeated rows are judged alike; other columns of pages
+    html has no links.  Links in comments, scripts and the like are none; links
+    are seen from the page's first base element that has an href, itself seen
+    from the page's url.  Repeated rows are judged alike; other columns of pages
     are ignored; an empty table gives an empty result.
     """
     url = F.col("url")
-    seen = pages.select(F.col(id_col).alias("id"), "url", url_host(url).alias("host"), url_path(url).alias("path"), alias_targets(F.col("html")).alias("to"))
+    seen = pages.select(F.col(id_col).alias("id"), "url", markup(F.col("html")).alias("html"))
+    seen = seen.select("id", "url", url_host(url).alias("host"), url_path(url).alias("path"), alias_targets(F.col("html")).alias("to"), base_target(F.col("html")).alias("base"))
+    base = F.coalesce(F.when(F.col("base") != "", absolute(F.col("base"), url)), url)
     own = matching_rule(F.col("host"), F.col("path"), rules)
     lone = F.concat(F.lit("\x00"), F.coalesce(F.col("id").cast("string"), F.lit("")))
-    targets = F.array_distinct(F.transform("to", lambda t: url_key(absolute(t, url))))
+    targets = F.array_distinct(F.transform("to", lambda t: url_key(absolute(t, F.col("base")))))
     light = materialize(
-        seen.select("id", "host", "path", own.alias("own"), url_key(url).alias("alias"), F.coalesce(url_key(url), lone).alias("key"), F.array_compact(targets).alias("to")),
+        seen.withColumn("base", base).select("id", "host", "path", own.alias("own"), url_key(url).alias("alias"), F.coalesce(url_key(url), lone).alias("key"), F.array_compact(targets).alias("to")),
         "pages",
     )
     edges = light.where("alias is not null and size(to) > 0").select("alias", F.explode("to").alias("other"))

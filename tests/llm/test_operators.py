@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, graph, ngram_join, packing, quality, queries, repeats, sharding, suffix_radix, suffix_tree, topk, toxicity, url_rules
+from quillspark.llm import bpe, graph, ngram_join, packing, quality, queries, repeats, sharding, suffix_radix, suffix_tree, topk, toxicity, url_rules, winnow
 from quillspark.llm.store import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -280,6 +280,70 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if any(a != b and x in (a, b) for a, b in edges)}
 
 
+U64 = (1 << 64) - 1
+
+
+def unmix(x):
+    """The inverse of winnow.mix on one value."""
+    inverse = pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+    for k in range(3):
+        x ^= x >> 32
+        x = x * inverse & U64 if k < 2 else x
+    return x
+
+
+def partners(n):
+    """Texts of two words that share no word, and whose only n-gram has one 64-bit value, found by running the mixer backwards."""
+    value = lambda t: int(ngram_join.shingles(repeats.WordText(t), 5)[0])
+    word = lambda w: int(winnow.word_values(w, np.array([0]), np.array([len(w)]))[0])
+    first = int(winnow.gram_values(np.array([word(b"gamma")], np.uint64), 1)[0])
+    k, start = 0xE7037ED1A0B428DB, int(winnow.mix(np.uint64([2]))[0])
+    first = int(winnow.mix(np.uint64([start * k & U64 ^ word(b"gamma")]))[0])
+    head = int(winnow.mix(np.uint64([(8 * 0xA0761D6478BD642F + 1) & U64]))[0])
+    tried = 0
+    while n:
+        tried += 1
+        text = b"alpha %d" % tried
+        raw = (unmix(unmix(value(text)) ^ (first * k & U64)) ^ (head * k & U64)).to_bytes(8, "little")
+        if all(33 <= c < 127 for c in raw):
+            other = b"gamma " + raw
+            assert value(other) == value(text)
+            yield text.decode(), other.decode()
+            n -= 1
+
+
+def test_equal_values_are_not_equal_ngrams(spark):
+    pairs = [("alpha 417mfDxh", "gamma Sbn^4,Va"), *partners(3)]
+    rows = [(k, t) for k, t in enumerate(t for pair in pairs for t in pair)]
+    rows += [(100, rows[0][1]), (101, rows[1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in table(ngram_join.near_duplicates(df))}
+    assert got == {k: (k, 1 if k < 2 else 0) for k in range(8)} | {100: (0, 1), 101: (1, 1)}
+    assert sorted(r["doc_id"] for r in table(ngram_join.keep_one_per_class(df))) == list(range(8))
+
+
+def test_set_digests_are_of_sets():
+    """Order and repetition don't matter, values that collide do not merge, and n-grams of other lengths differ."""
+    numbers = ngram_join.WordNumbers(limit=400)
+
+    def digest(words, values=None, n=2):
+        k = len(words) - n + 1
+        values = np.array([hash(tuple(words[i : i + n])) % 7 for i in range(k)], np.uint64) if values is None else values
+        out = ngram_join.set_digest(values, numbers.of(words), n)
+        numbers.trim()
+        return out
+
+    random.seed(8)
+    seen, sets = {}, 0
+    for _ in range(3000):
+        words = [random.choice([b"a", b"b", b"c"]) for _ in range(random.randint(2, 7))]
+        grams = frozenset(zip(words, words[1:], strict=False))
+        sets += grams not in seen
+        assert seen.setdefault(grams, digest(words)) == digest(words)
+    assert len(set(seen.values())) == sets > 100
+    assert digest([b"a", b"b"]) != digest([b"a", b"b"], n=1) != digest([b"ab"], n=1)
+
+
 # -- sharding
 
 
@@ -366,6 +430,32 @@ def test_tags_are_read(spark):
     assert row[0].t == ["/a?x=1&y=2", "/b", "/c"] and row[1].t == []
 
 
+#: (html, whether the page at http://a.org/d/p inherits the block of http://bad.net/es/)
+HIDDEN = [
+    ('<!-- <link rel="canonical" href="http://bad.net/es/p"> -->', False), ('<!-- x --><link rel="canonical" href="http://bad.net/es/p"><!-- y -->', True), ('<!-- open <link rel="canonical" href="http://bad.net/es/p">', False),
+    ("<script>var x = '<link rel=\"canonical\" href=\"http://bad.net/es/p\">'</script>", False), ('<SCRIPT type="a"><!-- </SCRIPT ><link rel="canonical" href="http://bad.net/es/p">-->', True), ('<style>/* <meta http-equiv=refresh content="0;url=http://bad.net/es/p"> */</style>', False),
+    ('<title><link rel="canonical" href="http://bad.net/es/p"></title>', False), ('<scripted><link rel="canonical" href="http://bad.net/es/p"></scripted>', True), ('<textarea>\n<link rel="canonical" href="http://bad.net/es/p">', False),
+    ('<base href="http://bad.net/es/"><link rel="canonical" href="p">', True), ('<base target="_top"><base href="http://bad.net/es/"><base href="http://good.com/"><link rel="canonical" href="p">', True), ('<base href="//bad.net/es/x"><link rel=canonical href="p">', True),
+    ('<!-- <base href="http://bad.net/es/"> --><link rel="canonical" href="p">', False), ('<base href="http://bad.net/es/"><link rel="canonical" href="/p">', False), ('<base href="mailto:x"><link rel="canonical" href="p">', False), ('<base href="http://bad.net/es/p?q"><meta http-equiv="refresh" content="0;url=../es/p">', True),
+    ("<!---->" + "<!--" * 3 + '--><link rel="canonical" href="http://bad.net/es/p">', True), ("<script>" + "x<y " * 50_000 + '</script><link rel="canonical" href="http://bad.net/es/p">', True), ("", False), (None, False),
+]
+
+
+def test_links_are_read_as_markup_from_the_base(spark, tmp_path):
+    import duckdb
+    from test_oracle import rows as normal
+
+    pages = [(k, f"http://a.org/d/p{k}", html) for k, (html, _) in enumerate(HIDDEN)] + [(900, "http://bad.net/es/p", None), (901, "http://b.org/x", '<base href="d/e"><link rel="canonical" href="y">'), (902, "http://b.org/d/y", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in table(url_rules.judge_urls(df, queries.OP3_RULES))}
+    assert {k: got[k]["verdict"] == "block" for k in range(len(HIDDEN))} == {k: hit for k, (_, hit) in enumerate(HIDDEN)}
+    assert got[901]["component"] == got[902]["component"]
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert normal(queries.op3_url_filters(spark, str(tmp_path)).toPandas()) == normal(con.sql(queries.OP3_SQL).df())
+
+
 @pytest.fixture(scope="module")
 def web():
     """Pages with chains, relative links, a component with a third of all pages, repeated rows and long urls."""
@@ -660,14 +750,23 @@ def test_topk_against_brute_force(spark):
     v[10] = v[50] = v[60]  # ties
     rows = [(int(i), v[i].tolist()) for i in range(400)] + [(50, v[50].tolist()), (50, v[3].tolist()), (None, v[5].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in table(topk.search(df.where("vec_id % 50 = 0"), df, 5, block_bytes=64 * 24 * 8)))
-    known = [r for r in rows if r[0] is not None]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in table(topk.search(df.where("vec_id % 50 = 0"), df, 5, block_bytes=64 * 24 * 8))]
     want = []
-    for a, (i, x) in enumerate(known):
-        if i % 50 == 0:
-            best = sorted((-int(np.dot(x, y)), j) for b, (j, y) in enumerate(known) if a != b)[:5]
-            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert got == sorted(want)
+    for a, (i, x) in enumerate(rows):
+        if i is not None and i % 50 == 0:
+            best = sorted((-int(np.dot(x, y)), j is None, j) for b, (j, y) in enumerate(rows) if a != b)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, _, j) in enumerate(best)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 40])
+def test_topk_keeps_rows_without_an_id(spark, scale):
+    """Such rows are candidates, after all ids in a tie, each as often as it stands there, and queries of the general search."""
+    rows = [(50, [scale, scale]), (None, [9 * scale, 9 * scale]), (1, [scale // 2, scale // 2]), (None, [scale, scale]), (7, [scale, scale]), (None, [scale, scale])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    found = lambda asked: [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(table(topk.search(asked, df, 5)), key=lambda r: r["rank"])]
+    assert found(df.where("vec_id = 50")) == [(50, 1, None), (50, 2, 7), (50, 3, None), (50, 4, None), (50, 5, 1)]
+    assert found(df.where(f"vec_id is null and v[0] = {9 * scale}")) == [(None, 1, 7), (None, 2, 50), (None, 3, None), (None, 4, None), (None, 5, 1)]
 
 
 @pytest.mark.parametrize("scale", [1e5, 1e9, 1e16])
