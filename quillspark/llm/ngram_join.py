@@ -7,14 +7,14 @@
 2. Band and row counts are chosen for the target recall at the threshold.  Band
    hashes are exchanged; a band hash that several nodes share is a bucket.
 3. A node's home is the smallest node it shares a bucket with; the nodes of one
-   home are cut into blocks of bounded bytes.  A bucket names the blocks it
-   touches, and a node is sent to the pairs of its own block with those: so near
-   copies of one text meet as pairs of blocks, whatever their number, and nodes
-   that share no bucket with another block never meet it, however long the
-   chain between them.
-4. A pair of blocks is one task.  It compares the n-grams themselves, word by
-   word, counts intersections as a matrix product, and gives counts per node and
-   a spanning set of links, never pairs.
+   home are cut into blocks of bounded bytes, whose texts are one compressed
+   value.  Two blocks meet if a bucket touches both: so near copies of one text
+   meet as pairs of blocks, whatever their number, and blocks that share no
+   bucket never meet, however long the chain between them.
+4. Each block, and each pair of blocks, is one row that is compared by itself.
+   The n-grams themselves are compared, word by word, intersections are counted
+   as a matrix product, and out come counts per node and a spanning set of
+   links, never pairs.
 5. Components of the verified links are the classes.
 """
 
@@ -59,7 +59,7 @@ def shingles(text: WordText, n: int) -> np.ndarray:
 
 
 class WordNumbers(dict):
-    """Words to rows of `digests`, 128-bit BLAKE2b digests of their bytes; bounded, as it starts anew at `limit` bytes of words."""
+    """Numbers of words, and their 128-bit BLAKE2b digests; bounded, as it starts anew at `limit` bytes of words."""
 
     def __init__(self, limit: int = 16 << 20):
         self.limit, self.bytes, self.raw = limit, 0, []
@@ -244,60 +244,76 @@ def numbered_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return [np.unique(code[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _verified(pairs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(node, other, weight): weights of a node's links in a task, other null; and links, weight null."""
-    t = Fraction(str(threshold))
-    num, den = t.numerator, t.numerator + t.denominator
-
-    def check(rows: list[tuple]) -> list[tuple]:
-        i, j = rows[0][:2]
-        rows = sorted(rows, key=lambda r: r[2] != i)
-        cut = len(rows) if i == j else sum(r[2] == i for r in rows)
-        if len(rows) < 2 or i != j and cut in (0, len(rows)):
-            return []
-        unpress = zstandard.ZstdDecompressor()
-        sets = numbered_sets([unpress.decompress(r[5]) for r in rows], n)
-        size, weight, node = np.array([len(s) for s in sets]), np.array([r[4] for r in rows]), [r[3] for r in rows]
-        a, b = (sets, None) if i == j else (sets[:cut], sets[cut:])
-        base = 0 if i == j else cut
-        linked = den * intersections(a, b) >= num * (size[: len(a), None] + size[None, base:])
-        if i == j:
-            np.fill_diagonal(linked, False)
-        links = np.zeros(len(rows), np.int64)
-        links[: len(a)] += linked @ weight[base:]
-        if i != j:
-            links[cut:] += weight[:cut] @ linked
-        u, v = np.nonzero(np.triu(linked) if i == j else linked)
-        out = [(node[k], None, int(links[k])) for k in np.flatnonzero(links)]
-        return out + [(node[x], node[y], None) for x, y in _spanning(u, v + base, len(rows))]
+def _compared(blocks: list[tuple[list[int], list[int], list[int], bytes]], threshold: Fraction, n: int) -> list[tuple]:
+    """(node, other, weight) of one block, or of the pairs between two: weights of a node's links here, other null; and links, weight null."""
+    num, den = threshold.numerator, threshold.numerator + threshold.denominator
+    unpress = zstandard.ZstdDecompressor()
+    texts = []
+    for _, _, sizes, data in blocks:
+        ends, whole = np.cumsum(sizes).tolist(), unpress.decompress(data)
+        texts += [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    sets = numbered_sets(texts, n)
+    size, node = np.array([len(s) for s in sets]), [x for block in blocks for x in block[0]]
+    weight = np.array([x for block in blocks for x in block[1]])
+    alone = len(blocks) == 1
+    cut = len(blocks[0][0])
+    base = 0 if alone else cut
+    linked = den * intersections(sets[:cut], None if alone else sets[cut:]) >= num * (size[:cut, None] + size[None, base:])
+    if alone:
+        np.fill_diagonal(linked, False)
+    links = np.zeros(len(sets), np.int64)
+    links[:cut] += linked @ weight[base:]
+    if not alone:
+        links[cut:] += weight[:cut] @ linked
+    u, v = np.nonzero(np.triu(linked) if alone else linked)
+    out = [(node[k], None, int(links[k])) for k in np.flatnonzero(links)]
+    return out + [(node[x], node[y], None) for x, y in _spanning(u, v + base, len(sets))]
+
+
+#: What a block is: its nodes with their weights, and their texts, sizes and one compressed value.
+_BLOCK = ("nodes", "weights", "sizes", "data")
+
+
+def _packed(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(block, nodes, weights, sizes, data): the texts of each block in one value, in which near copies take little room; a written table."""
+    # the plan is the same at every size: texts meet members in a merge join, never by broadcast
+    chosen = texts.join(placed.hint("merge"), "node").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("node", "weight", "z"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task: list[tuple] = []
-        out: list[tuple] = []
+        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for block, m in zip(batch.column("block").to_pylist(), batch.column("m"), strict=True):
+                rows = m.as_py()
+                raw = [unpress.decompress(r["z"]) for r in rows]
+                lists = [[r["node"] for r in rows], [r["weight"] for r in rows], [len(x) for x in raw]]
+                columns = [pa.array([block], pa.int64()), *[pa.array([x], pa.list_(pa.int64())) for x in lists], binary_array([press.compress(b"".join(raw))])]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", *_BLOCK])
+        release()
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "other", "weight"])
+    return materialize(chosen.mapInArrow(run, "block long, nodes array<long>, weights array<long>, sizes array<long>, data binary"), "packed")
 
+
+def _verified(packed: DataFrame, pairs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(node, other, weight) as _compared gives it, of all blocks by themselves and of the pairs of blocks (i, j)."""
+    exact = Fraction(str(threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if task and row[:2] != task[0][:2]:
-                    out += check(task)
-                    task = []
-                task.append(row)
-            if out:
-                yield batch_of(out)
-                out = []
-        if task:
-            yield batch_of(check(task))
+            for at in range(batch.num_rows):
+                row = [c[at].as_py() for c in batch.columns]
+                out = _compared([tuple(row[k : k + 4]) for k in range(0, len(row), 4)], exact, n)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["node", "other", "weight"])
         release()
 
-    dealt = pairs.select("i", "j", "mine", "node", "weight", "z").repartition("i", "j").sortWithinPartitions("i", "j", "mine", "node")
-    return dealt.mapInArrow(run, "node long, other long, weight long")
+    side = lambda k: packed.select(F.col("block").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in _BLOCK]).hint("merge")
+    across = pairs.join(side("i"), "i").join(side("j"), "j").select(*[f"{k}_{c}" for k in "ij" for c in _BLOCK])
+    found = "node long, other long, weight long"
+    return packed.where("size(nodes) > 1").select(*_BLOCK).mapInArrow(run, found).unionByName(across.mapInArrow(run, found))
 
 
-def _placed(nodes: DataFrame) -> DataFrame:
-    """(node, weight, block, others): for every node that shares a bucket its block and the blocks to meet, its own included; a written table."""
+def _placed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, weight, block) of every node that shares a bucket, and (i, j) of the blocks that do; written tables."""
     bands = nodes.select("node", F.explode("bands").alias("band"))
     stars = materialize(bands.groupBy("band").agg(F.count("*").alias("k"), F.min("node").alias("hub")).where("k > 1").select("band", "hub"), "stars")
     ties = materialize(bands.join(stars, "band").select("band", "node", "hub"), "ties")
@@ -306,17 +322,14 @@ def _placed(nodes: DataFrame) -> DataFrame:
     sizes = materialize(homes.groupBy("home").agg(parts.alias("parts")), "sizes")
     # two blocks of one number would only be compared together
     block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
-    blocks = materialize(homes.join(sizes, "home").select("node", "weight", block.alias("block")), "blocks")
-    spots = materialize(ties.join(blocks, "node").select("band", "node", "block"), "spots")
-    touched = spots.groupBy("band").agg(F.array_sort(F.collect_set("block")).alias("others")).where("size(others) > 1")
-    touched = materialize(touched, "touched")
-    met = spots.join(touched, "band").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
-    own = F.array("block")
-    placed = blocks.join(met, "node", "left").select("node", "weight", "block", F.array_union(own, F.coalesce("others", own)).alias("others"))
-    placed = materialize(placed, "placed")
-    for table in (stars, ties, homes, sizes, blocks, spots, touched):
+    placed = materialize(homes.join(sizes, "home").select("node", "weight", block.alias("block")), "placed")
+    touched = ties.join(placed, "node").select("band", "block").distinct()
+    touched = touched.groupBy("band").agg(F.array_sort(F.collect_list("block")).alias("blocks")).where("size(blocks) > 1").select("blocks").distinct()
+    pairs = touched.select(F.posexplode("blocks").alias("at", "i"), "blocks").select("i", F.explode(F.slice("blocks", F.col("at") + 2, F.size("blocks"))).alias("j"))
+    pairs = materialize(pairs.distinct(), "pairs")
+    for table in (stars, ties, homes, sizes):
         discard(table)
-    return placed
+    return placed, pairs
 
 
 def _classes(profile: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -324,13 +337,9 @@ def _classes(profile: DataFrame, threshold: float, n: int) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th", "rid"))
     same = profile.where("size > 0").groupBy("s1", "s2", "size").agg(F.count("*").alias("weight"), first.alias("least"), F.min(F.struct("rid", "bytes")).alias("rep"), F.any_value("bands").alias("bands"))
     nodes = materialize(same.select("*", F.col("rep.rid").alias("node"), F.col("rep.bytes").alias("bytes")).drop("rep"), "nodes")
-    placed = _placed(nodes)
-
-    # the plan is the same at every size: texts meet members in a merge join, never by broadcast
-    chosen = profile.select(F.col("rid").alias("node"), "z").join(placed.hint("merge"), "node")
-    pairs = chosen.select("node", "weight", "z", F.col("block").alias("mine"), F.explode("others").alias("other"))
-    pairs = pairs.select("*", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    verified = materialize(_verified(pairs, threshold, n), "verified")
+    placed, pairs = _placed(nodes)
+    packed = _packed(profile.select(F.col("rid").alias("node"), "z"), placed)
+    verified = materialize(_verified(packed, pairs, threshold, n), "verified")
 
     links = verified.where("other is null").groupBy("node").agg(F.sum("weight").alias("links"))
     classes = connected_components(verified.where("other is not null").select("node", "other"))
@@ -339,7 +348,7 @@ def _classes(profile: DataFrame, threshold: float, n: int) -> DataFrame:
     least = materialize(named.groupBy("component").agg(F.min("least").alias("first")), "least")
     found = named.join(least, "component").select("s1", "s2", "size", F.col("first.id").alias("class_id"), F.col("least.id").alias("copies_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("first.rid").alias("keep"))
     found = materialize(found, "found")
-    for table in (nodes, placed, verified, named, least):
+    for table in (nodes, placed, pairs, packed, verified, named, least):
         discard(table)
     return found
 

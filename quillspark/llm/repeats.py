@@ -12,10 +12,11 @@ winnow), each with the left context that its windows need.  A suffix's first
    A class alone under its prefix repeats whole if its weight is two or more.
 4. The other classes are fetched once each and go, prefix by prefix, to
    `decide`, the operator's own method over memory-sized groups, which compares
-   their units.  A prefix with more classes than `group_limit` grows: with
-   `width` places of windows left, suffixes start `low` units before the anchor
-   and are split by their first `length - width + 1` units, down to single
-   windows; equal ones become one first.
+   their units.  A prefix whose classes hold more than `group_units` units, what
+   a task's memory allows, grows: with `width` places of windows left, suffixes
+   start `low` units before the anchor and are split by their first
+   `length - width + 1` units.  A prefix as long as the window is the window:
+   such suffixes are grouped by their very bytes, and those of a group repeat.
 5. The windows found go back to every member of their class and from there, as
    spans, to the rows.
 
@@ -263,17 +264,19 @@ def _split(crowded: DataFrame, kind: type, length: int, width: int) -> DataFrame
 _PARTS = 1024
 
 
-def _crowded(classes: DataFrame, group_limit: int) -> DataFrame:
-    """classes with k, the number of classes under their prefix, and hot, whether these are more than group_limit; a written table.
+def _crowded(classes: DataFrame, length: int, group_units: int) -> DataFrame:
+    """classes with k, the number of classes under their prefix, and hot, whether these hold more than group_units units; a written table.
 
     Classes are counted by prefix and part of their digest, and the counts of a
     prefix, at most _PARTS, summed; the sums meet the classes on both, so those
     of one prefix are dealt to many tasks.
     """
     parted = classes.withColumn("part", F.pmod("c1", F.lit(_PARTS)))
-    parts = parted.groupBy("gram", "part").agg(F.count("*").alias("k"))
-    crowd = materialize(parts.withColumn("k", F.sum("k").over(Window.partitionBy("gram"))), "crowd")
-    out = materialize(parted.join(crowd, ["gram", "part"]).drop("part").withColumn("hot", F.col("k") > group_limit), "classes")
+    units = F.shiftright("place", _BITS).bitwiseAND(_MASK) - 1 + length
+    parts = parted.groupBy("gram", "part").agg(F.count("*").alias("k"), F.sum(units).alias("units"))
+    whole = Window.partitionBy("gram")
+    crowd = materialize(parts.select("gram", "part", F.sum("k").over(whole).alias("k"), F.sum("units").over(whole).alias("units")), "crowd")
+    out = materialize(parted.join(crowd, ["gram", "part"]).withColumn("hot", F.col("units") > group_units).drop("part", "units"), "classes")
     discard(crowd)
     return out
 
@@ -283,32 +286,33 @@ def _whole() -> list:
     return [F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.shiftright("place", _BITS).bitwiseAND(_MASK)).alias("hi")]
 
 
-def _resolve(bodies: DataFrame, kind: type, length: int, width: int, decide: Decide, group_limit: int) -> DataFrame:
+def _resolve(bodies: DataFrame, kind: type, length: int, width: int, decide: Decide, group_units: int) -> DataFrame:
     """FOUND of classes with text; crowded ones are split into ever smaller bundles until groups fit or windows are single."""
     found = _decided(bodies, decide)
     if width == 1 or not bodies.where("hot").limit(1).count():
         return found
     width = -(-width // 8)
     bundles = materialize(_split(bodies.where("hot"), kind, length, width), "bundles")
-    kids = bundles.groupBy(F.col("gram2").alias("gram"), F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.sum("n").alias("n"), F.any_value("place").alias("place"), F.any_value("body").alias("body"))
-    if width == 1:  # a bundle is one window, and equal windows are one class
-        below = materialize(kids.where("n > 1").select("gram", "c1", "c2", *_whole()), "found")
+    if width == 1:  # a bundle is one window: those with the same bytes repeat, and no digest is believed
+        name = ["gram2", "body"]
+        below = materialize(bundles.groupBy(*name).agg(F.sum("n").alias("n"), F.any_value("place").alias("place")).where("n > 1").select(*name, *_whole()), "found")
     else:
+        name = ["gram2", "d1", "d2"]
+        kids = bundles.groupBy(F.col("gram2").alias("gram"), F.col("d1").alias("c1"), F.col("d2").alias("c2")).agg(F.sum("n").alias("n"), F.any_value("place").alias("place"), F.any_value("body").alias("body"))
         kids = materialize(kids, "kids")
-        crowded = _crowded(kids, group_limit)
+        crowded = _crowded(kids, length, group_units)
         alone = crowded.where("k = 1 and n > 1").select("gram", "c1", "c2", *_whole())
         more = crowded.where("k > 1").select("gram", "c1", "c2", "n", "place", "hot", "body")
-        below = materialize(alone.unionByName(_resolve(more, kind, length, width, decide, group_limit)).where("size(lo) > 0"), "found")
+        below = materialize(alone.unionByName(_resolve(more, kind, length, width, decide, group_units)).where("size(lo) > 0").toDF(*name, "lo", "hi"), "found")
         for table in (kids, crowded):
             discard(table)
-    below = below.toDF("gram2", "d1", "d2", "lo", "hi")
     runs = F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct((x["lo"] + F.col("j0")).alias("lo"), (x["hi"] + F.col("j0")).alias("hi")))
-    back = bundles.select("gram", "c1", "c2", "j0", "gram2", "d1", "d2").join(below, ["gram2", "d1", "d2"]).select("gram", "c1", "c2", runs.alias("runs"))
+    back = bundles.select("gram", "c1", "c2", "j0", *name).join(below, name).select("gram", "c1", "c2", runs.alias("runs"))
     back = back.groupBy("gram", "c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return found.unionByName(back.select("gram", "c1", "c2", F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi")))
 
 
-def repeated_spans(profiles: DataFrame, kind: type, length: int, gram: int, decide: Decide, group_limit: int = 64) -> DataFrame:
+def repeated_spans(profiles: DataFrame, kind: type, length: int, gram: int, decide: Decide, group_units: int = 1 << 18) -> DataFrame:
     """Steps 2 to 5: (rid, spans), spans an ordered array of struct(start, end) in units, of rows that have any; a written table."""
     grams = profiles.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     grams = materialize(grams, "grams")  # read from a table, both sides of the next join can be split by Spark
@@ -317,13 +321,13 @@ def repeated_spans(profiles: DataFrame, kind: type, length: int, gram: int, deci
 
     counted = members.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep"))
     counted = materialize(counted.select("gram", "c1", "c2", "n", "rep.*"), "counted")
-    classes = _crowded(counted, group_limit)
+    classes = _crowded(counted, length, group_units)
     for table in (counted, grams):
         discard(table)
 
     alone = classes.where("k = 1").select("gram", "c1", "c2", *_whole())
     bodies = materialize(_fetch(profiles, classes.where("k > 1"), kind, length), "bodies")
-    found = alone.unionByName(_resolve(bodies, kind, length, length - gram + 1, decide, group_limit))
+    found = alone.unionByName(_resolve(bodies, kind, length, length - gram + 1, decide, group_units))
     found = materialize(found.where("size(lo) > 0"), "found")
     discard(bodies)
     discard(classes)

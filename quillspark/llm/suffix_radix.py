@@ -5,8 +5,8 @@ most-significant-digit passes.  The first digit, distributed, is the prefix of
 the anchor suffix that a window holds, with the window's place before it (see
 repeats): suffixes alone under it retire at once, and suffixes of equal
 contexts stand together with a weight.  The passes after it take eight bytes
-each, within memory-sized buckets: a bucket is sorted by its digit and falls
-apart into smaller ones, and suffixes alone in a bucket retire.  Buckets that
+each, within memory-sized buckets: counting passes order a bucket by its digit,
+it falls apart into smaller ones, and suffixes alone in a bucket retire.  Buckets that
 are left after the last pass are exactly the repeated windows.
 """
 
@@ -23,6 +23,17 @@ from .store import materialize
 _DIGIT = 8
 
 
+def counting_order(bucket: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """Order by bucket (numbered from 0) and then digit, in stable passes over 16 bits at a time, which numpy does by counting."""
+    order = np.arange(len(bucket))
+    top = int(bucket.max()) if len(bucket) else 0
+    for key, bits in ((digit, 8 * _DIGIT), (bucket, top.bit_length())):
+        for shift in range(0, bits, 16):
+            piece = (key >> key.dtype.type(shift)).astype(np.uint16)
+            order = order[np.argsort(piece[order], kind="stable")]
+    return order
+
+
 def radix_repeats(text: np.ndarray, start: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
     """Mask of the suffixes that share their first `length` bytes with another one of their bucket.
 
@@ -49,9 +60,10 @@ def radix_repeats(text: np.ndarray, start: np.ndarray, bucket: np.ndarray, lengt
         digit = digit_at[start[alive] + at]
         if length < _DIGIT:
             digit = digit >> np.uint64(8 * (_DIGIT - length))
-        order = np.lexsort((digit, bucket[alive]))
-        alive, digit = alive[order], digit[order]
         b = bucket[alive]
+        b = np.cumsum(np.concatenate(([0], b[1:] != b[:-1])))
+        order = counting_order(b, digit)
+        alive, digit, b = alive[order], digit[order], b[order]
         new = np.concatenate(([True], (b[1:] != b[:-1]) | (digit[1:] != digit[:-1])))
         bucket[alive] = np.cumsum(new)
         depth += _DIGIT

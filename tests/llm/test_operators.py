@@ -62,12 +62,12 @@ def removed(texts, length, split):
     return out
 
 
-@pytest.mark.parametrize("limit", [3, 256])
+@pytest.mark.parametrize("limit", [1, 400, 1 << 18])
 @pytest.mark.parametrize("kind", ["bytes", "words"])
 def test_repeats_against_brute_force(spark, docs, kind, limit):
     units, length, gram, module = (repeats.ByteText, 50, 12, suffix_radix) if kind == "bytes" else (repeats.WordText, 12, 4, suffix_tree)
     p = materialize(repeats.profile(docs, "doc_id", "text", units, length, gram), "p")
-    spans = repeats.repeated_spans(p, units, length, gram, module.decide(length), group_limit=limit)
+    spans = repeats.repeated_spans(p, units, length, gram, module.decide(length), group_units=limit)
     got = sorted((r["n_units"], r["n_removed"], bytes(r["kept"]), r["n_spans"]) for r in table(repeats.remove_spans(p, spans, "doc_id", module._cut)))
     assert got == sorted(removed([*TEXTS, TEXTS[0], TEXTS[1]], length, (lambda b: b) if kind == "bytes" else (lambda b: tuple(b.split()))))
 
@@ -89,6 +89,13 @@ def test_radix_depth_is_exact():
     assert not suffix_radix.radix_repeats(text, start, np.zeros(2, np.int64), 10).any()
 
 
+def test_counting_order_is_the_stable_order():
+    rng = np.random.default_rng(3)
+    for top in (1, 3, 70_000):
+        bucket, digit = rng.integers(0, top, 5000), rng.integers(0, 1 << 64, 5000, dtype=np.uint64) & np.uint64(0xFFFF0000FF0000FF)
+        assert (suffix_radix.counting_order(bucket, digit) == np.lexsort((digit, bucket))).all()
+
+
 def thue_morse(bits, a, b):
     return "".join(b if bin(k).count("1") % 2 else a for k in range(bits))
 
@@ -229,13 +236,28 @@ def test_a_chain_costs_linear_work(spark, monkeypatch):
     for n in (60, 180):
         df = spark.createDataFrame([(k, " ".join(w[20 * k : 20 * k + 100])) for k in range(n)], "doc_id long, text string")
         profile = materialize(ngram_join._profile(ngram_join._rows(df, "doc_id", "text", []), 5, ngram_join.MinHash(40, 6)), "p")
-        placed = ngram_join._placed(profile.select(F.col("rid").alias("node"), "bytes", "bands", F.lit(1).cast("long").alias("weight")))
-        assert placed.count() > n / 2
-        met.append(sum(len(r["others"]) for r in table(placed)))
+        placed, pairs = ngram_join._placed(profile.select(F.col("rid").alias("node"), "bytes", "bands", F.lit(1).cast("long").alias("weight")))
+        assert placed.count() > n / 2 and pairs.where("i >= j").count() == 0
+        met.append(pairs.count())
         assert {r["n_links"] for r in table(ngram_join.near_duplicates(df))} == {0}
     assert met[1] < 5 * met[0]
 
 
+def test_copies_meet_as_blocks(spark):
+    """2,000 near copies, all linked to all: a pair of blocks is one row, so what is exchanged is far from a text per pair of node and block."""
+    w = words(120, "abcdefghij").split()
+    rows = [(k, " ".join([*w, f"end{k}"])) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    profile = materialize(ngram_join._profile(ngram_join._rows(df, "doc_id", "text", []), 5, ngram_join.MinHash(40, 6)), "p")
+    placed, pairs = ngram_join._placed(profile.select(F.col("rid").alias("node"), "bytes", "bands", F.lit(1).cast("long").alias("weight")))
+    blocks = placed.select("block").distinct().count()
+    assert blocks <= 20 and pairs.count() == blocks * (blocks - 1) // 2
+    packed = ngram_join._packed(profile.select(F.col("rid").alias("node"), "z"), placed)
+    assert packed.agg(F.sum(F.length("data"))).first()[0] < profile.agg(F.sum(F.length("z"))).first()[0] / 5
+    got = table(ngram_join.near_duplicates(df))
+    assert {r["n_links"] for r in got} == {1999} and {r["class_id"] for r in got} == {0}
+
+
 def test_recall_between_80_and_85_percent(spark):
     """Measured on pairs of real texts made alike to just above the threshold."""
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) between 1500 and 4000").orderBy("doc_id").limit(400).collect()]
