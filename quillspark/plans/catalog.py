@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import engine_queries, event_queries, graph_queries, lint_queries, rank_queries, session_queries, source_queries, text_queries
+from . import engine_queries, event_queries, graph_queries, lint_queries, rank_queries, session_queries, source_queries, stream_queries, text_queries
 
-_MODULES = (text_queries, lint_queries, event_queries, graph_queries, rank_queries, session_queries, engine_queries, source_queries)
+_MODULES = (text_queries, lint_queries, event_queries, graph_queries, rank_queries, session_queries, engine_queries, source_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable]:

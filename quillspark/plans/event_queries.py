@@ -69,9 +69,9 @@ def g3_loop_guard_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CALLS = "calls AS (SELECT user_id AS session, event_type AS tool, event_id, ts, (value * 10)::DECIMAL(18, 0)::BIGINT AS input, (props::JSON->>'k')::BIGINT AS output, (CASE WHEN event_id % 3 = 0 THEN 50 ELSE 0 END)::BIGINT AS cache_read, (event_id % 7)::BIGINT AS cache_write, ((props::JSON->>'k')::BIGINT % 5)::VARCHAR AS signature FROM events)"
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _calls(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return _events(spark, sf_dir).select(
+    return (_events(spark, sf_dir) if events is None else events).select(
         F.col("user_id").alias("session"), F.col("event_type").alias("tool"), "event_id", "ts", (F.col("value") * 10).cast("decimal(18,0)").cast("long").alias("input"), k.alias("output"),
         F.when(F.col("event_id") % 3 == 0, 50).otherwise(0).cast("long").alias("cache_read"), (F.col("event_id") % 7).alias("cache_write"), (k % 5).cast("string").alias("signature"),
     )
