@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import codegraph as G
+from ..operators import index
+from ..sources.tables import shared_folder
 from .inputs import _quoted, sql_lines
 
 QUERIES: dict = {}
@@ -214,3 +216,52 @@ def d7_architecture_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framework, routes and components of a project with a manifest."""
     extra = spark.range(1).select(F.lit("package.json").alias("path"), F.lit('{"dependencies": {"react": "18"}}').alias("content"))
     return G.architecture_notes(files(spark, sf_dir).select("path", "content").unionByName(extra))
+
+
+# -- lookups in a stored index
+
+#: The files asked for, of which one does not exist.
+_ASKED = ["app/admin/mod.js", "app/admin/session_store.py", "no/such.py"]
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the derived files, built anew and opened for lookups."""
+    return index.build(files(spark, sf_dir).select("path", "content"), shared_folder(spark, "index"), buckets=8)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(SQL["e7_find_symbol"])
+def e7_find_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookups from the stored index: buckets of names, and of grams for parts of names."""
+    stored = _stored(spark, sf_dir)
+    return _all([stored.find(w).drop("kind") for w in _WANTED])
+
+
+@query(f"""WITH {FILES_SQL}, {_SRC}, {_IMPORTS}, q(path) AS (VALUES {', '.join(f'({_quoted(p)})' for p in _ASKED)}),
+t AS (SELECT path, regexp_replace({_BASE}, '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS tail, regexp_extract(path, '^(.*/)', 1) AS folder FROM q),
+r AS (SELECT path, 'import' AS relation, module AS value, row_number() OVER (PARTITION BY path ORDER BY line, module) AS place FROM imports WHERE path IN (SELECT path FROM q)
+UNION ALL SELECT t.path, 'importer', i.path, row_number() OVER (PARTITION BY t.path ORDER BY i.path) FROM t JOIN (SELECT DISTINCT regexp_replace(module, '^.*[./\\\\:]', '') AS tail, path FROM imports) i ON i.tail = t.tail
+UNION ALL SELECT t.path, 'neighbour', f.path, row_number() OVER (PARTITION BY t.path ORDER BY f.path) FROM t JOIN files f ON regexp_extract(f.path, '^(.*/)', 1) = t.folder AND f.path <> t.path)
+SELECT path, relation, place::INT AS place, value FROM r WHERE place <= 15""")
+def e8_deps_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What files import, who imports them and what lies beside them, up to 15 each, from the stored index."""
+    stored = _stored(spark, sf_dir)
+    return _all([stored.deps(p) for p in _ASKED])
+
+
+@query(f"WITH {FILES_SQL}, t AS (SELECT path, unnest({PATH_TOKENS_SQL}) AS token FROM files) SELECT path, count(DISTINCT token)::BIGINT AS hits FROM t WHERE token IN ('session', 'store', 'admin', 'rs') GROUP BY path ORDER BY hits DESC, path LIMIT 15")
+def e9_relevant_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 files whose paths hold most of four words, from the stored index: the limit is the feature."""
+    return _stored(spark, sf_dir).relevant(["session", "store", "admin", "rs"], 15)
+
+
+@query(f"WITH {FILES_SQL}, {_SRC}, {_SYMBOLS}, {_IMPORTS} SELECT (SELECT count(*) FROM files) AS files, (SELECT sum(len({sql_lines('content')})) FROM files)::BIGINT AS lines, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM imports) AS imports")
+def s8_inspect_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the graph, from the stored index."""
+    return _stored(spark, sf_dir).inspect()
