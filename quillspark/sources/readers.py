@@ -9,22 +9,33 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import walk
+
 #: Folders that an inventory leaves out.
 IGNORED = [".git", "node_modules", "target", "dist", "build", ".next", "coverage"]
 
 
 def source_tree(spark: SparkSession, root: str, ignored: list[str] | None = None, extensions: list[str] | None = None) -> DataFrame:
-    """(path, content, mtime) of the text files below root, relative paths; ignored folders and dot folders drop out.
+    """(path, content, mtime) of the text files below root, relative paths; ignored folders and dot folders drop out, and so do files that are no UTF-8.
 
-    Only the names of files are listed on the driver; contents are read by the tasks.
+    The tasks list the folders and open what survives.  Of a store that only
+    Spark reads, names and contents come in one pass.
     """
+    ignored = IGNORED if ignored is None else ignored
+    if not walk.reachable(root):
+        return _scanned(spark, root, ignored, extensions)
+    files = walk.contents(walk.walk(spark, root, ignored, extensions=extensions), root)
+    text = F.col("bytes").cast("string")
+    return files.where(F.is_valid_utf8(text)).select("path", text.alias("content"), "mtime")
+
+
+def _scanned(spark: SparkSession, root: str, ignored: list[str], extensions: list[str] | None) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + _quote(base if base.startswith("/") else "/" + base.split(":", 1)[-1].lstrip("/")), "")
     folders = F.expr("slice(split(rel, '/'), 1, size(split(rel, '/')) - 1)")
     rows = files.select(path.alias("rel"), "content", F.col("modificationTime").alias("mtime"))
-    bad = F.exists(folders, lambda s: s.isin(ignored if ignored is not None else IGNORED) | s.startswith("."))
-    rows = rows.where(~bad & F.is_valid_utf8(F.col("content").cast("string")))
+    rows = rows.where(~F.exists(folders, lambda s: s.isin(ignored) | s.startswith(".")) & F.is_valid_utf8(F.col("content").cast("string")))
     if extensions:
         rows = rows.where(F.element_at(F.split("rel", r"\."), -1).isin(extensions))
     return rows.select(F.col("rel").alias("path"), F.col("content").cast("string").alias("content"), "mtime")
