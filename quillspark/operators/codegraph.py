@@ -227,12 +227,12 @@ def architecture_notes(files: DataFrame) -> DataFrame:
 
 
 def relations(files: DataFrame, imports_of: DataFrame, shown: int = 15) -> DataFrame:
-    """(path, modules, importers, neighbours) of every file.
+    """(path, modules, importers, neighbours) of every file, up to `shown` each.
 
     modules: what it imports, the first `shown` by line; importers: the first
     `shown` files, by path, that import a module whose last part is the file's
-    name without ending; neighbours: the other files of its folder, all of them
-    (at most one folder's files).
+    name without ending; neighbours: the first other files of its folder, by
+    path.  Of a folder, one more than is shown is kept before any gathering.
     """
     top = lambda *by: F.row_number().over(Window.partitionBy("path").orderBy(*by))
     listed = lambda c: F.array_sort(F.collect_list(F.struct("place", c)))
@@ -241,20 +241,22 @@ def relations(files: DataFrame, imports_of: DataFrame, shown: int = 15) -> DataF
     by_tail = tail.withColumn("place", F.row_number().over(Window.partitionBy("tail").orderBy("importer"))).where(F.col("place") <= shown).groupBy("tail").agg(listed("importer").alias("i"))
     folder = F.regexp_extract("path", r"^(.*/)", 1)
     all_files = files.select("path", stem(basename(F.col("path"))).alias("tail"), folder.alias("folder"))
-    beside = all_files.groupBy("folder").agg(F.array_sort(F.collect_list("path")).alias("beside"))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
+    beside = all_files.withColumn("place", place).where(F.col("place") <= shown + 1).groupBy("folder").agg(F.array_sort(F.collect_list("path")).alias("beside"))
     out = all_files.join(own, "path", "left").join(by_tail, "tail", "left").join(beside, "folder")
     none = F.array().cast("array<string>")
     return out.select(
         "path",
         F.coalesce(F.transform("m", lambda x: x["module"]), none).alias("modules"),
         F.coalesce(F.transform("i", lambda x: x["importer"]), none).alias("importers"),
-        F.array_except("beside", F.array("path")).alias("neighbours"),
+        F.slice(F.filter("beside", lambda x: x != F.col("path")), 1, shown).alias("neighbours"),
     )
 
 
 def dependents(imports_of: DataFrame) -> DataFrame:
-    """(module, n, importers): who imports a module, in order of path."""
-    return imports_of.groupBy("module").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), "|").alias("importers"))
+    """(module, path, n): who imports a module, a row per importer, and how many do."""
+    n = imports_of.groupBy("module").agg(F.count("*").alias("n"))
+    return imports_of.select("module", "path").join(n, "module")
 
 
 def freshness(files: DataFrame, built: Column, max_age_days: int = 7, max_newer: int = 20) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.tables import kept
+
 
 def precision_at(predicted: Column, expected: Column, k: int) -> Column:
     """Hits in the first k, a repeated prediction counted each time, over min(k, predictions); 0 without predictions."""
@@ -84,10 +86,28 @@ def wilson(hits: Column, n: Column) -> Column:
     return F.struct(F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), low)).alias("low"), F.when(none, 0.0).otherwise(F.least(F.lit(1.0), high)).alias("high"))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], place: str = "place") -> DataFrame:
+    """rows with their place from 1 in the group, in this order.
+
+    Rows are dealt by range of group and order, numbered within each range, and
+    the ranges before give the base; so one group of most rows is numbered by
+    many tasks.  Equal rows are numbered in any order.
+    """
+    ranges = kept(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranges.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    within = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    out = ranges.withColumn("_within", within).join(bases, same).withColumn(place, F.col("_base") + F.col("_within"))
+    return out.select(*rows.columns, place)
+
+
 def paired(rows: DataFrame, group: list[str], arm: str, value: str, order: list[str], arms: tuple[str, str]) -> DataFrame:
     """Runs of two arms paired by their place in the group, up to the shorter one."""
-    w = Window.partitionBy(*group, arm).orderBy(*order)
-    placed = rows.withColumn("place", F.row_number().over(w))
+    placed = numbered(rows, [*group, arm], order)
     a, b = (placed.where(F.col(arm) == x).select(*group, "place", F.col(value).alias(n)) for x, n in zip(arms, ("a", "b"), strict=True))
     return a.join(b, [*group, "place"])
 

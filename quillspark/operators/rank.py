@@ -56,11 +56,11 @@ _CAMEL = r"(?<=[a-z0-9])(?=[A-Z])|[_\-\s]+"
 
 
 def _counted(files: DataFrame) -> tuple[int, list[str]]:
-    """The number of files, and the promotable stop words that are parts of their names."""
+    """The number of files, and the promotable stop words that are parts of their names: one flag a word."""
     parts = F.split(F.lower(stem(basename(F.col("path")))), r"[_\-.]+")
-    some = F.array_sort(F.array_intersect(parts, F.array(*map(F.lit, PROMOTABLE))))
-    n, found = files.agg(F.count("*"), F.array_distinct(F.flatten(F.collect_set(some)))).first()
-    return n, sorted(found)
+    named = files.select(parts.alias("parts"))
+    n, *found = named.agg(F.count("*"), *[F.max(F.array_contains("parts", w)) for w in PROMOTABLE]).first()
+    return n, sorted(w for w, there in zip(PROMOTABLE, found, strict=True) if there)
 
 
 def promoted(files: DataFrame) -> list[str]:
@@ -85,7 +85,7 @@ def with_tokens(prompts: DataFrame, stop: list[str], min_word: int = MIN_WORD) -
     own = F.array_distinct(F.concat("_words", F.filter(F.flatten(F.transform("_words", lambda w: F.split(w, _CAMEL))), good)))
     table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     prose = F.array_intersect(F.array_distinct(F.regexp_extract_all(F.lower("prompt"), F.lit("[a-z]+"), F.lit(0))), F.map_keys(table))
-    more = F.filter(F.flatten(F.transform(prose, lambda w: table[w])), lambda w: ~F.array_contains("_low", w))
+    more = F.array_except(F.flatten(F.transform(prose, lambda w: table[w])), F.col("_low"))
 
     def forms(w: Column) -> Column:
         n = F.length(w)
@@ -100,7 +100,7 @@ def with_tokens(prompts: DataFrame, stop: list[str], min_word: int = MIN_WORD) -
             )
         )
 
-    stems = F.filter(F.flatten(F.transform("_lowered", forms)), lambda v: ~F.array_contains("_low", v) & (F.length(v) >= min_word))
+    stems = F.filter(F.array_except(F.flatten(F.transform("_lowered", forms)), F.col("_low")), lambda v: F.length(v) >= min_word)
     out = prompts.withColumn("_words", words).withColumn("_own", own).withColumn("_low", F.transform("_own", F.lower)).withColumn("_more", more)
     out = out.withColumn("_lowered", F.transform(F.concat("_own", "_more"), F.lower)).withColumn("_stems", stems)
     return out.withColumn("tokens", F.array_sort(F.array_distinct(F.concat("_own", "_more", "_stems")))).drop("_words", "_own", "_low", "_more", "_lowered", "_stems")
@@ -137,10 +137,11 @@ GRAM = 3
 
 
 def _grams(text: Column, sizes: tuple[int, ...] = (GRAM,)) -> Column:
-    """The distinct substrings of these lengths."""
+    """The distinct substrings of these lengths, found in one pass each; of a shorter text, itself."""
 
     def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+        found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.when(F.length(text) < n, F.array(text)).otherwise(found)
 
     return F.array_distinct(F.flatten(F.array(*map(of, sizes))))
 
@@ -153,7 +154,9 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
     are left out, one at a time ("" for none); all are scored in one pass, each
     bump carrying the bits of those it counts for.  line, symbol and kind are of
     the best line in the first of them.  Terms meet paths through the first
-    GRAM characters, an equi-join, before they are compared.
+    GRAM characters, an equi-join, before they are compared; a prompt's text
+    joins what it met by its number, so it is never copied per term.  Nothing
+    is broadcast but by Spark's own check of sizes.
     """
     if prompts.limit(MAX_PROMPTS + 1).count() > MAX_PROMPTS:
         raise ValueError(f"more than {MAX_PROMPTS} prompts in a batch")
@@ -175,12 +178,12 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
         parts.append(rows.select("prompt_id", "path", line.alias("line"), score.cast("long").alias("score"), mask.alias("mask"), F.struct(F.lit(order).alias("order"), symbol.alias("symbol"), kind.alias("kind")).alias("what")))
 
     one = F.lit(1)
-    exact = symbols.join(F.broadcast(weighed), symbols["name"] == weighed["token"])
+    exact = symbols.join(weighed, symbols["name"] == weighed["token"])
     bump(exact, 0, F.col("line"), F.col("name"), F.col("kind"), F.floor(10 * F.col("idf")), unless("symbol_exact"))
     names = symbols.select("name").distinct()
     lowered = names.groupBy(F.lower("name").alias("low")).agg(F.max("name").alias("name"))  # of names that differ in case, one
     known = weighed.join(names.select(F.col("name").alias("token"), F.lit(True).alias("known")), "token", "left")
-    loose = symbols.join(F.broadcast(known.join(lowered, "low")), "name")
+    loose = symbols.join(known.join(lowered, "low"), "name")
     bump(loose, 1, F.col("line"), F.col("name"), F.col("kind"), F.floor(8 * F.col("idf")), F.when(F.col("known"), F.lit(bits(lambda w: w == "symbol_exact"))).otherwise(F.lit(unless("symbol_ci"))))
 
     low, base = F.lower("path"), F.lower(basename(F.col("path")))
@@ -188,13 +191,13 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
     named = files.select("path", low.alias("fl"), root.alias("root"), _squashed(root, "_").alias("under"), _squashed(root, " ").alias("space"))
     file_name, a_file = basename(F.col("path")), F.lit("file")
     forms = asked.select("prompt_id", _squashed(F.col("prompt"), "_").alias("p_under"), F.concat(F.lit(" "), _squashed(F.col("prompt"), " "), F.lit(" ")).alias("p_space"))
-    forms = forms.select("*", F.explode(_grams(F.col("p_under"), (1, 2, GRAM))).alias("lead"))
+    leads = forms.select("prompt_id", F.explode(_grams(F.col("p_under"), (1, 2, GRAM))).alias("lead"))
     hit = F.col("p_under").contains(F.col("under")) | F.col("p_space").contains(F.concat(F.lit(" "), F.col("space"), F.lit(" ")))
-    said = named.where((F.length("root") >= 5) & (F.col("under") != "")).withColumn("lead", F.left("under", F.lit(GRAM))).join(F.broadcast(forms), "lead").where(hit)
+    said = named.where((F.length("root") >= 5) & (F.col("under") != "")).withColumn("lead", F.left("under", F.lit(GRAM))).join(leads, "lead").join(forms, "prompt_id").where(hit)
     bump(said, 2, one, file_name, a_file, F.lit(15), unless("path_exact"))
     both = asked.select("prompt_id", F.explode(F.array_distinct(F.transform(F.concat("tokens", "paths"), F.lower))).alias("low"))
     terms = both.join(frequencies.select(F.col("token").alias("low"), "df"), "low", "left").withColumn("idf", idf(F.col("df"), N)).withColumn("lead", F.left("low", F.lit(GRAM)))
-    near = named.select("path", "fl", "root", F.explode(_grams(F.col("fl"))).alias("lead")).join(F.broadcast(terms), "lead").where(F.col("fl").contains(F.col("low")))
+    near = named.select("path", "fl", "root", F.explode(_grams(F.col("fl"))).alias("lead")).join(terms, "lead").where(F.col("fl").contains(F.col("low")))
     whole = (F.col("fl") == F.col("low")) | F.col("fl").endswith(F.concat(F.lit("/"), F.col("low"))) | (F.col("low").contains("/") & F.col("fl").contains(F.col("low")))
     spread = F.greatest(F.lit(0.0), 1 - F.coalesce("df", F.lit(0)) / N)
     inside = F.when(F.length("low") < 4, 0).when(F.col("root") == F.col("low"), F.floor(6 * F.col("idf"))).otherwise(F.floor(3 * F.col("idf") * spread))
@@ -204,7 +207,7 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
     bump(near.select("prompt_id", "path", way).where("way.points > 0"), 3, one, file_name, a_file, F.col("way.points"), F.col("way.mask"))
     w = Window.partitionBy("module").orderBy("path")
     first = imports.withColumn("at", F.row_number().over(w)).where("at <= 3").select("path", F.lower("module").alias("ml"), F.regexp_replace(F.lower("module"), r"^.*[./]", "").alias("last"))
-    used = first.select("path", F.explode(F.array_distinct(F.array("ml", "last"))).alias("low")).join(F.broadcast(tokens), "low")
+    used = first.select("path", F.explode(F.array_distinct(F.array("ml", "last"))).alias("low")).join(tokens, "low")
     bump(used, 4, one, F.col("token"), F.lit("importer"), F.lit(3), unless("import"))
 
     every = parts[0]
@@ -217,7 +220,7 @@ def rank(prompts: DataFrame, files: DataFrame, symbols: DataFrame, imports: Data
 
     # adjustments are alike for all lines of a file
     said = asked.select("prompt_id", "prompt", F.array_distinct(F.transform("tokens", F.lower)).alias("lows"))
-    total = total.join(files.select("path", path_tokens(F.col("path")).alias("own")), "path").join(F.broadcast(said), "prompt_id").join(hot.select("path", F.lit(2).alias("heat")), "path", "left")
+    total = total.join(files.select("path", path_tokens(F.col("path")).alias("own")), "path").join(said, "prompt_id").join(hot.select("path", F.lit(2).alias("heat")), "path", "left")
     total = total.withColumn("without", F.element_at(F.array(*map(F.lit, without)), F.col("v") + 1))
     on = lambda signal: F.col("without") != signal
     hits = F.size(F.filter("lows", lambda t: F.array_contains("own", t) | ((F.length(t) >= 4) & F.lower("path").contains(t))))

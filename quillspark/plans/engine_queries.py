@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lint
 from ..operators import codegraph as G
-from ..operators import guards, session
+from ..operators import guards, rank, session
 from ..sources import readers
 from . import engine
 from . import event_queries as EQ
@@ -72,10 +72,11 @@ def e9_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The simple ranker: 5 a symbol, 3 an import, 2 for a path that holds a term, 1 if hot (added to files that score); the 10 best."""
     files = GQ.files(spark, sf_dir)
     terms = RQ._prompts(spark).select("prompt_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("prompt"), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))).alias("t"))
-    t = F.broadcast(terms)
-    by_symbol = G.symbols(files).select("path", F.lower("name").alias("t"), "name").distinct().join(t, "t").groupBy("prompt_id", "path").agg((F.count("*") * 5).alias("s"))
-    by_import = G.imports(files).select("path", F.lower("module").alias("t")).join(t, "t").groupBy("prompt_id", "path").agg((F.count("*") * 3).alias("s"))
-    by_path = files.select("path").join(t, F.lower("path").contains(F.col("t"))).select("prompt_id", "path", F.lit(2).cast("long").alias("s")).distinct()
+    by_symbol = G.symbols(files).select("path", F.lower("name").alias("t"), "name").distinct().join(terms, "t").groupBy("prompt_id", "path").agg((F.count("*") * 5).alias("s"))
+    by_import = G.imports(files).select("path", F.lower("module").alias("t")).join(terms, "t").groupBy("prompt_id", "path").agg((F.count("*") * 3).alias("s"))
+    # terms have three characters at least, so the first three lead to every path that holds one
+    grams = files.select("path", F.explode(rank._grams(F.lower("path"))).alias("lead"))
+    by_path = grams.join(terms.withColumn("lead", F.left("t", F.lit(rank.GRAM))), "lead").where(F.lower("path").contains(F.col("t"))).select("prompt_id", "path", F.lit(2).cast("long").alias("s")).distinct()
     hot = G.hot_files(GQ.touched(spark, sf_dir), excluded=["tests"]).select("path", F.lit(1).alias("h"))
     r = by_symbol.unionByName(by_import).unionByName(by_path).groupBy("prompt_id", "path").agg(F.sum("s").alias("s")).join(hot, "path", "left")
     r = r.select("prompt_id", "path", (F.col("s") + F.coalesce("h", F.lit(0))).cast("long").alias("score"))
