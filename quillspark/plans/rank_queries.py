@@ -109,6 +109,45 @@ def e3_prompt_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prompts(spark).select("prompt_id", F.explode(K.prompt_paths(F.col("prompt"))).alias("path"))
 
 
+#: Every user turn, with the path and the code of the event of its number: what a developer's turn names.
+_TURNS_SQL = "turns AS (SELECT conv_id, turn, concat_ws(' ', text, path, code) AS prompt FROM conversations LEFT JOIN touched ON seq = conv_id * 4 + turn WHERE role = 'user')"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user turns of all conversations as prompts, (conv_id, turn, prompt_id, prompt)."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").withColumn("seq", F.col("conv_id") * 4 + F.col("turn"))
+    said = said.join(GQ.touched(spark, sf_dir).select("seq", "path", "code"), "seq", "left")
+    return said.select("conv_id", "turn", F.col("seq").alias("prompt_id"), F.concat_ws(" ", "text", "path", "code").alias("prompt"))
+
+
+_STOP_SQL = f"""named AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(regexp_replace({GQ._BASE}, '^(\\.*[^.].*)\\.[^.]*$', '\\1')), '[_\\-.]+')) AS w FROM files),
+stop AS (SELECT unnest([{", ".join(map(_quoted, dict.fromkeys(K.STOPWORDS)))}]) AS w EXCEPT SELECT w FROM named WHERE w IN ({", ".join(map(_quoted, K.PROMOTABLE))}))"""
+_EXPANSIONS_SQL = f"expansions(word, more) AS (VALUES {_values([(k, v) for k, vs in K.EXPANSIONS.items() for v in vs])})"
+
+
+@query(f"""WITH {GQ.FILES_SQL}, {_TURNS_SQL}, {_STOP_SQL}, {_EXPANSIONS_SQL},
+words AS (SELECT DISTINCT conv_id, turn, w FROM (SELECT conv_id, turn, unnest(regexp_extract_all(prompt, '[A-Za-z_][A-Za-z0-9_]*')) AS w FROM turns) WHERE length(w) >= {K.MIN_WORD} AND lower(w) NOT IN (SELECT w FROM stop)),
+own AS (SELECT * FROM words UNION SELECT conv_id, turn, w FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(regexp_replace(w, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\-\\s]+')) AS w FROM words) WHERE length(w) >= {K.MIN_WORD} AND lower(w) NOT IN (SELECT w FROM stop)),
+low AS (SELECT DISTINCT conv_id, turn, lower(w) AS w FROM own),
+prose AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(prompt), '[a-z]+')) AS w FROM turns),
+more AS (SELECT DISTINCT conv_id, turn, more AS w FROM prose JOIN expansions ON word = w EXCEPT SELECT * FROM low),
+base AS (SELECT DISTINCT conv_id, turn, lower(w) AS w FROM (SELECT * FROM own UNION ALL SELECT * FROM more)),
+forms AS (SELECT * FROM base UNION SELECT conv_id, turn, w[:-4] || 'y' FROM base WHERE length(w) >= 5 AND ends_with(w, 'ies') UNION SELECT conv_id, turn, w[:-3] FROM base WHERE length(w) >= 5 AND ends_with(w, 'es')
+  UNION SELECT conv_id, turn, w[:-2] FROM base WHERE length(w) >= 4 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') UNION SELECT conv_id, turn, w || 's' FROM base WHERE length(w) >= 4 AND NOT ends_with(w, 's'))
+SELECT conv_id, turn, w AS token FROM (SELECT * FROM own UNION SELECT * FROM more UNION (SELECT * FROM forms WHERE length(w) >= {K.MIN_WORD} EXCEPT SELECT * FROM low))""")
+def e1_e2_turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of every user turn; words of file names are promoted from the stop words."""
+    stop = K.stop_words(GQ.files(spark, sf_dir))
+    return K.with_tokens(turns(spark, sf_dir), stop).select("conv_id", "turn", F.explode("tokens").alias("token"))
+
+
+@query(f"""WITH {GQ.FILES_SQL}, {_TURNS_SQL}, p AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(prompt, '[\\w./\\-]+(?:/[\\w./\\-]+|\\.[A-Za-z]{{1,5}})')) AS path FROM turns)
+SELECT conv_id, turn, path FROM p WHERE NOT contains(path, '://') AND length(path) - length(replace(path, '.', '')) <= 4 AND length(path) >= 3""")
+def e3_turn_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths that user turns name."""
+    return turns(spark, sf_dir).select("conv_id", "turn", F.explode(K.prompt_paths(F.col("prompt"))).alias("path"))
+
+
 _DF = f"t AS (SELECT path, unnest({GQ.PATH_TOKENS_SQL}) AS token FROM files), dfs AS (SELECT token, count(*) AS df FROM t GROUP BY token), total AS (SELECT count(*)::DOUBLE AS n FROM files)"
 _IDF = "CASE WHEN coalesce(df, 0) = 0 THEN 1.0::DOUBLE ELSE greatest(1.0::DOUBLE, least(1.6::DOUBLE, ln((n + 1) / (df + 0.5::DOUBLE)) / 2)) END"
 
