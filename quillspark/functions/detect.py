@@ -136,9 +136,9 @@ def scores(text: Column, config: Column | None = None) -> Column:
     return F.struct(*[s.alias(k) for s, k in zip(found, KINDS, strict=True)])
 
 
-def best(s: Column) -> Column:
+def best(s: Column, kinds: list[str] = KINDS) -> Column:
     """struct(score, kind) of the highest score above 0, the later kind of equals; null if all are 0."""
-    ranked = F.array_max(F.array(*[F.struct(s[k].alias("score"), F.lit(i).alias("at"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)]))
+    ranked = F.array_max(F.array(*[F.struct(s[k].alias("score"), F.lit(i).alias("at"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)]))
     return F.when(ranked["score"] > 0, F.struct(ranked["score"].alias("score"), ranked["kind"].alias("kind")))
 
 
@@ -146,9 +146,9 @@ def is_prompt_like(text: Column) -> Column:
     return (F.size(T.lines(text)) >= 2) & T.contains_any(F.lower(text), ACTION_WORDS)
 
 
-def classify(text: Column, top: Column, hint: Column | None = None) -> Column:
+def classify(text: Column, top: Column, hint: Column | None = None, class_of: dict[str, str] = CLASS_OF) -> Column:
     """struct(class, kind, confidence): hint, else the best detector from 0.55 on, else prompt, else unknown."""
-    klass = lambda kind: F.create_map(*[F.lit(x) for kv in CLASS_OF.items() for x in kv])[kind]
+    klass = lambda kind: F.create_map(*[F.lit(x) for kv in class_of.items() for x in kv])[kind]
     value = lambda c, k, x: F.struct(c.alias("class"), k.cast("string").alias("kind"), F.round(x.cast("double"), 4).alias("confidence"))
     none = F.lit(None)
     out = F.when(hint.isNotNull(), value(F.coalesce(klass(hint), F.lit("unknown")), hint, F.lit(1.0))) if hint is not None else F

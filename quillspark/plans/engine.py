@@ -12,6 +12,7 @@ from pyspark.sql.types import FloatType
 from ..functions import detect, lint, tokens
 from ..functions import text as T
 from ..operators import reduce as R
+from ..operators.registry import DEFAULT, Registry
 from ..sources.tables import kept
 
 #: A pipe reduces from this confidence on; a payload is classified from 0.55 on.
@@ -72,27 +73,27 @@ def estimate(texts: DataFrame, family: str = "claude") -> DataFrame:
     return texts.select("id", tokens.estimate(F.col("text"), family).alias("e")).select("id", "e.*")
 
 
-def classified(texts: DataFrame, parsers: bool = False) -> DataFrame:
-    """texts with the best detector and the class."""
+def classified(texts: DataFrame, parsers: bool = False, registry: Registry = DEFAULT) -> DataFrame:
+    """texts with the best detector of the registry and the class."""
     t = F.col("text")
-    scored = texts.withColumn("_config", config_score(t) if parsers else detect.ini(t))
-    top = scored.withColumn("_best", detect.best(detect.scores(t, F.col("_config"))))
-    return top.withColumn("_c", detect.classify(t, F.col("_best"))).select(*texts.columns, "_best", "_c.class", "_c.kind", "_c.confidence")
+    scored = texts.withColumn("_config", config_score(t)) if parsers else texts
+    top = scored.withColumn("_best", detect.best(registry.scores(t, F.col("_config") if parsers else None), registry.kinds))
+    return top.withColumn("_c", detect.classify(t, F.col("_best"), class_of=registry.classes)).select(*texts.columns, "_best", "_c.class", "_c.kind", "_c.confidence")
 
 
-def pipe(texts: DataFrame) -> DataFrame:
+def pipe(texts: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """(id, output, kind): reduced where a detector is confident enough and the result is strictly smaller."""
-    known = kept(classified(texts)).withColumn("kind", F.when(F.col("_best.score") >= F.lit(PIPE_CONFIDENCE).cast("float"), F.col("_best.kind")))
-    reduced = R.reduce_all(known.select("id", "kind", "text")).select("id", "reduced", "before_tokens", "after_tokens")
+    known = kept(classified(texts, registry=registry)).withColumn("kind", F.when(F.col("_best.score") >= F.lit(PIPE_CONFIDENCE).cast("float"), F.col("_best.kind")))
+    reduced = R.reduce_all(known, registry.operators, held=True).select("id", "reduced", "before_tokens", "after_tokens")
     smaller = F.col("after_tokens") < F.col("before_tokens")
     out = known.join(reduced, "id", "left")
     return out.select("id", F.when(smaller, F.col("reduced")).otherwise(F.col("text")).alias("output"), F.when(smaller, F.col("kind")).alias("kind"))
 
 
-def intercept(texts: DataFrame) -> DataFrame:
+def intercept(texts: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """(id, class, confidence, output, before_tokens, after_tokens, findings): classify, reduce, lint prompts and unknown texts."""
-    known = kept(classified(texts))
-    reduced = R.reduce_all(known.where("kind is not null").select("id", "kind", "text")).select("id", "reduced")
+    known = kept(classified(texts, registry=registry))
+    reduced = R.reduce_all(known.where("kind is not null"), registry.operators, held=True).select("id", "reduced")
     linted = lint.with_parts(known.where(F.col("class").isin("prompt", "unknown")).select("id", "text")).select("id", F.transform(lint.findings(F.col("text")), lambda f: f["code"]).alias("findings"))
     out = known.join(reduced, "id", "left").join(linted, "id", "left").withColumn("output", F.coalesce("reduced", "text"))
     return out.select("id", "class", "confidence", "output", tokens.estimated(F.col("text")).alias("before_tokens"), tokens.estimated(F.col("output")).alias("after_tokens"), "findings")
