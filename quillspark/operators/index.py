@@ -13,13 +13,13 @@ see the old build or the new one, and a build that fails leaves the old.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import publish
 from . import codegraph as G
 
 BUCKET = "_bucket"
@@ -56,11 +56,6 @@ def tables(files: DataFrame) -> dict[str, tuple[str, DataFrame]]:
     }
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def build(files: DataFrame, root: str, buckets: int = 32) -> Index:
     """Writes the index of files(path, content) below root and makes it the current one.
 
@@ -68,41 +63,16 @@ def build(files: DataFrame, root: str, buckets: int = 32) -> Index:
     gives an index that finds nothing.
     """
     spark = files.sparkSession
-    version = f"build-{uuid.uuid4().hex}"
+    version = publish.new_version()
     for name, (key, rows) in tables(files).items():
         placed = rows.withColumn(BUCKET, bucket_of(F.col(key), buckets))
         order = [BUCKET, key, *[c for c in rows.columns if c != key]]
         dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order)
         dealt.write.partitionBy(BUCKET).parquet(f"{root}/{version}/{name}")
-    old = current(spark, root)
-    _publish(spark, root, f"{version} {buckets}")
-    if old:
-        fs, p = _fs(spark, f"{root}/{old[0]}")
-        fs.delete(p, True)
+    publish.publish(spark, root, version, str(buckets))
     return Index(spark, root)
 
 
-def _publish(spark: SparkSession, root: str, line: str) -> None:
-    """Writes the pointer beside its place and renames it; a reader that finds none in between looks again."""
-    fs, place = _fs(spark, f"{root}/CURRENT")
-    coming = _fs(spark, f"{root}/_CURRENT-{uuid.uuid4().hex}")[1]
-    out = fs.create(coming, True)
-    out.write(bytearray(line.encode()))
-    out.close()
-    fs.delete(place, False)
-    if not fs.rename(coming, place):
-        raise OSError(f"cannot move {coming} to {place}")
-
-
-def current(spark: SparkSession, root: str) -> tuple[str, int] | None:
-    """Folder and number of buckets of the current build; None if there is none."""
-    fs, place = _fs(spark, f"{root}/CURRENT")
-    if not fs.exists(place):
-        return None
-    name, buckets = spark.read.text(place.toString()).first()[0].split(" ")
-    return name, int(buckets)
-
-
 @dataclass
 class Index:
     """Lookups in the current build at root."""
@@ -111,10 +81,10 @@ class Index:
     root: str
 
     def __post_init__(self):
-        found = current(self.spark, self.root)
+        found = publish.current(self.spark, self.root)
         if not found:
             raise FileNotFoundError(f"no index at {self.root}")
-        self.version, self.buckets = found
+        self.version, self.buckets = found[0], int(found[1])
 
     _SCHEMAS = {
         "symbols": "name string, path string, line int, kind string",

@@ -233,6 +233,9 @@ def render_packet(packet: dict) -> str:
     return "[restart packet]\n" + "".join(parts) if parts else ""
 
 
+# What makes an approach telling, what each mark counts, and the order in which a packet's lists give way (turns, commands, approaches, decisions).
+
+
 def approach_value(item: str) -> int:
     low = item.lower()
     return 2 * any(x in low for x in ("error", "failed", "panic")) + 2 * any(x in low for x in ("/", "::", ".rs", ".ts")) + any(x in low for x in ("test", "build", "compiler"))

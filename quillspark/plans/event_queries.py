@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import guards as G
+from ..sources import telemetry
+from ..sources.tables import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -132,3 +136,25 @@ def h2_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def s10_upsert_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.latest_by_key(_events(spark, sf_dir), "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> str:
+    """The events as stored transform events, a folder a day."""
+    root = shared_folder(spark, "telemetry")
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("kind"), F.floor("value").alias("before_tokens"), F.floor(F.col("value") / 2).alias("after_tokens"), (F.col("event_id") % 50).alias("latency_ms"))
+    telemetry.record(rows, root, "transform_events")
+    return root
+
+
+@query("SELECT event_id AS id, user_id::VARCHAR AS session_id, event_type AS kind, floor(value)::INT AS before_tokens FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def h1_recent_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 newest from the stored table, of which the newest days are read: the limit is the feature."""
+    return telemetry.recent(spark, _recorded(spark, sf_dir), "transform_events", 20, ["id", "session_id", "kind", "before_tokens"])
+
+
+@query("SELECT event_type AS kind, count(*)::BIGINT AS kept, min(event_id)::BIGINT AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-25 12:00:00' - INTERVAL 10 DAY GROUP BY event_type")
+def h2_retired_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the stored table after older days were dropped and the day of the limit was cut."""
+    root = _recorded(spark, sf_dir)
+    telemetry.retire(spark, root, "transform_events", dt.datetime(2024, 1, 25, 12), 10)
+    return telemetry.stored(spark, root, "transform_events").groupBy("kind").agg(F.count("*").alias("kept"), F.min("id").alias("first_id"))

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import walk
+from . import publish, walk
 
 #: Folders that an inventory leaves out.
 IGNORED = [".git", "node_modules", "target", "dist", "build", ".next", "coverage"]
@@ -77,7 +77,9 @@ def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def states(spark: SparkSession, path: str, schema: str, defaults: dict[str, Column] | None = None) -> DataFrame:
-    """Saved session states; an empty table if there are none, and missing fields with their defaults."""
+    """Saved session states, of the current version where there is one; an empty table if there are none, and missing fields with their defaults."""
+    version = publish.current(spark, path)
+    path = f"{path}/{version[0]}" if version else path
     rows = json_or_empty(spark, path, schema) if not defaults else None
     if rows is not None:
         return rows

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .publish import new_version, publish
+
 #: Schemas of the telemetry tables.
 TABLES = {
     "sessions": "id string, started_at timestamp, model_family string, repo_path string",
@@ -23,8 +25,14 @@ def init_store(spark: SparkSession, root: str) -> None:
 
 
 def save_states(states: DataFrame, path: str) -> None:
-    """Session states as JSON lines, replacing what was there; readers.states loads them."""
-    states.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """Session states as JSON lines in a new version, made current when it is whole; readers.states loads them.
+
+    So states may be written from what was loaded, and a write that fails
+    leaves what was there.
+    """
+    version = new_version("states")
+    states.write.option("ignoreNullFields", "false").json(f"{path}/{version}")
+    publish(states.sparkSession, path, version)
 
 
 def append(rows: DataFrame, root: str, table: str) -> None:

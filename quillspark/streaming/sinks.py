@@ -18,24 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.guards import latest_by_key
+from ..sources.publish import exists, folders, fs_of, move, remove
 
 #: The batch that wrote a row, and the bucket of its key.
 BATCH, BUCKET = "_batch", "_bucket"
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.exists(p)
-
-
 def done(spark: SparkSession, root: str, batch_id: int) -> bool:
     """Whether the batch stands in the table's ledger."""
-    return _exists(spark, f"{root}/_ledger/{batch_id}")
+    return exists(spark, f"{root}/_ledger/{batch_id}")
 
 
 def upsert_batch(rows: DataFrame, root: str, key: str, order: list[Column], batch_id: int, buckets: int = 64) -> bool:
@@ -52,39 +43,27 @@ def upsert_batch(rows: DataFrame, root: str, key: str, order: list[Column], batc
     # written first, the batch is computed once, its folders name the buckets, and nothing is read from what it replaces
     coming, staged = (f"{root}/_{name}-{uuid.uuid4().hex}" for name in ("coming", "staged"))
     new.write.partitionBy(BUCKET).parquet(coming)
-    fs, folder = _path(spark, coming)
-    touched = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(folder) if "=" in f.getPath().getName())
+    touched = sorted(int(f.split("=")[1]) for f in folders(spark, coming))
     if touched:
         data = f"{root}/data"
         merged = spark.read.schema(new.schema).parquet(coming)
-        if _exists(spark, data):
+        if exists(spark, data):
             old = spark.read.schema(new.schema).parquet(data).where(F.col(BUCKET).isin(touched))
             merged = latest_by_key(old.unionByName(merged), key, [F.col(BATCH)])
         merged.repartition(len(touched), BUCKET).write.partitionBy(BUCKET).parquet(staged)
-        _publish(spark, staged, data, touched)
-    fs.delete(folder, True)
-    fs, mark = _path(spark, f"{root}/_ledger/{batch_id}")
+        for b in touched:  # renames are the driver's, a folder each
+            move(spark, f"{staged}/{BUCKET}={b}", f"{data}/{BUCKET}={b}")
+        remove(spark, staged)
+    remove(spark, coming)
+    fs, mark = fs_of(spark, f"{root}/_ledger/{batch_id}")
     fs.mkdirs(mark.getParent())
     fs.create(mark, True).close()
     return True
 
 
-def _publish(spark: SparkSession, staged: str, data: str, touched: list[int]) -> None:
-    """Moves the staged buckets to their place; the renames are the driver's, a folder each."""
-    fs, base = _path(spark, data)
-    fs.mkdirs(base)
-    for b in touched:
-        source, target = _path(spark, f"{staged}/{BUCKET}={b}")[1], _path(spark, f"{data}/{BUCKET}={b}")[1]
-        if fs.exists(source):
-            fs.delete(target, True)
-            if not fs.rename(source, target):
-                raise OSError(f"cannot move {source} to {target}")
-    fs.delete(_path(spark, staged)[1], True)
-
-
 def stored(spark: SparkSession, root: str, schema) -> DataFrame:
     """The table's rows in the schema of what was put there; empty if nothing was."""
-    if not _exists(spark, f"{root}/data"):
+    if not exists(spark, f"{root}/data"):
         return spark.createDataFrame([], schema)
     names = [f.name for f in schema.fields]
     return spark.read.schema(schema).parquet(f"{root}/data").select(*names)
