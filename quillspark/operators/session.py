@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tokens import CODE_MARKS, PUNCTUATION
+from ..functions import tokens
 
 SCALARS = ["session_objective", "current_subtask"]
 LISTS = ["hard_constraints", "accepted_assumptions", "decisions_made", "modified_files", "tests_run", "failing_signatures", "failed_approaches", "pending_next_actions", "pinned_facts", "recent_turns"]
@@ -202,18 +200,6 @@ def tool_states(events: DataFrame) -> DataFrame:
 # -- restart packets
 
 
-def estimate_tokens(text: str) -> int:
-    """The token estimate of functions.tokens for one string, for loops that depend on it."""
-    if not text:
-        return 0
-    lines = text.replace("\r\n", "\n").split("\n")
-    n = max(1, len(lines) - (lines[-1] == ""))
-    code = sum(c in PUNCTUATION for c in text) / len(text) > 0.11 or any(m in text for m in CODE_MARKS)
-    est = 0.58 * (len(text) / (3.3 if code else 4.0)) + 0.42 * (len(re.findall(r"\S+", text)) * (1.45 if code else 1.28))
-    est += sum("0" <= c <= "9" for c in text) * 0.02 + (min(n * 0.15, 24.0) if code else min(n * 0.05, 10.0))
-    return max(1, math.floor(est + 0.5))
-
-
 #: Sections of a packet in their order, and what may stay of each list.
 SECTIONS = [
     ("session_objective", "OBJECTIVE"), ("current_subtask", "CURRENT SUBTASK"), ("decisions_made", "DECISIONS MADE"), ("failed_approaches", "FAILED APPROACHES TO AVOID"), ("failing_signatures", "CURRENT FAILING SIGNATURES"),
@@ -222,56 +208,63 @@ SECTIONS = [
 PACKET_KEEP = {"recent_turns": 6, "tests_run": 8, "failed_approaches": 8, "decisions_made": 8, "modified_files": 12, "pending_next_actions": 6}
 
 
-def render_packet(packet: dict) -> str:
-    parts = []
-    for name, title in SECTIONS:
-        value = packet.get(name)
-        if isinstance(value, str):
-            parts.append(f"{title}\n{value.strip()}\n\n")
-        elif value:
-            parts.append(title + "\n" + "".join(f"- {x.strip()}\n" for x in value) + "\n")
-    return "[restart packet]\n" + "".join(parts) if parts else ""
+# What makes an approach telling, and what each mark counts; over budget lists give way in the order turns, commands, approaches, decisions.
+TELLING = [(2, ["error", "failed", "panic"]), (2, ["/", "::", ".rs", ".ts"]), (1, ["test", "build", "compiler"])]
 
 
-# What makes an approach telling, what each mark counts, and the order in which a packet's lists give way (turns, commands, approaches, decisions).
+def approach_value(item: Column) -> Column:
+    """How telling a failed approach is; the least telling go first."""
+    low = F.lower(item)
+    return sum((F.when(T.contains_any(low, marks), points).otherwise(0) for points, marks in TELLING), F.lit(0))
 
 
-def approach_value(item: str) -> int:
-    low = item.lower()
-    return 2 * any(x in low for x in ("error", "failed", "panic")) + 2 * any(x in low for x in ("/", "::", ".rs", ".ts")) + any(x in low for x in ("test", "build", "compiler"))
-
-
-def fit_packet(state: dict, max_tokens: int = 600) -> dict:
-    """The packet of a state; over budget go the oldest turns, the oldest commands, the least telling approaches, then decisions down to one."""
-    packet = {k: v if isinstance(v, str) or v is None else list(v)[-PACKET_KEEP[k] :] if k in PACKET_KEEP else list(v) for k, v in state.items()}
-    while estimate_tokens(render_packet(packet)) > max_tokens:
-        if packet.get("recent_turns"):
-            packet["recent_turns"].pop(0)
-        elif packet.get("tests_run"):
-            packet["tests_run"].pop(0)
-        elif packet.get("failed_approaches"):
-            items = packet["failed_approaches"]
-            items.pop(min(range(len(items)), key=lambda i: approach_value(items[i])))
-        elif len(packet.get("decisions_made") or []) > 1:
-            packet["decisions_made"].pop(0)
-        else:
-            break
-    return packet
+def render_packet(packet: dict[str, Column], lists: set[str]) -> Column:
+    """The sections that have content, in their order; empty without any."""
+    parts = []
+    for name, title in SECTIONS:
+        if name in lists:
+            items = F.array_join(F.transform(packet[name], lambda x: F.concat(F.lit("- "), T.trim(x), F.lit("\n"))), "")
+            parts.append(F.when(F.size(packet[name]) > 0, F.concat(F.lit(f"{title}\n"), items, F.lit("\n"))).otherwise(""))
+        elif name in packet:
+            parts.append(F.coalesce(F.concat(F.lit(f"{title}\n"), T.trim(packet[name]), F.lit("\n\n")), F.lit("")))
+    body = F.concat(*parts)
+    return F.when(body == "", "").otherwise(F.concat(F.lit("[restart packet]\n"), body))
 
 
 def packets(states: DataFrame, max_tokens: int = 600) -> DataFrame:
-    """(session, packet, tokens) of merged states."""
-    names = [n for n, _ in SECTIONS if n in states.columns]
+    """(session, packet, tokens) of merged states: the first of a session's candidates that fits.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.to_dict("records"):
-                text = render_packet(fit_packet({n: r[n] for n in names}, max_tokens))
-                rows.append((r["session"], text, estimate_tokens(text)))
-            yield pd.DataFrame(rows, columns=["session", "packet", "tokens"])
-
-    return states.select("session", *names).mapInPandas(run, "session long, packet string, tokens long")
+    Candidate i is the newest entries (PACKET_KEEP) less i evictions: the oldest
+    turns, the oldest commands, the least telling approaches (the first of
+    equals), then decisions down to one.  There are as many as the bounds of
+    these lists, under 30; if none fits, the last stands.  Null lists and
+    entries count as missing.
+    """
+    names = [n for n, _ in SECTIONS if n in states.columns]
+    lists = {n for n in names if states.schema[n].dataType.simpleString().startswith("array")}
+    empty = F.array().cast("array<string>")
+    whole = {n: F.array_compact(F.coalesce(F.col(n), empty)) if n in lists else F.col(n) for n in names}
+    newest = lambda c, k: F.slice(c, F.greatest(F.size(c) - k + 1, F.lit(1)), k)
+    kept = states.select("session", *[(newest(c, PACKET_KEEP[n]) if n in lists and n in PACKET_KEEP else c).alias(n) for n, c in whole.items()])
+    giving = [n for n in ("recent_turns", "tests_run", "failed_approaches", "decisions_made") if n in lists]
+    room = {n: F.greatest(F.size(n) - (1 if n == "decisions_made" else 0), F.lit(0)) for n in giving}
+    tried = kept.withColumn("i", F.explode(F.sequence(F.lit(0), sum(room.values(), F.lit(0)))))
+
+    gone, left = {}, F.col("i")
+    for n in giving:
+        gone[n] = F.least(left, room[n])
+        left = F.greatest(left - room[n], F.lit(0))
+    packet = {n: F.col(n) for n in names}
+    for n in giving:
+        packet[n] = F.slice(n, gone[n] + 1, F.greatest(F.size(n), F.lit(1)))
+    if "failed_approaches" in gone:
+        order = F.array_sort(F.transform("failed_approaches", lambda x, j: F.struct(approach_value(x).alias("value"), j.alias("at"))))
+        out = F.transform(F.slice(order, F.lit(1), gone["failed_approaches"]), lambda x: x["at"])
+        packet["failed_approaches"] = F.filter("failed_approaches", lambda x, j: ~F.array_contains(out, j))
+    text = tried.select("session", "i", render_packet(packet, lists).alias("packet")).withColumn("tokens", tokens.estimated(F.col("packet")).cast("long"))
+    what = F.struct("i", "packet", "tokens")
+    best = text.groupBy("session").agg(F.min(F.when(F.col("tokens") <= max_tokens, what)).alias("fit"), F.max(what).alias("last"))
+    return best.select("session", F.coalesce("fit", "last").alias("p")).select("session", "p.packet", "p.tokens")
 
 
 def latest(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import session as S
-from .inputs import _quoted, sql_any, sql_lines, sql_trim
+from .inputs import _quoted, sql_any, sql_estimate, sql_lines, sql_trim
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,26 @@ def f13_f14_restart_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.packets(S.tool_states(tool_events(spark, sf_dir)), 200)
 
 
+def _packet_sql(most: int) -> str:
+    keep = {n: f"{n}[greatest(len({n}) - {k} + 1, 1):]" for n, k in S.PACKET_KEEP.items()}
+    lists = [n for n, _ in S.SECTIONS if n in S.LISTS]
+    gone = {"recent_turns": "least(i, nt)", "tests_run": "least(greatest(i - nt, 0), ns)", "decisions_made": "greatest(i - nt - ns - na, 0)"}
+    value = " + ".join(f"(CASE WHEN {sql_any('lower(x)', marks)} THEN {points} ELSE 0 END)" for points, marks in S.TELLING)
+    cut = {n: f"{n}[{g} + 1:]" for n, g in gone.items()} | {"failed_approaches": "[x FOR x, j IN failed_approaches IF NOT list_contains([o['j'] FOR o IN ranked[:least(greatest(i - nt - ns, 0), na)]], j)]"}
+    item = "'- ' || " + sql_trim("x") + " || chr(10)"
+    section = lambda n, t: f"CASE WHEN len({n}) > 0 THEN {_quoted(t)} || chr(10) || array_to_string([{item} FOR x IN {n}], '') || chr(10) ELSE '' END" if n in S.LISTS else f"coalesce({_quoted(t)} || chr(10) || {sql_trim(n)} || chr(10) || chr(10), '')"
+    body = " || ".join(section(n, t) for n, t in S.SECTIONS)
+    return f"""k AS (SELECT session, {", ".join(S.SCALARS)}, {", ".join(f"{keep.get(n, n)} AS {n}" for n in lists)} FROM state),
+c AS (SELECT *, len(recent_turns) AS nt, len(tests_run) AS ns, len(failed_approaches) AS na, greatest(len(decisions_made) - 1, 0) AS nd, list_sort([{{'v': {value}, 'j': j}} FOR x, j IN failed_approaches]) AS ranked FROM k),
+e AS (SELECT *, unnest(range(0, nt + ns + na + nd + 1)) AS i FROM c),
+f AS (SELECT session, i, {", ".join(S.SCALARS)}, {", ".join(f"{cut.get(n, n)} AS {n}" for n in lists)} FROM e),
+r AS (SELECT session, i, {body} AS b FROM f),
+p AS (SELECT session, i, CASE WHEN b = '' THEN '' ELSE '[restart packet]' || chr(10) || b END AS packet FROM r),
+n AS (SELECT *, {sql_estimate("packet")}::BIGINT AS tokens FROM p)
+SELECT session, coalesce(arg_min(packet, i) FILTER (tokens <= {most}), arg_max(packet, i)) AS packet, coalesce(arg_min(tokens, i) FILTER (tokens <= {most}), arg_max(tokens, i)) AS tokens FROM n GROUP BY session"""
+
+
+@query(f"WITH {_UPDATES}, {_MERGED}, {_packet_sql(230)}")
+def f13_f14_packets_of_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's merged state as a restart packet of at most 230 tokens, where evictions can reach that."""
+    return S.packets(S.merged(updates(spark, sf_dir)), 230)

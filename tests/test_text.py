@@ -1,5 +1,9 @@
 """Pinned text semantics and hand-made reductions."""
 
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +13,55 @@ from quillspark.operators import reduce as R
 from quillspark.operators import session as S
 
 
+# -- the packet rules in plain Python
+
+
+def estimate_tokens(text: str) -> int:
+    """The token estimate of functions.tokens for one string, for loops that depend on it."""
+    if not text:
+        return 0
+    lines = text.replace("\r\n", "\n").split("\n")
+    n = max(1, len(lines) - (lines[-1] == ""))
+    code = sum(c in tokens.PUNCTUATION for c in text) / len(text) > 0.11 or any(m in text for m in tokens.CODE_MARKS)
+    est = 0.58 * (len(text) / (3.3 if code else 4.0)) + 0.42 * (len(re.findall(r"\S+", text)) * (1.45 if code else 1.28))
+    est += sum("0" <= c <= "9" for c in text) * 0.02 + (min(n * 0.15, 24.0) if code else min(n * 0.05, 10.0))
+    return max(1, math.floor(est + 0.5))
+
+
+def render_packet(packet: dict) -> str:
+    parts = []
+    for name, title in S.SECTIONS:
+        value = packet.get(name)
+        if isinstance(value, str):
+            parts.append(f"{title}\n{value.strip()}\n\n")
+        elif value:
+            parts.append(title + "\n" + "".join(f"- {x.strip()}\n" for x in value) + "\n")
+    return "[restart packet]\n" + "".join(parts) if parts else ""
+
+
+def approach_value(item: str) -> int:
+    low = item.lower()
+    return 2 * any(x in low for x in ("error", "failed", "panic")) + 2 * any(x in low for x in ("/", "::", ".rs", ".ts")) + any(x in low for x in ("test", "build", "compiler"))
+
+
+def fit_packet(state: dict, max_tokens: int = 600) -> dict:
+    """The packet of a state; over budget go the oldest turns, the oldest commands, the least telling approaches, then decisions down to one."""
+    packet = {k: v if isinstance(v, str) or v is None else list(v)[-S.PACKET_KEEP[k] :] if k in S.PACKET_KEEP else list(v) for k, v in state.items()}
+    while estimate_tokens(render_packet(packet)) > max_tokens:
+        if packet.get("recent_turns"):
+            packet["recent_turns"].pop(0)
+        elif packet.get("tests_run"):
+            packet["tests_run"].pop(0)
+        elif packet.get("failed_approaches"):
+            items = packet["failed_approaches"]
+            items.pop(min(range(len(items)), key=lambda i: approach_value(items[i])))
+        elif len(packet.get("decisions_made") or []) > 1:
+            packet["decisions_made"].pop(0)
+        else:
+            break
+    return packet
+
+
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("x")).first()["x"]
 
@@ -30,7 +83,7 @@ def test_strict_json(spark, text, want):
 def test_estimate_of_empty_and_python_twin(spark):
     assert one(spark, tokens.estimated(F.col("t")), t="") == 0
     for text in ("a", "fn main() { let x = 1; }\n" * 9, "word " * 300, "Ünïcode — 12 345\n"):
-        assert one(spark, tokens.estimated(F.col("t")), t=text) == S.estimate_tokens(text)
+        assert one(spark, tokens.estimated(F.col("t")), t=text) == estimate_tokens(text)
 
 
 def reduced(spark, reducer, text):
@@ -72,10 +125,28 @@ def test_core_command(spark, command, want):
     assert one(spark, S.core_command(F.col("t")), t=command) == want
 
 
-def test_packet_budget():
+def packed(spark, states, most):
+    kinds = {n: "string" if isinstance(v, str) else "array<string>" for s in states for n, v in s.items() if v is not None}
+    df = spark.createDataFrame([(i, *[s.get(n) for n in kinds]) for i, s in enumerate(states)], "session long, " + ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    return {r.session: (r.packet, r.tokens) for r in S.packets(df, most).collect()}
+
+
+def test_packet_budget(spark):
     state = {"session_objective": "Ship", "recent_turns": [f"turn {i} " + "word " * 30 for i in range(9)], "tests_run": ["cargo test"], "failed_approaches": ["tried x", "error in src/a.rs"], "decisions_made": ["d1", "d2"]}
-    packet = S.fit_packet(state, 60)
-    assert packet["recent_turns"] == [] and packet["decisions_made"] and S.estimate_tokens(S.render_packet(packet)) <= 60
+    packet, n = packed(spark, [state], 60)[0]
+    assert "turn" not in packet and "d2" in packet and n <= 60
+
+
+def test_packets_equal_the_loop(spark):
+    """States of all sizes against eviction one by one, at budgets from none to plenty."""
+    rnd = random.Random(3)
+    item = lambda: rnd.choice(["tried", "error in src/a.rs", "test failed", "build x::y", " panic  ", "word " * rnd.randint(1, 9)])
+    states = [{"session_objective": rnd.choice([None, "", "Ship it"]), **{n: rnd.choice([None, [item() for _ in range(rnd.randint(0, 14))]]) for n, _ in S.SECTIONS if n not in ("session_objective", "current_subtask")}} for _ in range(40)] + [{}]
+    for most in (0, 40, 120, 300, 10_000):
+        got = packed(spark, states, most)
+        for i, state in enumerate(states):
+            want = render_packet(fit_packet({n: state.get(n) or (None if n == "session_objective" and state.get(n) is None else state.get(n)) for n, _ in S.SECTIONS}, most))
+            assert got[i] == (want, estimate_tokens(want)), (i, most)
 
 
 def test_tool_state_machine(spark):
