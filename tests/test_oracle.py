@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from quillspark.plans import catalog
@@ -24,7 +25,7 @@ def duck():
 def value(v):
     if isinstance(v, np.ndarray):
         v = v.tolist()
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, (float, np.floating)):
         return f"{float(v):.6g}"
