@@ -74,3 +74,27 @@ def d6_s16_toml_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("[dependencies]\n"), of(False), F.lit("\n[dev-dependencies]\n"), of(True), F.when(F.any_value("user_id") % 4 == 0, "\n= =").otherwise("\n"))
     docs = n.groupBy("user_id").agg(text.alias("content"))
     return readers.toml_dependencies(docs.select(F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("/Cargo.toml")).alias("path"), "content"))
+
+
+@query("""WITH e AS (SELECT user_id AS id, 'src/' || event_type || event_id || '.rs' AS file, event_id, event_type, CASE event_id % 3 WHEN 0 THEN ' M ' WHEN 1 THEN '?? ' END AS state FROM events),
+g AS (SELECT id, coalesce(list(file ORDER BY event_id) FILTER (state IS NOT NULL), []) AS files, list(hex(event_id) || ' add ' || event_type ORDER BY event_id DESC) AS commits FROM e GROUP BY id)
+SELECT id, CASE WHEN id % 4 > 0 THEN 'topic-' || id END AS branch, array_to_string(files, '|') AS uncommitted_files, CASE WHEN len(files) > 0 THEN ' ' || len(files) || ' files changed' END AS diff_stat, commits[1] AS last_commit, array_to_string(commits[:5], '|') AS recent_commits,
+  CASE WHEN id % 4 > 0 THEN id % 7 ELSE 0 END::INT AS ahead, CASE WHEN id % 4 > 0 THEN id % 5 ELSE 0 END::INT AS behind FROM g""")
+def s14_git_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branch, changed files, diff stat, commits and divergence from the texts git prints, a repository per user."""
+    e, u = F.col("event_id"), F.col("user_id")
+    letters = F.when(e % 3 == 0, " M ").when(e % 3 == 1, "?? ")
+    events = _events(spark, sf_dir).select(u.alias("id"), e.alias("at"), F.concat(letters, F.lit("src/"), "event_type", e.cast("string"), F.lit(".rs")).alias("line"), F.concat(F.hex(e), F.lit(" add "), "event_type").alias("commit"))
+    told = events.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("at", "line")))).alias("s"), F.sort_array(F.collect_list(F.struct("at", "commit")), asc=False).alias("c"))
+    topic = F.col("id") % 4 > 0
+    outputs = told.select(
+        "id",
+        F.when(topic, F.concat(F.lit("topic-"), F.col("id").cast("string"), F.lit("\n"))).otherwise("").alias("branch"),
+        F.array_join(F.transform("s", lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("status"),
+        F.when(F.size("s") > 0, F.concat(F.lit(" "), F.size("s").cast("string"), F.lit(" files changed\n"))).alias("diff"),
+        F.array_join(F.transform("c", lambda x: x["commit"]), "\n").alias("log"),
+        F.when(topic, F.concat((F.col("id") % 5).cast("string"), F.lit("\t"), (F.col("id") % 7).cast("string"), F.lit("\n"))).alias("counts"),
+    )
+    out = readers.git_details(outputs)
+    joined = {c: F.array_join(c, "|") for c in ("uncommitted_files", "recent_commits")}
+    return out.withColumns(joined)

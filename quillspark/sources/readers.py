@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import publish, walk
 
 #: Folders that an inventory leaves out.
@@ -102,6 +103,27 @@ def git_states(status: DataFrame) -> DataFrame:
     return status.select("id", value("head").alias("branch"), value("upstream").alias("upstream"), count("+").alias("ahead"), count("-").alias("behind"), dirty.alias("dirty"))
 
 
+#: Commits that a state lists.
+RECENT_COMMITS = 5
+
+
+def git_details(outputs: DataFrame) -> DataFrame:
+    """(id, branch, uncommitted_files, diff_stat, last_commit, recent_commits, ahead, behind) of what git printed, a column of outputs each:
+
+    branch (`branch --show-current`), status (`status --porcelain --no-renames`),
+    diff (`diff --stat HEAD`), log (`log --oneline`), counts (`rev-list
+    --left-right --count base...HEAD`: behind, then ahead).  Blank or null
+    output is null, and no list or 0 where one is asked for; a file's name
+    follows the two letters of its state and a blank, on the first line too.
+    """
+    said = lambda c: F.when(T.trim(F.col(c)) != "", F.col(c))
+    lines = lambda c: F.coalesce(F.filter(F.split(said(c), r"\r?\n"), lambda x: T.trim(x) != ""), F.array().cast("array<string>"))
+    names = F.transform(F.filter(lines("status"), lambda x: F.length(x) > 3), lambda x: F.substring(x, 4, 1 << 30))
+    commits = F.slice(F.transform(lines("log"), T.trim), 1, RECENT_COMMITS)
+    count = lambda k: F.coalesce(F.regexp_extract("counts", r"^\s*(\d+)\s+(\d+)\s*$", k).try_cast("int"), F.lit(0))
+    return outputs.select("id", T.trim(said("branch")).alias("branch"), names.alias("uncommitted_files"), T.trim_end(said("diff")).alias("diff_stat"), F.get(commits, F.lit(0)).alias("last_commit"), commits.alias("recent_commits"), count(2).alias("ahead"), count(1).alias("behind"))
+
+
 def state_or_default(raw: Column, schema: str, defaults: dict[str, Column]) -> Column:
     """A state struct from JSON text; missing fields take their defaults."""
     s = F.from_json(raw, schema)

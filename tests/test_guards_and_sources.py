@@ -162,6 +162,15 @@ def test_git_states(spark):
     assert got == [(1, "dev", "origin/dev", 2, 1, 3), (2, None, None, 0, 0, 0)]
 
 
+def test_git_details(spark):
+    schema = "id int, branch string, status string, diff string, log string, counts string"
+    rows = [(1, "dev\n", " M src/a b.py\n?? new.py\nD  gone.py\n", " a | 2 +-\n 1 file changed\n", "\n".join(f"{k}abc commit {k}" for k in range(7)) + "\n", "2\t3\n"), (2, "", None, "  \n", "", "x"), (3, None, "??\n", None, "1 one", None)]
+    got = {r.id: r for r in readers.git_details(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1].uncommitted_files == ["src/a b.py", "new.py", "gone.py"] and (got[1].branch, got[1].ahead, got[1].behind) == ("dev", 3, 2)
+    assert got[1].recent_commits == [f"{k}abc commit {k}" for k in range(5)] and got[1].last_commit == "0abc commit 0" and got[1].diff_stat == " a | 2 +-\n 1 file changed"
+    assert tuple(got[2])[1:] == (None, [], None, None, [], 0, 0) and got[3].uncommitted_files == [] and got[3].last_commit == "1 one"
+
+
 def test_growth_is_cut_towards_zero(spark):
     rows = spark.createDataFrame([(3, 4), (3, 2), (0, 5), (7, 7)], "b long, a long").select(V.saved_percent(F.col("b"), F.col("a")).alias("p"))
     assert [r.p for r in rows.collect()] == [-33, 33, 0, 0]
