@@ -266,18 +266,25 @@ def split_terms(s: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.concat(found, *pieces), lambda p: F.length(p) >= 2), F.lower))
 
 
+#: Stands in every document, as no term does.
+_EVERY = "\x00"
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, place, doc, score) of queries(query_id, terms) over docs(doc, terms), terms arrays in which a repeat counts as frequency.
 
-    Texts are cut into terms once; only the queries' terms leave the documents,
-    counted per document on the map side; document frequencies come from these
-    counts.  Only scores above 0 come back.
+    Texts are cut into terms once, in one pass: what leaves it is, per document,
+    the counts of the queries' terms and one row that tells its length, and
+    only these are held.  The numbers of documents and their lengths come from
+    those rows, document frequencies from the counts.  Only scores above 0 come
+    back.
     """
-    docs = kept(docs.select("doc", "terms", F.size("terms").alias("dl")))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    postings = docs.select("doc", "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = kept(postings.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")))
+    sought = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(_EVERY,)], "term string")).distinct()
+    every = docs.select("doc", F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit(_EVERY)))).alias("term"))
+    postings = kept(every.join(sought, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")))
+    stats = postings.where(F.col("term") == _EVERY).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    postings = postings.where(F.col("term") != _EVERY)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     asked = wanted.join(df, "term").join(F.broadcast(stats))
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
