@@ -140,14 +140,34 @@ def f15_core_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", S.core_command(F.col("command")).alias("core"), S.is_reducible(F.col("command")).alias("reducible"))
 
 
-@query()
-def f7_tool_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.tool_states(tool_events(spark, sf_dir))
+_STATES = ["tests_run", "failing_signatures", "failed_approaches", "pinned_facts", "decisions_made", "modified_files"]
 
 
-@query()
-def f13_f14_restart_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.packets(S.tool_states(tool_events(spark, sf_dir)), 200)
+def _added(items: str, value: str) -> str:
+    return f"CASE WHEN {value} IS NULL OR list_contains({items}, {value}) THEN {items} ELSE list_append({items}, {value}) END"
+
+
+# A session's state, event by event: what an event adds, what a success clears, and the bounds of the lists.
+_TOOL_STATES = f"""{_TOOL}, said AS (SELECT *, {_FAILURE} AS failure FROM tool), judged AS (SELECT *, ({sql_any('lower(output)', ['test result: ok', 'build succeeded', 'finished `', 'finished dev', 'compiled successfully', 'all tests passed'])}
+  OR ({sql_any('lower(output)', ['passed', '0 failed'])} AND NOT failure)) AS success FROM said),
+steps AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq) AS k, count(*) OVER (PARTITION BY session) AS steps, CASE WHEN tool = 'Bash' THEN command || ' [' || CASE WHEN failure THEN 'failed' WHEN success THEN 'passed' ELSE 'observed' END || ']' END AS test,
+  CASE WHEN tool = 'Bash' AND failure THEN {_SIGNATURE} ELSE [] END AS signatures, CASE WHEN tool = 'Bash' AND failure THEN [x FOR x IN {sql_lines('output')} IF starts_with(x, 'error[') OR starts_with(x, 'error:')][1] END AS approach,
+  CASE WHEN tool = 'Bash' THEN [x FOR x IN {sql_lines('output')} IF contains(lower(x), 'do not retry')][1] END AS fact, tool = 'Bash' AND success AS success, command, CASE WHEN tool = 'Edit' THEN 'srv/app/src/f' || (seq % 40) || '.rs' END AS path FROM judged),
+states AS (SELECT DISTINCT session, 0::BIGINT AS k, steps, {', '.join(f"[]::VARCHAR[] AS {n}" for n in _STATES)}, 0::BIGINT AS changes FROM steps
+ UNION ALL SELECT session, k, steps, {', '.join(f"{n}[greatest(len({n}) - {S.CAPS[n]} + 1, 1):]" if n in S.CAPS else n for n in _STATES)}, changes + len(tests_run) - n_tests + n_new + len(failed_approaches) - n_approaches + len(pinned_facts) - n_facts + len(decisions_made) - n_decisions + len(modified_files) - n_files FROM (
+  SELECT *  REPLACE (CASE WHEN cleared THEN [] ELSE failing_signatures END AS failing_signatures, CASE WHEN cleared THEN {_added('decisions_made', "('Validated current approach with `' || command || '` (after ' || len(failing_signatures) || ' failing)')")} ELSE decisions_made END AS decisions_made) FROM (
+   SELECT *, len(failing_signatures) - n_signatures AS n_new, success AND len(failing_signatures) + len(failed_approaches) > 0 AS cleared FROM (
+    SELECT s.session, s.k, s.steps, s.success, s.command, changes, len(tests_run) AS n_tests, len(failing_signatures) AS n_signatures, len(failed_approaches) AS n_approaches, len(pinned_facts) AS n_facts, len(decisions_made) AS n_decisions, len(modified_files) AS n_files,
+     {_added('tests_run', 's.test')} AS tests_run, list_concat(failing_signatures, [x FOR x, i IN s.signatures IF NOT list_contains(failing_signatures, x) AND list_position(s.signatures, x) = i]) AS failing_signatures, {_added('failed_approaches', 's.approach')} AS failed_approaches,
+     {_added('pinned_facts', 's.fact')} AS pinned_facts, decisions_made, {_added('modified_files', 's.path')} AS modified_files FROM states JOIN steps s ON s.session = states.session AND s.k = states.k + 1)))),
+ended AS (SELECT * FROM states WHERE k = steps)"""
+
+
+@query(f"WITH RECURSIVE {_TOOL_STATES} SELECT session, {', '.join(f'array_to_string({n}, {_quoted(chr(124))}) AS {n}' for n in _STATES)}, changes FROM ended")
+def f7_tool_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's state after all its tool events, lists joined by |."""
+    states = S.tool_states(tool_events(spark, sf_dir))
+    return states.select("session", *[F.array_join(n, "|").alias(n) for n in _STATES], "changes")
 
 
 def _packet_sql(most: int) -> str:
@@ -169,6 +189,15 @@ n AS (SELECT *, {sql_estimate("packet")}::BIGINT AS tokens FROM p)
 SELECT session, coalesce(arg_min(packet, i) FILTER (tokens <= {most}), arg_max(packet, i)) AS packet, coalesce(arg_min(tokens, i) FILTER (tokens <= {most}), arg_max(tokens, i)) AS tokens FROM n GROUP BY session"""
 
 
+_LACKING = ", ".join([*[f"NULL::VARCHAR AS {n}" for n in S.SCALARS], *[f"[]::VARCHAR[] AS {n}" for n in S.LISTS if n not in _STATES]])
+
+
+@query(f"WITH RECURSIVE {_TOOL_STATES}, state AS (SELECT session, {', '.join(_STATES)}, {_LACKING} FROM ended), {_packet_sql(200)}")
+def f13_f14_restart_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's tool state as a restart packet of at most 200 tokens, where evictions can reach that."""
+    return S.packets(S.tool_states(tool_events(spark, sf_dir)), 200)
+
+
 @query(f"WITH {_UPDATES}, {_MERGED}, {_packet_sql(230)}")
 def f13_f14_packets_of_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session's merged state as a restart packet of at most 230 tokens, where evictions can reach that."""
