@@ -16,6 +16,7 @@ from . import lint_queries as LQ
 from . import rank_queries as RQ
 from . import session_queries as SQ
 from . import text_queries as TQ
+from .inputs import sql_estimate
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,15 +38,39 @@ def b6_config_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TQ._texts(spark, sf_dir).select("id", F.round(engine.config_score(F.col("text")).cast("double"), 4).alias("config"))
 
 
-@query()
+def _piped_sql(texts: str, kind: str) -> str:
+    """CTEs from texts(id, kind, text) to known(id, text, detected, best) and done(id, detected, reduced, before_tokens, after_tokens); kind: the column of known that says which reducer takes a text."""
+    each = []
+    for k, name in TQ._REDUCED.items():
+        one = TQ.SQL[name].replace(f"FROM logs WHERE kind = '{k}'", f"FROM known WHERE {kind} = '{k}' AND NOT contains(text, '```')")
+        each.append(f"SELECT id, '{k}' AS by_kind, reduced, before_tokens, after_tokens FROM ({one})" if k != "json" else f"SELECT j.id + 1000000, 'json', reduced, before_tokens, after_tokens FROM ({one}) j JOIN known ON known.id = j.id + 1000000 AND {kind} = 'json'")
+    scores = ", ".join(f"{e} AS s_{k}" for k, e in TQ._SCORES.items())
+    return f"""WITH {TQ._TEXTS_SQL}, given AS ({texts}), scores AS (SELECT id, text, {scores} FROM given), best AS (SELECT id, text, {TQ._KIND_SQL} AS detected, {TQ._BEST_SQL} AS best FROM scores),
+known AS (SELECT id, text, CASE WHEN best >= {engine.PIPE_CONFIDENCE}::FLOAT THEN detected END AS piped, CASE WHEN best >= 0.55::FLOAT THEN detected END AS detected, best FROM best), done AS ({" UNION ALL ".join(each)})"""
+
+
+@query(f"""{_piped_sql("SELECT id, text FROM texts", "piped")}
+SELECT k.id, CASE WHEN after_tokens < before_tokens THEN reduced ELSE text END AS output, CASE WHEN after_tokens < before_tokens THEN piped END AS kind FROM known k LEFT JOIN done d ON d.id = k.id""")
 def b11_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.pipe(TQ._texts(spark, sf_dir).select("id", "text"))
 
 
-@query()
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): every tool text, and prompts with conversation turns under ids below 0."""
+    return TQ._texts(spark, sf_dir).select(F.col("id").cast("long").alias("id"), "text").unionByName(LQ._prompts(spark, sf_dir).select((-F.col("id") - 1).alias("id"), "text"))
+
+
+_TALK = LQ._PROMPTS.removeprefix(LQ.LOGS_SQL).lstrip(", ")
+
+
+@query(f"""{_piped_sql("SELECT id, text FROM texts UNION ALL SELECT -id - 1, text FROM asked", "detected").replace("given AS", _TALK.replace("prompts AS", "asked AS", 1) + ", given AS", 1)},
+classed AS (SELECT *, CASE WHEN detected IS NOT NULL THEN {TQ._CLASS_SQL} WHEN {TQ._PROMPTISH} THEN 'prompt' ELSE 'unknown' END AS class, CASE WHEN detected IS NOT NULL THEN round(best::DOUBLE, 4) WHEN {TQ._PROMPTISH} THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence FROM known),
+prompts AS (SELECT id, text FROM classed WHERE class IN ('prompt', 'unknown')), {LQ._PARTS}, linted AS (SELECT id, array_to_string([c FOR c IN [{", ".join(f"CASE WHEN {r[0]} THEN '{r[1]}' END" for r in LQ._RULES)}] IF c IS NOT NULL], '|') AS findings FROM p),
+made AS (SELECT c.id, class, confidence, text, coalesce(reduced, text) AS output, findings FROM classed c LEFT JOIN done d ON d.id = c.id LEFT JOIN linted l ON l.id = c.id)
+SELECT id, class, confidence, output, {sql_estimate("text")} AS before_tokens, {sql_estimate("output")} AS after_tokens, findings FROM made""")
 def intercept_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classify, reduce and lint every text in one plan."""
-    return engine.intercept(TQ._texts(spark, sf_dir).select("id", "text"))
+    """Classify, reduce and lint every text in one plan; findings are joined by |."""
+    return engine.intercept(_requests(spark, sf_dir)).withColumn("findings", F.array_join("findings", "|"))
 
 
 _S = f"WITH {SQ._UPDATES}, {SQ._MERGED}"
