@@ -155,35 +155,44 @@ def paired_test(pairs: DataFrame) -> DataFrame:
     return out.withColumn("effect", label).withColumn("p", _p_value("t", "n"))
 
 
-#: Draws a worker makes at once.
-_DRAWS = 1 << 20
+#: Draws a worker makes at once, and from how many copies on a row's weight is drawn directly.
+_DRAWS, _HEAVY = 1 << 20, 16
 
 
 def _resampled_sums(rows: DataFrame, columns: list[str], resamples: int, seed: int) -> DataFrame:
     """(b, n, s0, s1, ...): the number of rows drawn into each resample b and the columns' sums over them.
 
-    Rows get Poisson(1) weights, which stand for drawing with replacement: of n rows, a Poisson number of mean n is drawn at random,
-    the same weights drawn the other way round.  Every row is read once whatever its number, all columns of a row are drawn together,
-    and only resamples leave the map side.  Rows with a null in a column are left out.
+    Rows get Poisson(1) weights, which stand for drawing with replacement.  Equal rows are counted first: together c copies weigh
+    Poisson(c), so the work grows with the distinct rows and one value may hold most of the table.  Rows of few copies are drawn the
+    other way round, a Poisson number of them at random, with the same law.  All columns of a row are drawn together, and only
+    resamples leave the map side.  Rows with a null in a column are left out.
     """
     src = rows.select(*[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(columns)]).dropna()
     names = ["n", *src.columns]
+    counted = src.groupBy(*src.columns).agg(F.count("*").alias("copies")).sortWithinPartitions(*src.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.Generator(np.random.SFC64((seed, TaskContext.get().partitionId())))
         out = np.zeros((len(names), resamples))
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            step = max(1, _DRAWS // n)
+            *values, copies = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            heavy = np.flatnonzero(copies >= _HEAVY)
+            light = np.repeat(np.arange(len(copies)), np.where(copies < _HEAVY, copies, 0))
+            n = len(light)
+            step = max(1, _DRAWS // max(n, len(heavy)))
             for lo in range(0, resamples, step):
-                drawn = rng.poisson(n, min(step, resamples - lo))
-                at = rng.integers(0, n, int(drawn.sum()), dtype=np.int32)
+                size = min(step, resamples - lo)
+                weights = rng.poisson(copies[heavy], (size, len(heavy))).astype(float)
+                out[0, lo : lo + size] += weights.sum(1)
+                for i, v in enumerate(values, 1):
+                    out[i, lo : lo + size] += weights @ v[heavy]
+                drawn = rng.poisson(n, size)
                 some = np.flatnonzero(drawn)
                 if not len(some):
                     continue
+                at = light[rng.integers(0, n, int(drawn.sum()), dtype=np.int32)]
                 starts = (np.cumsum(drawn) - drawn)[some]
                 out[0, lo + some] += drawn[some]
                 for i, v in enumerate(values, 1):
@@ -191,7 +200,7 @@ def _resampled_sums(rows: DataFrame, columns: list[str], resamples: int, seed: i
         if out[0].any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, resamples + 1)), *[pa.array(x) for x in out]], names=["b", *names])
 
-    sums = src.mapInArrow(run, ", ".join(["b long", *[f"{c} double" for c in names]]))
+    sums = counted.mapInArrow(run, ", ".join(["b long", *[f"{c} double" for c in names]]))
     return sums.groupBy("b").agg(*[F.sum(c).alias(c) for c in names])
 
 

@@ -100,7 +100,7 @@ def test_statistics(spark):
 def test_bootstrap_draws_10000_resamples_of_values_and_pairs(spark, monkeypatch):
     taken, interval = [], V._interval
     monkeypatch.setattr(V, "_interval", lambda s: (taken.append(s.count()), interval(s))[1])
-    r = rank_queries.QUERIES["i11_bootstrap"](spark, "/root/testdata/sf0.01").first()
+    r = rank_queries.QUERIES["bootstrap_intervals"](spark, "/root/testdata/sf0.01").first()
     assert taken == [10_000, 10_000] and r.low < r.high and r.ratio_low < r.ratio_high
 
 
@@ -112,6 +112,11 @@ def test_bootstrap_intervals(spark):
     for got, m in ((V.bootstrap_mean(df, "a").first(), v[at].mean(1)), (V.bootstrap_ratio(df).first(), 1 - b[at].sum(1) / v[at].sum(1))):
         low, high = np.quantile(m, (0.025, 0.975))
         assert abs(got.low - low) < 0.06 * (high - low) and abs(got.high - high) < 0.06 * (high - low)
+    # values of one copy, of a few and of thousands
+    w = np.repeat([1.0, 2.0, 5.0, 40.0, 90.0], [3000, 200, 30, 5, 1])
+    m = w[rng.integers(0, len(w), (10_000, len(w)))].mean(1)
+    got, (low, high) = V.bootstrap_mean(spark.createDataFrame([(float(x),) for x in w], "a double").repartition(3), "a").first(), np.quantile(m, (0.025, 0.975))
+    assert abs(got.low - low) < 0.06 * (high - low) and abs(got.high - high) < 0.06 * (high - low)
     same = V.bootstrap_ratio(df.select("a", (F.col("a") / 2).alias("b"))).first()
     assert abs(same.low - 0.5) < 1e-9 and abs(same.high - 0.5) < 1e-9
     assert V.bootstrap_ratio(df.limit(0)).first().low is None
