@@ -402,10 +402,10 @@ def i13_paired_t_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the mean tokens of a document and of the share saved where repeated lines go, over (before, after) pairs; 10,000 resamples each."""
+    """Intervals of the mean characters of a document and of the share saved where repeated lines go, over (before, after) pairs; 10,000 resamples each."""
     t = F.col("text")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    pairs = docs.select(tokens.estimated(t).alias("a"), tokens.estimated(F.array_join(F.array_distinct(T.lines(t)), "\n")).alias("b"))
+    pairs = docs.select(F.length(t).alias("a"), F.length(F.array_join(F.array_distinct(T.lines(t)), "\n")).alias("b"))
     mean = V.bootstrap_mean(pairs, "a", 10_000)
     ratio = V.bootstrap_ratio(pairs, 10_000)
     return mean.crossJoin(ratio.select(F.col("low").alias("ratio_low"), F.col("high").alias("ratio_high")))
