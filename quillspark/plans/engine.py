@@ -90,6 +90,15 @@ def pipe(texts: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     return out.select("id", F.when(smaller, F.col("reduced")).otherwise(F.col("text")).alias("output"), F.when(smaller, F.col("kind")).alias("kind"))
 
 
+def pipe_payloads(payloads: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
+    """(id, output, kind) of payloads (id, payload) as bytes: what is UTF-8 goes through pipe, all else, null too, comes out as it came in."""
+    text = F.col("payload").cast("string")
+    readable = F.coalesce(F.is_valid_utf8(text), F.lit(False))
+    texts = pipe(payloads.where(readable).select("id", text.alias("text")), registry)
+    passed = payloads.where(~readable).select("id", F.col("payload").alias("output"), F.lit(None).cast("string").alias("kind"))
+    return texts.select("id", F.col("output").cast("binary").alias("output"), "kind").unionByName(passed)
+
+
 def intercept(texts: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """(id, class, confidence, output, before_tokens, after_tokens, findings): classify, reduce, lint prompts and unknown texts."""
     known = kept(classified(texts, registry=registry))

@@ -55,6 +55,17 @@ def b11_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.pipe(TQ._texts(spark, sf_dir).select("id", "text"))
 
 
+@query(f"""{_piped_sql("SELECT id, text FROM texts WHERE id % 4 <> 1", "piped")}
+SELECT k.id, md5(encode(CASE WHEN after_tokens < before_tokens THEN reduced ELSE text END)) AS output_md5, CASE WHEN after_tokens < before_tokens THEN piped END AS kind FROM known k LEFT JOIN done d ON d.id = k.id
+UNION ALL SELECT id, md5(encode(text) || '\\xFF'::BLOB), NULL FROM texts WHERE id % 4 = 1""")
+def s4_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tool text as bytes through the pipe; one in four ends in a byte that no UTF-8 has and passes through."""
+    raw = F.col("text").cast("binary")
+    payload = F.when(F.col("id") % 4 == 1, F.concat(raw, F.lit(b"\xff"))).otherwise(raw)
+    out = engine.pipe_payloads(TQ._texts(spark, sf_dir).select("id", payload.alias("payload")))
+    return out.select("id", F.md5("output").alias("output_md5"), "kind")
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): every tool text, and prompts with conversation turns under ids below 0."""
     return TQ._texts(spark, sf_dir).select(F.col("id").cast("long").alias("id"), "text").unionByName(LQ._prompts(spark, sf_dir).select((-F.col("id") - 1).alias("id"), "text"))

@@ -180,3 +180,13 @@ def test_pipe_only_shrinks(spark):
     log = "$ npm test\n" + "\n".join(f"PASS src/long/path/to/test_{i}.ts" for i in range(40)) + "\nTest Suites: 40 passed"
     got = {r.id: r for r in engine.pipe(spark.createDataFrame([(1, log), (2, "hello")], "id long, text string")).collect()}
     assert got[1].kind == "test_log" and len(got[1].output) < len(log) and got[2].output == "hello" and got[2].kind is None
+
+
+def test_payloads_that_are_no_text_pass_through(spark):
+    from quillspark.plans import engine
+
+    log = "\n".join(["Error: x", *["    at f (a.ts:1:2)"] * 40]).encode()
+    rows = [(1, log), (2, log + b"\xff\xfe"), (3, b""), (4, None), (5, b"\x80")]
+    got = {r.id: r for r in engine.pipe_payloads(spark.createDataFrame(rows, "id long, payload binary")).collect()}
+    assert {i: r.output for i, r in got.items() if i > 1} == dict(rows[1:]) and all(got[i].kind is None for i in (2, 3, 4, 5))
+    assert got[1].kind == "stack_trace" and len(got[1].output) < len(log)
