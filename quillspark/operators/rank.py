@@ -7,8 +7,14 @@ files are read once and are never collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import kept
 from .codegraph import basename, path_tokens, stem
@@ -266,32 +272,107 @@ def split_terms(s: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.concat(found, *pieces), lambda p: F.length(p) >= 2), F.lower))
 
 
-#: Stands in every document, as no term does.
-_EVERY = "\x00"
+#: Scores that a worker holds at once.
+_HELD = 1 << 18
+
+
+def _counting(vocabulary: list[str]):
+    """Batches (doc, terms) to (doc, dl, at, tf): a document's length, and which terms of the vocabulary it has how often."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            terms = batch.column("terms")
+            at = pc.fill_null(pc.index_in(terms.flatten().cast(pa.string()), value_set=known), -1).to_numpy()
+            row = pc.list_parent_indices(terms).to_numpy()
+            keys, tf = np.unique(row[at >= 0].astype(np.int64) * len(known) + at[at >= 0], return_counts=True)
+            ends = np.searchsorted(keys, np.arange(len(batch) + 1, dtype=np.int64) * len(known)).astype(np.int32)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pc.list_value_length(terms).cast(pa.int64()), listed(keys % len(known)), listed(tf)], ["doc", "dl", "at", "tf"])
+
+    return count
+
+
+def _scoring(starts: np.ndarray, asking: np.ndarray, weight: np.ndarray, n_queries: int, avgdl: float, k: int | None, k1: float, b: float):
+    """Batches (doc, rows) to (q, doc, score, rounded) above 0, with k the k best of each query in a task.
+
+    starts and asking: term t is asked by the queries asking[starts[t]:starts[t + 1]].
+    """
+
+    def first(found: pa.Table) -> pa.Table:
+        found = found.take(pc.sort_indices(found, [("q", "ascending"), ("rounded", "descending"), ("doc", "ascending")], null_placement="at_start"))
+        q = found.column("q").to_numpy()
+        return found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+    def scored(batch: pa.RecordBatch) -> pa.Table:
+        rows = batch.column("rows")
+        each = rows.flatten()
+        at, sizes = each.field("at"), pc.list_value_length(each.field("at")).to_numpy()
+        doc = np.repeat(pc.list_parent_indices(rows).to_numpy().astype(np.int64), sizes)
+        dl = np.repeat(each.field("dl").to_numpy(), sizes)
+        term, tf = at.flatten().to_numpy(), each.field("tf").flatten().to_numpy().astype(np.float64)
+        if len(each) > len(batch):  # rows of one document and length are one
+            keys, of = np.unique(np.stack([doc, dl, term]), axis=1, return_inverse=True)
+            doc, dl, term = keys
+            tf = np.bincount(of.ravel(), tf, keys.shape[1])
+        part = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        n = starts[term + 1] - starts[term]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[term], n)
+        total = np.bincount(np.repeat(doc, n) * n_queries + asking[place], np.repeat(part, n), len(batch) * n_queries).reshape(len(batch), n_queries)
+        rounded = np.round(total, 9)
+        good = total > 0
+        if k and len(batch) > k:
+            good &= rounded >= np.partition(rounded, len(batch) - k, axis=0)[len(batch) - k]
+        doc, q = np.nonzero(good)
+        return pa.table({"q": pa.array(q, pa.int32()), "doc": batch.column("doc").take(pa.array(doc)), "score": total[good], "rounded": rounded[good]})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, step = None, max(1, _HELD // n_queries)
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                found = scored(batch.slice(at, step))
+                if k:
+                    best = first(found if best is None else pa.concat_tables([best, found]))
+                else:
+                    yield from found.to_batches()
+        if best is not None:
+            yield from best.to_batches()
+
+    return score
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, place, doc, score) of queries(query_id, terms) over docs(doc, terms), terms arrays in which a repeat counts as frequency.
 
-    Texts are cut into terms once, in one pass: what leaves it is, per document,
-    the counts of the queries' terms and one row that tells its length, and
-    only these are held.  The numbers of documents and their lengths come from
-    those rows, document frequencies from the counts.  Only scores above 0 come
-    back.
+    Texts are cut into terms once, in one pass: what leaves it, and is held, is
+    a row per document with its length and the counts of the queries' terms.
+    The driver sees the stated queries' terms and how many documents hold each.
+    Scores are added up per document where its row is, and with k only the k
+    best of each query leave a task.  Only scores above 0 come back.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    sought = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(_EVERY,)], "term string")).distinct()
-    every = docs.select("doc", F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit(_EVERY)))).alias("term"))
-    postings = kept(every.join(sought, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")))
-    stats = postings.where(F.col("term") == _EVERY).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    postings = postings.where(F.col("term") != _EVERY)
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    asked = wanted.join(df, "term").join(F.broadcast(stats))
-    weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = postings.join(asked, "term").groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
-    out = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("score"), 9).desc(), "doc")))
-    return (out.where(F.col("place") <= k) if k else out).select("query_id", "place", "doc", "score")
+    spark, kind = docs.sparkSession, docs.schema["doc"].dataType
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where("term is not null").collect()
+    names, vocabulary = list(dict.fromkeys(r.query_id for r in asked)), list(dict.fromkeys(r.term for r in asked))
+    result = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("doc", kind), T.StructField("score", T.DoubleType()), T.StructField("rounded", T.DoubleType())])
+    found = spark.createDataFrame([], result)
+    if vocabulary:
+        counts = T.StructType([T.StructField("doc", kind), T.StructField("dl", T.LongType()), *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("at", "tf")]])
+        counted = docs.where("terms is not null").select("doc", "terms").mapInArrow(_counting(vocabulary), counts)
+        held = kept(counted.groupBy("doc").agg(F.collect_list(F.struct("dl", "at", "tf")).alias("rows")))
+        n, avgdl = held.select(F.explode("rows.dl").alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+        v = len(vocabulary)
+        keys = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["at"], lambda t: r["dl"] * v + t))))
+        df = np.zeros(v)
+        for at, with_it in held.select(F.explode(keys).alias("key")).groupBy((F.col("key") % v).cast("int")).count().collect():
+            df[at] = with_it
+        number, term = ({x: i for i, x in enumerate(items)} for items in (names, vocabulary))
+        terms, asking = np.array([term[r.term] for r in asked]), np.array([number[r.query_id] for r in asked])
+        by_term = np.argsort(terms, kind="stable")
+        starts = np.searchsorted(terms[by_term], np.arange(v + 1))
+        found = held.mapInArrow(_scoring(starts, asking[by_term], np.log((n - df + 0.5) / (df + 0.5) + 1), len(names), avgdl, k, k1, b), result)
+    out = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rounded"), "doc")))
+    ids = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", queries.schema["query_id"].dataType)]))
+    return (out.where(F.col("place") <= k) if k else out).join(F.broadcast(ids), "q").select("query_id", "place", "doc", "score")
 
 
 def _few(queries: DataFrame) -> DataFrame:
