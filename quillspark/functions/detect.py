@@ -29,7 +29,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _at_lines(text: Column) -> Column:
-    return F.size(F.filter(T.lines(text), lambda x: F.regexp_replace(x, r"(?U)^\s+", "").startswith("at ")))
+    return F.size(F.filter(T.lines(text), lambda x: T.trim_start(x).startswith("at ")))
 
 
 # The detectors' markers and weights, in the order in which they are added.
@@ -38,7 +38,7 @@ def _at_lines(text: Column) -> Column:
 def stack_trace(text: Column) -> Column:
     c, at = text.contains, _at_lines(text)
     rust = c("stack backtrace:") | c("panicked at")
-    head = lambda x: F.regexp_replace(x, r"(?U)^\s+", "")
+    head = T.trim_start
     frames = F.size(F.filter(T.lines(text), lambda x: head(x).startswith("0:") | (head(x).rlike("^[0-9]") & x.contains("::"))))
     return _total([(c("Traceback (most recent call last)"), 0.65), (at >= 3, 0.55), ((at >= 1) & (at < 3), 0.25), (rust, 0.5), (rust & (frames >= 3), 0.2), (c("Error:") | c("Exception"), 0.2)])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,41 +17,68 @@ CODE_MARKS = ["::", "=>", "Traceback", "fn ", "const "]
 CHARS_PER_TOKEN = {"claude": (3.3, 4.0), "codex": (3.2, 3.9), "gemini": (3.5, 4.2), "generic": (3.4, 4.0)}
 
 
-def _without(s: Column, chars: str) -> Column:
-    return F.translate(s, chars, "")
+def measures(text: Column) -> Column:
+    """struct(chars, punct, words, lines, digits, marks): what an estimate goes by.
+
+    Of pieces that each end in a line break, the sums are those of the joined
+    text: words, marks and lines don't reach over a break.
+    """
+    count = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    return F.struct(
+        F.length(text).cast("long").alias("chars"),
+        count(PUNCTUATION).alias("punct"),
+        T.word_count(text).cast("long").alias("words"),
+        F.size(T.lines(text)).cast("long").alias("lines"),
+        count("0123456789").alias("digits"),
+        T.contains_any(text, CODE_MARKS).cast("long").alias("marks"),
+    )
+
+
+def biased(m: Column) -> Column:
+    """Whether measures are of code."""
+    return (m["punct"].cast("double") / F.greatest(m["chars"], F.lit(1)) > 0.11) | (m["marks"] > 0)
+
+
+def estimated_of(m: Column, family: str = "claude") -> Column:
+    """Estimated tokens of measures."""
+    code, prose = CHARS_PER_TOKEN[family]
+    n_lines, coded = F.greatest(m["lines"], F.lit(1)), biased(m)
+    by_chars = F.lit(0.58) * (m["chars"].cast("double") / F.when(coded, F.lit(code)).otherwise(F.lit(prose)))
+    by_words = F.lit(0.42) * (m["words"].cast("double") * F.when(coded, F.lit(1.45)).otherwise(F.lit(1.28)))
+    by_lines = F.when(coded, F.least(n_lines * F.lit(0.15), F.lit(24.0))).otherwise(F.least(n_lines * F.lit(0.05), F.lit(10.0)))
+    est = F.greatest(F.lit(1), F.round(by_chars + by_words + m["digits"] * F.lit(0.02) + by_lines).cast("int"))
+    return F.when(m["chars"] == 0, F.lit(0)).otherwise(est).cast("int")
+
+
+def _measured(text: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a text's measures, which are taken once however often f reads them."""
+    return F.transform(F.array(measures(text)), f)[0]
 
 
 def estimate(text: Column, family: str = "claude") -> Column:
     """struct(estimated_tokens, lower_bound, upper_bound, bytes, chars, words, lines, heuristic, model_family)."""
-    code, prose = CHARS_PER_TOKEN[family]
-    chars = F.length(text)
-    punct = chars - F.length(_without(text, PUNCTUATION))
-    biased = (punct.cast("double") / F.greatest(chars, F.lit(1)) > 0.11) | T.contains_any(text, CODE_MARKS)
-    words = T.word_count(text)
-    n_lines = F.greatest(F.size(T.lines(text)), F.lit(1))
-    digits = chars - F.length(_without(text, "0123456789"))
-    by_chars = F.lit(0.58) * (chars.cast("double") / F.when(biased, F.lit(code)).otherwise(F.lit(prose)))
-    by_words = F.lit(0.42) * (words.cast("double") * F.when(biased, F.lit(1.45)).otherwise(F.lit(1.28)))
-    by_lines = F.when(biased, F.least(n_lines * F.lit(0.15), F.lit(24.0))).otherwise(F.least(n_lines * F.lit(0.05), F.lit(10.0)))
-    est = F.greatest(F.lit(1), F.round(by_chars + by_words + digits * F.lit(0.02) + by_lines).cast("int"))
-    spread = F.ceil(est * F.when(chars < 120, F.lit(0.18)).when(biased, F.lit(0.14)).otherwise(F.lit(0.12))).cast("int")
-    empty = text == ""
-    zero = lambda c, kind: F.when(empty, F.lit(0)).otherwise(c).cast(kind)
-    return F.struct(
-        zero(est, "int").alias("estimated_tokens"),
-        zero(F.greatest(est - spread, F.lit(0)), "int").alias("lower_bound"),
-        zero(est + spread, "int").alias("upper_bound"),
-        F.octet_length(text).cast("long").alias("bytes"),
-        chars.cast("long").alias("chars"),
-        words.cast("long").alias("words"),
-        zero(n_lines, "long").alias("lines"),
-        F.when(empty, "empty-input").when(biased, "code-biased").otherwise("prose").alias("heuristic"),
-        F.lit(family).alias("model_family"),
-    )
+
+    def of(m: Column) -> Column:
+        est, coded, empty = estimated_of(m, family), biased(m), m["chars"] == 0
+        spread = F.ceil(est * F.when(m["chars"] < 120, F.lit(0.18)).when(coded, F.lit(0.14)).otherwise(F.lit(0.12))).cast("int")
+        zero = lambda c, kind: F.when(empty, F.lit(0)).otherwise(c).cast(kind)
+        return F.struct(
+            est.alias("estimated_tokens"),
+            zero(F.greatest(est - spread, F.lit(0)), "int").alias("lower_bound"),
+            zero(est + spread, "int").alias("upper_bound"),
+            F.octet_length(text).cast("long").alias("bytes"),
+            m["chars"].alias("chars"),
+            m["words"].alias("words"),
+            zero(F.greatest(m["lines"], F.lit(1)), "long").alias("lines"),
+            F.when(empty, "empty-input").when(coded, "code-biased").otherwise("prose").alias("heuristic"),
+            F.lit(family).alias("model_family"),
+        )
+
+    return _measured(text, of)
 
 
 def estimated(text: Column, family: str = "claude") -> Column:
-    return estimate(text, family)["estimated_tokens"]
+    return _measured(text, lambda m: estimated_of(m, family))
 
 
 def approx_tokens(text: Column) -> Column:

@@ -51,18 +51,26 @@ def added(before: Column, after: Column) -> Column:
 # -- tests on tool output
 
 
-def is_failure(output: Column) -> Column:
-    """Any line that marks a failure; `N failed` counts for N > 0 behind something that is no digit."""
+def seen(output: Column) -> Column:
+    """The lines of an output as array of struct(line, t, low): as they are, trimmed, and that in lower case, each found once."""
+    whole = F.transform(T.lines(output), lambda x: F.struct(x.alias("line"), T.trim(x).alias("t")))
+    return F.transform(whole, lambda x: F.struct(x["line"].alias("line"), x["t"].alias("t"), T.ascii_lower(x["t"]).alias("low")))
 
-    def bad(line: Column) -> Column:
-        t = T.trim(line)
-        low = T.ascii_lower(t)
+
+def _fails(lines: Column) -> Column:
+    def bad(x: Column) -> Column:
+        t, low = x["t"], x["low"]
         marks = T.contains_any(low, ["test result: failed", "compilation failed", "build failed", "panicked at"]) | T.starts_with_any(low, ["error:", "error["])
         own = (t.startswith("test ") & t.endswith("... FAILED")) | T.starts_with_any(t, ["FAIL ", "FAILED ", "✗ ", "✘ ", "× "])
         number = F.regexp_extract(F.rtrim(F.regexp_replace(low, r"(?s)failed.*$", "")), r"[^0-9]([0-9]+)$", 1)
         return marks | own | (low.contains("failed") & number.rlike("[1-9]"))
 
-    return F.exists(T.lines(output), bad)
+    return F.exists(lines, bad)
+
+
+def is_failure(output: Column) -> Column:
+    """Any line that marks a failure; `N failed` counts for N > 0 behind something that is no digit."""
+    return _fails(seen(output))
 
 
 def is_success(output: Column, failure: Column) -> Column:
@@ -71,11 +79,9 @@ def is_success(output: Column, failure: Column) -> Column:
     return sure | (T.contains_any(low, ["passed", "0 failed"]) & ~failure)
 
 
-def failing_signatures(output: Column) -> Column:
-    """What failed, by line: test names, files, panics."""
-
-    def name(line: Column) -> Column:
-        t = T.trim(line)
+def _signatures(lines: Column) -> Column:
+    def name(x: Column) -> Column:
+        t = x["t"]
         return (
             F.when(t.startswith("test ") & t.endswith("... FAILED"), F.regexp_replace(F.regexp_replace(t, "^(?:test )+", ""), r"(?: \.\.\. FAILED)+$", ""))
             .when(t.startswith("FAIL "), T.trim(F.regexp_replace(t, "^(?:FAIL )+", "")))
@@ -84,7 +90,12 @@ def failing_signatures(output: Column) -> Column:
             .when(t.startswith("FAILED "), T.trim(F.regexp_replace(t, "^(?:FAILED )+", "")))
         )
 
-    return F.filter(F.transform(T.lines(output), name), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(lines, name), lambda x: x.isNotNull() & (x != ""))
+
+
+def failing_signatures(output: Column) -> Column:
+    """What failed, by line: test names, files, panics."""
+    return _signatures(seen(output))
 
 
 def _short(s: Column, most: int) -> Column:
@@ -92,13 +103,21 @@ def _short(s: Column, most: int) -> Column:
     return F.when(F.length(s) > most, F.concat(F.left(s, F.lit(most - 3)), F.lit("..."))).otherwise(s)
 
 
+def _approach(lines: Column) -> Column:
+    return _short(T.first(F.filter(lines, lambda x: T.starts_with_any(x["t"], ["error[", "error:"])))["t"], 140)
+
+
 def failed_approach(output: Column) -> Column:
-    return _short(T.first(F.filter(F.transform(T.lines(output), T.trim), lambda t: T.starts_with_any(t, ["error[", "error:"]))), 140)
+    return _approach(seen(output))
 
 
-def pinned_fact(output: Column) -> Column:
+def _fact(lines: Column) -> Column:
     marks = ["do not retry", "don't retry", "never retry", "do not use", "must keep"]
-    return T.first(F.filter(F.transform(T.lines(output), T.trim), lambda t: T.contains_any(T.ascii_lower(t), marks)))
+    return T.first(F.filter(lines, lambda x: T.contains_any(x["low"], marks)))["t"]
+
+
+def pinned_fact(output: Column) -> Column:
+    return _fact(seen(output))
 
 
 def command_summary(command: Column) -> Column:
@@ -119,18 +138,23 @@ def is_reducible(command: Column) -> Column:
 
 
 def with_outcome(events: DataFrame) -> DataFrame:
-    """events(session, seq, tool, command, path, output) with what each says: outcome, signatures, approach, fact."""
-    out = events.withColumn("output", F.coalesce("output", F.lit(""))).withColumn("failure", is_failure(F.col("output")))
+    """events(session, seq, tool, command, path, output) with what each says: outcome, signatures, approach, fact.
+
+    The lines of an output are found in a step of their own, once for all that reads them.
+    """
+    out = events.withColumn("output", F.coalesce("output", F.lit(""))).withColumn("_lines", seen(F.col("output")))
+    lines = F.col("_lines")
+    out = out.withColumn("failure", _fails(lines))
     out = out.withColumn("success", is_success(F.col("output"), F.col("failure")))
     return out.withColumns(
         {
             "outcome": F.when(F.col("failure"), "failed").when(F.col("success"), "passed").otherwise("observed"),
-            "signatures": F.when(F.col("failure"), failing_signatures(F.col("output"))),
-            "approach": F.when(F.col("failure"), failed_approach(F.col("output"))),
-            "fact": pinned_fact(F.col("output")),
+            "signatures": F.when(F.col("failure"), _signatures(lines)),
+            "approach": F.when(F.col("failure"), _approach(lines)),
+            "fact": _fact(lines),
             "summary": command_summary(F.coalesce("command", F.lit(""))),
         }
-    )
+    ).drop("_lines")
 
 
 CAPS = {"tests_run": 20, "failing_signatures": 12, "failed_approaches": 12, "modified_files": 24, "decisions_made": 12}
@@ -218,6 +242,9 @@ def approach_value(item: Column) -> Column:
     return sum((F.when(T.contains_any(low, marks), points).otherwise(0) for points, marks in TELLING), F.lit(0))
 
 
+_HEAD = "[restart packet]\n"
+
+
 def render_packet(packet: dict[str, Column], lists: set[str]) -> Column:
     """The sections that have content, in their order; empty without any."""
     parts = []
@@ -228,7 +255,16 @@ def render_packet(packet: dict[str, Column], lists: set[str]) -> Column:
         elif name in packet:
             parts.append(F.coalesce(F.concat(F.lit(f"{title}\n"), T.trim(packet[name]), F.lit("\n\n")), F.lit("")))
     body = F.concat(*parts)
-    return F.when(body == "", "").otherwise(F.concat(F.lit("[restart packet]\n"), body))
+    return F.when(body == "", "").otherwise(F.concat(F.lit(_HEAD), body))
+
+
+_MEASURES = ["chars", "punct", "words", "lines", "digits", "marks"]
+
+
+def _summed(items: Column) -> Column:
+    """Measures added up."""
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in _MEASURES])
+    return F.aggregate(items, none, lambda a, x: F.struct(*[(a[c] + x[c]).alias(c) for c in _MEASURES]))
 
 
 def packets(states: DataFrame, max_tokens: int = 600) -> DataFrame:
@@ -239,8 +275,13 @@ def packets(states: DataFrame, max_tokens: int = 600) -> DataFrame:
     equals), then decisions down to one.  There are as many as the bounds of
     these lists, under 30; if none fits, the last stands.  Null lists and
     entries count as missing.
+
+    Every line of a packet is measured once; a candidate's measures are the
+    whole packet's less those of what went (with a list's last entry, its
+    title), so only the chosen one is written out.
     """
     names = [n for n, _ in SECTIONS if n in states.columns]
+    titles = dict(SECTIONS)
     lists = {n for n in names if states.schema[n].dataType.simpleString().startswith("array")}
     empty = F.array().cast("array<string>")
     whole = {n: F.array_compact(F.coalesce(F.col(n), empty)) if n in lists else F.col(n) for n in names}
@@ -248,23 +289,57 @@ def packets(states: DataFrame, max_tokens: int = 600) -> DataFrame:
     kept = states.select("session", *[(newest(c, PACKET_KEEP[n]) if n in lists and n in PACKET_KEEP else c).alias(n) for n, c in whole.items()])
     giving = [n for n in ("recent_turns", "tests_run", "failed_approaches", "decisions_made") if n in lists]
     room = {n: F.greatest(F.size(n) - (1 if n == "decisions_made" else 0), F.lit(0)) for n in giving}
-    tried = kept.withColumn("i", F.explode(F.sequence(F.lit(0), sum(room.values(), F.lit(0)))))
-
-    gone, left = {}, F.col("i")
+    if "failed_approaches" in giving:
+        kept = kept.withColumn("_order", F.array_sort(F.transform("failed_approaches", lambda x, j: F.struct(approach_value(x).alias("value"), j.alias("at")))))
+
+    line = lambda x: F.concat(F.lit("- "), T.trim(x), F.lit("\n"))
+    frame = lambda n: tokens.measures(F.lit(f"{titles[n]}\n\n"))
+    plus = lambda a, b: F.struct(*[(a[c] + b[c]).alias(c) for c in _MEASURES])
+    measured = kept.withColumns({f"_{n}": F.transform(F.transform(n, line), tokens.measures) for n in lists})
+    none = F.array().cast(f"array<struct<{','.join(f'{c}:bigint' for c in _MEASURES)}>>")
+    parts = []
+    for n in names:
+        if n in lists:
+            parts.append(F.when(F.size(n) > 0, F.concat(F.array(frame(n)), f"_{n}")).otherwise(none))
+        else:
+            scalar = tokens.measures(F.concat(F.lit(f"{titles[n]}\n"), T.trim(F.col(n)), F.lit("\n\n")))
+            parts.append(F.when(F.col(n).isNotNull(), F.array(scalar)).otherwise(none))
+    gone = []
+    for n in giving:
+        items = F.col(f"_{n}")
+        if n == "failed_approaches":
+            items = F.transform("_order", lambda o: F.element_at("_failed_approaches", o["at"] + 1))
+        if n == "decisions_made":
+            items = F.slice(items, F.lit(1), room[n])
+        else:  # the last entry takes the title along
+            last = F.array(plus(F.element_at(items, -1), frame(n)))
+            items = F.when(F.size(n) == 0, none).otherwise(F.concat(F.slice(items, F.lit(1), F.size(n) - 1), last))
+        gone.append(items)
+    measured = measured.withColumns({"_all": _summed(F.concat(*parts)), **({"_gone": F.concat(*gone)} if gone else {})})
+    head = tokens.measures(F.lit(_HEAD))
+    cost = lambda m: F.when(m["chars"] == 0, F.lit(0)).otherwise(tokens.estimated_of(plus(m, head)))
+    tried = measured.withColumn("_now", F.struct(F.col("_all").alias("m"), F.lit(0).alias("i"), cost(F.col("_all")).alias("tokens")))
+    if gone:
+
+        def step(now: Column, x: Column) -> Column:
+            left = F.struct(*[(now["m"][c] - x[c]).alias(c) for c in _MEASURES])
+            fits = now["tokens"] <= max_tokens
+            return F.when(fits, now).otherwise(F.struct(left.alias("m"), (now["i"] + 1).alias("i"), cost(left).alias("tokens")))
+
+        tried = tried.withColumn("_now", F.aggregate("_gone", F.col("_now"), step))
+    tried = tried.select("session", *names, *(["_order"] if "failed_approaches" in giving else []), F.col("_now.i").alias("i"), F.col("_now.tokens").cast("long").alias("tokens"))
+
+    taken, left = {}, F.col("i")
     for n in giving:
-        gone[n] = F.least(left, room[n])
+        taken[n] = F.least(left, room[n])
         left = F.greatest(left - room[n], F.lit(0))
     packet = {n: F.col(n) for n in names}
     for n in giving:
-        packet[n] = F.slice(n, gone[n] + 1, F.greatest(F.size(n), F.lit(1)))
-    if "failed_approaches" in gone:
-        order = F.array_sort(F.transform("failed_approaches", lambda x, j: F.struct(approach_value(x).alias("value"), j.alias("at"))))
-        out = F.transform(F.slice(order, F.lit(1), gone["failed_approaches"]), lambda x: x["at"])
+        packet[n] = F.slice(n, taken[n] + 1, F.greatest(F.size(n), F.lit(1)))
+    if "failed_approaches" in taken:
+        out = F.transform(F.slice("_order", F.lit(1), taken["failed_approaches"]), lambda x: x["at"])
         packet["failed_approaches"] = F.filter("failed_approaches", lambda x, j: ~F.array_contains(out, j))
-    text = tried.select("session", "i", render_packet(packet, lists).alias("packet")).withColumn("tokens", tokens.estimated(F.col("packet")).cast("long"))
-    what = F.struct("i", "packet", "tokens")
-    best = text.groupBy("session").agg(F.min(F.when(F.col("tokens") <= max_tokens, what)).alias("fit"), F.max(what).alias("last"))
-    return best.select("session", F.coalesce("fit", "last").alias("p")).select("session", "p.packet", "p.tokens")
+    return tried.select("session", render_packet(packet, lists).alias("packet"), "tokens")
 
 
 def latest(rows: DataFrame) -> DataFrame:
