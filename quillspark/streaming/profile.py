@@ -14,7 +14,9 @@ event by PURGE_S.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,12 +52,13 @@ class SessionTimer(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "ms long")
 
-    def touch(self, newest_ms: int, times: TimerValues) -> None:
-        """Puts the key's timer off; one timer a key."""
-        newest = max(newest_ms, self.last.get()[0] if self.last.exists() else newest_ms)
+    def touch(self, newest_ms: int, times: TimerValues, known: bool = True) -> None:
+        """Puts the key's timer off; one timer a key, none yet of a key that is not known."""
+        last = self.last.get() if known else None
+        newest = max(newest_ms, last[0] if last else newest_ms)
         self.last.update((newest,))
         due = newest + self.purge_s * 1000
-        for old in list(self.handle.listTimers()):
+        for old in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(old)
         self.handle.registerTimer(max(due, times.getCurrentWatermarkInMs() + 1))
 
@@ -99,21 +102,24 @@ class SessionProfile(SessionTimer):
             state.clear()
 
     @staticmethod
-    def _grown(state, counts: dict[tuple, int]) -> list[tuple[tuple, int, int]]:
-        """(key, count before, count now) of the keys of a batch, with the counts put back."""
+    def _grown(state, counts: dict[tuple, int], known: bool) -> list[tuple[tuple, int, int]]:
+        """(key, count before, count now) of the keys of a batch, with the counts put back; a session that is not known has none before."""
         out = []
         for key, n in counts.items():
-            before = state.getValue(key)[0] if state.containsKey(key) else 0
+            found = state.getValue(key) if known else None
+            before = found[0] if found else 0
             state.updateValue(key, (before + n,))
             out.append((key, before, before + n))
         return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        total = dict(zip(_COUNTS, self.totals.get() if self.totals.exists() else (0,) * len(_COUNTS), strict=True))
-        tools: dict[tuple, int] = {}
-        calls: dict[tuple, int] = {}
-        edits: dict[tuple, int] = {}
-        heavy = [tuple(e) for e in self.heavy.get()]
+        found = self.totals.get()
+        known = found is not None
+        total = dict(zip(_COUNTS, found if known else (0,) * len(_COUNTS), strict=True))
+        tools: Counter[tuple] = Counter()
+        calls: Counter[tuple] = Counter()
+        edits: Counter[tuple] = Counter()
+        heavy = [tuple(e) for e in self.heavy.get()] if known else []
         newest = 0
         for frame in rows:
             total["calls"] += len(frame)
@@ -121,25 +127,22 @@ class SessionProfile(SessionTimer):
             for c in _SUMS:
                 total[c] += int(frame[c].fillna(0).sum())
             for counts, columns in ((tools, ["tool"]), (calls, ["tool", "signature"]), (edits, ["edited"])):
-                for name, n in frame.groupby(columns, dropna=True).size().items():
-                    name = name if isinstance(name, tuple) else (name,)
-                    counts[name] = counts.get(name, 0) + int(n)
+                counts.update(name for name in zip(*(frame[c].tolist() for c in columns), strict=True) if not any(map(pd.isna, name)))
             size = (frame["input"].fillna(0) + frame["output"].fillna(0)).astype("int64")
-            best = frame.assign(total=size).sort_values(["total", "event_id"], ascending=[False, True]).head(self.top)
-            heavy = sorted(heavy + list(zip(best["total"].tolist(), best["event_id"].tolist(), strict=True)), key=lambda e: (-e[0], e[1]))[: self.top]
+            heavy = nsmallest(self.top, [*heavy, *zip(size.tolist(), frame["event_id"].tolist(), strict=True)], key=lambda e: (-e[0], e[1]))
             newest = max(newest, newest_ms(frame))
-        total["tools"] += sum(before == 0 for _, before, _ in self._grown(self.tools, tools))
-        total["loops"] += sum(before < self.loop_at <= now for _, before, now in self._grown(self.edits, edits))
-        grown = self._grown(self.calls, calls)
+        total["tools"] += sum(before == 0 for _, before, _ in self._grown(self.tools, tools, known))
+        total["loops"] += sum(before < self.loop_at <= now for _, before, now in self._grown(self.edits, edits, known))
+        grown = self._grown(self.calls, calls, known)
         total["repeated_calls"] += sum(before < 2 <= now for _, before, now in grown)
         often = [(now, *name) for name, _, now in grown if now > 1]
-        repeated = kept_top([tuple(e) for e in self.repeated.get()], often, lambda e: (-e[0], e[1], e[2]), lambda e: e[1:], self.top)
+        repeated = kept_top([tuple(e) for e in self.repeated.get()] if known else [], often, lambda e: (-e[0], e[1], e[2]), lambda e: e[1:], self.top)
         self.totals.update(tuple(total[c] for c in _COUNTS))
         if heavy:
             self.heavy.put(heavy)
         if repeated:
             self.repeated.put(repeated)
-        self.touch(newest, timerValues)
+        self.touch(newest, timerValues, known)
         named = lambda entries, names: [dict(zip(names, e, strict=True)) for e in entries]
         yield pd.DataFrame([{"session": key[0], **total, "repeated": named(repeated, ("n", "tool", "signature")), "heaviest": named(heavy, ("total", "event_id"))}])
 

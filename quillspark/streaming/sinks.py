@@ -42,7 +42,7 @@ def upsert_batch(rows: DataFrame, root: str, key: str, order: list[Column], batc
     new = latest_by_key(rows, key, order).withColumn(BATCH, F.lit(batch_id).cast("long")).withColumn(BUCKET, bucket)
     # written first, the batch is computed once, its folders name the buckets, and nothing is read from what it replaces
     coming, staged = (f"{root}/_{name}-{uuid.uuid4().hex}" for name in ("coming", "staged"))
-    new.write.partitionBy(BUCKET).parquet(coming)
+    new.repartition(buckets, BUCKET).write.partitionBy(BUCKET).parquet(coming)  # a file a bucket, not one a task and bucket
     touched = sorted(int(f.split("=")[1]) for f in folders(spark, coming))
     if touched:
         data = f"{root}/data"
