@@ -83,7 +83,8 @@ def classified(texts: DataFrame, parsers: bool = False, registry: Registry = DEF
 
 def pipe(texts: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """(id, output, kind): reduced where a detector is confident enough and the result is strictly smaller."""
-    known = kept(classified(texts, registry=registry)).withColumn("kind", F.when(F.col("_best.score") >= F.lit(PIPE_CONFIDENCE).cast("float"), F.col("_best.kind")))
+    kind = F.when(F.col("_best.score") >= F.lit(PIPE_CONFIDENCE).cast("float"), F.col("_best.kind"))
+    known = kept(classified(texts, registry=registry).select("id", "text", kind.alias("kind")))  # no class is asked for, so none is found
     reduced = R.reduce_all(known, registry.operators, held=True).select("id", "reduced", "before_tokens", "after_tokens")
     smaller = F.col("after_tokens") < F.col("before_tokens")
     out = known.join(reduced, "id", "left")
