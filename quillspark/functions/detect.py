@@ -143,7 +143,8 @@ def best(s: Column, kinds: list[str] = KINDS) -> Column:
 
 
 def is_prompt_like(text: Column) -> Column:
-    return (F.size(T.lines(text)) >= 2) & T.contains_any(F.lower(text), ACTION_WORDS)
+    acts = F.exists(F.array(F.lower(text)), lambda low: T.contains_any(low, ACTION_WORDS))  # in lower case once, not a word
+    return (F.size(T.lines(text)) >= 2) & acts
 
 
 def classify(text: Column, top: Column, hint: Column | None = None, class_of: dict[str, str] = CLASS_OF) -> Column:
